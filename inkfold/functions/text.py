@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 # Namespace of chunk point ids (fixed value).
 POINT_NAMESPACE = uuid.UUID("7b93c9e3-ff1f-4c8f-a3bf-ca3f1bf9a0e0")
 
-_SPACE = r"[\s\x1c-\x1f]+"
+# Characters that Python's str.strip removes (fixed values).
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPLIT_BUCKETS = 10000
 
 
@@ -20,7 +24,7 @@ def _col(c: Column | str) -> Column:
 
 def py_strip(c: Column | str) -> Column:
     """Strip Unicode white space at both ends, as Python's ``str.strip`` does."""
-    return F.regexp_replace(_col(c), rf"(?U)^{_SPACE}|{_SPACE}\z", "")
+    return F.btrim(_col(c), F.lit(WHITE_SPACE))
 
 
 def chunk_array(c: Column | str, size: int = 500, overlap: int = 50) -> Column:

@@ -71,6 +71,16 @@ def score_regions(
     )
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance at a cost that follows the distance: where one text contains the
+    other, it is the length difference; else a narrow band is tried before wider ones and only
+    then the full table."""
+    banded = [F.nullif(F.levenshtein(a, b, limit), F.lit(-1)) for limit in (16, 256)]
+    return F.when(
+        F.contains(a, b) | F.contains(b, a), F.abs(F.char_length(a) - F.char_length(b))
+    ).otherwise(F.coalesce(*banded, F.levenshtein(a, b)))
+
+
 def corpus_cer(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Character error rate: all edits / all reference characters. Pairs with a blank reference
     do not count; with none left the rate is 1. ``pairs(reference, hypothesis)``."""
@@ -78,7 +88,7 @@ def corpus_cer(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     ref, hyp = F.coalesce("reference", F.lit("")), F.coalesce("hypothesis", F.lit(""))
     counted = py_strip(ref) != ""
-    edits = F.sum(F.when(counted, F.levenshtein(ref, hyp)))
+    edits = F.sum(F.when(counted, edit_distance(ref, hyp)))
     chars = F.sum(F.when(counted, F.char_length(ref)))
     return pairs.groupBy(*keys).agg(
         F.count_if(counted).alias("pairs"),
@@ -221,33 +231,42 @@ def quality_by_source(regions: DataFrame) -> DataFrame:
 def contract_violations(records: DataFrame, contract: dict[str, str], json: str = "body") -> DataFrame:
     """Add ``violations``: missing top-level fields and fields of the wrong JSON type. Integers
     and floats are interchangeable and a boolean passes as a number; further fields are ignored."""
-    body = F.try_parse_json(json)
-    names = F.json_object_keys(json)
-    # Variant type names -> contract type names.
+    # Variant type names -> contract type names (fixed values).
     kinds = {"STRING": "str", "BOOLEAN": "bool", "BIGINT": "int", "DOUBLE": "float", "VOID": "NoneType"}
     kind_map = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    errors = []
-    for field, expected in contract.items():
-        value = F.try_variant_get(body, f"$.{field}", "variant")
+
+    def kind_of(value: Column) -> Column:
         raw = F.schema_of_variant(value)
-        kind = (
+        return (
             F.when(raw.startswith("OBJECT"), "dict")
             .when(raw.startswith("ARRAY"), "list")
             .when(raw.startswith("DECIMAL"), "float")
             .otherwise(kind_map[raw])
         )
+
+    fields = [f"`{name}` variant" for name in contract]
+    # The record is parsed once, to one variant per contract field; kinds are then plain text.
+    parsed = records.withColumn("_names", F.json_object_keys(json)).withColumn(
+        "_body", F.from_json(json, ", ".join(fields))
+    )
+    typed = parsed.withColumn(
+        "_kinds", F.array(*[kind_of(F.col("_body")[name]) for name in contract])
+    )
+    errors = []
+    for i, (name, expected) in enumerate(contract.items()):
+        kind = F.coalesce(F.col("_kinds")[i], F.lit("NoneType"))
         passing = ["int", "float", "bool"] if expected in ("int", "float") else [expected]
-        wrong = F.concat(F.lit(f"field '{field}': expected {expected}, got "), kind)
+        wrong = F.concat(F.lit(f"field '{name}': expected {expected}, got "), kind)
         errors.append(
-            F.when(~F.array_contains(names, field), F.lit(f"missing field: {field}")).when(
+            F.when(~F.array_contains("_names", name), F.lit(f"missing field: {name}")).when(
                 ~kind.isin(*passing), wrong
             )
         )
     listed = F.filter(F.array(*errors), lambda e: e.isNotNull())
-    return records.withColumn(
+    return typed.withColumn(
         "violations",
-        F.when(names.isNull(), F.array(F.lit("not a JSON object"))).otherwise(listed),
-    )
+        F.when(F.col("_names").isNull(), F.array(F.lit("not a JSON object"))).otherwise(listed),
+    ).drop("_names", "_body", "_kinds")
 
 
 def dataset_checks(df: DataFrame, dataset: str, rules: dict[str, Column]) -> DataFrame:

@@ -206,11 +206,11 @@ def kpi_columns() -> list[Column]:
         clicks.alias("clicks"),
         requests.alias("requests"),
         corrections.alias("corrections"),
-        F.round(F.try_divide(clicks, queries), 4).alias("ctr"),
-        F.round(F.try_divide(corrections, requests), 4).alias("correction_rate"),
-        F.round(F.try_divide(fallbacks, queries), 4).alias("fallback_rate"),
-        F.round(F.avg(similarity), 4).alias("mean_similarity"),
-        F.round(F.max(similarity), 4).alias("max_similarity"),
+        F.try_divide(clicks, queries).alias("ctr"),
+        F.try_divide(corrections, requests).alias("correction_rate"),
+        F.try_divide(fallbacks, queries).alias("fallback_rate"),
+        F.avg(similarity).alias("mean_similarity"),
+        F.max(similarity).alias("max_similarity"),
     ]
 
 

@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 from inkfold.operators.ordered import (
     HOUR,
     as_of,
-    carry_last,
     next_value,
-    previous_value,
-    running_count,
+    run_start,
     running_sum,
 )
 
@@ -55,14 +53,17 @@ def _accepted_attempts(firing: DataFrame, cooldown_seconds: int, chunk_seconds:
     gaps are independent and spread over tasks. Within a burst rows pass through in order, holding
     one number of state."""
     keys = ["model", "alertname"]
-    order = ["alert_id"]
     timed = firing.withColumn("_us", F.unix_micros("received_at"))
-    gapped = previous_value(timed, keys, "received_at", "_us", "_before", order, chunk_seconds)
-    quiet = F.col("_before").isNull() | (
-        F.col("_us") - F.col("_before") >= cooldown_seconds * 1000000
-    )
-    bursts = carry_last(
-        gapped, keys, "received_at", F.when(quiet, F.col("_us")), "_burst", order, chunk_seconds
+    pause = cooldown_seconds * 1000000
+    bursts = run_start(
+        timed,
+        keys,
+        "received_at",
+        F.col("_us"),
+        lambda before, now: before.isNull() | (now - before >= pause),
+        "_burst",
+        ["alert_id"],
+        chunk_seconds,
     )
     group = [*keys, "_burst"]
     ordered = (
@@ -70,7 +71,6 @@ def _accepted_attempts(firing: DataFrame, cooldown_seconds: int, chunk_seconds:
         .repartition(*group)
         .sortWithinPartitions(*group, "_us", "alert_id")
     )
-    pause = cooldown_seconds * 1000000
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = None, None
@@ -123,35 +123,33 @@ def rollback_decisions(
     attempts = _accepted_attempts(
         named.where(F.col("action").isNull()), cooldown_seconds, chunk_seconds
     )
-    waited = F.unix_micros("received_at") - F.col("last_accepted_us")
-    cooling = attempts.where(~F.col("accepted")).select(
-        *head[:-1],
-        F.lit("skipped_cooldown").alias("action"),
-        F.floor((cooldown_seconds * 1000000 - waited) / 1000000).alias("cooldown_remaining_seconds"),
-    )
     marks = promotions.select("model", "ts", "version", F.unix_micros("ts").alias("_segment"))
     based = as_of(
-        attempts.where("accepted").withColumn("ts", F.col("received_at")),
-        marks, ["model"], "ts", ["version", "_segment"], ["version"], DAY,
+        attempts.withColumn("ts", F.col("received_at")),
+        marks, ["model"], "ts", ["version", "_segment"], ["version"], chunk_seconds,
     ).withColumn("_segment", F.coalesce("_segment", F.lit(-1)))
-    counted = running_count(based, ["model", "_segment"], "ts", "_k", ["alert_id"], DAY)
+    one = F.col("accepted").cast("bigint")
+    counted = running_sum(based, ["model", "_segment"], "ts", one, "_k", ["alert_id"], chunk_seconds)
     current = F.when(F.col("version") <= 1, F.col("version")).otherwise(
         F.greatest(F.col("version") - F.col("_k") + 1, F.lit(1))
     )
-    done = counted.withColumn("from_version", current.cast("bigint")).select(
+    done = F.col("accepted")
+    version = F.col("from_version")
+    waited = F.unix_micros("received_at") - F.col("last_accepted_us")
+    judged = counted.withColumn("from_version", F.when(done, current).cast("bigint")).select(
         *head[:-1],
-        F.lit("rollback").alias("action"),
-        F.when(F.col("from_version").isNull(), "no_registered_versions")
-        .when(F.col("from_version") <= 1, "at_version_floor")
-        .otherwise("rollback_complete")
+        F.when(done, "rollback").otherwise("skipped_cooldown").alias("action"),
+        F.when(~done, F.floor((cooldown_seconds * 1000000 - waited) / 1000000)).alias(
+            "cooldown_remaining_seconds"
+        ),
+        F.when(done & version.isNull(), "no_registered_versions")
+        .when(done & (version <= 1), "at_version_floor")
+        .when(done, "rollback_complete")
         .alias("outcome"),
         "from_version",
-        F.when(F.col("from_version") > 1, F.col("from_version") - 1).alias("to_version"),
-    )
-    return (
-        done.unionByName(cooling, allowMissingColumns=True)
-        .unionByName(plain, allowMissingColumns=True)
+        F.when(version > 1, version - 1).alias("to_version"),
     )
+    return judged.unionByName(plain, allowMissingColumns=True)
 
 
 def retrain_decisions(

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.operators.ordered import HOUR, carry_last, previous_value, trailing_sum
+from inkfold.operators.ordered import HOUR, previous_value, run_start, trailing_sum, with_chunk
 from inkfold.schemas import REQUIRED_SERIES
 
 COMPARE = {
@@ -51,11 +51,32 @@ def counter_rate(
     chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Add ``rate``: increase per second over (ts - window, ts], without extrapolation."""
-    grown = counter_increase(samples, keys, chunk_seconds)
-    summed = trailing_sum(grown, keys, "ts", "increase", window_seconds, "_sum")
+    return _chunked_rate(samples, window_seconds, keys, chunk_seconds).drop("_chunk")
+
+
+def _chunked_rate(samples, window_seconds, keys, chunk_seconds):
+    span = max(chunk_seconds, window_seconds)
+    grown = counter_increase(with_chunk(samples, "ts", span), keys, span)
+    summed = trailing_sum(grown, keys, "ts", "increase", window_seconds, "_sum", span)
     return summed.withColumn("rate", F.col("_sum") / window_seconds).drop("_sum", "increase")
 
 
+def rate_alert(
+    samples: DataFrame,
+    window_seconds: int,
+    threshold: float,
+    op: str,
+    hold_seconds: int,
+    keys: Sequence[str] = ("series",),
+    chunk_seconds: int = HOUR,
+) -> DataFrame:
+    """Rate over the window, compared with the threshold, and the alert's state: both steps on
+    one partitioning by (series, chunk)."""
+    rated = _chunked_rate(samples, window_seconds, keys, chunk_seconds)
+    condition = COMPARE[op](F.col("rate"), F.lit(threshold))
+    return alert_state(rated, condition, hold_seconds, keys, ["value"], chunk_seconds).drop("_chunk")
+
+
 def stepped_increase(
     samples: DataFrame,
     step_seconds: int,
@@ -172,10 +193,16 @@ def alert_state(
     """Add ``active_since`` and ``state`` (inactive / pending / firing). The alert fires once the
     condition held without a false evaluation for ``hold_seconds``."""
     judged = series.withColumn("_on", F.coalesce(condition, F.lit(False)))
-    order = [*tie]
-    turned = previous_value(judged, keys, "ts", "_on", "_was", order, chunk_seconds)
-    starts = F.when(F.col("_on") & ~F.coalesce("_was", F.lit(False)), F.col("ts"))
-    dated = carry_last(turned, keys, "ts", starts, "_since", order, chunk_seconds)
+    dated = run_start(
+        judged,
+        keys,
+        "ts",
+        F.col("_on"),
+        lambda before, now: now & ~F.coalesce(before, F.lit(False)),
+        "_since",
+        tie,
+        chunk_seconds,
+    )
     held = F.unix_micros("ts") - F.unix_micros("_since") >= hold_seconds * 1000000
     return dated.select(
         *series.columns,
@@ -184,7 +211,12 @@ def alert_state(
     )
 
 
-def availability(samples: DataFrame, hold_seconds: int = 60, keys: Sequence[str] = ("series",), tie: Sequence[str] = ()) -> DataFrame:
+def availability(
+    samples: DataFrame,
+    hold_seconds: int = 60,
+    keys: Sequence[str] = ("series",),
+    tie: Sequence[str] = (),
+) -> DataFrame:
     """Alert state of ``up == 0`` per target."""
     return alert_state(samples, F.col("value") == 0, hold_seconds, keys, tie)
 
@@ -197,8 +229,7 @@ def drift_rate(
     keys: Sequence[str] = ("series",),
 ) -> DataFrame:
     """Rate of drift events over five minutes and its alert state."""
-    rated = counter_rate(samples, window_seconds, keys)
-    return alert_state(rated, F.col("rate") > threshold, hold_seconds, keys, ["value"])
+    return rate_alert(samples, window_seconds, threshold, ">", hold_seconds, keys)
 
 
 def missing_series(

@@ -11,7 +11,7 @@ have no place in an order: ``as_of`` returns them unmatched, the others leave th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +22,18 @@ _CARRY = "_carry"
 
 
 def with_chunk(df: DataFrame, ts: str, chunk_seconds: int) -> DataFrame:
+    """Add the chunk column. Frames that have it keep it through all functions here: a chain of
+    them then runs on one partitioning by (key, chunk)."""
+    if _CHUNK in df.columns:
+        return df
     return df.withColumn(_CHUNK, F.floor(F.unix_seconds(F.col(ts)) / chunk_seconds).cast("bigint"))
 
 
+def _extra(df: DataFrame) -> list[str]:
+    """Helper columns to drop again: the chunk, unless the caller's frame had it."""
+    return [] if _CHUNK in df.columns else [_CHUNK]
+
+
 def _before(keys: Sequence[str]):
     return (
         Window.partitionBy(*keys)
@@ -57,7 +66,7 @@ def running_sum(
     return (
         chunked.join(carry, [*keys, _CHUNK])
         .withColumn(out, F.col(_CARRY) + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-        .drop(_CHUNK, _CARRY, "_v")
+        .drop(*_extra(df), _CARRY, "_v")
     )
 
 
@@ -115,7 +124,7 @@ def _neighbour(df, keys, ts, value, out, tie, chunk_seconds, forward):
     return (
         chunked.join(carry, [*keys, _CHUNK])
         .withColumn(out, F.coalesce(near, F.col(_CARRY))[value])
-        .drop(_CHUNK, _CARRY)
+        .drop(*_extra(df), _CARRY)
     )
 
 
@@ -140,7 +149,57 @@ def carry_last(
     return (
         chunked.join(carry, [*keys, _CHUNK], "left")
         .withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col(_CARRY)))
-        .drop(_CHUNK, _CARRY, "_v")
+        .drop(*_extra(df), _CARRY, "_v")
+    )
+
+
+def run_start(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    state: Column,
+    starts: Callable[[Column, Column], Column],
+    out: str,
+    tie: Sequence[str] = (),
+    chunk_seconds: int = HOUR,
+) -> DataFrame:
+    """Time of the latest row, up to and including this one, at which a run starts.
+
+    ``starts(previous_state, state)`` says whether a row starts a run, given the state of the row
+    before it in its key (null for the first). One pass carries both facts across chunks."""
+    state_type = F.struct(state.alias("s"))
+    inside = _inside(keys, [ts, *tie])
+    chunked = with_chunk(df, ts, chunk_seconds).withColumn("_st", state_type)
+    marked = chunked.withColumn("_pr", F.lag("_st").over(inside)).withColumn(
+        "_local",
+        F.when(F.col("_pr").isNotNull() & starts(F.col("_pr.s"), F.col("_st.s")), F.col(ts)),
+    )
+    order = F.struct(ts, *tie)
+    summary = marked.groupBy(*keys, _CHUNK).agg(
+        F.min_by("_st", order).alias("_first"),
+        F.max_by("_st", order).alias("_last"),
+        F.min(ts).alias("_t0"),
+        F.max("_local").alias("_run"),
+    )
+    by_chunk = Window.partitionBy(*keys).orderBy(_CHUNK)
+    opened = F.when(
+        F.coalesce(starts(F.lag("_last").over(by_chunk)["s"], F.col("_first.s")), F.lit(False)),
+        F.col("_t0"),
+    )
+    carry = (
+        summary.withColumn("_open", opened)
+        .withColumn("_end", F.coalesce("_run", "_open"))
+        .select(
+            *keys,
+            _CHUNK,
+            F.coalesce("_open", F.last("_end", ignorenulls=True).over(_before(keys))).alias(_CARRY),
+        )
+    )
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        marked.join(carry, [*keys, _CHUNK])
+        .withColumn(out, F.coalesce(F.last("_local", ignorenulls=True).over(upto), F.col(_CARRY)))
+        .drop(*_extra(df), _CARRY, "_st", "_pr", "_local")
     )
 
 
@@ -207,5 +266,5 @@ def trailing_sum(
     return (
         spread.withColumn(out, F.sum(value).over(inside))
         .where(~F.col("_context"))
-        .drop("_context", "_us", _CHUNK)
+        .drop("_context", "_us", *_extra(df))
     )

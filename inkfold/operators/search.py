@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkfold.functions.text import chunk_array, point_id
+from inkfold.functions.text import chunk_array, point_id, py_strip
 
 OVERFETCH = 3
 SCORE_DIGITS = 9  # scores are compared at 1e-9, so that ranking does not hinge on summation order
@@ -43,9 +43,10 @@ def chunk_text(
     documents: DataFrame, size: int = 500, overlap: int = 50, text: str = "text"
 ) -> DataFrame:
     """One row per chunk: ``document_id, chunk_index, chunk_text``. Blank documents give none."""
-    return documents.select(
+    stripped = documents.select("document_id", py_strip(text).alias("_text"))
+    return stripped.select(
         "document_id",
-        F.posexplode(chunk_array(text, size, overlap)).alias("chunk_index", "chunk_text"),
+        F.posexplode(chunk_array("_text", size, overlap)).alias("chunk_index", "chunk_text"),
     )
 
 
@@ -352,8 +353,6 @@ def semantic_search(
 
 def valid_queries(queries: DataFrame, strip: bool = False, text: str = "query_text") -> DataFrame:
     """Queries of at least three characters; the UI form strips first, the API form does not."""
-    from inkfold.functions.text import py_strip
-
     value = py_strip(text) if strip else F.col(text)
     return queries.withColumn(text, value).where(F.char_length(text) >= 3)
 

@@ -622,14 +622,19 @@ SLIDING = """SELECT *, time_bucket(INTERVAL 10 MINUTE, ts) - i * INTERVAL 10 MIN
        time_bucket(INTERVAL 10 MINUTE, ts) - i * INTERVAL 10 MINUTE + INTERVAL 2 HOUR AS window_end FROM v_kpi, range(12) AS r(i)"""
 
 
+def _rounded_kpis(kpis: DataFrame) -> DataFrame:
+    names = ["ctr", "correction_rate", "fallback_rate", "mean_similarity", "max_similarity"]
+    return kpis.withColumns({n: F.round(n, 4) for n in names})
+
+
 @query(KPI_SQL.format(source=TUMBLING))
 def usage_kpis(t: Tables) -> DataFrame:
-    return B.usage_kpis(t.kpi_events)
+    return _rounded_kpis(B.usage_kpis(t.kpi_events))
 
 
 @query(KPI_SQL.format(source=SLIDING))
 def usage_kpis_sliding(t: Tables) -> DataFrame:
-    return B.usage_kpis(t.kpi_events, "2 hours", "10 minutes")
+    return _rounded_kpis(B.usage_kpis(t.kpi_events, "2 hours", "10 minutes"))
 
 
 @query("SELECT feedback_id, document_id FROM v_feedback WHERE ts >= TIMESTAMP '2024-04-10' - INTERVAL 90 DAY")
@@ -650,7 +655,7 @@ def counter_rate(t: Tables) -> DataFrame:
 @query(
     """
 SELECT ts, numerator, denominator, round(CASE WHEN denominator > 0 THEN numerator / denominator END, 4) AS ratio,
-       coalesce(denominator > 0 AND numerator / denominator > 0.3, false) AS breached
+       coalesce(denominator > 0 AND numerator / denominator > 1.0, false) AS breached
 FROM (SELECT epoch_ms((step + 1) * 600000) AS ts, sum(n) OVER w AS numerator, sum(d) OVER w AS denominator
       FROM (SELECT epoch_us(ts) // 600000000 AS step, sum(CASE WHEN series = 'signup' THEN increase ELSE 0 END) AS n,
                    sum(CASE WHEN series = 'purchase' THEN increase ELSE 0 END) AS d
@@ -660,7 +665,7 @@ FROM (SELECT epoch_ms((step + 1) * 600000) AS ts, sum(n) OVER w AS numerator, su
 def ratio_rule(t: Tables) -> DataFrame:
     metric = F.col("metric")
     rule = M.ratio_rule(
-        t.samples.where(metric == "signup"), t.samples.where(metric == "purchase"), 3600, 0.3, ">", step_seconds=600
+        t.samples.where(metric == "signup"), t.samples.where(metric == "purchase"), 3600, 1.0, ">", step_seconds=600
     )
     return rule.withColumn("ratio", F.round("ratio", 4))
 
@@ -695,8 +700,7 @@ def histogram_quantile(t: Tables) -> DataFrame:
 
 @query("SELECT series, ts, value, state, active_since FROM v_state")
 def alert_state(t: Tables) -> DataFrame:
-    rated = M.counter_rate(t.samples, 3600, chunk_seconds=86400)
-    state = M.alert_state(rated, F.col("rate") > 3.5 / 3600, 600, tie=["value"], chunk_seconds=86400)
+    state = M.rate_alert(t.samples, 3600, 14.0 / 3600, ">", 600, chunk_seconds=86400)
     return state.select("series", "ts", "value", "state", "active_since")
 
 
@@ -720,13 +724,13 @@ def availability(t: Tables) -> DataFrame:
 SELECT ts, value, round(rate, 6) AS rate, CASE WHEN NOT on_ THEN 'inactive' WHEN ts - since >= INTERVAL 2 MINUTE THEN 'firing' ELSE 'pending' END AS state
 FROM (SELECT *, min(ts) OVER (PARTITION BY grp, on_) AS since
       FROM (SELECT *, count(*) FILTER (NOT on_) OVER (ORDER BY ts, value) AS grp
-            FROM (SELECT *, rate > 0.004 AS on_
+            FROM (SELECT *, rate > 0.02 AS on_
                   FROM (SELECT ts, value, sum(increase) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 299999999 MICROSECOND PRECEDING AND CURRENT ROW) / 300 AS rate
                         FROM v_increase WHERE series = 'error'))))"""
 )
 def drift_rate(t: Tables) -> DataFrame:
     drifts = t.samples.where(F.col("metric") == "error")
-    return M.drift_rate(drifts, threshold=0.004).select("ts", "value", F.round("rate", 6).alias("rate"), "state")
+    return M.drift_rate(drifts, threshold=0.02).select("ts", "value", F.round("rate", 6).alias("rate"), "state")
 
 
 @query(
@@ -1160,7 +1164,7 @@ def kpi_stream(t: Tables) -> DataFrame:
     """Windows the watermark has closed."""
     live = Tables(t.spark, t.folder)
     live.events = _event_stream(t)
-    return _drain(t, J.kpi_stream(live.kpi_events), "kpis")
+    return _rounded_kpis(_drain(t, J.kpi_stream(live.kpi_events), "kpis"))
 
 
 @query(

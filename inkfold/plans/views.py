@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.operators.ordered import running_count
-from inkfold.session import tune
+from inkfold.session import spread, tune
 
 SERVICES = 3
 MODELS = 4
@@ -33,12 +33,12 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"))
 
     @property
     def document_count(self):
         """Number of documents as a scalar subquery (answered from the Parquet footers)."""
-        return self.documents.agg(F.count("*").alias("n")).scalar()
+        return self.table("documents").agg(F.count("*").alias("n")).scalar()
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -208,14 +208,13 @@ class Tables:
 
     @cached_property
     def samples(self) -> DataFrame:
-        """A counter per event type: its running count, one sample per event."""
-        counted = running_count(self.events, ["event_type"], "ts", "n", ["event_id"], 86400)
-        return counted.select(
+        """A counter per event type that restarts at every thousandth event."""
+        return self.events.select(
             "ts",
             F.col("event_type").alias("metric"),
             F.concat(F.lit("svc"), (F.col("user_id") % SERVICES).cast("string")).alias("service"),
             F.col("event_type").alias("series"),
-            F.col("n").cast("double").alias("value"),
+            (F.col("event_id") % 1000).cast("double").alias("value"),
         )
 
     @cached_property
@@ -241,7 +240,7 @@ class Tables:
             "ts",
             F.when(kind == "view", "query").when(kind == "click", "click").when(kind == "signup", "correction")
             .when(kind == "purchase", "htr_request").otherwise("rating").alias("kind"),
-            (F.col("value") / 500).alias("similarity"),
+            (F.col("value") / 491).alias("similarity"),
             (F.col("value") < 200).alias("fallback"),
         )
 
@@ -393,7 +392,7 @@ SELECT event_type AS endpoint, user_id % 4 AS concurrency, ts AS started_at, val
     "v_tokens": "SELECT user_id AS region_id, event_id AS step, value / 500 AS p FROM events",
     "v_samples": f"""
 SELECT ts, event_type AS metric, 'svc' || user_id % {SERVICES} AS service, event_type AS series,
-       CAST(count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS DOUBLE) AS value FROM events""",
+       CAST(event_id % 1000 AS DOUBLE) AS value FROM events""",
     "v_increase": """
 SELECT *, CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END AS increase
 FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts, value) AS p FROM v_samples)""",
@@ -403,7 +402,7 @@ SELECT 'model' || user_id % {MODELS} AS model, ts,
 FROM events WHERE event_type = 'purchase'""",
     "v_kpi": """
 SELECT ts, CASE event_type WHEN 'view' THEN 'query' WHEN 'click' THEN 'click' WHEN 'signup' THEN 'correction'
-                WHEN 'purchase' THEN 'htr_request' ELSE 'rating' END AS kind, value / 500 AS similarity, value < 200 AS fallback FROM events""",
+                WHEN 'purchase' THEN 'htr_request' ELSE 'rating' END AS kind, value / 491 AS similarity, value < 200 AS fallback FROM events""",
     "v_log": """
 SELECT event_id, CASE WHEN event_type = 'view' THEN 'GET' ELSE 'POST' END AS method,
        CASE event_type WHEN 'view' THEN '/api/documents/' || coalesce(upper(doc_uuid), '00000000-0000-0000-0000-00000000000f') || '/preview/'
@@ -425,7 +424,7 @@ SELECT series, ts, value, CASE WHEN NOT on_ THEN 'inactive' WHEN ts - since >= I
        CASE WHEN on_ THEN since END AS active_since
 FROM (SELECT *, min(ts) OVER (PARTITION BY series, grp, on_) AS since
       FROM (SELECT *, count(*) FILTER (NOT on_) OVER (PARTITION BY series ORDER BY ts, value) AS grp
-            FROM (SELECT *, rate > 3.5 / 3600 AS on_ FROM v_rate)))""",
+            FROM (SELECT *, rate > 14.0 / 3600 AS on_ FROM v_rate)))""",
 }
 
 
