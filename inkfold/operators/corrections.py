@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,7 +310,6 @@ def training_text_rows(lines: DataFrame, is_decodable: Column | None = None) ->
 def truncate_labels(lines: DataFrame, tokenizer, max_tokens: int = 128) -> DataFrame:
     """Add ``label_ids``: the first ``max_tokens`` token ids of the transcription. ``tokenizer``
     is a picklable function from a list of texts to a list of id lists."""
-    import pandas as pd
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:

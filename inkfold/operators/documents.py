@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfold.operators.joins import left_join_sparse
+
 # Request paths and the counters they feed (fixed values).
 FEEDBACK_COUNTERS = {
     "/api/ml/htr/corrections/": "/metrics/correction-recorded",
@@ -127,17 +129,17 @@ def rewrite_queue_ids(groups: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def rewrite_doc_paths(log: DataFrame, ids: DataFrame) -> DataFrame:
+def rewrite_doc_paths(log: DataFrame, ids: DataFrame, row_id: str = "event_id") -> DataFrame:
     """Add ``rewritten_path``: document paths with a mapped uuid get the integer id, all other
-    paths stay as they are."""
+    paths stay as they are. ``row_id`` spreads the many lines without a document."""
     pattern = r"^/api/documents/([0-9a-fA-F-]{36})(/.*)?$"
     uuid = F.lower(F.regexp_extract("path", pattern, 1))
     mapping = ids.select(F.lower("doc_uuid").alias("_uuid"), F.col("doc_number").alias("_n"))
     rest = F.regexp_extract("path", pattern, 2)
     rewritten = F.concat(F.lit("/api/documents/"), F.col("_n").cast("string"), rest)
+    keyed = log.withColumn("_uuid", F.nullif(uuid, F.lit("")))
     return (
-        log.withColumn("_uuid", F.nullif(uuid, F.lit("")))
-        .join(mapping, "_uuid", "left")
+        left_join_sparse(keyed, mapping, "_uuid", row_id)
         .withColumn("rewritten_path", F.coalesce(rewritten, F.col("path")))
         .drop("_uuid", "_n")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfold.operators.joins import left_join_sparse
 from inkfold.operators.ordered import as_of
 
 
@@ -136,9 +137,7 @@ def attribute_feedback(
     matched by an ordered as-of pass, never by pairing rows, because one session value
     ('anonymous') may hold a large share of both tables. Needs ``queries(query_id, session_id,
     ts)`` with unique query ids and ``feedback(feedback_id, session_id, query_id, ts)``."""
-    named = queries.select(
-        F.col("query_id"), F.col("query_id").alias("_by_id")
-    )
+    named = queries.select("query_id", F.col("query_id").alias("_by_id"))
     marks = queries.select(
         "session_id", "ts", F.col("query_id").alias("_by_session"), F.col("ts").alias("_asked_at")
     )
@@ -149,7 +148,7 @@ def attribute_feedback(
     age = F.unix_micros("ts") - F.unix_micros("_asked_at")
     recent = F.when(age <= max_age_seconds * 1000000, F.col("_by_session"))
     return (
-        with_session.join(named, "query_id", "left")
+        left_join_sparse(with_session, named, "query_id", "feedback_id")
         .withColumn("matched_query_id", F.coalesce("_by_id", recent))
         .withColumn(
             "matched_by",

@@ -16,6 +16,7 @@ from inkfold.operators.ordered import (
     run_start,
     running_sum,
 )
+from inkfold.session import checkpointed
 
 DAY = 86400
 NEVER = 1e9  # hours since the last run when there was none
@@ -120,8 +121,9 @@ def rollback_decisions(
     )
     head = ["alert_id", "model", "alertname", "received_at", "action"]
     plain = named.where(F.col("action").isNotNull())
-    attempts = _accepted_attempts(
-        named.where(F.col("action").isNull()), cooldown_seconds, chunk_seconds
+    # Read by several passes below; pinned, so that the fold over all attempts runs once.
+    attempts = checkpointed(
+        _accepted_attempts(named.where(F.col("action").isNull()), cooldown_seconds, chunk_seconds)
     )
     marks = promotions.select("model", "ts", "version", F.unix_micros("ts").alias("_segment"))
     based = as_of(

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,22 +150,29 @@ def alert_stream(samples: DataFrame, hold_seconds: int, delay: str = "1 minute")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, shown, seen = state.get if state.exists else (-1, "inactive", -1)
-        rows = pd.concat(list(frames)).sort_values("us") if frames is not None else None
-        out = []
-        for us, breached in zip(rows["us"], rows["breached"], strict=True):
-            if us < seen:
-                continue
-            seen = int(us)
-            if not breached:
-                since, now = -1, "inactive"
-            else:
-                since = since if since >= 0 else int(us)
-                now = "firing" if us - since >= hold_seconds * 1000000 else "pending"
-            if now != shown:
-                out.append((key[0], pd.Timestamp(us, unit="us"), shown, now))
-                shown = now
-        state.update((since, shown, seen))
-        yield pd.DataFrame(out, columns=["series", "ts", "from_state", "to_state"])
+        parts = [(f["us"].to_numpy(), f["breached"].to_numpy(dtype=bool)) for f in frames]
+        us, on = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(us, kind="stable")
+        order = order[us[order] >= seen]
+        us, on = us[order], on[order]
+        if len(us) == 0:
+            return
+        opens = on & ~np.concatenate([[since >= 0], on[:-1]])
+        starts = np.maximum.accumulate(np.where(opens, us, since))
+        held = us - starts >= hold_seconds * 1000000
+        now = np.where(~on, "inactive", np.where(held, "firing", "pending"))
+        before = np.concatenate([[shown], now[:-1]])
+        turned = np.flatnonzero(now != before)
+        state.update((int(starts[-1]) if on[-1] else -1, str(now[-1]), int(us[-1])))
+        if len(turned):
+            yield pd.DataFrame(
+                {
+                    "series": key[0],
+                    "ts": pd.to_datetime(us[turned], unit="us"),
+                    "from_state": before[turned],
+                    "to_state": now[turned],
+                }
+            )
 
     timed = samples.withWatermark("ts", delay).select(
         "series", "ts", F.unix_micros("ts").alias("us"), F.coalesce("breached", F.lit(False)).alias("breached")
