@@ -109,21 +109,23 @@ def rewrite_queue_ids(groups: DataFrame, ids: DataFrame) -> DataFrame:
         "left",
     )
     number = F.col("_n")
-    uuid = F.when(number.isNotNull(), F.col("document_id"))
-    shown = F.coalesce(number.cast("string"), F.col("document_id"))
+    # Named before the final select, whose own document_id the lambda would otherwise pick up.
+    named = mapped.withColumn("_uuid", F.when(number.isNotNull(), F.col("document_id"))).withColumn(
+        "_shown", F.coalesce(number.cast("string"), F.col("document_id"))
+    )
     regions = F.transform(
         "regions",
         lambda r: F.struct(
             r["region_id"].alias("region_id"),
             F.when(number.isNotNull(), number.cast("string")).alias("document_id"),
-            uuid.alias("document_id_uuid"),
+            F.col("_uuid").alias("document_id_uuid"),
             number.alias("doc_number"),
         ),
     )
-    return mapped.select(
+    return named.select(
         "group_id",
-        shown.alias("document_id"),
-        uuid.alias("document_id_uuid"),
+        F.col("_shown").alias("document_id"),
+        F.col("_uuid").alias("document_id_uuid"),
         number.alias("doc_number"),
         regions.alias("regions"),
     )

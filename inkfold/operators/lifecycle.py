@@ -132,8 +132,9 @@ def rollback_decisions(
     ).withColumn("_segment", F.coalesce("_segment", F.lit(-1)))
     one = F.col("accepted").cast("bigint")
     counted = running_sum(based, ["model", "_segment"], "ts", one, "_k", ["alert_id"], chunk_seconds)
-    current = F.when(F.col("version") <= 1, F.col("version")).otherwise(
-        F.greatest(F.col("version") - F.col("_k") + 1, F.lit(1))
+    # No promotion so far: the version stays null.
+    current = F.when(F.col("version") <= 1, F.col("version")).when(
+        F.col("version") > 1, F.greatest(F.col("version") - F.col("_k") + 1, F.lit(1))
     )
     done = F.col("accepted")
     version = F.col("from_version")

@@ -934,7 +934,7 @@ def _byte_model():
 @query()
 def score_regions(t: Tables) -> DataFrame:
     regions = t.regions.select(F.col("id").alias("region_id"), F.encode("htr_output", "UTF-8").alias("image"))
-    scored = E.score_regions(regions, lambda: _byte_model())
+    scored = E.score_regions(regions, _byte_model)
     return scored.select("region_id", "htr_confidence", "htr_flagged", "error")
 
 

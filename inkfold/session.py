@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import inkfold
+
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,7 +23,9 @@ RUNTIME_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Set the runtime options the operators rely on (UTC, AQE with skew handling)."""
+    """Set the runtime options the operators rely on (UTC, AQE with skew handling) and have this
+    package's functions sent to the workers by value, so that it need not be installed there."""
+    cloudpickle.register_pickle_by_value(inkfold)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark

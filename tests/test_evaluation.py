@@ -131,18 +131,17 @@ def test_gates(spark):
     assert {r.run_id: r.any_passed for r in E.gate_runs(df).collect()} == {1: True, 2: False}
 
 
-def model():
-    def run(image):
-        if image == b"bad":
-            raise ValueError("no image")
-        return image.decode(), [0.5, 0.5] if image != b"" else []
-
-    return run
+def test_score_regions(spark):
+    def model():
+        def run(image):
+            if image == b"bad":
+                raise ValueError("no image")
+            return image.decode(), [0.5, 0.5] if image != b"" else []
 
+        return run
 
-def test_score_regions(spark):
     df = spark.createDataFrame([("a", bytearray(b"hi")), ("b", bytearray(b"bad")), ("c", bytearray(b""))], "region_id STRING, image BINARY")
-    got = {r.region_id: (r.htr_output, r.htr_confidence, r.htr_flagged, r.error) for r in E.score_regions(df, lambda: model()).collect()}
+    got = {r.region_id: (r.htr_output, r.htr_confidence, r.htr_flagged, r.error) for r in E.score_regions(df, model).collect()}
     assert got == {"a": ("hi", 0.5, False, None), "b": (None, None, None, "ValueError: no image"), "c": ("", 1.0, False, None)}
 
 
