@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from inkfold.session import checkpointed
 
 MIN_PROBABILITY = 1e-12
+BROADCAST_KEYS = 50_000
 GATE_LINE = r"^(\w+)\s*:\s*\{.*'status':\s*'(\w+)'.*'reason':\s*'([^']*)'"
 
 
@@ -131,7 +133,11 @@ def exact_order_statistics(
         )
         for i, (name, (_, rank)) in enumerate(ranks.items())
     ]
-    plan = sketch.select(*keys, "n", F.array(*brackets).alias("_brackets"))
+    # One row per key. It is pinned, so its size is known: up to BROADCAST_KEYS keys are sent to
+    # the rows, which then are not shuffled by key; beyond that Spark joins by key.
+    plan = checkpointed(sketch.select(*keys, "n", F.array(*brackets).alias("_brackets")))
+    if plan.count() <= BROADCAST_KEYS:
+        plan = F.broadcast(plan)
     v = F.col(value)
     b = F.col("_b")
     placed = (

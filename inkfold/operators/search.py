@@ -346,8 +346,9 @@ def semantic_search(
         hits = semantic_hits(queries, chunks, k, **options)
         if "chunk_text" in chunks.columns:
             texts = chunks.select("point_key", "chunk_text")
-            # k hits per query; the text side is read once, after ranking.
-            hits = hits.join(texts, "point_key", "left")
+            # k hits per query against all texts; an inner join lets Spark broadcast the hits when
+            # they are few, so that the texts are filtered where they are scanned.
+            hits = hits.join(texts, "point_key")
     return search_responses(queries, hits, threshold, model_version)
 
 

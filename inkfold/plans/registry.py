@@ -117,7 +117,7 @@ def normalize_user(t: Tables) -> DataFrame:
 
 @query(
     """
-SELECT label AS id, list_avg_dim AS dim, round(avg(x), 4) AS value
+SELECT label AS id, list_avg_dim AS dim, round(avg(x), 4) + 0.0 AS value
 FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS list_avg_dim,
              vec_id % 3 <> 0 AS keep FROM embeddings) WHERE keep GROUP BY 1, 2"""
 )
@@ -144,11 +144,12 @@ def cosine(t: Tables) -> DataFrame:
     return e.join(following, "vec_id").select("vec_id", F.round(V.cosine("embedding", "next"), 4).alias("cosine"))
 
 
-@query()
+@query("SELECT document_id, chunk_index, 1.0::DOUBLE AS length, 64 AS dims FROM v_chunks")
 def encode_texts(t: Tables) -> DataFrame:
     chunks = S.encode_texts(S.chunk_text(t.docs), S.hashing_encoder)
     return chunks.select(
-        "document_id", "chunk_index", F.round(V.norm("vector"), 4).alias("length"), F.size("vector").alias("dims")
+        "document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.round(V.norm("vector"), 4).alias("length"),
+        F.size("vector").alias("dims"),
     )
 
 
@@ -920,18 +921,24 @@ def gate_runs(t: Tables) -> DataFrame:
 
 
 def _byte_model():
-    """A stand-in recogniser: decodes the bytes; token probabilities from the word lengths."""
+    """A stand-in recogniser: decodes the bytes; longer texts are more certain."""
 
     def recognise(image: bytes):
         text = image.decode("utf-8")
-        if not text.strip():
+        if not text.strip(" \t\r\n"):
             raise ValueError("blank image")
-        return text, [min(1.0, len(word) / 8) for word in text.split()]
+        return text, [min(1.0, len(text) / 300)] * 2
 
     return recognise
 
 
-@query()
+@query(
+    """
+SELECT CAST(id AS VARCHAR) AS region_id, CASE WHEN NOT blank THEN round(least(1, length(htr_output) / 300), 4) END AS htr_confidence,
+       CASE WHEN NOT blank THEN round(least(1, length(htr_output) / 300), 4) < 0.5 END AS htr_flagged,
+       CASE WHEN blank THEN 'ValueError: blank image' END AS error
+FROM (SELECT *, trim(htr_output, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank FROM v_regions)"""
+)
 def score_regions(t: Tables) -> DataFrame:
     regions = t.regions.select(F.col("id").alias("region_id"), F.encode("htr_output", "UTF-8").alias("image"))
     scored = E.score_regions(regions, _byte_model)
@@ -955,19 +962,60 @@ def serving_version_as_of(t: Tables) -> DataFrame:
     return L.serving_version_as_of(t.model_events, t.alias_log).select("event_id", "model", "serving_version")
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE a AS (
+    SELECT event_id AS alert_id, 'model' || user_id % 4 AS model, 'alert' || event_id % 3 AS alertname, ts,
+           CASE WHEN event_type = 'view' THEN 'skipped_not_firing' WHEN event_type NOT IN ('error', 'click') THEN 'log_only' END AS action FROM events),
+f AS (SELECT * FROM a WHERE action IS NULL),
+chain AS (
+    SELECT model, alertname, min(ts) AS ts FROM f GROUP BY model, alertname
+    UNION ALL
+    SELECT f.model, f.alertname, min(f.ts) FROM chain c JOIN f ON f.model = c.model AND f.alertname = c.alertname AND f.ts >= c.ts + INTERVAL 300 SECOND
+    GROUP BY f.model, f.alertname),
+accepted AS (SELECT f.model, f.alertname, f.ts, min(f.alert_id) AS alert_id FROM f JOIN chain c ON f.model = c.model AND f.alertname = c.alertname AND f.ts = c.ts GROUP BY ALL),
+based AS (SELECT x.*, p.version, p.ts AS since FROM accepted x ASOF LEFT JOIN v_alias_log p ON p.model = x.model AND x.ts >= p.ts),
+done AS (
+    SELECT alert_id, CASE WHEN version <= 1 THEN version ELSE greatest(version - row_number() OVER (PARTITION BY model, since ORDER BY ts, alert_id) + 1, 1) END AS from_version
+    FROM based WHERE version IS NOT NULL
+    UNION ALL SELECT alert_id, NULL FROM based WHERE version IS NULL),
+cool AS (
+    SELECT f.alert_id, CAST(floor((300000000 - (epoch_us(f.ts) - epoch_us(c.ts))) / 1000000) AS BIGINT) AS remaining
+    FROM f ASOF JOIN accepted c ON c.model = f.model AND c.alertname = f.alertname AND f.ts >= c.ts WHERE f.alert_id NOT IN (SELECT alert_id FROM accepted))
+SELECT a.alert_id, a.model, a.alertname, a.ts AS received_at,
+       coalesce(a.action, CASE WHEN d.alert_id IS NOT NULL THEN 'rollback' ELSE 'skipped_cooldown' END) AS action,
+       CASE WHEN d.alert_id IS NULL THEN NULL WHEN from_version IS NULL THEN 'no_registered_versions' WHEN from_version <= 1 THEN 'at_version_floor' ELSE 'rollback_complete' END AS outcome,
+       from_version, CASE WHEN from_version > 1 THEN from_version - 1 END AS to_version, cool.remaining AS cooldown_remaining_seconds
+FROM a LEFT JOIN done d ON d.alert_id = a.alert_id LEFT JOIN cool ON cool.alert_id = a.alert_id"""
+)
 def rollback_decisions(t: Tables) -> DataFrame:
     return L.rollback_decisions(t.alerts, t.alias_log)
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE c AS (SELECT 'model' || user_id % 4 AS model, ts FROM events WHERE event_type = 'signup'),
+k AS (SELECT model, date_trunc('hour', ts) AS ts, row_number() OVER (PARTITION BY model ORDER BY date_trunc('hour', ts)) AS i
+      FROM v_alias_log GROUP BY model, date_trunc('hour', ts)),
+n AS (SELECT k.model, k.ts, k.i, count(c.ts) AS total FROM k LEFT JOIN c ON c.model = k.model AND c.ts <= k.ts GROUP BY ALL),
+r AS (
+    SELECT model, i, ts, total, 1e9::DOUBLE AS hours, 0::BIGINT AS delta, 'skipped_insufficient_corrections' AS decision, NULL::TIMESTAMP AS last, total AS base
+    FROM n WHERE i = 1
+    UNION ALL
+    SELECT model, i, ts, total, hours, delta, decision, CASE WHEN decision = 'triggered' AND hour(ts) % 2 = 1 THEN ts ELSE last END,
+           CASE WHEN decision = 'triggered' AND hour(ts) % 2 = 1 THEN total ELSE base END
+    FROM (SELECT *, CASE WHEN hours < 24 THEN 'skipped_too_recent' WHEN delta < 20 THEN 'skipped_insufficient_corrections' ELSE 'triggered' END AS decision
+          FROM (SELECT n.model, n.i, n.ts, n.total, r.last, r.base, n.total - r.base AS delta,
+                       CASE WHEN r.last IS NULL THEN 1e9 ELSE (epoch(n.ts) - epoch(r.last)) / 3600 END AS hours
+                FROM r JOIN n ON n.model = r.model AND n.i = r.i + 1)))
+SELECT model, ts, round(hours, 2) AS hours_since_last, total AS correction_count, delta AS correction_delta, decision FROM r"""
+)
 def retrain_decisions(t: Tables) -> DataFrame:
     made = t.model_events.join(
         t.events.where(F.col("event_type") == "signup").select("event_id"), "event_id", "left_semi"
     ).withColumnRenamed("ts", "corrected_at")
     # A tick per model and hour with purchases; the pipeline fails in runs with an even hour.
-    hour = F.date_trunc("hour", "ts")
-    ticks = t.alias_log.groupBy("model", hour.alias("ts")).agg(F.max("version").alias("v")).select(
+    ticks = t.alias_log.select("model", F.date_trunc("hour", "ts").alias("ts")).distinct().select(
         "model", "ts", (F.hour("ts") % 2 == 1).alias("pipeline_ok")
     )
     return L.retrain_decisions(made, ticks, min_corrections=20)

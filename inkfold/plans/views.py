@@ -445,5 +445,7 @@ def with_views(sql: str) -> str:
         return sql
     parts = ",\n".join(f"{name} AS ({text})" for name, text in SQL.items() if name in needed)
     body = sql.strip()
-    rest = f",\n{body[5:]}" if body.startswith("WITH ") else f"\n{body}"
-    return f"WITH {parts}{rest}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{parts},\n{body[len(head):]}"
+    return f"WITH {parts}\n{body}"

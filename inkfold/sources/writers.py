@@ -162,6 +162,7 @@ def merge_buckets(
     are pinned by a checkpoint before anything is overwritten, so a lost executor cannot lose rows;
     repeating a merge gives the same table. Choose ``buckets`` so that one bucket is a few files."""
     spark = changes.sparkSession
+    changes = checkpointed(changes)  # read twice below; what made them (a model, say) runs once
     bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
     touched = [
         r["b"] for r in changes.select(bucket.alias("b")).distinct().collect()  # at most `buckets`
