@@ -596,10 +596,10 @@ GROUP BY ALL"""
 )
 def retrieval_pairs(t: Tables) -> DataFrame:
     hits = S.nearest_chunks(t.queries, t.vectors, keep=15)
-    n = t.table("embeddings").agg(F.count("*").alias("n")).scalar()
+    n = t.table("embeddings").count()
     given = t.feedback.select(
         (F.col("feedback_id") % n).alias("query_id"),
-        (F.floor(F.col("feedback_id") / 7) % F.floor(n / 5)).alias("document_id"),
+        (F.floor(F.col("feedback_id") / 7) % (n // 5)).alias("document_id"),
         "feedback_type",
     )
     shown = hits.select("query_id", F.lit("q").alias("query_text"), "document_id")
@@ -1011,9 +1011,7 @@ r AS (
 SELECT model, ts, round(hours, 2) AS hours_since_last, total AS correction_count, delta AS correction_delta, decision FROM r"""
 )
 def retrain_decisions(t: Tables) -> DataFrame:
-    made = t.model_events.join(
-        t.events.where(F.col("event_type") == "signup").select("event_id"), "event_id", "left_semi"
-    ).withColumnRenamed("ts", "corrected_at")
+    made = t.model_events.where(F.col("event_type") == "signup").withColumnRenamed("ts", "corrected_at")
     # A tick per model and hour with purchases; the pipeline fails in runs with an even hour.
     ticks = t.alias_log.select("model", F.date_trunc("hour", "ts").alias("ts")).distinct().select(
         "model", "ts", (F.hour("ts") % 2 == 1).alias("pipeline_ok")
@@ -1183,6 +1181,21 @@ def replay_events(t: Tables) -> DataFrame:
     return R.replay_events(events, *window).where(F.col("kind").isNotNull()).select("event_id", "kind")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS doc_number, source, CAST(n_chars // 3000 + 1 AS INTEGER) AS page_count, md5(text) AS text FROM documents")
+def read_ml_tables(t: Tables) -> DataFrame:
+    """The documents table in its stored form, under another wire name of the integer id."""
+    path = scratch_path(t.spark, "tables")
+    none = F.lit(None).cast("string")
+    stored = t.documents.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("number"), none.alias("filename"), "source",
+        (F.floor(F.col("n_chars") / 3000) + 1).cast("int").alias("page_count"), F.col("text").alias("tesseract_text"),
+        none.alias("htr_text"), none.alias("merged_text"), F.lit(None).cast("timestamp").alias("deleted_at"),
+    )
+    stored.write.parquet(f"{path}/documents")
+    found = R.read_ml_tables(t.spark, path, tables=["documents"], rename={"doc_number": "number"})["documents"]
+    return found.select("id", "doc_number", "source", "page_count", F.md5("tesseract_text").alias("text"))
+
+
 def _stream(t: Tables, name: str) -> DataFrame:
     """One of the tables as a stream of its files."""
     schema = t.table(name).schema

@@ -35,10 +35,10 @@ class Tables:
     def documents(self) -> DataFrame:
         return spread(self.table("documents"))
 
-    @property
-    def document_count(self):
-        """Number of documents as a scalar subquery (answered from the Parquet footers)."""
-        return self.table("documents").agg(F.count("*").alias("n")).scalar()
+    @cached_property
+    def document_count(self) -> int:
+        """Number of documents, answered from the Parquet footers."""
+        return self.table("documents").count()
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -100,7 +100,7 @@ class Tables:
     @cached_property
     def htr_corrections(self) -> DataFrame:
         """Corrections table: signups, spread over a third of the documents."""
-        spread = F.greatest(F.floor(self.document_count / 3), F.lit(1))
+        spread = F.lit(max(self.document_count // 3, 1))
         base = self.events.where(F.col("event_type") == "signup").select(
             F.col("event_id").alias("id"),
             (((F.col("event_id") * 7919) % spread) * 4 + F.col("event_id") % 4).alias("region_id"),
@@ -230,7 +230,7 @@ class Tables:
     @cached_property
     def model_events(self) -> DataFrame:
         return self.events.select(
-            "event_id", "ts", F.concat(F.lit("model"), (F.col("user_id") % MODELS).cast("string")).alias("model")
+            "event_id", "event_type", "ts", F.concat(F.lit("model"), (F.col("user_id") % MODELS).cast("string")).alias("model")
         )
 
     @cached_property
