@@ -246,25 +246,45 @@ def trailing_sum(
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the key in (ts - window, ts].
 
-    A row near the end of its chunk is also sent, as context only, to the next chunk, so every
-    window is complete inside one (key, chunk) group."""
+    Each row enters the sum at its time and leaves it one window later, so a plain running sum over
+    entries and leavings gives the window's sum; a sliding frame would add up the whole window again
+    for every row. A row that leaves in the next chunk is entered there as well, as context, so
+    every (key, chunk) group is complete and the sums start afresh in each."""
     span = chunk_seconds or max(4 * window_seconds, HOUR)
     if span < window_seconds:
         raise ValueError("chunk_seconds must not be below the window")
-    micros = F.unix_micros(F.col(ts))
-    chunked = with_chunk(df, ts, span).withColumn("_us", micros)
-    reaches_next = F.col("_us") + window_seconds * 1000000 > (F.col(_CHUNK) + 1) * span * 1000000
-    copies = F.when(reaches_next, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    spread = chunked.withColumn("_context", F.explode(copies)).withColumn(
-        _CHUNK, F.col(_CHUNK) + F.col("_context").cast("int")
+    micros = 1000000
+    chunked = with_chunk(df, ts, span)
+    at = F.unix_micros(F.col(ts))
+    leaves = at + window_seconds * micros
+    v = F.col(value).cast("double")
+    payload = [c for c in chunked.columns if c not in (*keys, _CHUNK)]
+
+    def entry(chunk_shift: int, time: Column, amount: Column, is_row: bool) -> Column:
+        kept = F.struct(*payload)
+        return F.struct(
+            (F.col(_CHUNK) + chunk_shift).alias("c"),
+            time.alias("us"),
+            amount.alias("v"),
+            (kept if is_row else F.lit(None).cast(chunked.select(kept).schema[0].dataType)).alias("row"),
+        )
+
+    leaves_here = leaves < (F.col(_CHUNK) + 1) * span * micros
+    entries = F.when(
+        leaves_here, F.array(entry(0, at, v, True), entry(0, leaves, -v, False))
+    ).otherwise(
+        F.array(entry(0, at, v, True), entry(1, at, v, False), entry(1, leaves, -v, False))
+    )
+    spread = chunked.select(*keys, F.explode(entries).alias("_e")).select(
+        *keys, F.col("_e.c").alias(_CHUNK), F.col("_e.us").alias("_us"), F.col("_e.v").alias("_v"),
+        F.col("_e.row").alias("_row"),
     )
-    inside = (
+    # A range frame: rows of one instant all count, and what leaves at that instant is gone.
+    upto = (
         Window.partitionBy(*keys, _CHUNK)
         .orderBy("_us")
-        .rangeBetween(-window_seconds * 1000000 + 1, 0)
-    )
-    return (
-        spread.withColumn(out, F.sum(value).over(inside))
-        .where(~F.col("_context"))
-        .drop("_context", "_us", *_extra(df))
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    summed = spread.withColumn(out, F.sum("_v").over(upto)).where(F.col("_row").isNotNull())
+    shown = [c if c in keys or c == _CHUNK else F.col("_row")[c].alias(c) for c in chunked.columns]
+    return summed.select(*shown, out).drop(*_extra(df))

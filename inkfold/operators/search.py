@@ -141,6 +141,22 @@ def _best_hits(queries: pd.DataFrame, chunks: pd.DataFrame, keep: int) -> pd.Dat
     return out
 
 
+def _top_per_query(hits: pd.DataFrame, keep: int) -> pd.DataFrame:
+    """The ``keep`` first hits of each query in the global hit order."""
+    query = hits["query_id"].to_numpy()
+    order = np.lexsort(
+        (
+            hits["point_key"].to_numpy(), hits["chunk_index"].to_numpy(),
+            hits["document_id"].to_numpy(), -hits["score"].to_numpy(), query,
+        )
+    )
+    sorted_query = query[order]
+    place = np.arange(len(order))
+    new = np.concatenate([[True], sorted_query[1:] != sorted_query[:-1]])
+    first = np.maximum.accumulate(np.where(new, place, 0))
+    return hits.iloc[order[place - first < keep]]
+
+
 def _hit_order() -> list[Column]:
     return [F.col("score").desc(), F.col("document_id"), F.col("chunk_index"), F.col("point_key")]
 
@@ -178,8 +194,15 @@ def nearest_chunks(
         shared = queries.sparkSession.sparkContext.broadcast(small)
 
         def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # Hits are reduced over the whole task: it emits at most ``keep`` rows per query.
+            held, limit = [], 4 * keep * max(len(shared.value), 1)
             for frame in frames:
-                yield _best_hits(shared.value, frame, keep)
+                held.append(_best_hits(shared.value, frame, keep))
+                if sum(map(len, held)) > limit:
+                    held = [_top_per_query(pd.concat(held), keep)]
+            filled = [h for h in held if len(h)]
+            if filled:
+                yield _top_per_query(pd.concat(filled), keep)
 
         return _cut(chunks.mapInPandas(scan, HIT_SCHEMA), keep)
     return _cut(_grid(queries, chunks, keep, block_rows, cell=None), keep)
