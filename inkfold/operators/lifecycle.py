@@ -77,15 +77,23 @@ def _accepted_attempts(firing: DataFrame, cooldown_seconds: int, chunk_seconds:
         current, last = None, None
         for frame in frames:
             times = frame["_us"].to_numpy()
-            names = list(zip(frame["model"], frame["alertname"], frame["_burst"], strict=True))
             accepted = np.zeros(len(frame), dtype=bool)
             previous = np.zeros(len(frame), dtype=np.int64)
-            for i, name in enumerate(names):
+            names = list(zip(*(frame[c].tolist() for c in group), strict=True))
+            borders = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for start, end in zip(borders, [*borders[1:], len(names)], strict=True):
+                name = names[start]
                 if name != current:
-                    current, last = name, None
-                if last is None or times[i] - last >= pause:
-                    accepted[i], last = True, times[i]
-                previous[i] = last
+                    current, last = name, times[start] - pause
+                at = start
+                # From one accepted attempt straight to the next.
+                while at < end:
+                    after = at + int(np.searchsorted(times[at:end], last + pause))
+                    previous[at:after] = last
+                    if after < end:
+                        accepted[after], last = True, times[after]
+                        previous[after] = last
+                    at = after + 1
             yield frame[["model", "alertname", "alert_id", "received_at"]].assign(
                 accepted=accepted, last_accepted_us=previous
             )

@@ -167,23 +167,25 @@ def run_start(
 
     ``starts(previous_state, state)`` says whether a row starts a run, given the state of the row
     before it in its key (null for the first). One pass carries both facts across chunks."""
-    state_type = F.struct(state.alias("s"))
     inside = _inside(keys, [ts, *tie])
-    chunked = with_chunk(df, ts, chunk_seconds).withColumn("_st", state_type)
-    marked = chunked.withColumn("_pr", F.lag("_st").over(inside)).withColumn(
-        "_local",
-        F.when(F.col("_pr").isNotNull() & starts(F.col("_pr.s"), F.col("_st.s")), F.col(ts)),
+    known = F.lag(F.lit(True)).over(inside)
+    chunked = with_chunk(df, ts, chunk_seconds).withColumn("_st", state)
+    marked = (
+        chunked.withColumn("_pr", F.lag("_st").over(inside))
+        .withColumn("_inner", known.isNotNull())
+        .withColumn("_end_row", F.lead(F.lit(True)).over(inside).isNull())
+        .withColumn("_local", F.when(F.col("_inner") & starts(F.col("_pr"), F.col("_st")), F.col(ts)))
     )
-    order = F.struct(ts, *tie)
+    # The first and last rows are known from the ordered pass, so plain maxima pick their states.
     summary = marked.groupBy(*keys, _CHUNK).agg(
-        F.min_by("_st", order).alias("_first"),
-        F.max_by("_st", order).alias("_last"),
+        F.max(F.when(~F.col("_inner"), F.col("_st"))).alias("_first"),
+        F.max(F.when(F.col("_end_row"), F.col("_st"))).alias("_last"),
         F.min(ts).alias("_t0"),
         F.max("_local").alias("_run"),
     )
     by_chunk = Window.partitionBy(*keys).orderBy(_CHUNK)
     opened = F.when(
-        F.coalesce(starts(F.lag("_last").over(by_chunk)["s"], F.col("_first.s")), F.lit(False)),
+        F.coalesce(starts(F.lag("_last").over(by_chunk), F.col("_first")), F.lit(False)),
         F.col("_t0"),
     )
     carry = (
@@ -199,7 +201,7 @@ def run_start(
     return (
         marked.join(carry, [*keys, _CHUNK])
         .withColumn(out, F.coalesce(F.last("_local", ignorenulls=True).over(upto), F.col(_CARRY)))
-        .drop(*_extra(df), _CARRY, "_st", "_pr", "_local")
+        .drop(*_extra(df), _CARRY, "_st", "_pr", "_inner", "_end_row", "_local")
     )
 
 
