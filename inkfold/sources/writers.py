@@ -19,14 +19,20 @@ def write_correction_archive(
 ) -> None:
     """Append the corrections the archive does not hold yet, many records per file.
 
-    A correction's date partition never changes, so only the partitions of the new rows' dates are
-    searched for its id. Hot dates are split over several files by the rebalance hint."""
+    A dated correction always has the same partition, so only the partitions of the new rows' dates
+    are searched for its id. One without a time goes to the day of its run; when there are such
+    rows, the undated ones of the whole archive are searched too. Hot dates are split over several
+    files by the rebalance hint."""
     spark = corrections.sparkSession
     # One instant for the whole run, also if a task is run again.
     now = F.lit(dt.datetime.now(dt.UTC)) if archived_at is None else archived_at
     rows = archive_records(corrections, now)
-    dates = [r["date"] for r in rows.select("date").distinct().collect()]  # calendar days
-    held = read_correction_archive(spark, path).where(F.col("date").isin(dates))
+    undated = F.col("corrected_at").isNull()
+    days = rows.groupBy("date").agg(F.max(undated).alias("undated")).collect()  # calendar days
+    near = F.col("date").isin([d["date"] for d in days])
+    if any(d["undated"] for d in days):
+        near = near | undated
+    held = read_correction_archive(spark, path).where(near)
     fresh = unarchived(rows.drop("archived_at"), held).withColumn(
         "archived_at", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     )

@@ -120,8 +120,9 @@ def test_archive_round_trip(spark, tmp_path):
     W.write_correction_archive(df.where("correction_id < 3"), path, F.lit("2024-05-01").cast("timestamp"))
     W.write_correction_archive(df, path, F.lit("2024-06-01").cast("timestamp"))
     (tmp_path / "archive" / "date=2024-03-01" / "broken.json").write_text("{not json\n")
-    got = {r.correction_id: r for r in R.read_correction_archive(spark, path).collect()}
-    assert sorted(got) == ["1", "2", "3"]
+    rows = R.read_correction_archive(spark, path).collect()
+    got = {r.correction_id: r for r in rows}
+    assert sorted(r.correction_id for r in rows) == ["1", "2", "3"]
     assert got["1"].original_text == "" and got["1"].date == "2024-03-01" and got["1"].archive_version == "v1"
     assert got["2"].date == "2024-05-01" and got["2"].user_id is None
     old = R.read_correction_archive(spark, path, as_of="2024-05-15T00:00:00+00:00")
