@@ -6,6 +6,8 @@ from inkfold.llm.bpe import op9_bpe
 from inkfold.llm.chat_format import OP1_SQL, op1_chat_format
 from inkfold.llm.license_scan import OP4_SQL, op4_license_scan
 from inkfold.llm.mixing import OP7_SQL, op7_mixing
+from inkfold.llm.secret_scan import op8_secret_scan
+from inkfold.llm.toxicity import op10_toxicity
 from inkfold.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
@@ -13,6 +15,8 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
     "op7_mixing": op7_mixing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op1_chat_format": OP1_SQL, "op4_license_scan": OP4_SQL, "op5_url_filter": OP5_SQL, "op7_mixing": OP7_SQL}
