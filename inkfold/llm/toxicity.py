@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -240,13 +241,14 @@ def score_toxicity(documents: DataFrame, model: Model, threshold: float = THRESH
 def drop_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``documents``, with all their columns, whose text scores below the threshold."""
     held = documents.sparkSession.sparkContext.broadcast({"model": model})
+    text = documents.columns.index("text")
 
-    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value["model"]
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[score_texts(m, batch["text"].fillna("")) < threshold]
+            scores = score_texts(held.value["model"], [t or "" for t in batch.column(text).to_pylist()])
+            yield batch.filter(pa.array(scores < threshold))
 
-    return documents.mapInPandas(below, documents.schema)
+    return documents.mapInArrow(below, documents.schema)
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
