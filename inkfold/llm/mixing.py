@@ -25,6 +25,17 @@ TOLERANCE = 1e-10
 STEPS = 200
 
 
+# A source's row is joined to its documents in so many copies, so that no task has to hold a whole source.
+SALTS = 64
+
+
+def join_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` (skey, doc_id, size, ...) with the columns of their source, spread over ``SALTS`` keys per source."""
+    salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS))
+    copies = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return rows.withColumn("salt", salt).join(copies, ["skey", "salt"]).drop("salt")
+
+
 def source_key(source: Column) -> Column:
     """A text that is never null and sorts as the source does, null last."""
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
@@ -117,7 +128,7 @@ def mix_sources(df: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> Data
     number = F.row_number().over(Window.partitionBy("skey", "size", "ids").orderBy("doc_id"))
     numbered = ranged.withColumn("number", number).join(first, ["skey", "size", "ids"])
     ranked = checkpointed(
-        numbered.select("doc_id", "skey", "size", (F.col("number") + F.col("first")).alias("rank")).join(rates, "skey")
+        join_sources(numbered.select("doc_id", "skey", "size", (F.col("number") + F.col("first")).alias("rank")), rates)
     )
 
     def copies(offset: Column) -> Column:
@@ -129,7 +140,7 @@ def mix_sources(df: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> Data
     )
     misses = F.array(*[F.struct(F.abs(F.col(f"o{j}") - F.col("target")).alias("miss"), F.lit((j + 0.5) / OFFSETS).alias("offset")) for j in range(OFFSETS)])
     chosen = tried.join(targets, "skey").select("skey", "source_size", "target", F.array_min(misses)["offset"].alias("offset"))
-    out = ranked.join(chosen, "skey").withColumn("copies", copies(F.col("offset")))
+    out = join_sources(ranked, chosen).withColumn("copies", copies(F.col("offset")))
     return out.select(
         "doc_id", "skey", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )

@@ -289,11 +289,16 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 def keep_one(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df``, with all their columns, that ``near_classes`` keeps: one per class, the one with the smallest
     doc_id. Of rows with equal id and text, one stays."""
-    kept = near_classes(df, similarity).where("kept").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_kept"))
-    mine = df.withColumn("_node", node_of(whole_text()))
-    same = (F.col("_node") == F.col("_kept")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc"))
-    copy = F.row_number().over(Window.partitionBy("_node", F.col("doc_id").cast("bigint")).orderBy(F.lit(1)))
-    return mine.join(kept, same, "left_semi").withColumn("_copy", copy).where("_copy = 1").select(*df.columns)
+    kept = near_classes(df, similarity).where("kept").select("doc_id", "node")
+    mine = df.select(
+        F.struct(*[F.col(c) for c in df.columns]).alias("row"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        node_of(whole_text()).alias("node"),
+    )
+    kept = kept.withColumnsRenamed({"doc_id": "kept_id", "node": "kept_node"})
+    same = (F.col("node") == F.col("kept_node")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    copy = F.row_number().over(Window.partitionBy("node", "doc_id").orderBy(F.xxhash64("row")))
+    return mine.join(kept, same, "left_semi").withColumn("copy", copy).where("copy = 1").select("row.*")
 
 
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -163,18 +163,20 @@ def mask_secrets(df: DataFrame) -> DataFrame:
     ``n_chars`` (if there) counted anew. A null text stays null. Rows of equal id and text have equal spans, so spans are joined back by id
     and text hash; only documents with spans come from that side. A long text is cut in pieces first, so that the cost
     follows its length."""
-    names = {"doc_id": "_doc", "text_key": "_key"}
-    spans = secret_spans(df).where(F.size("spans") > 0).withColumnsRenamed(names | {"spans": "_spans"})
-    spans = spans.dropDuplicates(["_doc", "_key"])
-    mine = df.withColumn("_own", text_key(whole_text()))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key"))
+    spans = secret_spans(df).where(F.size("spans") > 0).withColumnsRenamed({"doc_id": "span_id", "text_key": "span_key"})
+    spans = spans.dropDuplicates(["span_id", "span_key"]).select("span_id", "span_key", "spans")
+    mine = df.select(
+        F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        text_key(whole_text()).alias("text_key"), F.col("text").cast("string").alias("text"),
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("text_key") == F.col("span_key"))
     joined = mine.join(spans, same, "left")
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
     def cut(piece: Column, i: Column) -> Column:
         """The piece without what spans cover; the mark stands where a span starts."""
         low, high = i * PIECE, (i + 1) * PIECE
-        here = F.filter("_spans", lambda s: (s["start"] < high) & (s["end"] > low))
+        here = F.filter("spans", lambda s: (s["start"] < high) & (s["end"] > low))
         state = F.struct(F.lit("").alias("out"), low.cast("bigint").alias("at"))
 
         def step(acc: Column, s: Column) -> Column:
@@ -187,11 +189,15 @@ def mask_secrets(df: DataFrame) -> DataFrame:
 
         return F.aggregate(here, state, step, finish)
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(pieces, cut), ""))
-    out = joined.withColumn("text", text)
+    masked = joined.select(
+        "row", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(pieces, cut), "")).alias("text"),
+        F.col("spans").isNotNull().alias("changed"),
+    )
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")))
-    return out.select(*df.columns)
+        n = F.when(F.col("changed"), F.char_length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", n)
+    return masked.select(row.alias("row")).select("row.*")
 
 
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
