@@ -100,9 +100,9 @@ def map_doc_ids(df: DataFrame, ids: DataFrame, column: str = "document_ref") ->
 
 
 def rewrite_queue_ids(groups: DataFrame, ids: DataFrame) -> DataFrame:
-    """Queue groups with an integer id: the group and each of its regions get
-    ``document_id`` (integer), ``document_id_uuid`` and ``doc_number``. Unmapped groups keep their
-    uuid and null numbers. ``groups(group_id, document_id, regions array<struct<region_id>>)``."""
+    """Queue groups with an integer id: a mapped group and each of its regions get
+    ``document_id`` (integer as text), ``document_id_uuid`` and ``doc_number``; all their other fields
+    stay. Unmapped groups and their regions keep their own values; the added fields are null."""
     mapped = groups.join(
         ids.select(F.col("doc_uuid").alias("document_id"), F.col("doc_number").alias("_n")),
         "document_id",
@@ -111,24 +111,22 @@ def rewrite_queue_ids(groups: DataFrame, ids: DataFrame) -> DataFrame:
     number = F.col("_n")
     # Named before the final select, whose own document_id the lambda would otherwise pick up.
     named = mapped.withColumn("_uuid", F.when(number.isNotNull(), F.col("document_id"))).withColumn(
-        "_shown", F.coalesce(number.cast("string"), F.col("document_id"))
+        "_text", number.cast("string")
     )
-    regions = F.transform(
-        "regions",
-        lambda r: F.struct(
-            r["region_id"].alias("region_id"),
-            F.when(number.isNotNull(), number.cast("string")).alias("document_id"),
-            F.col("_uuid").alias("document_id_uuid"),
-            number.alias("doc_number"),
-        ),
-    )
-    return named.select(
-        "group_id",
-        F.col("_shown").alias("document_id"),
-        F.col("_uuid").alias("document_id_uuid"),
-        number.alias("doc_number"),
-        regions.alias("regions"),
+    fields = {f.name for f in groups.schema["regions"].dataType.elementType.fields}
+
+    def region(r: Column) -> Column:
+        own = r["document_id"] if "document_id" in fields else F.lit(None).cast("string")
+        return (
+            r.withField("document_id", F.coalesce(F.col("_text"), own))
+            .withField("document_id_uuid", F.col("_uuid"))
+            .withField("doc_number", number)
+        )
+
+    rewritten = named.withColumn("regions", F.transform("regions", region)).withColumns(
+        {"document_id": F.coalesce("_text", "document_id"), "document_id_uuid": F.col("_uuid"), "doc_number": number}
     )
+    return rewritten.drop("_uuid", "_text", "_n")
 
 
 def rewrite_doc_paths(log: DataFrame, ids: DataFrame, row_id: str = "event_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,10 @@ def live_documents(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("deleted_at").isNull()).select("document_id")
 
 
+def _unmarked(df: DataFrame, mark: str) -> DataFrame:
+    return df.where(~F.coalesce(mark, F.lit(False))) if mark in df.columns else df
+
+
 def document_feedback_stats(
     sessions: DataFrame,
     feedback: DataFrame,
@@ -56,9 +62,14 @@ def document_feedback_stats(
     computed_at: Column | None = None,
     exclude_test_accounts: bool = False,
 ) -> DataFrame:
-    """Counts and up / down rates per live document that was shown at least once."""
+    """Counts and up / down rates per live document that was shown at least once.
+
+    ``exclude_test_accounts`` leaves out sessions and feedback marked ``is_test_account`` and documents
+    marked ``is_test_doc``, where they carry these columns."""
     if exclude_test_accounts:
-        sessions = sessions.where(~F.coalesce("is_test_account", F.lit(False)))
+        sessions = _unmarked(sessions, "is_test_account")
+        feedback = _unmarked(feedback, "is_test_account")
+        documents = _unmarked(documents, "is_test_doc")
     impressions = impression_counts(sessions).where(F.col("document_id").isNotNull())
     live = impressions.join(live_documents(documents), "document_id", "left_semi")
     shown = F.col("total_impressions")
@@ -128,7 +139,7 @@ def feedback_per_document(documents: DataFrame, feedback: DataFrame, n: int = 20
 
 
 def attribute_feedback(
-    queries: DataFrame, feedback: DataFrame, max_age_seconds: int = 1800, chunk_seconds: int = 3600
+    queries: DataFrame, feedback: DataFrame, max_age_seconds: int = 1800
 ) -> DataFrame:
     """Attach to each feedback row the query it came from (``matched_query_id``, ``matched_by``).
 
@@ -142,8 +153,7 @@ def attribute_feedback(
         "session_id", "ts", F.col("query_id").alias("_by_session"), F.col("ts").alias("_asked_at")
     )
     with_session = as_of(
-        feedback, marks, ["session_id"], "ts", ["_by_session", "_asked_at"], ["_by_session"],
-        chunk_seconds,
+        feedback, marks, ["session_id"], "ts", ["_by_session", "_asked_at"], ["_by_session"]
     )
     age = F.unix_micros("ts") - F.unix_micros("_asked_at")
     recent = F.when(age <= max_age_seconds * 1000000, F.col("_by_session"))
@@ -226,5 +236,31 @@ def usage_kpis(events: DataFrame, width: str = "1 hour", slide: str | None = Non
 
 
 def purge_expired(feedback: DataFrame, now: Column, days: int = 90) -> DataFrame:
-    """Feedback that is still within its retention time."""
-    return feedback.where(F.col("created_at") >= now - F.expr(f"INTERVAL {days} DAYS"))
+    """Feedback that is still within its retention time. Rows without a time are kept: nothing says
+    that theirs is over."""
+    return feedback.where(F.col("created_at").isNull() | (F.col("created_at") >= now - F.expr(f"INTERVAL {days} DAYS")))
+
+
+def redact_events(
+    events: DataFrame,
+    test_documents: DataFrame | None = None,
+    hashed: Sequence[str] = ("user_id", "session_id"),
+    texts: Sequence[str] = ("query_text", "corrected_text"),
+    salt: str = "",
+) -> DataFrame:
+    """Events without personal data: ids in ``hashed`` become salted SHA-256 digests (blank ids null), e-mail addresses
+    and numbers of seven or more digits in ``texts`` become ``[email]`` and ``[number]``. Events of ``test_documents``
+    (``doc_number``) go. Columns that are not there are passed over."""
+    out = events
+    if test_documents is not None and "doc_number" in events.columns:
+        out = out.join(test_documents.select("doc_number").distinct(), "doc_number", "left_anti").select(*events.columns)
+    changed = {}
+    for name in hashed:
+        if name in events.columns:
+            plain = F.nullif(F.col(name).cast("string"), F.lit(""))
+            changed[name] = F.sha2(F.encode(F.concat(F.lit(salt), plain), "UTF-8"), 256)
+    for name in texts:
+        if name in events.columns:
+            no_mail = F.regexp_replace(name, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[email]")
+            changed[name] = F.regexp_replace(no_mail, r"[0-9]{7,}", "[number]")
+    return out.withColumns(changed)

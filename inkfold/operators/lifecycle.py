@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.operators.ordered import (
-    HOUR,
     as_of,
     next_value,
     run_start,
@@ -18,7 +17,6 @@ from inkfold.operators.ordered import (
 )
 from inkfold.session import checkpointed
 
-DAY = 86400
 NEVER = 1e9  # hours since the last run when there was none
 
 
@@ -27,26 +25,22 @@ def promotion_target(versions: DataFrame) -> DataFrame:
     return versions.groupBy("model").agg(F.max(F.col("version").cast("bigint")).alias("version"))
 
 
-def alias_timeline(log: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+def alias_timeline(log: DataFrame) -> DataFrame:
     """Serving intervals [valid_from, valid_to) per model from promote / rollback log rows
     ``(model, ts, version)``; the last interval is open (null end)."""
     dated = log.withColumn("_from", F.col("ts"))
-    ended = next_value(dated, ["model"], "ts", "_from", "valid_to", ["version"], chunk_seconds)
+    ended = next_value(dated, ["model"], "ts", "_from", "valid_to", ["version"])
     return ended.select("model", "version", F.col("ts").alias("valid_from"), "valid_to")
 
 
-def serving_version_as_of(
-    events: DataFrame, log: DataFrame, chunk_seconds: int = HOUR
-) -> DataFrame:
+def serving_version_as_of(events: DataFrame, log: DataFrame) -> DataFrame:
     """Add ``serving_version``: the version in service when the event happened (null before the
-    first promotion). Ordered pass per (model, time chunk), so one busy model is no hot spot."""
+    first promotion). Ordered pass per (model, block), so one busy model is no hot spot."""
     marks = log.select("model", "ts", F.col("version").alias("serving_version"))
-    return as_of(
-        events, marks, ["model"], "ts", ["serving_version"], ["serving_version"], chunk_seconds
-    )
+    return as_of(events, marks, ["model"], "ts", ["serving_version"], ["serving_version"])
 
 
-def _accepted_attempts(firing: DataFrame, cooldown_seconds: int, chunk_seconds: int) -> DataFrame:
+def _accepted_attempts(firing: DataFrame, cooldown_seconds: int) -> DataFrame:
     """Add ``accepted`` and ``last_accepted_us``: an attempt is accepted when the last accepted
     one of its (model, alertname) lies at least the cooldown back.
 
@@ -64,7 +58,6 @@ def _accepted_attempts(firing: DataFrame, cooldown_seconds: int, chunk_seconds:
         lambda before, now: before.isNull() | (now - before >= pause),
         "_burst",
         ["alert_id"],
-        chunk_seconds,
     )
     group = [*keys, "_burst"]
     ordered = (
@@ -110,14 +103,15 @@ def rollback_decisions(
     alerts: DataFrame,
     promotions: DataFrame,
     cooldown_seconds: int = 300,
-    chunk_seconds: int = HOUR,
+    versions: DataFrame | None = None,
 ) -> DataFrame:
     """Decision per alert: skipped_not_firing, log_only, skipped_cooldown or rollback, with the
     outcome of a rollback (rollback_complete, at_version_floor, no_registered_versions).
 
     ``alerts(alert_id, model, received_at, status, labels)``, ``promotions(model, ts, version)``.
     Every accepted attempt starts the cooldown of its alert name, also one that ends at the
-    floor. The version falls by one per accepted attempt since the last promotion."""
+    floor. The version falls by one per accepted attempt since the last promotion; before the first
+    one it starts at the model's largest registered version (``versions(model, version)``)."""
     named = alerts.select(
         "alert_id",
         "model",
@@ -131,15 +125,20 @@ def rollback_decisions(
     plain = named.where(F.col("action").isNotNull())
     # Read by several passes below; pinned, so that the fold over all attempts runs once.
     attempts = checkpointed(
-        _accepted_attempts(named.where(F.col("action").isNull()), cooldown_seconds, chunk_seconds)
+        _accepted_attempts(named.where(F.col("action").isNull()), cooldown_seconds)
     )
     marks = promotions.select("model", "ts", "version", F.unix_micros("ts").alias("_segment"))
     based = as_of(
         attempts.withColumn("ts", F.col("received_at")),
-        marks, ["model"], "ts", ["version", "_segment"], ["version"], chunk_seconds,
+        marks, ["model"], "ts", ["version", "_segment"], ["version"],
     ).withColumn("_segment", F.coalesce("_segment", F.lit(-1)))
+    if versions is not None:
+        registered = promotion_target(versions).withColumnRenamed("version", "_registered")
+        based = based.join(registered, "model", "left").withColumn(
+            "version", F.coalesce("version", "_registered")
+        ).drop("_registered")
     one = F.col("accepted").cast("bigint")
-    counted = running_sum(based, ["model", "_segment"], "ts", one, "_k", ["alert_id"], chunk_seconds)
+    counted = running_sum(based, ["model", "_segment"], "ts", one, "_k", ["alert_id"])
     # No promotion so far: the version stays null.
     current = F.when(F.col("version") <= 1, F.col("version")).when(
         F.col("version") > 1, F.greatest(F.col("version") - F.col("_k") + 1, F.lit(1))
@@ -169,7 +168,6 @@ def retrain_decisions(
     baselines: DataFrame | None = None,
     min_hours: float = 24,
     min_corrections: int = 500,
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Decision per scheduler tick: skipped_too_recent (checked first),
     skipped_insufficient_corrections or triggered.
@@ -194,7 +192,7 @@ def retrain_decisions(
     )
     both = tick_rows.unionByName(correction_rows, allowMissingColumns=True)
     counted = running_sum(
-        both, ["model"], "ts", F.col("_one"), "correction_count", ["_tick"], chunk_seconds
+        both, ["model"], "ts", F.col("_one"), "correction_count", ["_tick"]
     ).where(F.col("_tick") == 1)
     if baselines is None:
         baselines = counted.groupBy("model").agg(

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.operators.ordered import HOUR, previous_value, run_start, trailing_sum, with_chunk
+from inkfold.operators.ordered import previous_value, run_start, trailing_sum, with_chunk
 from inkfold.schemas import REQUIRED_SERIES
 
 COMPARE = {
@@ -31,12 +31,10 @@ def with_series(samples: DataFrame) -> DataFrame:
     return samples.withColumn("series", F.concat("metric", F.lit("{"), F.array_join(text, ","), F.lit("}")))
 
 
-def counter_increase(
-    samples: DataFrame, keys: Sequence[str] = ("series",), chunk_seconds: int = HOUR
-) -> DataFrame:
+def counter_increase(samples: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
     """Add ``increase`` since the previous sample of the series. After a reset (value below the
     previous one) the new value counts; the first sample of a series adds nothing."""
-    seen = previous_value(samples, keys, "ts", "value", "_prev", ["value"], chunk_seconds)
+    seen = previous_value(samples, keys, "ts", "value", "_prev", ["value"])
     value, before = F.col("value"), F.col("_prev")
     grown = (
         F.when(before.isNull(), 0.0).when(value < before, value).otherwise(value - before)
@@ -48,16 +46,14 @@ def counter_rate(
     samples: DataFrame,
     window_seconds: int,
     keys: Sequence[str] = ("series",),
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Add ``rate``: increase per second over (ts - window, ts], without extrapolation."""
-    return _chunked_rate(samples, window_seconds, keys, chunk_seconds).drop("_chunk")
+    return _chunked_rate(samples, window_seconds, keys).drop("_chunk")
 
 
-def _chunked_rate(samples, window_seconds, keys, chunk_seconds):
-    span = max(chunk_seconds, window_seconds)
-    grown = counter_increase(with_chunk(samples, "ts", span), keys, span)
-    summed = trailing_sum(grown, keys, "ts", "increase", window_seconds, "_sum", span)
+def _chunked_rate(samples, window_seconds, keys):
+    grown = counter_increase(with_chunk(samples, keys, "ts", ["value"]), keys)
+    summed = trailing_sum(grown, keys, "ts", "increase", window_seconds, "_sum")
     return summed.withColumn("rate", F.col("_sum") / window_seconds).drop("_sum", "increase")
 
 
@@ -68,13 +64,12 @@ def rate_alert(
     op: str,
     hold_seconds: int,
     keys: Sequence[str] = ("series",),
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Rate over the window, compared with the threshold, and the alert's state: both steps on
     one partitioning by (series, chunk)."""
-    rated = _chunked_rate(samples, window_seconds, keys, chunk_seconds)
+    rated = _chunked_rate(samples, window_seconds, keys)
     condition = COMPARE[op](F.col("rate"), F.lit(threshold))
-    return alert_state(rated, condition, hold_seconds, keys, ["value"], chunk_seconds).drop("_chunk")
+    return alert_state(rated, condition, hold_seconds, keys, ["value"]).drop("_chunk")
 
 
 def stepped_increase(
@@ -188,7 +183,6 @@ def alert_state(
     hold_seconds: int,
     keys: Sequence[str] = ("series",),
     tie: Sequence[str] = (),
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Add ``active_since`` and ``state`` (inactive / pending / firing). The alert fires once the
     condition held without a false evaluation for ``hold_seconds``."""
@@ -201,7 +195,6 @@ def alert_state(
         lambda before, now: now & ~F.coalesce(before, F.lit(False)),
         "_since",
         tie,
-        chunk_seconds,
     )
     held = F.unix_micros("ts") - F.unix_micros("_since") >= hold_seconds * 1000000
     return dated.select(
@@ -237,16 +230,22 @@ def missing_series(
     required: Sequence[str] = tuple(REQUIRED_SERIES),
     window: str = "1 hour",
     service: str = "service",
+    services: DataFrame | None = None,
 ) -> DataFrame:
-    """Required metric names that a service did not emit in a window in which it was scraped."""
-    seen = samples.groupBy(F.window("ts", window)["start"].alias("window_start"), service).agg(
-        F.array_sort(
-            F.collect_set(F.when(F.col("metric").isin(*required), F.col("metric")))
-        ).alias("_seen")
-    )
-    wanted = F.array(*[F.lit(r) for r in required])
-    return seen.select(
-        "window_start", service, F.explode(F.array_except(wanted, "_seen")).alias("missing_metric")
+    """Required metric names that a service did not emit in a window between the first and the last
+    sample. ``services`` lists those that should be scraped (default: all that were ever seen), so a
+    service that was silent for a whole window is reported with every name."""
+    start = F.window("ts", window)["start"]
+    seen = samples.select(start.alias("window_start"), service, F.col("metric").alias("missing_metric")).distinct()
+    wanted = samples.select(service).distinct() if services is None else services.select(service)
+    span = seen.agg(F.min("window_start").alias("a"), F.max("window_start").alias("b"))
+    times = span.select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {window}"))).alias("window_start"))
+    names = F.explode(F.array(*[F.lit(r) for r in required])).alias("missing_metric")
+    # The grid of services, windows and required names, one list of windows per service.
+    listed = times.agg(F.collect_list("window_start").alias("t"))
+    grid = wanted.withColumn("t", listed.scalar()).select(service, F.explode("t").alias("window_start")).select("*", names)
+    return grid.join(seen, ["window_start", service, "missing_metric"], "left_anti").select(
+        "window_start", service, "missing_metric"
     )
 
 

@@ -1,12 +1,13 @@
 """Ordered computations per key that do not put a whole key into one task.
 
 A plain window over a key sorts all its rows in one task; one hot key (a model, a metric, the
-'anonymous' session) would then stall the job. Here time is cut into chunks. A first pass reduces
-every (key, chunk) to one summary row with map-side combining; windows over these few summary rows
-carry the state into each chunk; the fine-grained window then runs per (key, chunk). Results are
-the same as those of the plain window. ``chunk_seconds`` only trades task size for task count:
-choose it so that the busiest chunk of the busiest key fits a task. Rows without a key or a time
-have no place in an order: ``as_of`` returns them unmatched, the others leave them out.
+'anonymous' session) would then stall the job. Here the rows are range-partitioned by key, time and
+tie, with bounds that Spark takes from the data: a hot key, or a load peak at one moment, spans as
+many blocks as its rows need. The blocks are pinned by a checkpoint, so that every later pass sees
+the same ones. A first pass reduces every (key, block) to one summary row with map-side combining;
+windows over these few summary rows carry the state into each block; the fine-grained window then
+runs per (key, block). Results are the same as those of the plain window. Rows without a key or a
+time have no place in an order: ``as_of`` returns them unmatched, the others leave them out.
 """
 
 from __future__ import annotations
@@ -16,21 +17,28 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR = 3600
+from inkfold.session import checkpointed
+
 _CHUNK = "_chunk"
 _CARRY = "_carry"
 
 
-def with_chunk(df: DataFrame, ts: str, chunk_seconds: int) -> DataFrame:
-    """Add the chunk column. Frames that have it keep it through all functions here: a chain of
-    them then runs on one partitioning by (key, chunk)."""
+def with_chunk(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
+    """Add the block column. Frames that have it keep it through all functions here: a chain of
+    them then runs on one partitioning by (key, block). The number of blocks is the session's
+    number of shuffle partitions."""
     if _CHUNK in df.columns:
         return df
-    return df.withColumn(_CHUNK, F.floor(F.unix_seconds(F.col(ts)) / chunk_seconds).cast("bigint"))
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = F.col(ts).isNotNull()
+    for key in keys:
+        placed = placed & F.col(key).isNotNull()
+    spread = df.where(placed).repartitionByRange(blocks, *[F.col(c) for c in (*keys, ts, *tie)])
+    return checkpointed(spread.withColumn(_CHUNK, F.spark_partition_id().cast("bigint")))
 
 
 def _extra(df: DataFrame) -> list[str]:
-    """Helper columns to drop again: the chunk, unless the caller's frame had it."""
+    """Helper columns to drop again: the block, unless the caller's frame had it."""
     return [] if _CHUNK in df.columns else [_CHUNK]
 
 
@@ -53,10 +61,9 @@ def running_sum(
     value: Column,
     out: str,
     tie: Sequence[str] = (),
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Sum of ``value`` over all rows of the key up to and including this one."""
-    chunked = with_chunk(df, ts, chunk_seconds).withColumn("_v", value)
+    chunked = with_chunk(df, keys, ts, tie).withColumn("_v", value)
     carry = (
         chunked.groupBy(*keys, _CHUNK)
         .agg(F.sum("_v").alias("_s"))
@@ -76,10 +83,9 @@ def running_count(
     ts: str,
     out: str,
     tie: Sequence[str] = (),
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """1-based position of each row within its key."""
-    return running_sum(df, keys, ts, F.lit(1).cast("bigint"), out, tie, chunk_seconds)
+    return running_sum(df, keys, ts, F.lit(1).cast("bigint"), out, tie)
 
 
 def previous_value(
@@ -89,10 +95,9 @@ def previous_value(
     value: str,
     out: str,
     tie: Sequence[str] = (),
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """``value`` of the row before this one within its key (null for the first)."""
-    return _neighbour(df, keys, ts, value, out, tie, chunk_seconds, forward=False)
+    return _neighbour(df, keys, ts, value, out, tie, forward=False)
 
 
 def next_value(
@@ -102,14 +107,13 @@ def next_value(
     value: str,
     out: str,
     tie: Sequence[str] = (),
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """``value`` of the row after this one within its key (null for the last)."""
-    return _neighbour(df, keys, ts, value, out, tie, chunk_seconds, forward=True)
+    return _neighbour(df, keys, ts, value, out, tie, forward=True)
 
 
-def _neighbour(df, keys, ts, value, out, tie, chunk_seconds, forward):
-    chunked = with_chunk(df, ts, chunk_seconds)
+def _neighbour(df, keys, ts, value, out, tie, forward):
+    chunked = with_chunk(df, keys, ts, tie)
     order = F.struct(ts, *tie)
     edge = F.min_by(F.struct(value), order) if forward else F.max_by(F.struct(value), order)
     shift = F.lead if forward else F.lag
@@ -135,10 +139,9 @@ def carry_last(
     value: Column,
     out: str,
     tie: Sequence[str] = (),
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Last non-null ``value`` of the key up to and including this row."""
-    chunked = with_chunk(df, ts, chunk_seconds).withColumn("_v", value)
+    chunked = with_chunk(df, keys, ts, tie).withColumn("_v", value)
     order = F.when(F.col("_v").isNotNull(), F.struct(ts, *tie))
     carry = (
         chunked.groupBy(*keys, _CHUNK)
@@ -147,7 +150,7 @@ def carry_last(
     )
     inside = _inside(keys, [ts, *tie]).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        chunked.join(carry, [*keys, _CHUNK], "left")
+        chunked.join(carry, [*keys, _CHUNK])
         .withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col(_CARRY)))
         .drop(*_extra(df), _CARRY, "_v")
     )
@@ -161,7 +164,6 @@ def run_start(
     starts: Callable[[Column, Column], Column],
     out: str,
     tie: Sequence[str] = (),
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Time of the latest row, up to and including this one, at which a run starts.
 
@@ -169,7 +171,7 @@ def run_start(
     before it in its key (null for the first). One pass carries both facts across chunks."""
     inside = _inside(keys, [ts, *tie])
     known = F.lag(F.lit(True)).over(inside)
-    chunked = with_chunk(df, ts, chunk_seconds).withColumn("_st", state)
+    chunked = with_chunk(df, keys, ts, tie).withColumn("_st", state)
     marked = (
         chunked.withColumn("_pr", F.lag("_st").over(inside))
         .withColumn("_inner", known.isNotNull())
@@ -212,29 +214,27 @@ def as_of(
     ts: str,
     payload: Sequence[str],
     tie: Sequence[str] = (),
-    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Add to each row the ``payload`` columns of the latest mark of its key with
     ``mark.ts <= row.ts``. ``tie`` (columns of ``marks``) orders marks of one instant."""
     mark_type = F.struct(*payload)
     ties = F.struct(*tie) if tie else F.lit(0)
-    left = rows.select(
+    known = F.col(ts).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    left = rows.where(known).select(
         *keys, F.col(ts).alias("_ts"), F.lit(1).alias("_kind"), F.struct("*").alias("_row")
     )
-    placed = F.col(ts).isNotNull()
-    for key in keys:
-        placed = placed & F.col(key).isNotNull()
-    right = marks.where(placed).select(
+    right = marks.where(known).select(
         *keys, F.col(ts).alias("_ts"), F.lit(0).alias("_kind"), ties.alias("_tie"),
         mark_type.alias("_mark"),
     )
     both = left.unionByName(right, allowMissingColumns=True)
-    filled = carry_last(
-        both, keys, "_ts", F.col("_mark"), "_found", ["_kind", "_tie"], chunk_seconds
-    )
-    return filled.where(F.col("_kind") == 1).select(
+    filled = carry_last(both, keys, "_ts", F.col("_mark"), "_found", ["_kind", "_tie"])
+    found = filled.where(F.col("_kind") == 1).select(
         "_row.*", *[F.col("_found")[c].alias(c) for c in payload]
     )
+    return found.unionByName(rows.where(~known), allowMissingColumns=True)
 
 
 def trailing_sum(
@@ -244,49 +244,49 @@ def trailing_sum(
     value: str,
     window_seconds: int,
     out: str,
-    chunk_seconds: int | None = None,
 ) -> DataFrame:
-    """Sum of ``value`` over the rows of the key in (ts - window, ts].
-
-    Each row enters the sum at its time and leaves it one window later, so a plain running sum over
-    entries and leavings gives the window's sum; a sliding frame would add up the whole window again
-    for every row. A row that leaves in the next chunk is entered there as well, as context, so
-    every (key, chunk) group is complete and the sums start afresh in each."""
-    span = chunk_seconds or max(4 * window_seconds, HOUR)
-    if span < window_seconds:
-        raise ValueError("chunk_seconds must not be below the window")
-    micros = 1000000
-    chunked = with_chunk(df, ts, span)
+    """Sum of ``value`` over the rows of the key in (ts - window, ts]. Nothing is ever subtracted, so
+    a value that has left leaves no trace, however large (or infinite) it was.
+
+    Time is cut into cells of one window. The window of a row is the start of its own cell up to the
+    row, plus the end of the cell before. So each value enters its own cell at its time, and the next
+    cell at the time at which it leaves; in every cell one running sum goes forward over the former
+    and one backward over the latter. Both run over one row per instant and in row-bounded blocks."""
+    micros = window_seconds * 1000000
     at = F.unix_micros(F.col(ts))
-    leaves = at + window_seconds * micros
-    v = F.col(value).cast("double")
-    payload = [c for c in chunked.columns if c not in (*keys, _CHUNK)]
-
-    def entry(chunk_shift: int, time: Column, amount: Column, is_row: bool) -> Column:
-        kept = F.struct(*payload)
-        return F.struct(
-            (F.col(_CHUNK) + chunk_shift).alias("c"),
-            time.alias("us"),
-            amount.alias("v"),
-            (kept if is_row else F.lit(None).cast(chunked.select(kept).schema[0].dataType)).alias("row"),
-        )
+    cell = F.floor(at / micros).cast("bigint")
+    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+
+    def entry(c: Column, us: Column, own: Column, late: Column) -> Column:
+        return F.struct(c.alias("c"), us.alias("us"), own.alias("own"), late.alias("late"))
 
-    leaves_here = leaves < (F.col(_CHUNK) + 1) * span * micros
-    entries = F.when(
-        leaves_here, F.array(entry(0, at, v, True), entry(0, leaves, -v, False))
-    ).otherwise(
-        F.array(entry(0, at, v, True), entry(1, at, v, False), entry(1, leaves, -v, False))
+    entries = F.array(entry(cell, at, v, F.lit(0.0)), entry(cell + 1, at + micros, F.lit(0.0), v))
+    instants = (
+        df.select(*keys, F.explode(entries).alias("_e"))
+        .groupBy(*keys, F.col("_e.c").alias("_cell"), F.col("_e.us").alias("_us"))
+        .agg(F.sum("_e.own").alias("_own"), F.sum("_e.late").alias("_late"))
     )
-    spread = chunked.select(*keys, F.explode(entries).alias("_e")).select(
-        *keys, F.col("_e.c").alias(_CHUNK), F.col("_e.us").alias("_us"), F.col("_e.v").alias("_v"),
-        F.col("_e.row").alias("_row"),
+    group = [*keys, "_cell"]
+    placed = with_chunk(instants, group, "_us")
+    forward = Window.partitionBy(*group).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy(*group).orderBy(F.desc(_CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        placed.groupBy(*group, _CHUNK)
+        .agg(F.sum("_own").alias("_o"), F.sum("_late").alias("_l"))
+        .select(
+            *group, _CHUNK, F.coalesce(F.sum("_o").over(forward), F.lit(0.0)).alias("_of"),
+            F.coalesce(F.sum("_l").over(backward), F.lit(0.0)).alias("_lf"),
+        )
     )
-    # A range frame: rows of one instant all count, and what leaves at that instant is gone.
-    upto = (
-        Window.partitionBy(*keys, _CHUNK)
-        .orderBy("_us")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*group, _CHUNK)
+    upto = inside.orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
+    after = inside.orderBy(F.desc("_us")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.join(carry, [*group, _CHUNK]).select(
+        *keys,
+        F.timestamp_micros("_us").alias(ts),
+        (
+            F.col("_of") + F.sum("_own").over(upto)
+            + (F.col("_lf") + F.coalesce(F.sum("_late").over(after), F.lit(0.0)))
+        ).alias(out),
     )
-    summed = spread.withColumn(out, F.sum("_v").over(upto)).where(F.col("_row").isNotNull())
-    shown = [c if c in keys or c == _CHUNK else F.col("_row")[c].alias(c) for c in chunked.columns]
-    return summed.select(*shown, out).drop(*_extra(df))
+    return df.join(sums, [*keys, ts])

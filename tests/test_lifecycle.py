@@ -79,7 +79,7 @@ def test_random_alerts_equal_a_sequential_replay(spark):
         second = rng.randrange(30) * 2500 + rng.randrange(1500)
         rows.append((i, rng.choice(["m1", "m1", "m1", "m2", "m3"]), second, rng.choice(["firing"] * 5 + ["resolved"]), rng.choice("AAB"), rng.choice(["true"] * 4 + ["false"])))
     promoted = [("m1", s, v) for v, s in enumerate(range(5, 70000, 9000), 4)] + [("m2", 20000, 6)]
-    got = decided(L.rollback_decisions(alerts(spark, rows), promotions(spark, promoted), 300, chunk_seconds=900))
+    got = decided(L.rollback_decisions(alerts(spark, rows), promotions(spark, promoted), 300))
     assert got == replay(rows, promoted, 300)
 
 
@@ -137,5 +137,5 @@ def test_random_ticks_equal_a_sequential_replay(spark):
         if decision == "triggered" and ok:
             last, base = s, count
         want.append((decision, delta))
-    got = run_ticks(spark, counts, ticks, baseline=0, min_corrections=80, chunk_seconds=5000)
+    got = run_ticks(spark, counts, ticks, baseline=0, min_corrections=80)
     assert [(r.decision, r.correction_delta) for r in got] == want

@@ -25,7 +25,7 @@ def test_series_name(spark):
 
 def test_rate_with_reset_and_window_edge(spark):
     points = [(0, 10), (15, 13), (30, 20), (45, 4), (60, 9), (360, 9)]
-    got = [r.rate for r in M.counter_rate(samples(spark, points), 60, chunk_seconds=60).orderBy("ts").collect()]
+    got = [r.rate for r in M.counter_rate(samples(spark, points), 60).orderBy("ts").collect()]
     # Increases: 0 3 7 4 5 0; the sample exactly one window back is outside.
     assert got == pytest.approx([0, 3 / 60, 10 / 60, 14 / 60, 19 / 60, 0])
 
@@ -76,7 +76,7 @@ def test_alert_holds(spark):
     long = short + [(600, True), (630, False), (660, True)]
     for points in (short, long):
         df = spark.createDataFrame([("s", at(t), on) for t, on in points], "series STRING, ts TIMESTAMP, on BOOLEAN")
-        got = [r.state for r in M.alert_state(df, F.col("on"), 600, chunk_seconds=120).orderBy("ts").collect()]
+        got = [r.state for r in M.alert_state(df, F.col("on"), 600).orderBy("ts").collect()]
         assert got == states(points, 600)
     assert "firing" not in states(short, 600) and states(long, 600)[-3:] == ["firing", "inactive", "pending"]
 
@@ -85,7 +85,7 @@ def test_alert_states_of_random_series(spark):
     rng = random.Random(3)
     data = {s: [(t * 30 + rng.randrange(5), rng.random() < 0.85) for t in range(400) if rng.random() < 0.8] for s in ("a", "b")}
     df = spark.createDataFrame([(s, at(t), on) for s, p in data.items() for t, on in p], "series STRING, ts TIMESTAMP, on BOOLEAN")
-    got = M.alert_state(df, F.col("on"), 120, chunk_seconds=300).orderBy("series", "ts").collect()
+    got = M.alert_state(df, F.col("on"), 120).orderBy("series", "ts").collect()
     for s, points in data.items():
         assert [r.state for r in got if r.series == s] == states(points, 120)
 
