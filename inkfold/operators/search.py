@@ -12,6 +12,7 @@ leave the task. Two physical forms give the same result:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -224,7 +225,7 @@ def _grid(
         n = F.ceil(F.count("*") / block_rows).cast("int")
         return df.groupBy(cell).agg(n.alias(name))
 
-    # One row per cell (at most 4096, or one), so this broadcast has a fixed bound.
+    # One row per cell (at most 2 ** planes, or one), so this broadcast has a fixed bound.
     sizes = blocks(queries, "_nq").join(blocks(chunks, "_nc"), cell)
 
     def sliced(df, key, mine, other, mine_at, other_at):
@@ -248,47 +249,41 @@ def _grid(
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, HIT_SCHEMA)
 
 
+def sign_planes(dims: int, planes: int) -> np.ndarray:
+    """Fixed planes of +1 / -1 from a hash of (plane, dimension): no training, the same in every run."""
+    bits = [[hashlib.md5(f"{p}:{d}".encode()).digest()[0] & 1 for d in range(dims)] for p in range(planes)]
+    return np.array(bits, dtype=np.float64) * 2 - 1
+
+
 def approx_nearest_chunks(
     queries: DataFrame,
     chunks: DataFrame,
     keep: int,
-    cells: int | None = None,
-    probe: int = 4,
-    seed: int = 7,
+    planes: int = 8,
+    flips: int = 1,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Approximate nearest chunks: chunks are assigned to k-means cells and a query is scored
-    against the chunks of its ``probe`` nearest cells only, there exactly.
-
-    Cell centres are trained on a bounded sample; every chunk is assigned to its cell."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    total = chunks.count()
-    cells = cells or max(1, min(4096, int(total**0.5) // 2))
-    sample_rows = min(total, max(256 * cells, 10_000))
-    unit = F.transform("vector", lambda v: v.cast("double"))
-    points = chunks.select(array_to_vector(unit).alias("features"))
-    training = points.sample(min(1.0, 1.2 * sample_rows / max(total, 1)), seed).limit(sample_rows)
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(training)
-    centers = np.vstack(model.clusterCenters())
-    lengths = np.linalg.norm(centers, axis=1)
-    centers = centers / np.where(lengths == 0, 1.0, lengths)[:, None]
-    shared = queries.sparkSession.sparkContext.broadcast(centers)  # at most 4096 centres
-
-    def nearest_cells(n: int):
-        @F.pandas_udf("array<int>")
-        def cells_of(vectors: pd.Series) -> pd.Series:
-            scores = _matrix(vectors)[0] @ shared.value.T
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)
-            return pd.Series(list(order))
+    """Approximate nearest chunks: a vector's cell is the sides of ``planes`` fixed planes it lies on. A query is
+    scored, exactly, against the chunks of its own cell and of those that differ in up to ``flips`` sides
+    (``flips = planes``: all cells, the exact result). Every chunk is in one cell; a hot cell is cut into blocks."""
 
-        return cells_of("vector")
-
-    placed = chunks.withColumn("cell", nearest_cells(1)[0]).select(
+    def cells_of(reach: int):
+        @F.pandas_udf("array<int>")
+        def cells(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype=object)
+            matrix = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+            sides = matrix @ sign_planes(matrix.shape[1], planes).T >= 0
+            own = (sides * (1 << np.arange(planes))).sum(axis=1)
+            masks = [m for m in range(1 << planes) if m.bit_count() <= reach]
+            return pd.Series([[int(c) ^ m for m in masks] for c in own])
+
+        return cells("vector")
+
+    placed = chunks.withColumn("cell", cells_of(0)[0]).select(
         "cell", "point_key", "document_id", "chunk_index", "vector"
     )
-    asked = queries.withColumn("cell", F.explode(nearest_cells(min(probe, len(centers)))))
+    asked = queries.withColumn("cell", F.explode(cells_of(flips)))
     return _cut(_grid(asked, placed, keep, block_rows, cell="cell"), keep)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions import text as X
@@ -187,10 +187,20 @@ def semantic_search(t: Tables) -> DataFrame:
     return found.select("query_id", F.array_join(shown, ",").alias("results"), "top_similarity_score", "fallback_to_keyword")
 
 
-@query()
+PLANES_SQL = "[" + ", ".join("[" + ", ".join(f"{x:.0f}" for x in row) + "]" for row in S.sign_planes(64, 8)) + "]"
+
+
+@query(
+    f"""
+WITH q AS (SELECT query_id, {'+'.join(f'CASE WHEN list_dot_product(vector, ({PLANES_SQL}::DOUBLE[][])[{j + 1}]) >= 0 THEN {1 << j} ELSE 0 END' for j in range(8))} AS cell FROM v_queries),
+c AS (SELECT point_key, {'+'.join(f'CASE WHEN list_dot_product(vector, ({PLANES_SQL}::DOUBLE[][])[{j + 1}]) >= 0 THEN {1 << j} ELSE 0 END' for j in range(8))} AS cell FROM v_vectors)
+SELECT query_id, point_key, round(score, 4) AS score,
+       row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index, point_key) AS rank
+FROM v_scores JOIN q USING (query_id) JOIN c USING (point_key) WHERE bit_count(xor(q.cell, c.cell)) <= 1 QUALIFY rank <= 15"""
+)
 def approx_knn(t: Tables) -> DataFrame:
     hits = S.approx_nearest_chunks(t.queries, t.vectors, keep=15)
-    return hits.select("query_id", "point_key", "rank", F.round("score", 4).alias("score"))
+    return hits.select("query_id", "point_key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 4).alias("score"))
 
 
 @query("SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'user' AND length(text) >= 3")
@@ -335,8 +345,14 @@ def document_grouped_split(t: Tables) -> DataFrame:
     return C.document_grouped_split(t.docs).select("document_id", "split")
 
 
+def _candidates(t: Tables) -> DataFrame:
+    """Newest eligible correction per region, with its rejection code."""
+    return C.quality_reasons(C.latest_per_region(C.eligible_corrections(t.corrections, t.docs)), t.crops)
+
+
 def _split(t: Tables) -> DataFrame:
-    return C.document_grouped_split(C.latest_per_region(C.eligible_corrections(t.corrections, t.docs)))
+    """The correction pipeline as a chain: eligible, newest per region, accepted, split."""
+    return C.document_grouped_split(C.accepted(_candidates(t)))
 
 
 @query(
@@ -377,17 +393,27 @@ def rows_to_shards(t: Tables) -> DataFrame:
 
 @query(
     """
-SELECT 'shard' AS what, split, count(*) AS rows FROM v_split GROUP BY split"""
+SELECT split, row_index // 100 AS shard_id, count(*) AS rows, min(place) AS first, max(place) AS last
+FROM (SELECT split, strftime(corrected_at, '%Y-%m-%d') || '/' || region_id AS place,
+             row_number() OVER (PARTITION BY split ORDER BY strftime(corrected_at, '%Y-%m-%d') || '/' || region_id) - 1 AS row_index FROM v_split)
+GROUP BY split, row_index // 100"""
 )
 def write_snapshot(t: Tables) -> DataFrame:
-    """Snapshot written in 100-row shards and read back through the shard reader."""
+    """Snapshot written in 100-row shards; read back file by file: sizes, and first and last row in the
+    order asked for."""
     path = scratch_path(t.spark, "snapshot")
+    place = F.concat("correction_date", F.lit("/"), "region_id")
     rows = C.snapshot_projection(_split(t))
     W.write_snapshot(rows, path, "v_20240201_000000", ["correction_date", "region_id"], 100)
-    parts = [R.read_training_shards(t.spark, f"{path}/v_20240201_000000", s) for s in ("train", "val")]
-    return parts[0].unionByName(parts[1]).groupBy("split").agg(F.count("*").alias("rows")).select(
-        F.lit("shard").alias("what"), "split", "rows"
+    folder = f"{path}/v_20240201_000000"
+    train, val = (R.read_training_shards(t.spark, folder, s).withColumn("file", F.input_file_name()) for s in ("train", "val"))
+    files = (
+        train.unionByName(val)
+        .groupBy("split", "file")
+        .agg(F.count("*").alias("rows"), F.min(place).alias("first"), F.max(place).alias("last"))
     )
+    shard = (F.row_number().over(Window.partitionBy("split").orderBy("first")) - 1).cast("bigint")
+    return files.select("split", shard.alias("shard_id"), "rows", "first", "last")
 
 
 @query(SNAPSHOT_SQL.replace("FROM v_split", "FROM v_split WHERE split = 'val'"))
@@ -403,18 +429,21 @@ def read_training_shards(t: Tables) -> DataFrame:
 SELECT 'v_20240201_000000' AS version, 'htr_training_data' AS pipeline,
        count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) AS total,
        (count(*) FILTER (split = 'train') + 499) // 500 AS train_shards, (count(*) FILTER (split = 'val') + 499) // 500 AS val_shards,
-       (SELECT count(reason) FROM v_judged) AS rejected
+       (SELECT count(reason) FROM v_judged JOIN v_latest USING (correction_id)) AS rejected,
+       (SELECT count(*) - count(reason) FROM v_judged JOIN v_latest USING (correction_id)) AS accepted, 'documents_in_both_splits=0,rows_against_split_rule=0' AS checks
 FROM v_split"""
 )
 def write_manifest(t: Tables) -> DataFrame:
     split = _split(t)
     sharded = C.rows_to_shards(split.select("split", "correction_id"), ["correction_id"])
-    report = C.quality_report(C.quality_reasons(t.corrections, t.crops))
-    row = W.manifest(C.shard_counts(sharded), "v_20240201_000000", "2024-02-01T00:00:00+00:00", report)
-    return row.select(
+    report = C.quality_report(_candidates(t))
+    version, path = "v_20240201_000000", scratch_path(t.spark, "manifest")
+    W.write_manifest(W.manifest(C.shard_counts(sharded), version, "2024-02-01T00:00:00+00:00", report, rows=split), path, version)
+    found = F.transform("leakage_prevention.invariants", lambda x: F.concat(x["check"], F.lit("="), x["violations"].cast("string")))
+    return t.spark.read.json(f"{path}/{version}/_manifest").select(
         "version", "pipeline", "counts.train", "counts.val", "counts.total",
         F.col("shards.train").cast("bigint").alias("train_shards"), F.col("shards.val").cast("bigint").alias("val_shards"),
-        "data_quality.rejected",
+        "data_quality.rejected", "data_quality.accepted", F.array_join(found, ",").alias("checks"),
     )
 
 
@@ -491,6 +520,41 @@ def document_feedback_stats(t: Tables) -> DataFrame:
     return _rounded(_stats(t))
 
 
+@query(
+    """
+WITH i AS (SELECT document_id, count(*) AS total_impressions
+           FROM (SELECT DISTINCT session_id, unnest(result_doc_ids) AS document_id FROM v_sessions WHERE user_id % 7 <> 0) GROUP BY document_id),
+f AS (SELECT document_id, count(*) FILTER (feedback_type = 'thumbs_up') AS thumbs_up, count(*) FILTER (feedback_type = 'thumbs_down') AS thumbs_down,
+             count(*) FILTER (feedback_type = 'click') AS clicks FROM v_feedback WHERE user_id % 7 <> 0 GROUP BY document_id)
+SELECT document_id, coalesce(thumbs_up, 0) AS thumbs_up, coalesce(thumbs_down, 0) AS thumbs_down, coalesce(clicks, 0) AS clicks, total_impressions,
+       round(coalesce(thumbs_up, 0) / total_impressions, 4) AS up_rate, round(coalesce(thumbs_down, 0) / total_impressions, 4) AS down_rate
+FROM i LEFT JOIN f USING (document_id)
+WHERE document_id IN (SELECT document_id FROM v_docs WHERE deleted_at IS NULL AND document_id % 11 <> 0)"""
+)
+def document_feedback_stats_no_tests(t: Tables) -> DataFrame:
+    """Test accounts and test documents left out."""
+    test_account = (F.col("user_id") % 7 == 0).alias("is_test_account")
+    documents = t.docs.withColumn("is_test_doc", F.col("document_id") % 11 == 0)
+    stats = B.document_feedback_stats(
+        t.sessions.select("*", test_account), t.feedback.select("*", test_account), documents,
+        F.lit("2024-02-01").cast("timestamp"), exclude_test_accounts=True,
+    )
+    return _rounded(stats)
+
+
+@query(
+    """
+SELECT doc_id AS doc_number, CASE WHEN source <> '' THEN sha256('pepper' || source) END AS user_id,
+       md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[email]', 'g'), '[0-9]{7,}', '[number]', 'g')) AS query_text
+FROM documents WHERE doc_id % 10 <> 9"""
+)
+def redact_events(t: Tables) -> DataFrame:
+    """Document texts, which hold personal data, as query texts; those of test documents go."""
+    rows = t.documents.select(F.col("doc_id").alias("doc_number"), F.col("source").alias("user_id"), F.col("text").alias("query_text"))
+    tests = rows.where(F.col("doc_number") % 10 == 9).select("doc_number")
+    return B.redact_events(rows, tests, salt="pepper").withColumn("query_text", F.md5("query_text"))
+
+
 @query(STATS_SQL + " WHERE total_impressions > 0")
 def replace_stats(t: Tables) -> DataFrame:
     """Two full replaces; readers see the second."""
@@ -638,9 +702,11 @@ def usage_kpis_sliding(t: Tables) -> DataFrame:
     return _rounded_kpis(B.usage_kpis(t.kpi_events, "2 hours", "10 minutes"))
 
 
-@query("SELECT feedback_id, document_id FROM v_feedback WHERE ts >= TIMESTAMP '2024-04-10' - INTERVAL 90 DAY")
+@query("SELECT feedback_id, document_id FROM v_feedback WHERE feedback_id % 13 = 0 OR ts >= TIMESTAMP '2024-04-10' - INTERVAL 90 DAY")
 def purge_expired(t: Tables) -> DataFrame:
-    kept = B.purge_expired(t.feedback.withColumnRenamed("ts", "created_at"), F.lit("2024-04-10").cast("timestamp"))
+    """Some rows have no time."""
+    dated = t.feedback.withColumn("created_at", F.when(F.col("feedback_id") % 13 != 0, F.col("ts")))
+    kept = B.purge_expired(dated, F.lit("2024-04-10").cast("timestamp"))
     return kept.select("feedback_id", "document_id")
 
 
@@ -649,7 +715,7 @@ def purge_expired(t: Tables) -> DataFrame:
 
 @query("SELECT ts, series, value, round(rate, 6) AS rate FROM v_rate")
 def counter_rate(t: Tables) -> DataFrame:
-    rated = M.counter_rate(t.samples, 3600, chunk_seconds=86400)
+    rated = M.counter_rate(t.samples, 3600)
     return rated.select("ts", "series", "value", F.round("rate", 6).alias("rate"))
 
 
@@ -701,7 +767,7 @@ def histogram_quantile(t: Tables) -> DataFrame:
 
 @query("SELECT series, ts, value, state, active_since FROM v_state")
 def alert_state(t: Tables) -> DataFrame:
-    state = M.rate_alert(t.samples, 3600, 14.0 / 3600, ">", 600, chunk_seconds=86400)
+    state = M.rate_alert(t.samples, 3600, 14.0 / 3600, ">", 600)
     return state.select("series", "ts", "value", "state", "active_since")
 
 
@@ -737,18 +803,22 @@ def drift_rate(t: Tables) -> DataFrame:
 @query(
     """
 SELECT window_start, service, missing_metric
-FROM (SELECT DISTINCT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, service FROM v_samples),
+FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 1 HOUR, min(ts)), max(ts), INTERVAL 1 HOUR)) AS window_start FROM events),
+     (SELECT DISTINCT service FROM v_samples UNION SELECT 'svc-silent'),
      (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS missing_metric)
 WHERE (window_start, service, missing_metric) NOT IN (SELECT (time_bucket(INTERVAL 1 HOUR, ts), service, metric) FROM v_samples)"""
 )
 def missing_series(t: Tables) -> DataFrame:
-    return M.missing_series(t.samples, ["click", "error", "purchase", "signup", "view"])
+    """One of the services never sends anything."""
+    silent = t.spark.range(1).select(F.lit("svc-silent").alias("service"))
+    services = t.samples.select("service").distinct().union(silent)
+    return M.missing_series(t.samples, ["click", "error", "purchase", "signup", "view"], services=services)
 
 
 @query(
     """
 WITH x AS (SELECT vec_id, vec_id // 50 AS w, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-     r AS (SELECT v FROM x ORDER BY vec_id LIMIT 100),
+     r AS (SELECT v FROM x ORDER BY vec_id LIMIT 500),
      rr AS (SELECT avg(exp(-(list_distance(a.v, b.v) * list_distance(a.v, b.v)) / 2)) AS m FROM r a, r b),
      own AS (SELECT a.w, avg(exp(-(list_distance(a.v, b.v) * list_distance(a.v, b.v)) / 2)) AS m FROM x a JOIN x b USING (w) GROUP BY a.w),
      crs AS (SELECT w, avg(exp(-(list_distance(x.v, r.v) * list_distance(x.v, r.v)) / 2)) AS m FROM x, r GROUP BY w),
@@ -758,13 +828,16 @@ FROM own JOIN crs USING (w) JOIN n USING (w), rr"""
 )
 def mmd_drift(t: Tables) -> DataFrame:
     vectors = t.table("embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
-    reference = vectors.orderBy("seq").limit(100)
+    reference = vectors.orderBy("seq").limit(500)
     found = M.mmd_drift(vectors, reference, window_size=50, bandwidth=1.0, threshold=0.02)
     return found.withColumn("mmd2", F.round("mmd2", 4))
 
 
 # --- evaluation ------------------------------------------------------------------------------
 
+# Letters beyond ASCII in the texts, and unused control characters in their place.
+ONE_BYTE = ("éèêàâçîïôùûëœäöüßñíóáúÉÈÊÀÇÄÖÜÑÍÓ", "".join(chr(c) for c in (*range(1, 9), *range(11, 13), *range(14, 32), 127, 94, 95, 96, 123)))
+
 
 @query(
     """
@@ -788,17 +861,22 @@ def flag_low_confidence(t: Tables) -> DataFrame:
 
 @query(
     """
-SELECT split, count(*) AS pairs, CAST(sum(levenshtein(corrected_text, original_text)) AS BIGINT) AS edits,
-       CAST(sum(length(corrected_text)) AS BIGINT) AS reference_chars,
-       round(sum(levenshtein(corrected_text, original_text)) / sum(length(corrected_text)), 4) AS cer
-FROM v_split WHERE regexp_full_match(corrected_text || original_text, '[ -~]*') GROUP BY split"""
+SELECT split, count(*) AS pairs, CAST(sum(d) AS BIGINT) AS edits, CAST(sum(length(reference)) AS BIGINT) AS reference_chars,
+       round(sum(d) / sum(length(reference)), 4) AS cer
+FROM (SELECT *, levenshtein(translate(reference, '{letters}', '{bytes}'), translate(hypothesis, '{letters}', '{bytes}')) AS d FROM v_cer)
+GROUP BY split""".replace("{letters}", ONE_BYTE[0]).replace("{bytes}", ONE_BYTE[1])
 )
 def corpus_cer(t: Tables) -> DataFrame:
-    """Restricted to printable ASCII, where bytes and characters agree."""
-    ascii_only = F.concat("corrected_text", "original_text").rlike("^[ -~]*$")
-    pairs = _split(t).where(ascii_only).select(
-        "split", F.col("corrected_text").alias("reference"), F.col("original_text").alias("hypothesis")
+    """Corrections against recognised texts with inserted, replaced and deleted characters. The SQL
+    counts bytes, so there every letter beyond ASCII is first mapped to a byte that no text has."""
+    text, kind = F.col("original_text"), F.col("region_id") % 4
+    heard = (
+        F.when(kind == 0, F.replace(text, F.lit("an"), F.lit("nae")))
+        .when(kind == 1, F.concat(F.lit("x"), F.substring(text, 2, 1 << 30)))
+        .when(kind == 2, F.concat(F.substring(text, 1, 20), F.substring(text, 24, 1 << 30)))
+        .otherwise(F.replace(text, F.lit("é"), F.lit("è")))
     )
+    pairs = _split(t).select("split", F.col("corrected_text").alias("reference"), heard.alias("hypothesis"))
     return E.corpus_cer(pairs, ["split"]).withColumn("cer", F.round("cer", 4))
 
 
@@ -888,6 +966,21 @@ def dataset_checks(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    """
+SELECT 'documents' AS dataset, 's3://sets/documents' AS source_url, TIMESTAMP '2024-02-01' AS ingested_at, count(*) AS row_count,
+       count(*) FILTER (NOT coalesce(text <> '', false)) = 0 AND count(*) FILTER (NOT coalesce(n_chars = length(text), false)) = 0 AS valid,
+       'char_count:' || count(*) FILTER (NOT coalesce(n_chars = length(text), false)) || ',non_empty_text:' || count(*) FILTER (NOT coalesce(text <> '', false)) AS checks
+FROM documents"""
+)
+def dataset_lineage(t: Tables) -> DataFrame:
+    rules = {"non_empty_text": F.col("text") != "", "char_count": F.col("n_chars") == F.char_length("text")}
+    checks = E.dataset_checks(t.documents, "documents", rules)
+    row = E.dataset_lineage(checks, "s3://sets/documents", F.lit("2024-02-01").cast("timestamp"))
+    shown = F.transform("checks", lambda c: F.concat_ws(":", c["check_name"], c["rows_failed"].cast("string")))
+    return row.withColumn("checks", F.array_join(shown, ","))
+
+
 def _gate_lines(t: Tables) -> DataFrame:
     """Gate output: one run per user, PASS / FAIL lines of two models, other lines between."""
     kind, n = F.col("event_type"), F.col("event_id").cast("string")
@@ -974,7 +1067,9 @@ chain AS (
     SELECT f.model, f.alertname, min(f.ts) FROM chain c JOIN f ON f.model = c.model AND f.alertname = c.alertname AND f.ts >= c.ts + INTERVAL 300 SECOND
     GROUP BY f.model, f.alertname),
 accepted AS (SELECT f.model, f.alertname, f.ts, min(f.alert_id) AS alert_id FROM f JOIN chain c ON f.model = c.model AND f.alertname = c.alertname AND f.ts = c.ts GROUP BY ALL),
-based AS (SELECT x.*, p.version, p.ts AS since FROM accepted x ASOF LEFT JOIN v_alias_log p ON p.model = x.model AND x.ts >= p.ts),
+based AS (SELECT x.*, coalesce(p.version, r.version) AS version, p.ts AS since
+          FROM accepted x ASOF LEFT JOIN (SELECT * FROM v_alias_log WHERE ts >= TIMESTAMP '2024-01-03') p ON p.model = x.model AND x.ts >= p.ts
+          LEFT JOIN (SELECT 'model' || user_id % 4 AS model, max(user_id % 29 + 1) AS version FROM events WHERE user_id % 4 < 3 GROUP BY 1) r ON r.model = x.model),
 done AS (
     SELECT alert_id, CASE WHEN version <= 1 THEN version ELSE greatest(version - row_number() OVER (PARTITION BY model, since ORDER BY ts, alert_id) + 1, 1) END AS from_version
     FROM based WHERE version IS NOT NULL
@@ -989,7 +1084,20 @@ SELECT a.alert_id, a.model, a.alertname, a.ts AS received_at,
 FROM a LEFT JOIN done d ON d.alert_id = a.alert_id LEFT JOIN cool ON cool.alert_id = a.alert_id"""
 )
 def rollback_decisions(t: Tables) -> DataFrame:
-    return L.rollback_decisions(t.alerts, t.alias_log)
+    """Promotions begin on the third day; before, three of the four models have registered versions."""
+    user = F.col("user_id")
+    versions = t.events.where(user % 4 < 3).select(
+        F.concat(F.lit("model"), (user % 4).cast("string")).alias("model"), (user % 29 + 1).cast("string").alias("version")
+    )
+    late = t.alias_log.where(F.col("ts") >= F.lit("2024-01-03").cast("timestamp"))
+    return L.rollback_decisions(t.alerts, late, versions=versions)
+
+
+@query("SELECT 'model' || user_id % 4 AS model, max(event_id % 1000) AS version FROM events GROUP BY 1")
+def promotion_target(t: Tables) -> DataFrame:
+    """Registered versions as text, compared as numbers."""
+    versions = t.model_events.select("model", (F.col("event_id") % 1000).cast("string").alias("version"))
+    return L.promotion_target(versions)
 
 
 @query(
@@ -1094,7 +1202,8 @@ def map_doc_ids(t: Tables) -> DataFrame:
     """
 SELECT g.group_id, coalesce(CAST(i.doc_number AS VARCHAR), g.doc_uuid) AS document_id, i.doc_number,
        CASE WHEN i.doc_number IS NOT NULL THEN g.doc_uuid END AS document_id_uuid,
-       array_to_string(list_transform(g.regions, lambda r: r || ':' || coalesce(CAST(i.doc_number AS VARCHAR), '-')), ',') AS regions
+       array_to_string(list_transform(g.regions, lambda r: r || ':out' || r || ':' || coalesce(CAST(i.doc_number AS VARCHAR), '-')), ',') AS regions,
+       'group ' || g.group_id AS title
 FROM (SELECT s.session_id AS group_id, coalesce(x.doc_uuid, 'unknown-' || s.session_id) AS doc_uuid, s.result_doc_ids AS regions
       FROM v_sessions s LEFT JOIN v_ids x ON x.doc_number = s.session_id % (SELECT count(*) + 20 FROM documents)) g
 LEFT JOIN v_ids i USING (doc_uuid)"""
@@ -1104,13 +1213,15 @@ def rewrite_queue_ids(t: Tables) -> DataFrame:
     groups = t.sessions.select("session_id", "result_doc_ids", owner).join(t.doc_ids, "doc_number", "left").select(
         F.col("session_id").alias("group_id"),
         F.coalesce("doc_uuid", F.concat(F.lit("unknown-"), F.col("session_id").cast("string"))).alias("document_id"),
-        F.transform("result_doc_ids", lambda r: F.struct(r.alias("region_id"))).alias("regions"),
+        F.transform("result_doc_ids", lambda r: F.struct(r.alias("region_id"), F.concat(F.lit("out"), r.cast("string")).alias("htr_output"))).alias("regions"),
+        F.concat(F.lit("group "), F.col("session_id").cast("string")).alias("title"),
     )
     rewritten = D.rewrite_queue_ids(groups, t.doc_ids)
     shown = F.transform(
-        "regions", lambda r: F.concat(r["region_id"].cast("string"), F.lit(":"), F.coalesce(r["document_id"], F.lit("-")))
+        "regions",
+        lambda r: F.concat_ws(":", r["region_id"].cast("string"), r["htr_output"], F.coalesce(r["document_id"], F.lit("-"))),
     )
-    return rewritten.select("group_id", "document_id", "doc_number", "document_id_uuid", F.array_join(shown, ",").alias("regions"))
+    return rewritten.select("group_id", "document_id", "doc_number", "document_id_uuid", F.array_join(shown, ",").alias("regions"), "title")
 
 
 @query(

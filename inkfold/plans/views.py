@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.operators.ordered import running_count
-from inkfold.session import spread, tune
+from inkfold.session import tune
 
 SERVICES = 3
 MODELS = 4
@@ -33,7 +33,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread(self.table("documents"))
+        return self.table("documents")
 
     @cached_property
     def document_count(self) -> int:
@@ -223,7 +223,7 @@ class Tables:
         named = self.events.where(F.col("event_type") == "purchase").withColumn(
             "model", F.concat(F.lit("model"), (F.col("user_id") % MODELS).cast("string"))
         )
-        return running_count(named, ["model"], "ts", "version", ["event_id"], 86400).select(
+        return running_count(named, ["model"], "ts", "version", ["event_id"]).select(
             "model", "ts", "version"
         )
 
@@ -338,7 +338,13 @@ SELECT doc_id AS document_id, CAST((""" + " + ".join(
 FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents)""",
     "v_split": """
 SELECT l.*, CASE WHEN bucket / 10000.0 < 0.2 THEN 'val' ELSE 'train' END AS split
-FROM v_latest l JOIN v_buckets USING (document_id)""",
+FROM v_latest l JOIN v_buckets USING (document_id)
+WHERE correction_id IN (SELECT correction_id FROM v_judged WHERE reason IS NULL)""",
+    "v_cer": """
+SELECT split, corrected_text AS reference,
+       CASE region_id % 4 WHEN 0 THEN replace(original_text, 'an', 'nae') WHEN 1 THEN 'x' || substring(original_text, 2)
+            WHEN 2 THEN substring(original_text, 1, 20) || substring(original_text, 24) ELSE replace(original_text, 'é', 'è') END AS hypothesis
+FROM v_split""",
     "v_sessions": """
 SELECT event_id AS session_id, user_id, ts,
        list_value((event_id * 31) % n, (event_id * 31 + 97) % n, (event_id * 31 + 194) % n, (event_id * 31 + 291) % n, (event_id * 31) % n) AS result_doc_ids

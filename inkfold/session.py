@@ -46,13 +46,6 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small file scan (one row group is one task). A scan with at least as many
-    partitions as cores, so any large one, is returned as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which all executors share. It is the session's own setting; only a
     local session without one gets a temporary folder."""

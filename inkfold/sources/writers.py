@@ -9,7 +9,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.operators.corrections import archive_records, rows_to_shards, shard_counts, unarchived
+from inkfold.operators.corrections import (
+    archive_records,
+    document_grouped_split,
+    rows_to_shards,
+    shard_counts,
+    split_overlap,
+    unarchived,
+)
 from inkfold.session import checkpointed
 from inkfold.sources.readers import read_correction_archive
 
@@ -73,18 +80,31 @@ def write_snapshot(
 
 
 def manifest(
-    counts: DataFrame, version: str, created_at: str, report: DataFrame | None = None, val_fraction: float = 0.2
+    counts: DataFrame, version: str, created_at: str, report: DataFrame | None = None, val_fraction: float = 0.2,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
-    """One-row manifest from the rows per shard and the quality report."""
+    """One-row manifest from the rows per shard and the quality report. With the snapshot's ``rows``
+    (document_id, split) the leakage block holds what was found in them: documents in both splits, and
+    rows whose split is not the one their document's hash gives."""
+    measured = [
+        ("documents_in_both_splits", F.lit(None).cast("bigint")),
+        ("rows_against_split_rule", F.lit(None).cast("bigint")),
+    ]
+    if rows is not None:
+        ruled = document_grouped_split(rows.select("document_id", F.col("split").alias("given")), val_fraction)
+        wrong = ruled.agg(F.count_if(F.col("given") != F.col("split")).alias("n"))
+        shared = split_overlap(rows).agg(F.count("*").alias("n"))
+        measured = [("documents_in_both_splits", shared.scalar()), ("rows_against_split_rule", wrong.scalar())]
+    found = F.array(*[F.struct(F.lit(n).alias("check"), v.alias("violations")) for n, v in measured])
     def of(split, column):
         return F.coalesce(F.sum(F.when(F.col("split") == split, column)), F.lit(0))
 
-    rows, one = F.col("rows"), F.lit(1)
+    size, one = F.col("rows"), F.lit(1)
     totals = counts.agg(
         F.struct(
-            of("train", rows).alias("train"),
-            of("val", rows).alias("val"),
-            F.coalesce(F.sum(rows), F.lit(0)).alias("total"),
+            of("train", size).alias("train"),
+            of("val", size).alias("val"),
+            F.coalesce(F.sum(size), F.lit(0)).alias("total"),
         ).alias("counts"),
         F.struct(
             of("train", one).cast("int").alias("train"), of("val", one).cast("int").alias("val")
@@ -105,11 +125,7 @@ def manifest(
             F.lit("document_grouped_hash").alias("split_method"),
             F.lit(val_fraction).alias("val_fraction"),
             F.lit("sha256(document_id) % 10000 / 10000").alias("hash_algorithm"),
-            F.array(
-                F.lit("a document is in one split only"),
-                F.lit("a document stays in its split in every run"),
-                F.lit("inputs are crop images, never recognised text"),
-            ).alias("invariants"),
+            found.alias("invariants"),
         ).alias("leakage_prevention"),
         "counts",
         "shards",

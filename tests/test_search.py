@@ -51,10 +51,10 @@ def test_copies_of_one_chunk_stay_whole(spark):
 
 def test_approximate_search_recall(t):
     exact = {(q, p) for q, _, p in brute(t, 10)}
-    hits = S.approx_nearest_chunks(t.queries, t.vectors, 10, cells=8, probe=4, block_rows=60)
+    hits = S.approx_nearest_chunks(t.queries, t.vectors, 10, planes=5, flips=2, block_rows=60)
     found = {(r.query_id, r.point_key) for r in hits.collect()}
     assert len(found & exact) / len(exact) > 0.6
-    everything = S.approx_nearest_chunks(t.queries, t.vectors, 10, cells=8, probe=8)
+    everything = S.approx_nearest_chunks(t.queries, t.vectors, 10, planes=5, flips=5)
     assert {(r.query_id, r.point_key) for r in everything.collect()} == exact
 
 
