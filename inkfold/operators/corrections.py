@@ -177,7 +177,10 @@ def rejection_samples(judged: DataFrame, samples: int = 2) -> DataFrame:
 
 def quality_report(judged: DataFrame, samples: int = 2) -> DataFrame:
     """One row: totals, rejections per reason and sample rows per reason, as the manifest has
-    them. The collected lists hold at most ``samples`` rows per reason."""
+    them. The collected lists hold at most ``samples`` rows per reason. The judged rows are pinned, so
+    that what made them runs once for both."""
+    fields = ["correction_id", "region_id", "crop_s3_url", "original_text", "corrected_text"]
+    judged = checkpointed(judged.select("reason", *fields))
     counts = judged.groupBy("reason").agg(F.count("*").alias("n"))
     totals = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_candidates"),
@@ -191,7 +194,6 @@ def quality_report(judged: DataFrame, samples: int = 2) -> DataFrame:
             )
         ).alias("rejection_counts"),
     )
-    fields = ["correction_id", "region_id", "crop_s3_url", "original_text", "corrected_text"]
     listed = (
         rejection_samples(judged, samples)
         .select(
@@ -227,16 +229,17 @@ def split_overlap(df: DataFrame) -> DataFrame:
 
 def split_counts(df: DataFrame) -> DataFrame:
     """Rows and documents per split, and how many documents lie in more than one split."""
-    per_document = df.groupBy("document_id", "split").agg(F.count("*").alias("n"))
-    per_split = per_document.groupBy("split").agg(
-        F.sum("n").alias("corrections"), F.count("*").alias("documents")
-    )
-    shared = (
-        per_document.groupBy("document_id")
-        .agg(F.count("*").alias("splits"))
-        .agg(F.count_if(F.col("splits") > 1).alias("n"))
-    )
-    return per_split.select("*", shared.scalar().alias("overlap"))
+    names = ("train", "val")
+    per_document = df.groupBy("document_id").agg(*[F.count_if(F.col("split") == n).alias(n) for n in names])
+    shared = F.count_if((F.col("train") > 0) & (F.col("val") > 0))
+    totals = [
+        F.struct(
+            F.lit(n).alias("split"), F.sum(n).alias("corrections"), F.count_if(F.col(n) > 0).alias("documents"),
+            shared.alias("overlap"),
+        )
+        for n in names
+    ]
+    return per_document.agg(F.array(*totals).alias("t")).select(F.explode("t").alias("s")).select("s.*").where("documents > 0")
 
 
 def snapshot_projection(df: DataFrame) -> DataFrame:

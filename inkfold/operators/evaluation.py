@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.session import checkpointed
+from inkfold.operators.ordered import running_sum, with_chunk
 
 MIN_PROBABILITY = 1e-12
-BROADCAST_KEYS = 50_000
+# Format of a gate's output line (fixed value).
 GATE_LINE = r"^(\w+)\s*:\s*\{.*'status':\s*'(\w+)'.*'reason':\s*'([^']*)'"
 
 
@@ -105,76 +105,22 @@ def exact_order_statistics(
     keys: Sequence[str],
     value: str,
     ranks: dict[str, tuple[float, Callable[[Column], Column]]],
-    accuracy: int = 10_000,
-    small_group: int = 100_000,
 ) -> DataFrame:
     """Exact order statistics per key without sorting a whole key in one task.
 
-    ``ranks`` maps a name to (share, function from the row count to the 0-based rank). A first
-    pass brackets each rank with a quantile sketch whose rank error is 1/accuracy; the second
-    counts the rows below the bracket and ranks only the distinct values inside it (0.2 % of the
-    rows). Groups below ``small_group`` rows are their own bracket. A bracket that misses its rank
-    stops the job rather than give a wrong value."""
-    margin = 10.0 / accuracy
-    shares = []
-    for share, _ in ranks.values():
-        shares += [max(share - margin, 0.0), min(share + margin, 1.0)]
-    sketch = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx(value, shares, accuracy).alias("_q"),
-    )
-    wide = F.col("n") <= small_group
-    brackets = [
-        F.struct(
-            F.lit(name).alias("name"),
-            rank(F.col("n")).cast("bigint").alias("rank"),
-            F.when(~wide, F.col("_q")[2 * i]).alias("low"),
-            F.when(~wide, F.col("_q")[2 * i + 1]).alias("high"),
-        )
-        for i, (name, (_, rank)) in enumerate(ranks.items())
-    ]
-    # One row per key. It is pinned, so its size is known: up to BROADCAST_KEYS keys are sent to
-    # the rows, which then are not shuffled by key; beyond that Spark joins by key.
-    plan = checkpointed(sketch.select(*keys, "n", F.array(*brackets).alias("_brackets")))
-    if plan.count() <= BROADCAST_KEYS:
-        plan = F.broadcast(plan)
-    v = F.col(value)
-    b = F.col("_b")
-    placed = (
-        df.where(v.isNotNull())
-        .select(*keys, value)
-        .join(plan, list(keys))
-        .select(*keys, "n", value, F.explode("_brackets").alias("_b"))
-        .where(b["high"].isNull() | (v <= b["high"]))
-        .select(
-            *keys, "n", b["name"].alias("_name"), b["rank"].alias("_rank"),
-            F.when(b["low"].isNull() | (v >= b["low"]), v).alias("_v"),
-        )
-        .groupBy(*keys, "n", "_name", "_rank", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    upto = (
-        Window.partitionBy(*keys, "_name")
-        .orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    summed = placed.withColumn("_upto", F.sum("_c").over(upto))
-    hit = (
-        F.col("_v").isNotNull()
-        & (F.col("_rank") < F.col("_upto"))
-        & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
-    )
-    found = [
-        F.max(F.when(hit & (F.col("_name") == name), F.col("_v"))).alias(name) for name in ranks
-    ]
-    result = summed.groupBy(*keys, "n").agg(*found)
-    checked = [
-        F.when(F.col(name).isNull(), F.raise_error(F.lit(f"rank bracket of {name} missed")).cast("double"))
-        .otherwise(F.col(name))
-        .alias(name)
-        for name in ranks
-    ]
-    return result.select(*keys, "n", *checked)
+    ``ranks`` maps a name to (share, function from the row count to the 0-based rank). Equal values of
+    a key become one row with their count, with map-side combining; a running sum of the counts in
+    row-bounded blocks then tells which value holds each rank. Null values do not count."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    placed = with_chunk(counted, keys, value)
+    totals = placed.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    summed = running_sum(placed, keys, value, F.col("_c"), "_upto").join(totals, list(keys))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c")), F.col(value)))
+
+    found = [at(rank(F.col("n")).cast("bigint")).alias(name) for name, (_, rank) in ranks.items()]
+    return summed.groupBy(*keys, "n").agg(*found)
 
 
 def endpoint_benchmark(requests: DataFrame, approximate: bool = False) -> DataFrame:

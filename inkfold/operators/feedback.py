@@ -225,7 +225,12 @@ def kpi_columns() -> list[Column]:
 
 def usage_kpis(events: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Click-through, correction and fallback rates and similarity per (sliding) time window.
-    Only clicks count as click-through; ratings do not."""
+    Only clicks count as click-through; ratings do not.
+
+    A sliding window is put together from slide-wide buckets: the rows are counted once, and only the
+    buckets are copied to the windows they lie in."""
+    if slide:
+        return _sliding_kpis(events, width, slide)
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (
         events.groupBy(window.alias("w"))
@@ -235,6 +240,35 @@ def usage_kpis(events: DataFrame, width: str = "1 hour", slide: str | None = Non
     )
 
 
+def _sliding_kpis(events: DataFrame, width: str, slide: str) -> DataFrame:
+    kind = F.col("kind")
+    is_query = kind == "query"
+    counts = {
+        "queries": F.count_if(is_query), "clicks": F.count_if(kind == "click"), "requests": F.count_if(kind == "htr_request"),
+        "corrections": F.count_if(kind == "correction"),
+        "_fallbacks": F.count_if(is_query & F.coalesce("fallback", F.lit(False))),
+        "_n": F.count(F.when(is_query, F.col("similarity"))), "_sum": F.sum(F.when(is_query, F.col("similarity"))),
+        "_max": F.max(F.when(is_query, F.col("similarity"))),
+    }
+    buckets = events.groupBy(F.window("ts", slide)["start"].alias("_at")).agg(*[c.alias(n) for n, c in counts.items()])
+    reach = F.expr(f"INTERVAL {width}")
+    step = F.expr(f"INTERVAL {slide}")
+    starts = F.sequence(F.col("_at") - reach + step, F.col("_at"), step)
+    summed = (
+        buckets.withColumn("window_start", F.explode(starts))
+        .groupBy("window_start")
+        .agg(*[F.max(n).alias(n) if n == "_max" else F.sum(n).alias(n) for n in counts])
+    )
+    return summed.select(
+        "window_start", (F.col("window_start") + reach).alias("window_end"), "queries", "clicks", "requests", "corrections",
+        F.try_divide("clicks", "queries").alias("ctr"),
+        F.try_divide("corrections", "requests").alias("correction_rate"),
+        F.try_divide("_fallbacks", "queries").alias("fallback_rate"),
+        F.try_divide("_sum", "_n").alias("mean_similarity"),
+        F.col("_max").alias("max_similarity"),
+    )
+
+
 def purge_expired(feedback: DataFrame, now: Column, days: int = 90) -> DataFrame:
     """Feedback that is still within its retention time. Rows without a time are kept: nothing says
     that theirs is over."""

@@ -168,10 +168,10 @@ def best_chunk_per_document(t: Tables) -> DataFrame:
     return best.select("query_id", "document_id", "point_key", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("SELECT query_id, count(*) AS documents, max(rank) AS last_rank FROM v_top GROUP BY query_id")
+@query("SELECT query_id, rank, document_id, point_key, round(score, 4) AS score FROM v_top")
 def top_k_documents(t: Tables) -> DataFrame:
     top = S.semantic_hits(t.queries, t.vectors, k=5)
-    return top.groupBy("query_id").agg(F.count("*").alias("documents"), F.max("rank").cast("bigint").alias("last_rank"))
+    return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "document_id", "point_key", F.round("score", 4).alias("score"))
 
 
 SEMANTIC_SQL = """
@@ -212,16 +212,11 @@ def valid_queries(t: Tables) -> DataFrame:
 @query(
     """
 SELECT session_id, user_id, document_id FROM (SELECT session_id, user_id, unnest(result_doc_ids) AS document_id FROM v_sessions)
-WHERE (user_id + document_id) % 3 <> 0"""
+WHERE (user_id, document_id) IN (SELECT (user_id, document_id) FROM v_acl)"""
 )
 def visible_to(t: Tables) -> DataFrame:
     shown = t.sessions.select("session_id", "user_id", F.explode("result_doc_ids").alias("document_id"))
-    return S.visible_to(shown, _grants(shown)).select("session_id", "user_id", "document_id")
-
-
-def _grants(pairs: DataFrame) -> DataFrame:
-    granted = (F.col("user_id") + F.col("document_id")) % 3 != 0
-    return pairs.select("user_id", "document_id").distinct().where(granted)
+    return S.visible_to(shown, t.acl).select("session_id", "user_id", "document_id")
 
 
 @query(
@@ -231,13 +226,12 @@ SELECT q.query_id, array_to_string(list_concat(keyword_ids, coalesce(new, [])),
 FROM v_queries q LEFT JOIN (
     SELECT q.query_id, list(h.document_id ORDER BY h.score DESC, h.document_id) AS new
     FROM v_queries q JOIN v_top h USING (query_id)
-    WHERE (q.user_id + h.document_id) % 3 <> 0 AND NOT list_contains(q.keyword_ids, h.document_id) GROUP BY q.query_id
+    WHERE (q.user_id, h.document_id) IN (SELECT (user_id, document_id) FROM v_acl) AND NOT list_contains(q.keyword_ids, h.document_id) GROUP BY q.query_id
 ) n USING (query_id)"""
 )
 def merge_keyword_semantic(t: Tables) -> DataFrame:
     hits = S.semantic_hits(t.queries, t.vectors, k=5)
-    owned = hits.join(t.queries.select("query_id", "user_id"), "query_id")
-    merged = S.merge_keyword_semantic(t.queries.drop("vector"), hits, _grants(owned))
+    merged = S.merge_keyword_semantic(t.queries.drop("vector"), hits, t.acl)
     ids = F.transform("merged_ids", lambda d: d.cast("string"))
     return merged.select("query_id", F.array_join(ids, ",").alias("merged_ids"), "ml_semantic_added", "total")
 

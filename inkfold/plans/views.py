@@ -146,6 +146,13 @@ class Tables:
             F.col("event_id").alias("session_id"), "user_id", "ts", shown.alias("result_doc_ids")
         )
 
+    @cached_property
+    def acl(self) -> DataFrame:
+        """Who may see which document: every event grants its user a run of ten documents."""
+        first = F.col("event_id") * 7 % self.document_count
+        runs = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (first + k * 13) % self.document_count)
+        return self.events.select("user_id", F.explode(runs).alias("document_id")).distinct()
+
     @cached_property
     def feedback_events(self) -> DataFrame:
         """Feedback in the event vocabulary, kind + rating."""
@@ -353,6 +360,9 @@ FROM events, (SELECT count(*) AS n FROM documents) WHERE event_type = 'view'""",
 SELECT event_id AS feedback_id, user_id, ts, (event_id * 31) % n AS document_id,
        CASE event_type WHEN 'purchase' THEN 'thumbs_up' WHEN 'error' THEN 'thumbs_down' ELSE 'click' END AS feedback_type
 FROM events, (SELECT count(*) AS n FROM documents) WHERE event_type IN ('purchase', 'error', 'click')""",
+    "v_acl": """
+SELECT DISTINCT user_id, (event_id * 7 % n + k * 13) % n AS document_id
+FROM events, (SELECT count(*) AS n FROM documents), range(10) AS r(k)""",
     "v_impressions": """
 SELECT document_id, count(*) AS total_impressions
 FROM (SELECT DISTINCT session_id, unnest(result_doc_ids) AS document_id FROM v_sessions) GROUP BY document_id""",

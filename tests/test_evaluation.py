@@ -79,7 +79,7 @@ def test_order_statistics_through_sketch_brackets(spark, spread):
     ranks = {
         "lo": (0.5, lambda n: F.floor((n - 1) / 2)), "hi": (0.5, lambda n: F.floor(n / 2)), "p95": (0.95, lambda n: F.floor(n * 0.95)),
     }
-    got = {r.k: r for r in E.exact_order_statistics(df, ["k"], "v", ranks, small_group=100).collect()}
+    got = {r.k: r for r in E.exact_order_statistics(df, ["k"], "v", ranks).collect()}
     for k, values in data.items():
         values.sort()
         assert (got[k].lo + got[k].hi) / 2 == statistics.median(values)
