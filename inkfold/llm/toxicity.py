@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained: one on ordinary text, one on toxic text.
 with the ordinary one alone and with the toxic one in front of it; the bytes saved by the toxic one are the window's
 distance. As both share the ordinary part, ordinary text saves next to nothing. Training goes in rounds: ordinary
 windows that the toxic dictionary still helps are trained into the ordinary one, and the toxic one is trained anew on
-the windows of toxic documents that it helps.
+the windows of toxic documents that it helps. A word repeated within a window refers to itself and counts once.
 
 The dictionaries are trained on one part of a bounded sample of labelled documents; shares of windows above fixed
 savings become a probability by logistic regression on another part. Held-out labels are never read."""
@@ -128,10 +128,8 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], t:
     return models
 
 
-def calibrate(model: Model, rows: np.ndarray, labels: np.ndarray, sample_weights: np.ndarray) -> tuple[Model, float]:
-    """Logistic regression (Newton, small ridge) of the labels on the features, and its weighted log loss."""
-    mean, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
-    x = np.hstack([(rows - mean) / scale, np.ones((len(rows), 1))])
+def _logistic(x: np.ndarray, labels: np.ndarray, sample_weights: np.ndarray) -> np.ndarray:
+    """Weights by Newton steps with a small ridge; the last column is the constant."""
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], 1e-2 * max(1.0, sample_weights.sum() / 100))
     ridge[-1] = 1e-6
@@ -143,6 +141,23 @@ def calibrate(model: Model, rows: np.ndarray, labels: np.ndarray, sample_weights
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
+    return w
+
+
+def calibrate(model: Model, rows: np.ndarray, labels: np.ndarray, sample_weights: np.ndarray) -> tuple[Model, float]:
+    """Logistic regression of the labels on the features, and its weighted log loss. More savings never lower a score:
+    features whose weight would be negative are left out, the most negative first."""
+    mean, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
+    x = np.hstack([(rows - mean) / scale, np.ones((len(rows), 1))])
+    used = np.ones(x.shape[1], dtype=bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        w[used] = _logistic(x[:, used], labels, sample_weights)
+        wrong = used & (w < 0)
+        wrong[-1] = False
+        if not wrong.any():
+            break
+        used[np.argmin(np.where(wrong, w, np.inf))] = False
     p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
     loss = -float((sample_weights * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / sample_weights.sum())
     return Model(model.ordinary, model.toxic, model.level, mean.tolist(), scale.tolist(), w[:-1].tolist(), float(w[-1])), loss
