@@ -12,6 +12,7 @@ FEEDBACK_COUNTERS = {
     "/api/ml/htr/corrections/": "/metrics/correction-recorded",
     "/api/ml/search/feedback/": "/metrics/click-recorded",
 }
+# Columns that an upsert overwrites (fixed values).
 UPDATED_FIELDS = ["page_count", "tesseract_text", "htr_text", "merged_text", "source"]
 
 
@@ -132,6 +133,7 @@ def rewrite_queue_ids(groups: DataFrame, ids: DataFrame) -> DataFrame:
 def rewrite_doc_paths(log: DataFrame, ids: DataFrame, row_id: str = "event_id") -> DataFrame:
     """Add ``rewritten_path``: document paths with a mapped uuid get the integer id, all other
     paths stay as they are. ``row_id`` spreads the many lines without a document."""
+    # Path of a document page (fixed value).
     pattern = r"^/api/documents/([0-9a-fA-F-]{36})(/.*)?$"
     uuid = F.lower(F.regexp_extract("path", pattern, 1))
     mapping = ids.select(F.lower("doc_uuid").alias("_uuid"), F.col("doc_number").alias("_n"))

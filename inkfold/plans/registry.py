@@ -915,25 +915,30 @@ def quality_by_source(t: Tables) -> DataFrame:
     return E.quality_by_source(rows)
 
 
+# One value of each JSON kind, and what the checker calls it (fixed values).
+JSON_KINDS = {"true": None, "1": "int", "1.5": "float", "null": "NoneType", "[1]": "list", '{"a":1}': "dict", '"yes"': "str"}
+
+
 def _response(t: Tables) -> DataFrame:
-    """Recognition responses as JSON, some with a missing field or a wrong type."""
-    kind = F.col("event_type")
-    body = F.struct(
-        F.col("user_id").cast("string").alias("region_id"),
-        F.when(kind != "error", kind).alias("htr_output"),
-        (F.col("value") / 500).alias("htr_confidence"),
-        F.when(kind == "click", "no").otherwise("yes").alias("htr_flagged"),
-        F.lit("htr_v1").alias("model_version"),
-        F.col("event_id").alias("inference_time_ms"),
-    )
-    return t.events.select("event_id", F.to_json(body).alias("body"))
+    """Recognition responses as JSON text: a field of every JSON kind, a missing field, no object, no JSON."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    flagged = F.get(F.array(*map(F.lit, JSON_KINDS)), (n % len(JSON_KINDS)).cast("int"))
+    output = F.when(kind == "error", "").otherwise(F.concat(F.lit('"htr_output": "'), kind, F.lit('", ')))
+    body = F.concat(
+        F.lit('{"region_id": "'), F.col("user_id").cast("string"), F.lit('", '), output, F.lit('"htr_confidence": 0.5, "htr_flagged": '),
+        flagged, F.lit(', "model_version": "htr_v1", "inference_time_ms": '), n.cast("string"), F.lit("}"),
+    )
+    return t.events.select("event_id", F.when(n % 11 == 0, "[1, 2").when(n % 13 == 0, "[1, 2]").otherwise(body).alias("body"))
 
 
 @query(
     """
-SELECT event_id, array_to_string(list_filter(list_value(
-    CASE WHEN event_type = 'error' THEN 'missing field: htr_output' END,
-    'field ''htr_flagged'': expected bool, got str'), lambda x: x IS NOT NULL), '; ') AS violations FROM events"""
+SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'not a JSON object' ELSE
+    array_to_string(list_filter(list_value(
+        CASE WHEN event_type = 'error' THEN 'missing field: htr_output' END,
+        'field ''htr_flagged'': expected bool, got ' || ["""
+    + ", ".join("NULL" if k is None else f"'{k}'" for k in JSON_KINDS.values())
+    + """][event_id % 7 + 1]), lambda x: x IS NOT NULL), '; ') END AS violations FROM events"""
 )
 def contract_violations(t: Tables) -> DataFrame:
     checked = E.contract_violations(_response(t), CONTRACTS["htr_output"])

@@ -26,6 +26,7 @@ FEEDBACK_ROWS = (
     "id BIGINT, document_id BIGINT, user_id BIGINT, kind STRING, correction_text STRING, "
     "rating SMALLINT, query_text STRING, metadata STRING, created_at TIMESTAMP"
 )
+# Names of the data tables (fixed values).
 ML_TABLES = {
     "documents": DOCUMENTS,
     "document_pages": DOCUMENT_PAGES,
@@ -36,6 +37,7 @@ ML_TABLES = {
     "feedback": FEEDBACK_ROWS,
 }
 
+# Field names of the archive, the snapshot and the event topics (fixed values).
 CORRECTION_ARCHIVE = (
     "correction_id STRING, region_id STRING, document_id STRING, original_text STRING, "
     "corrected_text STRING, opted_in BOOLEAN, user_id STRING, corrected_at STRING, "
@@ -48,6 +50,7 @@ TRAINING_SNAPSHOT = (
 LINE_IMAGES = "image_id STRING, image_png BINARY, transcription STRING, split STRING"
 
 _ENVELOPE = "event_id STRING, event_type STRING, emitted_at STRING, "
+# Event topics and their fields (fixed values).
 EVENT_TOPICS = {
     "uploads": _ENVELOPE
     + "doc_number BIGINT, title STRING, mime_type STRING, page_count INT, uploaded_at STRING, "
