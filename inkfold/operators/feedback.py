@@ -227,9 +227,9 @@ def usage_kpis(events: DataFrame, width: str = "1 hour", slide: str | None = Non
     """Click-through, correction and fallback rates and similarity per (sliding) time window.
     Only clicks count as click-through; ratings do not.
 
-    A sliding window is put together from slide-wide buckets: the rows are counted once, and only the
-    buckets are copied to the windows they lie in."""
-    if slide:
+    In a batch a sliding window is put together from slide-wide buckets: the rows are counted once, and
+    only the buckets are copied to the windows they lie in."""
+    if slide and not events.isStreaming:
         return _sliding_kpis(events, width, slide)
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (

@@ -1316,6 +1316,21 @@ def _event_stream(t: Tables) -> DataFrame:
     return _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _closed_feed(t: Tables) -> DataFrame:
+    """All events as a stream that ends with a closing view and purchase one day later, so that the
+    watermark passes everything before them."""
+    path = scratch_path(t.spark, "feed")
+    events = t.table("events")
+    events.write.parquet(path)
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    kinds = F.array(F.struct(F.lit(-2).alias("id"), F.lit("view").alias("kind")), F.struct(F.lit(-10).alias("id"), F.lit("purchase").alias("kind")))
+    closing = last.select("ts", F.explode(kinds).alias("k")).select(F.col("k.id").cast("bigint").alias("event_id"), "ts", F.col("k.kind").alias("event_type"))
+    missing = [f for f in events.schema if f.name not in closing.columns]
+    closing = closing.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(*events.columns)
+    closing.coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(events.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _drain(t: Tables, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there into Parquet in the shared folder; return the result."""
     path = scratch_path(t.spark, name)
@@ -1330,11 +1345,11 @@ def dedup_events(t: Tables) -> DataFrame:
     return _drain(t, J.dedup_events(twice), "dedup").select("event_id", "event_type")
 
 
-@query(KPI_SQL.format(source=TUMBLING) + " HAVING window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+@query(KPI_SQL.format(source=TUMBLING))
 def kpi_stream(t: Tables) -> DataFrame:
-    """Windows the watermark has closed."""
+    """The stream's windows are those of the batch form, the last one included."""
     live = Tables(t.spark, t.folder)
-    live.events = _event_stream(t)
+    live.events = _closed_feed(t)
     return _rounded_kpis(_drain(t, J.kpi_stream(live.kpi_events), "kpis"))
 
 
@@ -1355,17 +1370,18 @@ def alert_stream(t: Tables) -> DataFrame:
     return _drain(t, J.alert_stream(samples, 300), "alerts")
 
 
-@query("SELECT event_id, matched_by_id, round(seconds, 3) AS seconds FROM (SELECT p.event_id, CASE WHEN p.ts - q.ts <= INTERVAL 30 MINUTE THEN q.event_id END AS matched_by_id, CASE WHEN p.ts - q.ts <= INTERVAL 30 MINUTE THEN epoch_us(p.ts - q.ts) / 1e6 END AS seconds FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') q ON q.event_id = p.event_id - 1) WHERE matched_by_id IS NOT NULL")
+@query("SELECT event_id, matched_by_id, round(seconds, 3) AS seconds FROM (SELECT p.event_id, CASE WHEN p.ts - q.ts <= INTERVAL 30 MINUTE THEN q.event_id END AS matched_by_id, CASE WHEN p.ts - q.ts <= INTERVAL 30 MINUTE THEN epoch_us(p.ts - q.ts) / 1e6 END AS seconds FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') q ON q.event_id = p.event_id - 1)")
 def attribute_feedback_stream(t: Tables) -> DataFrame:
-    """Matched rows only: an unmatched one is written when its watermark has passed."""
+    """Matched and unmatched rows: the latter are written once the watermark has passed them."""
     kind = F.col("event_type")
-    asked = _event_stream(t).where(kind == "view").select("event_id", "ts", F.lit("q").alias("query_text"))
-    given = _event_stream(t).where(kind == "purchase").select(
+    feed = _closed_feed(t)
+    asked = feed.where(kind == "view").select("event_id", "ts", F.lit("q").alias("query_text"))
+    given = feed.where(kind == "purchase").select(
         F.col("event_id").alias("feedback_id"), "ts", (F.col("event_id") - 1).alias("query_id")
     )
     joined = _drain(t, J.attribute_feedback_stream(asked, given), "attribution")
     gap = (F.unix_micros("ts") - F.unix_micros("asked_at")) / 1e6
-    return joined.where(F.col("matched_query_id").isNotNull()).select(
+    return joined.select(
         F.col("feedback_id").alias("event_id"), F.col("matched_query_id").alias("matched_by_id"), F.round(gap, 3).alias("seconds")
     )
 
