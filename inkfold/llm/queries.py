@@ -9,7 +9,7 @@ from inkfold.llm.fingerprints import op3_fingerprints
 from inkfold.llm.license_scan import OP4_SQL, op4_license_scan
 from inkfold.llm.mixing import OP7_SQL, op7_mixing
 from inkfold.llm.near_dedup import op6_near_dedup
-from inkfold.llm.secret_scan import op8_secret_scan
+from inkfold.llm.secret_scan import OP8_SQL, op8_secret_scan
 from inkfold.llm.toxicity import op10_toxicity
 from inkfold.llm.url_filter import OP5_SQL, op5_url_filter
 
@@ -25,4 +25,11 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_topk_search": OP2_SQL, "op4_license_scan": OP4_SQL, "op5_url_filter": OP5_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {
+    "op1_chat_format": OP1_SQL,
+    "op2_topk_search": OP2_SQL,
+    "op4_license_scan": OP4_SQL,
+    "op5_url_filter": OP5_SQL,
+    "op7_mixing": OP7_SQL,
+    "op8_secret_scan": OP8_SQL,
+}

@@ -202,3 +202,61 @@ def mask_secrets(df: DataFrame) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return span_digest(secret_spans(table(spark, folder, "documents")))
+
+
+def secret_sql() -> str:
+    """The scan in DuckDB SQL: positions from split lengths, the interval join as a range frame."""
+
+    def plain(pattern: str) -> str:
+        """Letters of ``(?i:...)`` in either ASCII case, as an SQL string."""
+        out, i = "", 0
+        while i < len(pattern):
+            if pattern.startswith("(?i:", i):
+                end = pattern.index(")", i)
+                out += "(?:" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in pattern[i + 4 : end]) + ")"
+                i = end + 1
+            else:
+                out += pattern[i]
+                i += 1
+        return "'" + out.replace("'", "''") + "'"
+
+    patterns = [ASSIGN, ACCESS, HEX, TOKEN, ACCOUNT, ENDPOINT]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS kind, string_split_regex(text, {plain(p)}) AS gaps, regexp_extract_all(text, {plain(p)}, 0) AS hits, "
+        f"regexp_extract_all(text, {plain(p)}, {2 if k == 0 else 0}) AS vals FROM d"
+        for k, p in enumerate(patterns)
+    )
+    strong = ", ".join(str(k) for k, name in enumerate(KINDS) if PARTS[name][1])
+    members = {c: [k for k, name in enumerate(KINDS) if PARTS[name][0] == c] for c in CLASSES}
+    flags = ", ".join(
+        f"coalesce(bool_or(kind IN ({', '.join(map(str, ks))})) OVER near, false) AS any_{c}, "
+        f"coalesce(bool_or(kind IN ({', '.join(map(str, ks))}) AND kind IN ({strong})) OVER near, false) AS strong_{c}"
+        for c, ks in members.items()
+    )
+    linked = " OR ".join(
+        f"(kind IN ({', '.join(map(str, members[c]))}) AND (strong_{a} OR strong_{b} OR (any_{a} AND any_{b})))"
+        for c in CLASSES
+        for a, b in [[x for x in CLASSES if x != c]]
+    )
+    names = "[" + ", ".join(f"'{n}'" for n in KINDS) + "]"
+    one = f"({names})[kind + 1] || ':' || s || ':' || e"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, kind, i, length(gaps[i]) AS gap, hits[i] AS hit, vals[i] AS val
+      FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM ({found}))),
+pos AS (SELECT *, sum(gap + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM m),
+p AS (SELECT doc_id, kind, CAST(e - length(hit) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM pos
+      WHERE CASE kind WHEN 0 THEN length(val) >= {LEAST_VALUE}
+                      WHEN 3 THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND NOT regexp_matches(hit, '{HEX}')
+                      ELSE true END),
+q AS (SELECT * FROM (SELECT *, max(CASE WHEN kind IN ({strong}) THEN e END) OVER (PARTITION BY doc_id ORDER BY s, kind ROWS UNBOUNDED PRECEDING) AS covered FROM p)
+      WHERE NOT (kind = 3 AND coalesce(covered, 0) > s)),
+r AS (SELECT *, {flags} FROM q WINDOW near AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
+k AS (SELECT doc_id, kind, s, e FROM r WHERE kind IN ({strong}) OR {linked})
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg({one}, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg({one}, ',' ORDER BY s, kind) FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+OP8_SQL = secret_sql()

@@ -1,4 +1,7 @@
-from inkfold.llm.secret_scan import mask_secrets, secret_spans, span_digest
+import duckdb
+
+from check import connect, rows
+from inkfold.llm.secret_scan import OP8_SQL, mask_secrets, op8_secret_scan, secret_spans, span_digest
 from tests.llm import brute
 
 HARD = [
@@ -54,3 +57,11 @@ def test_masks_every_span(spark):
     got = {r.doc_id: r.text for r in mask_secrets(df).collect()}
     assert got == {i: masked(t) for i, t in enumerate(HARD)}
     assert mask_secrets(df).columns == df.columns
+
+
+def test_query_equals_sql(spark, sf):
+    assert rows(op8_secret_scan(spark, sf).toPandas()) == rows(connect(sf).execute(OP8_SQL).df())
+    con = duckdb.connect()
+    con.register("documents", frame(spark, HARD[:11] + HARD[12:]).toPandas())
+    got = span_digest(secret_spans(frame(spark, HARD[:11] + HARD[12:]))).toPandas()
+    assert rows(got) == rows(con.execute(OP8_SQL).df())
