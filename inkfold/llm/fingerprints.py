@@ -24,7 +24,7 @@ from inkfold.llm.common import keyed_texts, table
 
 SAMPLE = 128
 FIRST_LEVEL = 2
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 MOST_CHARS = 4_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -232,10 +232,13 @@ def compare_with_next(df: DataFrame) -> DataFrame:
 
         def judged(pairs: list[tuple[int | None, str, str]]) -> pd.DataFrame:
             edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for _, t, n in pairs]
-            parsed = parse([t for _, t, _ in pairs] + edited + [n for _, _, n in pairs])
-            k, rows = len(pairs), []
-            for i, (doc_id, text, _) in enumerate(pairs):
-                me, other, following = parsed[i], parsed[k + i], parsed[2 * k + i]
+            # A text is the next one of the row before it, so most are needed twice and parsed once.
+            place: dict[str, int] = {}
+            for t in (x for (_, text, following), e in zip(pairs, edited, strict=True) for x in (text, e, following)):
+                place.setdefault(t, len(place))
+            parsed, rows = parse(list(place)), []
+            for i, (doc_id, text, following_text) in enumerate(pairs):
+                me, other, following = (parsed[place[t]] for t in (text, edited[i], following_text))
                 digest = hashlib.sha256(edited[i].encode("utf-8")).hexdigest()
                 rows.append((doc_id, len(text), digest, as_text(*me), as_text(*other), likeness(me, other), likeness(me, following)))
             names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
