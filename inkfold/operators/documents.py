@@ -60,6 +60,30 @@ def upsert_documents(existing: DataFrame, updates: DataFrame) -> DataFrame:
     return old.join(new, F.col("old.doc_number") == F.col("new.doc_number"), "full").select(*columns)
 
 
+def newest_documents(rows: DataFrame) -> DataFrame:
+    """Stored document versions -> one row per ``doc_number`` (with its ``_version``): the updated fields
+    of the newest version, wherever it was stored; id, filename and the rest as first stored."""
+    age = F.struct("_version", "batch")
+    names = [c for c in rows.columns if c not in ("doc_number", "_version", "batch")]
+    kept = [c for c in names if c not in UPDATED_FIELDS]
+    updated = [c for c in names if c in UPDATED_FIELDS]
+    one = rows.groupBy("doc_number").agg(
+        F.min_by(F.struct(*kept), F.struct("batch", "_version")).alias("k"),
+        F.max_by(F.struct(*updated), age).alias("u"),
+        F.max("_version").alias("_version"),
+    )
+    fields = [F.col(f"{'u' if c in updated else 'k'}.{c}").alias(c) for c in names]
+    return one.select("doc_number", *fields, "_version")
+
+
+def newest_of(rows: DataFrame, key: str) -> DataFrame:
+    """Of stored row sets, one per ``key`` and version, the rows of the newest version of each key (with
+    ``_version``): what an update did not bring again is gone."""
+    newest = rows.groupBy(key).agg(F.max(F.struct("_version", "batch")).alias("_newest"))
+    same = (F.col("_version").eqNullSafe(F.col("_newest._version"))) & (F.col("batch") == F.col("_newest.batch"))
+    return rows.join(newest, key).where(same).drop("_newest", "batch").select(*[c for c in rows.columns if c != "batch"])
+
+
 def reprocess_guard(
     documents: DataFrame, pages: DataFrame, regions: DataFrame, corrections: DataFrame
 ) -> DataFrame:

@@ -17,7 +17,15 @@ from inkfold.operators import lifecycle as L
 from inkfold.operators import monitoring as M
 from inkfold.operators import search as S
 from inkfold.plans.views import Tables, with_views
-from inkfold.schemas import CONFIDENCE_BUCKETS, CONTRACTS, SIMILARITY_BUCKETS
+from inkfold.schemas import (
+    CHUNK_POINTS,
+    CONFIDENCE_BUCKETS,
+    CONTRACTS,
+    DOCUMENT_PAGES,
+    DOCUMENTS,
+    HANDWRITTEN_REGIONS,
+    SIMILARITY_BUCKETS,
+)
 from inkfold.session import scratch_path
 from inkfold.sources import readers as R
 from inkfold.sources import writers as W
@@ -1393,7 +1401,7 @@ def index_documents(t: Tables) -> DataFrame:
         F.col("doc_id").alias("document_id"), "text", F.lit("2024-01-01").cast("timestamp").alias("ts")
     )
     J.index_documents(docs, S.hashing_encoder, f"{path}/table", f"{path}/checkpoint", once=True).awaitTermination()
-    table = W.read_buckets(t.spark, f"{path}/table", J.CHUNK_POINTS)
+    table = D.newest_of(W.read_versions(t.spark, f"{path}/table", CHUNK_POINTS), "document_id")
     return table.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "id", F.md5("chunk_text").alias("chunk"))
 
 
@@ -1411,25 +1419,57 @@ def archive_stream(t: Tables) -> DataFrame:
 
 @query(
     """
-SELECT user_id AS doc_number, 'doc ' || arg_max(event_id, ts) AS filename, CAST(arg_max(event_id, ts) % 9 + 1 AS INTEGER) AS page_count
-FROM events WHERE event_type <> 'error' GROUP BY user_id"""
+SELECT user_id AS doc_number, 'doc ' || user_id AS filename, CAST(n AS INTEGER) AS page_count, n AS pages, CAST(ceil(n / 2) AS BIGINT) AS regions
+FROM (SELECT user_id, arg_max(event_id, ts) % 9 + 1 AS n FROM events WHERE event_type <> 'error' GROUP BY user_id)
+UNION ALL SELECT -1, 'dead letters', NULL, count(*), NULL FROM events WHERE event_type = 'error'"""
 )
 def process_uploads(t: Tables) -> DataFrame:
+    """The uploads in four micro-batches, in no order of time; documents, pages and regions as resolved
+    from the stored versions (documents compacted in between), and the dead letters."""
     path = scratch_path(t.spark, "uploads")
+    t.events.repartition(4).write.parquet(f"{path}/feed")
+    feed = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/feed")
     number = F.when(F.col("event_type") != "error", F.col("user_id"))
-    uploads = _event_stream(t).select(
+    uploads = feed.select(
         F.col("event_id").cast("string").alias("event_id"), number.alias("doc_number"),
-        F.concat(F.lit("doc "), F.col("event_id").cast("string")).alias("title"),
+        F.concat(F.lit("doc "), number.cast("string")).alias("title"),
         (F.col("event_id") % 9 + 1).cast("int").alias("page_count"), "ts", F.col("props").alias("raw"),
     )
 
-    def recognise(batch: DataFrame) -> DataFrame:
+    def recognise(batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         none = F.lit(None).cast("string")
-        return batch.select(
-            F.md5(F.col("doc_number").cast("string")).alias("id"), "doc_number", F.col("title").alias("filename"),
+        document_id = F.md5(F.col("doc_number").cast("string"))
+        documents = batch.select(
+            document_id.alias("id"), "doc_number", F.col("title").alias("filename"),
             F.lit("user_upload").alias("source"), "page_count", none.alias("tesseract_text"), none.alias("htr_text"),
             none.alias("merged_text"), F.lit(None).cast("timestamp").alias("deleted_at"), F.col("ts").alias("updated_at"),
         )
-
-    J.process_uploads(uploads, recognise, f"{path}/table", f"{path}/bad", f"{path}/checkpoint", once=True).awaitTermination()
-    return W.read_buckets(t.spark, f"{path}/table", J.DOCUMENTS).select("doc_number", "filename", "page_count")
+        no = F.explode(F.sequence(F.lit(1), "page_count"))
+        pages = batch.select(document_id.alias("document_id"), no.alias("page_number"), F.col("ts").alias("updated_at")).select(
+            F.concat_ws("-", "document_id", "page_number").alias("id"), "document_id", "page_number", none.alias("image_s3_url"),
+            F.concat(F.lit("page "), F.col("page_number").cast("string")).alias("tesseract_text"), none.alias("htr_text"),
+            F.lit(0.9).alias("htr_confidence"), F.lit(False).alias("htr_flagged"), "updated_at",
+        )
+        regions = pages.where("page_number % 2 = 1").select(
+            F.concat(F.lit("r-"), F.col("id")).alias("id"), F.col("id").alias("page_id"), none.alias("crop_s3_url"),
+            none.alias("htr_output"), F.lit(0.8).alias("htr_confidence"), "updated_at",
+        )
+        return documents, pages, regions
+
+    names = ("documents", "pages", "regions")
+    J.process_uploads(
+        uploads, recognise, f"{path}/documents", f"{path}/bad", f"{path}/checkpoint", once=True, pages_path=f"{path}/pages", regions_path=f"{path}/regions"
+    ).awaitTermination()
+    W.compact_versions(t.spark, f"{path}/documents", DOCUMENTS, D.newest_documents, "v1")
+    schemas = dict(zip(names, (DOCUMENTS, DOCUMENT_PAGES, HANDWRITTEN_REGIONS), strict=True))
+    stored = {n: W.read_versions(t.spark, f"{path}/{n}", schemas[n]) for n in names}
+    documents = D.newest_documents(stored["documents"])
+    pages = D.newest_of(stored["pages"], "document_id")
+    regions = D.newest_of(stored["regions"], "page_id").join(pages.select(F.col("id").alias("page_id"), "document_id"), "page_id")
+    per_document = pages.groupBy("document_id").agg(F.count("*").alias("pages"))
+    found = regions.groupBy("document_id").agg(F.count("*").alias("regions"))
+    out = documents.withColumnRenamed("id", "document_id").join(per_document, "document_id").join(found, "document_id")
+    bad = t.spark.read.json(f"{path}/bad").agg(F.count("*").alias("pages"))
+    return out.select("doc_number", "filename", "page_count", "pages", "regions").unionByName(
+        bad.select(F.lit(-1).cast("bigint").alias("doc_number"), F.lit("dead letters").alias("filename"), "pages"), allowMissingColumns=True
+    )

@@ -17,7 +17,6 @@ from inkfold.operators.corrections import (
     split_overlap,
     unarchived,
 )
-from inkfold.session import checkpointed
 from inkfold.sources.readers import read_correction_archive
 
 
@@ -160,43 +159,53 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/data/{newest['version']}")
 
 
-def read_buckets(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table kept by ``merge_buckets``; empty where it does not exist yet."""
+def append_version(rows: DataFrame, path: str, batch_id: int, version: Column) -> None:
+    """Store a micro-batch's own rows, with their ``version`` time, in a folder of their own. Nothing
+    that is there is read or rewritten; a repeated batch replaces itself."""
+    rows.withColumn("_version", version.cast("timestamp")).write.mode("overwrite").parquet(
+        f"{path}/batches/batch={batch_id}"
+    )
+
+
+def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All stored rows with ``_version`` and ``batch``: the newest compacted base (batch -1) and the
+    batches after it. Empty where nothing is stored yet."""
+    full = f"{schema}, _version TIMESTAMP"
+    base, upto = None, -1
+    pointer = _read_or_none(spark.read.schema("base STRING, upto BIGINT, written_at TIMESTAMP").json, f"{path}/current")
+    if pointer is not None:
+        newest = pointer.agg(F.max_by(F.struct("base", "upto"), "written_at").alias("p")).first()["p"]
+        base, upto = newest["base"], newest["upto"]
+    batches = _read_or_none(spark.read.schema(f"{full}, batch BIGINT").parquet, f"{path}/batches")
+    if batches is None:
+        batches = spark.createDataFrame([], f"{full}, batch BIGINT")
+    rows = batches.where(F.col("batch") > upto)
+    if base is not None:
+        stored = spark.read.schema(full).parquet(f"{path}/base/{base}")
+        rows = rows.unionByName(stored.withColumn("batch", F.lit(-1).cast("bigint")))
+    return rows
+
+
+def _read_or_none(read: Callable[[str], DataFrame], path: str) -> DataFrame | None:
     try:
-        return spark.read.schema(f"{schema}, bucket INT").parquet(path)
+        return read(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], f"{schema}, bucket INT")
+        return None
 
 
-def merge_buckets(
-    changes: DataFrame,
-    path: str,
-    schema: str,
-    key: str,
-    merge: Callable[[DataFrame, DataFrame], DataFrame],
-    buckets: int = 64,
+def compact_versions(
+    spark: SparkSession, path: str, schema: str, resolve: Callable[[DataFrame], DataFrame], name: str
 ) -> None:
-    """Merge ``changes`` into a Parquet table that is partitioned by a hash bucket of ``key``.
-
-    Only buckets with changes are read and rewritten (dynamic partition overwrite). The merged rows
-    are pinned by a checkpoint before anything is overwritten, so a lost executor cannot lose rows;
-    repeating a merge gives the same table. Choose ``buckets`` so that one bucket is a few files."""
-    spark = changes.sparkSession
-    changes = checkpointed(changes)  # read twice below; what made them (a model, say) runs once
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
-    touched = [
-        r["b"] for r in changes.select(bucket.alias("b")).distinct().collect()  # at most `buckets`
-    ]
-    if not touched:
+    """Write the resolved rows (with ``_version``) as a new base and append a pointer to it. Readers
+    follow the newest pointer; batches stored meanwhile stay after the base."""
+    rows = read_versions(spark, path, schema)
+    upto = rows.agg(F.max("batch")).first()[0]
+    if upto is None:
         return
-    existing = read_buckets(spark, path, schema).where(F.col("bucket").isin(touched)).drop("bucket")
-    merged = checkpointed(merge(existing, changes).withColumn("bucket", bucket))
-    (
-        merged.hint("rebalance", "bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
+    resolve(rows.where(F.col("batch") <= upto)).write.mode("error").parquet(f"{path}/base/{name}")
+    pointer = spark.range(1).select(
+        F.lit(name).alias("base"), F.lit(upto).alias("upto"), F.current_timestamp().alias("written_at")
     )
+    pointer.coalesce(1).write.mode("append").json(f"{path}/current")

@@ -13,11 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkfold.functions.text import py_strip
-from inkfold.operators.documents import latest_per_key, reprocess_guard, upsert_chunks, upsert_documents
+from inkfold.operators.documents import latest_per_key, reprocess_guard
 from inkfold.operators.feedback import usage_kpis
 from inkfold.operators.search import chunk_text, encode_texts, with_point_ids
-from inkfold.schemas import CHUNK_POINTS, DOCUMENTS
-from inkfold.sources.writers import merge_buckets, write_correction_archive
+from inkfold.sources.writers import append_version, write_correction_archive
 
 
 def _start(
@@ -72,11 +71,16 @@ def process_uploads(
     history: Callable[[], tuple[DataFrame, DataFrame, DataFrame]] | None = None,
     once: bool = False,
     interval: str = "30 seconds",
+    pages_path: str | None = None,
+    regions_path: str | None = None,
 ) -> StreamingQuery:
-    """Upload events -> document upserts; records that cannot be used go to a dead-letter table and
+    """Upload events -> document versions; records that cannot be used go to a dead-letter table and
     the stream goes on.
 
-    ``recognise`` turns a batch of uploads into document rows (texts, page count). ``history``
+    ``recognise`` turns a batch of uploads into document rows (texts, page count, ``updated_at``) or into
+    (documents, pages, regions), the latter two with ``updated_at`` and stored under their own paths.
+    Each batch only stores its own rows; ``read_versions`` with ``newest_documents`` / ``newest_of`` (pages
+    by document, regions by page) resolves them, the newest version winning across batches. ``history``
     returns (pages, regions, corrections); documents with user corrections are then left as they
     are. Redelivered events give the same table."""
 
@@ -89,14 +93,21 @@ def process_uploads(
         newest = latest_per_key(
             batch.where(usable), "doc_number", [F.col("ts").desc_nulls_last(), F.col("event_id")]
         )
-        rows = recognise(newest)
+        made = recognise(newest)
+        rows, pages_rows, regions_rows = made if isinstance(made, tuple) else (made, None, None)
         if history is not None:
             pages, regions, corrections = history()
             keep = reprocess_guard(
                 rows.select(F.col("id").alias("document_id")), pages, regions, corrections
             ).where(F.col("action") == "reprocess")
             rows = rows.join(keep.select(F.col("document_id").alias("id")), "id", "left_semi")
-        merge_buckets(rows, documents_path, DOCUMENTS, "doc_number", upsert_documents)
+            if pages_rows is not None:
+                pages_rows = pages_rows.join(keep.select("document_id"), "document_id", "left_semi")
+            if regions_rows is not None:
+                regions_rows = regions_rows.join(pages_rows.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+        for part, path in ((rows, documents_path), (pages_rows, pages_path), (regions_rows, regions_path)):
+            if part is not None and path is not None:
+                append_version(part.withColumnRenamed("updated_at", "_version"), path, batch_id, F.col("_version"))
 
     return _start(uploads, checkpoint, run, once, interval)
 
@@ -110,8 +121,9 @@ def index_documents(
     once: bool = False,
     interval: str = "30 seconds",
 ) -> StreamingQuery:
-    """Consumed and updated documents ``(document_id, text, ts)`` -> re-encoded chunk table. Of
-    several versions in a batch the newest counts; blank content is skipped."""
+    """Consumed and updated documents ``(document_id, text, ts)`` -> re-encoded chunks. Each batch stores
+    its own chunks only; ``read_versions`` with ``newest_of(rows, "document_id")`` gives the table. Of
+    several versions the newest counts, in whatever order they come; blank content is skipped."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         newest = latest_per_key(
@@ -119,15 +131,17 @@ def index_documents(
             "document_id",
             [F.col("ts").desc_nulls_last(), F.col("text")],
         )
-        chunks = encode_texts(with_point_ids(chunk_text(newest)), make_encoder).select(
+        dated = chunk_text(newest).join(newest.select("document_id", "ts"), "document_id")
+        chunks = encode_texts(with_point_ids(dated), make_encoder).select(
             "id",
             "vector",
             F.col("document_id").cast("string").alias("document_id"),
             F.col("chunk_index").cast("int").alias("chunk_index"),
             "chunk_text",
             F.lit(model_version).alias("model_version"),
+            F.col("ts").alias("_version"),
         )
-        merge_buckets(chunks, chunks_path, CHUNK_POINTS, "document_id", upsert_chunks)
+        append_version(chunks, chunks_path, batch_id, F.col("_version"))
 
     return _start(documents, checkpoint, run, once, interval)
 

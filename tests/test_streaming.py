@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from inkfold.operators import documents as D
 from inkfold.operators import monitoring as M
 from inkfold.operators.search import hashing_encoder
 from inkfold.schemas import CHUNK_POINTS, DOCUMENTS
@@ -46,7 +47,7 @@ def test_uploads_with_bad_records_and_redelivery(spark, tmp_path):
     def run():
         stream = R.read_events(spark, "uploads", path=str(topic), streaming=True)
         J.process_uploads(stream, recognise, f"{tmp_path}/t", f"{tmp_path}/bad", f"{tmp_path}/c", once=True).awaitTermination()
-        return {r.doc_number: (r.filename, r.merged_text, r.page_count) for r in W.read_buckets(spark, f"{tmp_path}/t", DOCUMENTS).collect()}
+        return {r.doc_number: (r.filename, r.merged_text, r.page_count) for r in D.newest_documents(W.read_versions(spark, f"{tmp_path}/t", DOCUMENTS)).collect()}
 
     assert run() == {1: ("one", "one", 1), 2: ("two", "two", 1)}
     assert spark.read.json(f"{tmp_path}/bad").count() == 2
@@ -65,7 +66,7 @@ def test_uploads_leave_corrected_documents(spark, tmp_path):
 
     stream = R.read_events(spark, "uploads", path=str(topic), streaming=True)
     J.process_uploads(stream, recognise, f"{tmp_path}/t", f"{tmp_path}/bad", f"{tmp_path}/c", history, once=True).awaitTermination()
-    assert [r.doc_number for r in W.read_buckets(spark, f"{tmp_path}/t", DOCUMENTS).collect()] == [2]
+    assert [r.doc_number for r in D.newest_documents(W.read_versions(spark, f"{tmp_path}/t", DOCUMENTS)).collect()] == [2]
 
 
 def test_wire_names(spark, tmp_path):
@@ -82,7 +83,7 @@ def test_index_follows_updates(spark, tmp_path):
         put(folder, name, [{"document_id": d, "text": t, "ts": iso(s)} for d, t, s in rows])
         stream = spark.readStream.schema(schema).json(str(folder))
         J.index_documents(stream, hashing_encoder, f"{tmp_path}/t", f"{tmp_path}/c", once=True).awaitTermination()
-        table = W.read_buckets(spark, f"{tmp_path}/t", CHUNK_POINTS)
+        table = D.newest_of(W.read_versions(spark, f"{tmp_path}/t", CHUNK_POINTS), "document_id")
         return {(r.document_id, r.chunk_index): len(r.chunk_text) for r in table.collect()}
 
     assert run("1.json", [("a", "x" * 1000, 1), ("b", "y", 1), ("c", "  ", 1)]) == {("a", 0): 500, ("a", 1): 500, ("a", 2): 100, ("b", 0): 1}
@@ -160,20 +161,25 @@ def test_stream_join_keeps_unmatched_feedback(spark, tmp_path):
     assert {r.event_id: r.matched_query_id for r in got.collect()} == {"f1": "q1", "f2": None, "f3": None}
 
 
-def test_merge_buckets_touches_only_changed_buckets(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), "k INT, v STRING"
+def test_versions_resolve_across_batches_and_compaction(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k STRING, v STRING"
 
-    def merge(old, new):
-        return old.join(new.select("k"), "k", "left_anti").unionByName(new)
+    def put_batch(n, rows):
+        df = spark.createDataFrame(rows, "k STRING, v STRING, s INT")
+        W.append_version(df.select("k", "v", F.timestamp_seconds("s").alias("_version")), path, n, F.col("_version"))
 
-    W.merge_buckets(spark.createDataFrame([(i, "a") for i in range(50)], schema), path, schema, "k", merge, 8)
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
-    W.merge_buckets(spark.createDataFrame([(3, "b")], schema), path, schema, "k", merge, 8)
-    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
-    got = {r.k: r.v for r in W.read_buckets(spark, path, schema).collect()}
-    assert got == {i: "b" if i == 3 else "a" for i in range(50)}
-    assert len({p.parent for p in set(after) - set(before)}) == 1
+    def now():
+        return sorted((r.k, r.v) for r in D.newest_of(W.read_versions(spark, path, schema), "k").collect())
 
+    assert now() == []
+    put_batch(0, [("a", "1", 10), ("a", "2", 10), ("b", "1", 10)])
+    put_batch(1, [("a", "old", 5), ("b", "3", 20)])
+    put_batch(1, [("a", "old", 5), ("b", "3", 20)])
+    assert now() == [("a", "1"), ("a", "2"), ("b", "3")]
+    W.compact_versions(spark, path, schema, lambda rows: D.newest_of(rows, "k"), "v1")
+    assert now() == [("a", "1"), ("a", "2"), ("b", "3")]
+    put_batch(2, [("a", "9", 30), ("b", "late", 15)])
+    assert now() == [("a", "9"), ("b", "3")]
 
 def test_ml_tables(spark, tmp_path):
     spark.sql("SELECT 'd' AS id, 5 AS their_id, 'f' AS filename, 'test' AS source, 1 AS page_count, '' AS tesseract_text, '' AS htr_text, '' AS merged_text, CAST(NULL AS TIMESTAMP) AS deleted_at").withColumn(
