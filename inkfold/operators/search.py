@@ -25,8 +25,7 @@ from inkfold.functions.text import chunk_array, point_id, py_strip
 
 OVERFETCH = 3
 SCORE_DIGITS = 9  # scores are compared at 1e-9, so that ranking does not hinge on summation order
-BROADCAST_QUERIES = 20_000
-BROADCAST_BYTES = 128 << 20
+QUERY_BYTES = 32 << 20  # of query vectors sent to the tasks at a time
 BLOCK_ROWS = 20_000
 
 HIT_SCHEMA = T.StructType(
@@ -125,20 +124,24 @@ def _best_hits(queries: pd.DataFrame, chunks: pd.DataFrame, keep: int) -> pd.Dat
     scored, _ = _matrix(chunks["vector"])
     asked, _ = _matrix(queries["vector"])
     ids = queries["query_id"].to_numpy()
-    parts = []
+    top = min(keep, len(chunks))
+    rows, columns, found = [], [], []
     for start in range(0, len(ids), 512):
         scores = np.round(asked[start : start + 512] @ scored.T, SCORE_DIGITS)
-        top = min(keep, scores.shape[1])
-        # Stable sort on -score keeps the (document, chunk, key) order of equal scores.
-        cut = -np.partition(-scores, top - 1, axis=1)[:, top - 1]
-        for row, limit in enumerate(cut):
-            near = np.flatnonzero(scores[row] >= limit)
-            pick = near[np.argsort(-scores[row, near], kind="stable")][:top]
-            parts.append((np.full(top, ids[start + row]), pick, scores[row, pick]))
-    picked = np.concatenate([p[1] for p in parts])
+        limit = -np.partition(-scores, top - 1, axis=1)[:, top - 1]
+        # All that reach the last place, ties included; chunks are in order of (document, chunk, key).
+        row, column = np.nonzero(scores >= limit[:, None])
+        order = np.lexsort((column, -scores[row, column], row))
+        row, column = row[order], column[order]
+        first = np.searchsorted(row, row, side="left")
+        kept = np.arange(len(row)) - first < top
+        rows.append(row[kept] + start)
+        columns.append(column[kept])
+        found.append(scores[row[kept], column[kept]])
+    picked = np.concatenate(columns)
     out = chunks.loc[picked, ["point_key", "document_id", "chunk_index"]].reset_index(drop=True)
-    out.insert(0, "query_id", np.concatenate([p[0] for p in parts]))
-    out["score"] = np.concatenate([p[2] for p in parts])
+    out.insert(0, "query_id", ids[np.concatenate(rows)])
+    out["score"] = np.concatenate(found)
     return out
 
 
@@ -167,34 +170,26 @@ def _cut(hits: DataFrame, keep: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
-def _within(queries: DataFrame, rows: int, size: int) -> pd.DataFrame | None:
-    """The query set as a frame if it has at most ``rows`` rows and ``size`` bytes, else None.
-    Only row and width counts are looked at first; nothing larger than the bound is fetched."""
-    seen = queries.limit(rows + 1).agg(
-        F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")
-    ).first()
-    if seen["n"] > rows or seen["n"] * seen["d"] * 8 > size:
-        return None
-    return queries.select("query_id", "vector").toPandas()
-
-
 def nearest_chunks(
-    queries: DataFrame,
-    chunks: DataFrame,
-    keep: int,
-    broadcast_queries: int = BROADCAST_QUERIES,
-    block_rows: int = BLOCK_ROWS,
+    queries: DataFrame, chunks: DataFrame, keep: int, query_bytes: int = QUERY_BYTES
 ) -> DataFrame:
     """Exact nearest chunks: the ``keep`` best per query by cosine similarity, with ``rank``.
     Ties: document id, chunk index, point key.
 
-    ``queries(query_id, vector)``; ``chunks(point_key, document_id, chunk_index, vector)``."""
+    ``queries(query_id, vector)``; ``chunks(point_key, document_id, chunk_index, vector)``. The queries
+    go in hash blocks of about ``query_bytes``; a block is sent to all tasks, which score the chunk vectors
+    where they lie and emit at most ``keep`` rows per query each. One plan for any number of queries: their
+    number only sets the number of blocks."""
     chunks = chunks.select("point_key", "document_id", "chunk_index", "vector")
-    small = _within(queries, broadcast_queries, BROADCAST_BYTES)
-    if small is not None:
-        shared = queries.sparkSession.sparkContext.broadcast(small)
-
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    asked = queries.select("query_id", "vector")
+    size = asked.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0)).alias("b")).first()["b"]
+    blocks = max(1, -(-size // query_bytes))
+    hits = None
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        shared = queries.sparkSession.sparkContext.broadcast(part.toPandas())
+
+        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             # Hits are reduced over the whole task: it emits at most ``keep`` rows per query.
             held, limit = [], 4 * keep * max(len(shared.value), 1)
             for frame in frames:
@@ -205,27 +200,23 @@ def nearest_chunks(
             if filled:
                 yield _top_per_query(pd.concat(filled), keep)
 
-        return _cut(chunks.mapInPandas(scan, HIT_SCHEMA), keep)
-    return _cut(_grid(queries, chunks, keep, block_rows, cell=None), keep)
+        found = chunks.mapInPandas(scan, HIT_SCHEMA)
+        hits = found if hits is None else hits.unionByName(found)
+    return _cut(hits, keep)
 
 
 def _grid(
-    queries: DataFrame, chunks: DataFrame, keep: int, block_rows: int, cell: str | None
+    queries: DataFrame, chunks: DataFrame, keep: int, block_rows: int, cell: str
 ) -> DataFrame:
     """Every query block against every chunk block (of the same ``cell``), one co-group each.
 
     Blocks are hash slices of at most about ``block_rows`` rows; their number per cell comes from
     the cell's row count, so a hot cell is only cut into more blocks."""
-    if cell is None:
-        cell = "_cell"
-        queries = queries.withColumn(cell, F.lit(0))
-        chunks = chunks.withColumn(cell, F.lit(0))
-
     def blocks(df, name):
         n = F.ceil(F.count("*") / block_rows).cast("int")
         return df.groupBy(cell).agg(n.alias(name))
 
-    # One row per cell (at most 2 ** planes, or one), so this broadcast has a fixed bound.
+    # One row per cell (at most 2 ** planes), so this broadcast has a fixed bound.
     sizes = blocks(queries, "_nq").join(blocks(chunks, "_nc"), cell)
 
     def sliced(df, key, mine, other, mine_at, other_at):

@@ -31,20 +31,20 @@ def brute(t, keep):
     return out
 
 
-def test_both_exact_forms_equal_brute_force(t):
+def test_exact_search_equals_brute_force(t):
     want = brute(t, 15)
     assert as_set(S.nearest_chunks(t.queries, t.vectors, 15)) == want
-    # No query set is small enough for the first form, and blocks are tiny.
-    grid = S.nearest_chunks(t.queries, t.vectors, 15, broadcast_queries=0, block_rows=70)
+    # The same in tiny blocks of queries.
+    grid = S.nearest_chunks(t.queries, t.vectors, 15, query_bytes=3000)
     assert as_set(grid) == want
 
 
 def test_copies_of_one_chunk_stay_whole(spark):
-    """Equal vectors: ties go by document and chunk; nothing is lost in either form."""
+    """Equal vectors: ties go by document and chunk; nothing is lost in any number of blocks."""
     chunks = spark.createDataFrame([(i, i % 40, i // 40, [1.0, 0.0]) for i in range(400)], CHUNKS)
     queries = spark.createDataFrame([(q, 0, [1.0, 0.1]) for q in range(30)], QUERIES)
     want = [(d, i) for d in range(40) for i in range(10)][:25]
-    for options in ({}, {"broadcast_queries": 0, "block_rows": 16}):
+    for options in ({}, {"query_bytes": 64}):
         hits = S.nearest_chunks(queries, chunks, 25, **options).orderBy("query_id", "rank").collect()
         assert [(h.document_id, h.chunk_index) for h in hits] == want * 30
 
