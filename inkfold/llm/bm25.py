@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import keyed_texts, prepare, table
-from inkfold.session import scratch_path
+from inkfold.session import checkpointed, scratch_path
 
 K1, B = 1.2, 0.75
 K = 10
 SHARD_DOCS, SHARD_WORDS = 4096, 3_000_000
-BLOCK = 64
+BLOCK = 16
 # Queries searched per pass over the index; their terms are broadcast.
 QUERY_BLOCK = 4096
+# One shard in so many is searched first, for the score that the others have to reach.
+FIRST_SHARDS = 8
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(WORD)
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -97,8 +99,9 @@ class Shard:
         which = np.repeat(np.arange(len(rows)), size)
         return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[rows], size), which
 
-    def search(self, query_terms: np.ndarray, idf: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(document numbers, scores) of every document that scores at least ``floor``, which is above 0, and maybe more."""
+    def search(self, query_terms: np.ndarray, idf: np.ndarray, floor: float, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """(document numbers, scores) of the ``k`` best documents of this shard as far as they score at least ``floor``,
+        and maybe of others. ``floor`` 0 is no floor."""
         if not len(self.terms):
             return np.zeros(0, np.int64), np.zeros(0)
         at = np.searchsorted(self.terms, query_terms)
@@ -114,13 +117,26 @@ class Shard:
         if rest == len(rows):
             return np.zeros(0, np.int64), np.zeros(0)
         entry, which = self._ranges(self.term_at, rows[rest:])
-        partial = np.bincount(self.post_doc[entry], weights=self.post_impact[entry] * w[rest:][which], minlength=len(self.ids))
-        if floor > 0:
+        doc, gain = self.post_doc[entry], self.post_impact[entry]
+        gain *= np.repeat(w[rest:], self.term_at[rows[rest:] + 1] - self.term_at[rows[rest:]])
+        upper = np.bincount(doc, weights=gain, minlength=len(self.ids))
+        if rest:
             entry, which = self._ranges(self.block_at, rows[:rest])
             blocks = np.bincount(self.block_no[entry], weights=self.block_max[entry] * w[:rest][which], minlength=len(self.ids) // BLOCK + 1)
-            docs = np.flatnonzero((partial > 0) & (partial + np.repeat(blocks, BLOCK)[: len(self.ids)] >= need))
+            docs = np.flatnonzero(upper > 0)
+            docs = docs[upper[docs] + blocks[docs // BLOCK] >= need]
+            left = self.term_at[rows[:rest] + 1] - self.term_at[rows[:rest]]
+            if (self.doc_at[docs + 1] - self.doc_at[docs]).sum() > left.sum():
+                # The candidates' own terms are more than the postings left out: read those after all.
+                entry, which = self._ranges(self.term_at, rows[:rest])
+                gain = self.post_impact[entry] * np.repeat(w[:rest], left)
+                upper += np.bincount(self.post_doc[entry], weights=gain, minlength=len(self.ids))
+                docs, rest = docs[upper[docs] >= need], 0
         else:
-            docs = np.flatnonzero(partial > 0)
+            docs = np.flatnonzero(upper > 0)
+        if not rest and len(docs) > k:
+            # All terms are summed up already; only what can be among the best is scored anew.
+            docs = docs[upper[docs] >= np.partition(upper[docs], -k)[-k] - 1e-5]
         if not len(docs):
             return docs, np.zeros(0)
         self.weight[rows] = w
@@ -209,8 +225,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         told = [(q, n, t, idf[np.searchsorted(vocabulary, t)]) for n, (q, t) in enumerate(zip(ids, lists, strict=True))]
         held = spark.sparkContext.broadcast({"queries": told})
 
-        def find(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def find(batches: Iterator[pd.DataFrame], held=held, floors=None) -> Iterator[pd.DataFrame]:
             told = held.value["queries"]
+            least = floors.value["floors"] if floors is not None else np.zeros(len(told))
             best: list[list[tuple[float, bool, int]]] = [[] for _ in told]
             for batch in batches:
                 for row in batch.to_dict("records"):
@@ -218,7 +235,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     shard.prepare(mean)
                     for _, n, terms, idf in told:
                         heap = best[n]
-                        docs, scores = shard.search(terms, idf, heap[0][0] if len(heap) == k else 0.0)
+                        docs, scores = shard.search(terms, idf, max(heap[0][0] if len(heap) == k else 0.0, least[n]), k)
                         if len(docs) > k:
                             # Best first; ties by null id, then id.
                             top = np.lexsort((shard.ids[docs], shard.nulls[docs], -scores))[:k]
@@ -234,7 +251,17 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 got = pd.DataFrame(rows[i : i + 100_000], columns=["query_id", "query", "doc_id", "score"])
                 yield got.astype({"query_id": "Int64", "doc_id": "Int64"})
 
-        local = index.mapInPandas(find, "query_id bigint, query int, doc_id bigint, score double")
+        # The k-th best score in some of the shards is a floor for all: the others start from it.
+        schema = "query_id bigint, query int, doc_id bigint, score double"
+        some = F.pmod(F.xxhash64("ids"), F.lit(FIRST_SHARDS)) == 0
+        first = checkpointed(index.where(some).mapInPandas(find, schema))
+        at_k = Window.partitionBy("query").orderBy(F.desc("score"))
+        kth = first.withColumn("n", F.row_number().over(at_k)).where(F.col("n") == k).select("query", "score").toPandas()
+        floors = np.zeros(len(told))
+        floors[kth["query"].to_numpy()] = kth["score"].to_numpy()
+        shared = spark.sparkContext.broadcast({"floors": floors})
+        others = index.where(~some).mapInPandas(lambda it, find=find, shared=shared: find(it, floors=shared), schema)
+        local = first.unionByName(others)
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
         merged = local.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
         out = merged if out is None else out.unionByName(merged)
