@@ -56,7 +56,7 @@ def shingle_sets(texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.
     total = np.zeros(len(flat), dtype=np.uint64)
     for k in range(words):
         moved = mix(hashed + np.uint64((int(_STEP) * (k + 1)) % (1 << 64)))
-        end = len(flat) - k
+        end = max(len(flat) - k, 0)
         total[:end] += np.where(rest[:end] > k, moved[k:], np.uint64(0))
     starts = (rest >= words) | ((place == 0) & (rest < words))
     doc, names = doc[starts], mix(total[starts])
@@ -122,24 +122,31 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """An eighth of the shuffle partitions, for the narrow tables (keys and ids only) that pass through many short
+    rounds: each round writes a file per task and exchange, however little is in it."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` of every node of ``edges`` (a, b): the smallest node it is connected with.
 
     Large-star and small-star rounds: each moves edges to smaller nodes until every component is a star. All state
     stays in checkpointed tables; a hot node is a key of a join with one row on the other side."""
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
+    now = checkpointed(few(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()))
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = few(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large = few(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = few(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = checkpointed(least.select("a", F.col("m").alias("b")).union(small).where("a <> b").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        now = checkpointed(few(least.select("a", F.col("m").alias("b")).union(small).where("a <> b").distinct()))
+        # Stars: a node with a smaller one has no other, and is not the smaller one of another.
+        ends = now.select("a", F.lit(1).alias("own"), F.lit(0).alias("root"))
+        ends = ends.union(now.select("b", F.lit(0), F.lit(1)))
+        tangled = ends.groupBy("a").agg((F.sum("own") + F.max("root")).alias("n")).where("n > 1")
+        if few(tangled).isEmpty():
             break
-        mark = seen
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -156,7 +163,7 @@ class _Links:
             return rows.withColumn(name, F.col(column))
         known = self.roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         joined = rows.join(known, rows[column] == F.col("_n"), "left")
-        return joined.withColumn(name, F.coalesce("_r", column)).drop("_n", "_r")
+        return few(joined.withColumn(name, F.coalesce("_r", column)).drop("_n", "_r"))
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose nodes are in different components."""
@@ -189,18 +196,18 @@ class _Links:
                 yield batch.loc[good, ["a", "b"]]
 
         full = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("b")
-        links = checkpointed(full.mapInPandas(judge, "a binary, b binary"))
+        links = few(checkpointed(full.mapInPandas(judge, "a binary, b binary")))
         if links.isEmpty():
             return
         between = self.root_of(self.root_of(links, "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         moved = components(between)
         if self.roots is None:
-            self.roots = checkpointed(moved)
+            self.roots = checkpointed(few(moved))
             return
-        step = moved.withColumnsRenamed({"node": "root", "root": "_to"})
+        step = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
         old = self.roots.join(step, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
         fresh = moved.join(self.roots, "node", "left_anti")
-        self.roots = checkpointed(old.unionByName(fresh))
+        self.roots = checkpointed(few(old.unionByName(fresh)))
 
 
 def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -236,19 +243,19 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 
     links = _Links(texts, similarity)
     pairs = shared.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("n"))
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(few(pairs))
     # The leader that a node shares most buckets with, then the others that are still in another component.
-    best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    best = few(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
     links.verify(best)
-    others = links.apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"))
+    others = links.apart(few(pairs.join(best, ["a", "b"], "left_anti").select("a", "b")))
     links.verify(others)
     known = pairs.select("a", "b")
 
     rooms = shared.select("key", "node", "leader")
     for turn in range(LEADER_ROUNDS + 1):
         mine = links.root_of(rooms.select("key", "node", "leader"), "node", "root")
-        mixed = mine.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        rooms = checkpointed(mine.join(mixed, "key"))
+        mixed = few(mine.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+        rooms = checkpointed(few(mine.join(mixed, "key")))
         if rooms.isEmpty():
             break
         led = links.root_of(rooms.select("key", "leader").distinct(), "leader", "lead_root").select("key", "lead_root")
@@ -264,38 +271,34 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
             tried = one.join(two, "key").where("ra < rb").select("a", "b")
         tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = checkpointed(tried.join(done, ["a", "b"], "left_anti"))
+        tried = checkpointed(few(tried.join(done, ["a", "b"], "left_anti")))
         if not tried.isEmpty():
             links.verify(tried)
             known = known.unionByName(tried)
 
     rooted = links.root_of(nodes.select("node", "text_id", "copies"), "node", "root")
-    classes = rooted.groupBy("root").agg(F.min("text_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    told = checkpointed(rooted.join(classes, "root").select("node", "text_id", "class_id", "class_size"))
-    light = docs.select("doc_id", "node")
-    out = light.join(told, "node")
-    is_head = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    # Only rows that carry the smallest id can be repeated heads; number those.
-    heads = out.where(is_head).withColumn("nth", F.row_number().over(Window.partitionBy("class_id", "node", F.col("doc_id")).orderBy("doc_id")))
-    rest = out.where(~is_head).withColumn("nth", F.lit(0))
-    # Two different texts of one class may share the smallest id.
-    first_node = heads.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("node").alias("head_node"))
-    heads = heads.join(first_node, "class_id", "left")
-    kept = (F.col("nth") == 1) & (F.col("head_node").isNull() | (F.col("head_node") == F.col("node")))
-    columns = ["doc_id", "text_id", "class_id", "class_size"]
-    return heads.select(*columns, "node", kept.alias("kept")).unionByName(rest.select(*columns, "node", F.lit(False).alias("kept")))
+    # The row that stays has the smallest id; of several texts with that id, the smallest node.
+    first = F.min(F.struct(F.coalesce("text_id", F.lit(1 << 62)).alias("id"), F.col("node").alias("node")))
+    classes = rooted.groupBy("root").agg(F.min("text_id").alias("class_id"), F.sum("copies").alias("class_size"), first["node"].alias("head"))
+    told = checkpointed(rooted.join(classes, "root").select("node", "text_id", "class_id", "class_size", "head"))
+    out = docs.select("doc_id", "node").join(told, "node")
+    is_head = (F.col("node") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    # Only rows of the head's text and id can be repeated heads; number those.
+    heads = out.where(is_head).withColumn("nth", F.row_number().over(Window.partitionBy("node", "doc_id").orderBy("doc_id")))
+    rest = out.where(~is_head)
+    columns = ["doc_id", "text_id", "class_id", "class_size", "node"]
+    return heads.select(*columns, (F.col("nth") == 1).alias("kept")).unionByName(rest.select(*columns, F.lit(False).alias("kept")))
 
 
 def keep_one(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df``, with all their columns, that ``near_classes`` keeps: one per class, the one with the smallest
     doc_id. Of rows with equal id and text, one stays."""
-    kept = near_classes(df, similarity).where("kept").select("doc_id", "node")
+    kept = near_classes(df, similarity).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
     mine = df.select(
         F.struct(*[F.col(c) for c in df.columns]).alias("row"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         node_of(whole_text()).alias("node"),
     )
-    kept = kept.withColumnsRenamed({"doc_id": "kept_id", "node": "kept_node"})
     same = (F.col("node") == F.col("kept_node")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
     copy = F.row_number().over(Window.partitionBy("node", "doc_id").orderBy(F.xxhash64("row")))
     return mine.join(kept, same, "left_semi").withColumn("copy", copy).where("copy = 1").select("row.*")
