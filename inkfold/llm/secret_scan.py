@@ -2,12 +2,13 @@
 
 Strong spans (assignments of a secret, access ids, long hex runs) count by themselves. Weak candidates (random-looking
 tokens, account names, endpoints) are common in clean text and count only as parts of one credential: an interval join
-of the parts of a document finds, for each weak one, the complementary parts within ``SCOPE`` code points; it is
+of the parts of a document finds, for each weak one, the complementary parts with at most ``SCOPE`` code points between
+the two (from the end of one to the start of the other, so lengths do not matter); it is
 reported if a strong part of another class is there, or weak parts of both other classes are.
 
 Only DataFrame functions. Matches have no positions in SQL, so the text is split by the pattern: the lengths of what
-lies between the matches, summed up, are the starts. Matches become rows, the text does not; the interval join is a
-range frame over the rows of a document, so no pairs are built."""
+lies between the matches, summed up, are the starts. Matches become rows, the text does not; the interval join is
+running counts over the starts and ends of a document, so no pairs are built."""
 
 from __future__ import annotations
 
@@ -118,13 +119,26 @@ def secret_spans(df: DataFrame) -> DataFrame:
     placed = placed.withColumn("inside", F.coalesce(inside, F.lit(False))).select(
         *DOC, *[F.when(~F.col("inside"), F.col(c)).alias(c) for c in ("kind", "start", "end")]
     )
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-SCOPE, SCOPE)
-    linked = placed
-    for c in CLASSES:
-        is_c = F.col("kind").isin(kinds[c])
-        linked = linked.withColumn(f"any_{c}", F.coalesce(F.max(is_c).over(near), F.lit(False)))
-        is_strong = F.col("kind").isin([k for k in kinds[c] if k in strong])
-        linked = linked.withColumn(f"strong_{c}", F.coalesce(F.max(is_strong).over(near), F.lit(False)))
+    # Linked are the parts that start up to SCOPE behind the own end, less those that end more than SCOPE before the own
+    # start: two running counts over one start and one end event per part, so a part of any length reaches both ways.
+    is_end = F.col("is_end")
+    events = placed.select(*DOC, "kind", "start", "end", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_end"))
+    events = events.withColumn("at", F.when(is_end, F.col("end")).otherwise(F.col("start")))
+    along = Window.partitionBy("row").orderBy("at")
+    begun = along.rangeBetween(Window.unboundedPreceding, SCOPE)
+    over = along.rangeBetween(Window.unboundedPreceding, -SCOPE - 1)
+
+    def linked_parts(members: list[int]) -> Column:
+        """At the end event the parts begun, at the start event those over, as a negative number."""
+        mine = F.col("kind").isin(members)
+        n_begun = F.sum(F.when(mine & ~is_end, 1).otherwise(0)).over(begun)
+        n_over = F.sum(F.when(mine & is_end, 1).otherwise(0)).over(over)
+        return F.when(is_end, F.coalesce(n_begun, F.lit(0))).otherwise(-F.coalesce(n_over, F.lit(0)))
+
+    groups = {f"any_{c}": kinds[c] for c in CLASSES} | {f"strong_{c}": [k for k in kinds[c] if k in strong] for c in CLASSES}
+    counted = events.select(*DOC, "kind", "start", "end", *[linked_parts(ks).alias(g) for g, ks in groups.items()])
+    # Matches of one kind never overlap: start and kind name a part.
+    linked = counted.groupBy(*DOC, "kind", "start", "end").agg(*[(F.sum(g) > 0).alias(g) for g in groups])
     reported = F.col("kind").isin(strong)
     for c in CLASSES:
         others = [x for x in CLASSES if x != c]

@@ -65,3 +65,25 @@ def test_query_equals_sql(spark, sf):
     con.register("documents", frame(spark, HARD[:11] + HARD[12:]).toPandas())
     got = span_digest(secret_spans(frame(spark, HARD[:11] + HARD[12:]))).toPandas()
     assert rows(got) == rows(con.execute(OP8_SQL).df())
+
+
+def test_long_parts_link_by_the_gap_on_both_sides(spark):
+    """Parts longer than the scope, before and behind their complement, up to 200 code points between them."""
+    token, url, access = "aB3" * 110, "https://h.example/" + "p" * 400, "AKIA" + "D" * 16
+    texts, want = [], []
+    for part, name in ((token, "token"), (url, "endpoint")):
+        for gap in (1, 200, 201):
+            for first, second in ((part, access), (access, part)):
+                at = len(first) + gap
+                spans = [(0, len(first)), (at, at + len(second))]
+                kept = [s for s, text in zip(spans, (first, second), strict=True) if text is access or gap <= 200]
+                texts.append(first + " " * gap + second)
+                want.append([(s, name if (e - s) == len(part) else "access", e) for s, e in kept])
+    # A short part inside the reach of a long one's end only, and one between two long ones.
+    texts.append(token + " login: bob@x " + url)
+    want.append([(0, "token", 330), (331, "account", 343), (344, "endpoint", 344 + len(url))])
+    df = frame(spark, texts)
+    got = {r.doc_id: [(s["start"], s["name"], s["end"]) for s in r.spans] for r in secret_spans(df).collect()}
+    assert got == dict(enumerate(want))
+    shown = {r.doc_id: r.text for r in mask_secrets(df).collect()}
+    assert shown[0] == "[SECRET] [SECRET]" and shown[len(texts) - 1] == "[SECRET] [SECRET] [SECRET]"
