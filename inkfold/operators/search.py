@@ -250,13 +250,15 @@ def approx_nearest_chunks(
     queries: DataFrame,
     chunks: DataFrame,
     keep: int,
-    planes: int = 8,
-    flips: int = 1,
+    planes: int = 5,
+    flips: int = 3,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Approximate nearest chunks: a vector's cell is the sides of ``planes`` fixed planes it lies on. A query is
     scored, exactly, against the chunks of its own cell and of those that differ in up to ``flips`` sides
-    (``flips = planes``: all cells, the exact result). Every chunk is in one cell; a hot cell is cut into blocks."""
+    (``flips = planes``: all cells, the exact result). Every chunk is in one cell; a hot cell is cut into blocks.
+    The defaults reach a recall of 0.9 at 15 hits even on vectors without clusters, where that takes four fifths of
+    all pairs; clustered vectors keep it with fewer flips."""
 
     def cells_of(reach: int):
         @F.pandas_udf("array<int>")

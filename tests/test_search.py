@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkfold.operators import search as S
+from inkfold.plans import registry
 from inkfold.plans.views import Tables
 
 CHUNKS = "point_key BIGINT, document_id BIGINT, chunk_index BIGINT, vector ARRAY<FLOAT>"
@@ -122,3 +123,12 @@ def test_encoder_and_pooling(spark, t):
     tokens = spark.createDataFrame([(1, [1.0, 3.0], 1), (1, [3.0, 5.0], 1), (1, [9.0, 9.0], 0), (2, [1.0, 1.0], 0)], "id INT, vector ARRAY<FLOAT>, mask INT")
     got = {r.id: r.vector for r in S.mean_pool(tokens, 2).collect()}
     assert got == {1: [2.0, 4.0], 2: [None, None]}
+
+
+def test_registered_approximate_search_recall(spark, sf, t):
+    """The registered query, with its own settings: at least 0.9 of the true 15 nearest, and without the query's own vector."""
+    exact = {(q, p) for q, _, p in brute(t, 15)}
+    found = {(r.query_id, r.point_key) for r in registry.QUERIES["approx_knn"](spark, sf).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+    others = {(q, p) for q, p in exact if q != p}
+    assert len(found & others) / len(others) >= 0.9
