@@ -157,44 +157,92 @@ def archive_stream(
     return _start(corrections, checkpoint, run, once, interval)
 
 
-def alert_stream(samples: DataFrame, hold_seconds: int, delay: str = "1 minute") -> DataFrame:
-    """State changes of an alert per series. ``samples(series, ts, breached)``; keyed state holds
-    only since when the condition is true and the last state reported. Samples of a series that
-    arrive in one batch are taken in time order; late ones (older than the last seen) are left out."""
+def alert_changes(samples: DataFrame, hold_seconds: int, delay: str = "1 minute") -> DataFrame:
+    """State changes of an alert per series, and late samples. ``samples(series, ts, breached)``; rows
+    ``(series, ts, from_state, to_state, late)``, a late sample with null states.
+
+    Samples wait in keyed state until the watermark (newest time seen, less ``delay``) has passed them and are then
+    taken in time order, in whatever order and batches they came; a timer does so for series that fall silent. Those
+    that come after the watermark has passed their time are late. A series at rest, inactive and with nothing
+    waiting, keeps no state."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, shown, seen = state.get if state.exists else (-1, "inactive", -1)
-        parts = [(f["us"].to_numpy(), f["breached"].to_numpy(dtype=bool)) for f in frames]
-        us, on = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(us, kind="stable")
-        order = order[us[order] >= seen]
-        us, on = us[order], on[order]
-        if len(us) == 0:
+        since, shown, waiting = state.get if state.exists else (-1, "inactive", b"")
+        passed = max(state.getCurrentWatermarkMs(), 0) * 1000
+        parts = [np.frombuffer(bytes(waiting), dtype=np.int64)]
+        if not state.hasTimedOut:
+            for f in frames:
+                us, on = f["us"].to_numpy(dtype=np.int64), f["breached"].to_numpy(dtype=bool)
+                late = (us <= passed) & (passed > 0)
+                if late.any():
+                    yield rows(key, us[late], None, None, True)
+                parts.append(us[~late] * 2 + on[~late])
+        packed = np.concatenate(parts)
+        packed = packed[np.argsort(packed >> 1, kind="stable")]
+        ready = packed >> 1 <= passed
+        us, on, packed = packed[ready] >> 1, (packed[ready] & 1).astype(bool), packed[~ready]
+        if len(us):
+            opens = on & ~np.concatenate([[since >= 0], on[:-1]])
+            starts = np.maximum.accumulate(np.where(opens, us, since))
+            held = us - starts >= hold_seconds * 1000000
+            now = np.where(~on, "inactive", np.where(held, "firing", "pending"))
+            before = np.concatenate([[shown], now[:-1]])
+            turned = np.flatnonzero(now != before)
+            since, shown = (int(starts[-1]) if on[-1] else -1), str(now[-1])
+            if len(turned):
+                yield rows(key, us[turned], before[turned], now[turned], False)
+        if len(packed) == 0 and since < 0 and shown == "inactive":
+            if state.exists:
+                state.remove()
             return
-        opens = on & ~np.concatenate([[since >= 0], on[:-1]])
-        starts = np.maximum.accumulate(np.where(opens, us, since))
-        held = us - starts >= hold_seconds * 1000000
-        now = np.where(~on, "inactive", np.where(held, "firing", "pending"))
-        before = np.concatenate([[shown], now[:-1]])
-        turned = np.flatnonzero(now != before)
-        state.update((int(starts[-1]) if on[-1] else -1, str(now[-1]), int(us[-1])))
-        if len(turned):
-            yield pd.DataFrame(
-                {
-                    "series": key[0],
-                    "ts": pd.to_datetime(us[turned], unit="us"),
-                    "from_state": before[turned],
-                    "to_state": now[turned],
-                }
-            )
+        state.update((since, shown, packed.tobytes()))
+        if len(packed):
+            state.setTimeoutTimestamp(int(packed[0] >> 1) // 1000 + 1)
+
+    def rows(key: tuple, us: np.ndarray, before, now, late: bool) -> pd.DataFrame:
+        return pd.DataFrame(
+            {"series": key[0], "ts": pd.to_datetime(us, unit="us"), "from_state": before, "to_state": now, "late": late}
+        )
 
+    # Spark would drop late rows unseen, by the column marked with a watermark that reaches the operator. The marked one
+    # is therefore an empty column in place of ``ts``; the watermark itself is taken from ``ts`` before.
     timed = samples.withWatermark("ts", delay).select(
-        "series", "ts", F.unix_micros("ts").alias("us"), F.coalesce("breached", F.lit(False)).alias("breached")
-    )
+        "series", F.unix_micros("ts").alias("us"), F.coalesce("breached", F.lit(False)).alias("breached"),
+        F.lit(None).cast("timestamp").alias("never_late", metadata={"spark.watermarkDelayMs": 0}),
+    )
     return timed.groupBy("series").applyInPandasWithState(
         step,
-        "series STRING, ts TIMESTAMP, from_state STRING, to_state STRING",
-        "since BIGINT, shown STRING, seen BIGINT",
+        "series STRING, ts TIMESTAMP, from_state STRING, to_state STRING, late BOOLEAN",
+        "since BIGINT, shown STRING, waiting BINARY",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
+
+
+def alert_stream(samples: DataFrame, hold_seconds: int, delay: str = "1 minute") -> DataFrame:
+    """The state changes of ``alert_changes`` alone; ``write_alerts`` also stores the late samples."""
+    return alert_changes(samples, hold_seconds, delay).where(~F.col("late")).drop("late")
+
+
+def write_alerts(
+    samples: DataFrame,
+    hold_seconds: int,
+    changes_path: str,
+    late_path: str,
+    checkpoint: str,
+    delay: str = "1 minute",
+    once: bool = False,
+    interval: str = "30 seconds",
+) -> StreamingQuery:
+    """State changes to one Parquet table, late samples per series and time with their count ``n`` to another, a
+    folder per batch each; repeating a batch gives the same tables."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        changes = batch.where(~F.col("late")).drop("late")
+        late = batch.where("late").groupBy("series", "ts").agg(F.count("*").alias("n"))
+        for part, path in ((changes, changes_path), (late, late_path)):
+            part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
+
+    return _start(alert_changes(samples, hold_seconds, delay), checkpoint, run, once, interval)

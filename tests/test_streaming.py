@@ -187,3 +187,27 @@ def test_ml_tables(spark, tmp_path):
     ).write.parquet(str(tmp_path / "documents"))
     tables = R.read_ml_tables(spark, str(tmp_path), tables=["documents"], rename={"doc_number": "their_id"})
     assert tables["documents"].first().doc_number == 5
+
+
+def test_alerts_of_an_unordered_feed(spark, tmp_path):
+    """Samples a little late, in a later batch, count; those behind the watermark are counted as late; a silent series is ended by its timer."""
+    folder, schema = tmp_path / "in", "series STRING, ts TIMESTAMP, breached BOOLEAN"
+
+    def run(name, points):
+        put(folder, name, [{"series": s, "ts": iso(t), "breached": on} for s, t, on in points])
+        stream = spark.readStream.schema(schema).json(str(folder))
+        J.write_alerts(stream, 300, f"{tmp_path}/changes", f"{tmp_path}/late", f"{tmp_path}/c", once=True).awaitTermination()
+
+    run("1.json", [("a", 100, True), ("a", 200, True), ("b", 150, True)])
+    # The end at 199 comes after the sample of 200, so the hold starts anew and nothing fires at 420.
+    run("2.json", [("a", 420, True), ("a", 199, False)])
+    run("3.json", [("a", 600, False), ("c", 5000, False)])
+    run("4.json", [("a", 300, True), ("a", 300, True), ("b", 310, False), ("c", 5001, False)])
+    start = dt.datetime(2024, 3, 1)
+    got = spark.read.parquet(f"{tmp_path}/changes").orderBy("series", "ts").collect()
+    assert [(r.series, (r.ts - start).seconds, r.from_state, r.to_state) for r in got] == [
+        ("a", 100, "inactive", "pending"), ("a", 199, "pending", "inactive"), ("a", 200, "inactive", "pending"),
+        ("a", 600, "pending", "inactive"), ("b", 150, "inactive", "pending"),
+    ]
+    late = spark.read.parquet(f"{tmp_path}/late").collect()
+    assert {(r.series, (r.ts - start).seconds, r.n) for r in late} == {("a", 300, 2), ("b", 310, 1)}
