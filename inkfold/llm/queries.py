@@ -5,6 +5,7 @@ from __future__ import annotations
 from inkfold.llm.bm25 import OP2_SQL, op2_topk_search
 from inkfold.llm.bpe import op9_bpe
 from inkfold.llm.chat_format import OP1_SQL, op1_chat_format
+from inkfold.llm.conversation_repair import OP13_SQL, op13_conversation_repair
 from inkfold.llm.fingerprints import op3_fingerprints
 from inkfold.llm.license_scan import OP4_SQL, op4_license_scan
 from inkfold.llm.merkle import OP12_SQL, op12_merkle
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_sharding": op11_sharding,
     "op12_merkle": op12_merkle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {
     "op1_chat_format": OP1_SQL,
@@ -38,4 +40,5 @@ ORACLES = {
     "op8_secret_scan": OP8_SQL,
     "op11_sharding": OP11_SQL,
     "op12_merkle": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
