@@ -6,10 +6,11 @@ arrival is later than all components; two texts agree in a component with the pr
 components are the buckets of candidates; candidates are verified on their whole texts by the exact probability
 Jaccard. Equal texts are one node from the start, so copies cost nothing.
 
-No pairs within a bucket are listed where one link does: a bucket's members are compared with its leader, the one they
-share most buckets with first; what is in one component needs no more comparing. Buckets that still hold several
-components get new leaders from the components left over, and at last all pairs across their components are compared.
-So every candidate pair ends in one class or has been found below the threshold."""
+Nothing lists the pairs of a bucket. First its members are compared with its leader, the one that meets most others in all
+its buckets: of a family of copies the one nearest to all. Most buckets are then one component and done. A bucket that still
+holds several is cut into chunks; a task gets two chunks, compares across components by signature and, where that is not far
+below the threshold, by text, and returns no more links than unite the components. So every candidate pair ends in one class
+or has been found below the threshold, and what is sent and returned grows with the members, not with their pairs."""
 
 from __future__ import annotations
 
@@ -28,9 +29,12 @@ from inkfold.session import checkpointed, scratch_path
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
-LEADER_ROUNDS = 4
-# A filter of so many node keys (16 bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_NODES = 250_000
+# Pairs whose signatures agree in a share this far below the threshold are not compared by text: more than five standard
+# deviations of the estimate from 320 components.
+MARGIN = 0.12
+# Members of a chunk of a bucket, on average, and rows of a task of narrow tables, at least.
+CHUNK = 512
+NARROW_ROWS = 20_000
 _WORD = re.compile(r"\w+")
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,15 +93,17 @@ def prob_minhash(doc: np.ndarray, names: np.ndarray, weights: np.ndarray, texts:
     return who.reshape(texts, size)
 
 
-def band_keys(texts, bands: int, rows: int) -> list[np.ndarray]:
-    """The band keys of each text; none for a text without words."""
+def signed_texts(texts, bands: int, rows: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Per text its band keys (none for a text without words) and the low bytes of its signature."""
     doc, names, weights = shingle_sets(texts)
-    signature = prob_minhash(doc, names, weights, len(texts), bands * rows).reshape(len(texts), bands, rows)
+    signature = prob_minhash(doc, names, weights, len(texts), bands * rows)
+    parts = signature.reshape(len(texts), bands, rows)
     place = np.arange(rows, dtype=np.uint64) + np.uint64(1)
-    keys = mix(mix(signature + _STEP * place).sum(axis=2) + _STEP * np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
+    keys = mix(mix(parts + _STEP * place).sum(axis=2) + _STEP * np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
     some = np.zeros(len(texts), dtype=bool)
     some[doc] = True
-    return [keys[i] if some[i] else keys[i, :0] for i in range(len(texts))]
+    low = mix(signature).astype(np.uint8)
+    return [keys[i] if some[i] else keys[i, :0] for i in range(len(texts))], [low[i].tobytes() for i in range(len(texts))]
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -122,10 +128,11 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def few(df: DataFrame) -> DataFrame:
-    """An eighth of the shuffle partitions, for the narrow tables (keys and ids only) that pass through many short
-    rounds: each round writes a file per task and exchange, however little is in it."""
-    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+def pinned(df: DataFrame) -> DataFrame:
+    """Checkpoint of a narrow table (keys and ids only) that passes through many short rounds, in as few partitions as
+    its rows need: each round writes a file per task and exchange, however little is in it."""
+    kept = checkpointed(df)
+    return kept.coalesce(max(2, -(-kept.count() // NARROW_ROWS)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -133,29 +140,29 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: each moves edges to smaller nodes until every component is a star. All state
     stays in checkpointed tables; a hot node is a key of a join with one row on the other side."""
-    now = checkpointed(few(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()))
+    now = pinned(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = few(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = few(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = few(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = checkpointed(few(least.select("a", F.col("m").alias("b")).union(small).where("a <> b").distinct()))
+        now = pinned(least.select("a", F.col("m").alias("b")).union(small).where("a <> b").distinct())
         # Stars: a node with a smaller one has no other, and is not the smaller one of another.
         ends = now.select("a", F.lit(1).alias("own"), F.lit(0).alias("root"))
         ends = ends.union(now.select("b", F.lit(0), F.lit(1)))
         tangled = ends.groupBy("a").agg((F.sum("own") + F.max("root")).alias("n")).where("n > 1")
-        if few(tangled).isEmpty():
+        if tangled.isEmpty():
             break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 class _Links:
-    """Verified links among nodes, and their components so far."""
+    """Verified links among nodes, and their components so far. ``nodes``: node, low (bytes of the signature); ``texts``: node, text."""
 
-    def __init__(self, texts: DataFrame, similarity: float):
-        self.texts, self.similarity = texts, similarity
+    def __init__(self, nodes: DataFrame, texts: DataFrame, similarity: float, bands: int):
+        self.nodes, self.texts, self.similarity, self.bands = nodes, texts, similarity, bands
         self.roots: DataFrame | None = None
 
     def root_of(self, rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -163,7 +170,7 @@ class _Links:
             return rows.withColumn(name, F.col(column))
         known = self.roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         joined = rows.join(known, rows[column] == F.col("_n"), "left")
-        return few(joined.withColumn(name, F.coalesce("_r", column)).drop("_n", "_r"))
+        return joined.withColumn(name, F.coalesce("_r", column)).drop("_n", "_r")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose nodes are in different components."""
@@ -171,11 +178,19 @@ class _Links:
         return both.where("_ra <> _rb").drop("_ra", "_rb")
 
     def verify(self, pairs: DataFrame) -> None:
-        """Compare the texts of pairs (a, b); unite the components of those that are alike."""
-        text_a = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        text_b = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        """Compare pairs (a, b), by signature and then by text; unite the components of those that are alike."""
         similarity = self.similarity
 
+        def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("low_a", "low_b"))
+                    yield batch.loc[(a == b).mean(axis=1) >= similarity - MARGIN, ["a", "b"]]
+
+        low_a = self.nodes.select(F.col("node").alias("a"), F.col("low").alias("low_a"))
+        low_b = self.nodes.select(F.col("node").alias("b"), F.col("low").alias("low_b"))
+        pairs = pinned(pairs.join(low_a, "a").join(low_b, "b").select("a", "b", "low_a", "low_b").mapInPandas(likely, "a binary, b binary"))
+
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept: OrderedDict[bytes, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
@@ -195,19 +210,76 @@ class _Links:
                 ]
                 yield batch.loc[good, ["a", "b"]]
 
+        text_a = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        text_b = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         full = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("b")
-        links = few(checkpointed(full.mapInPandas(judge, "a binary, b binary")))
+        self.unite(full.mapInPandas(judge, "a binary, b binary"))
+
+    def settle(self, rooms: DataFrame) -> None:
+        """Compare all members of buckets (band, key, node, root) across components; unite those that are alike."""
+        similarity, bands = self.similarity, self.bands
+
+        def compare(chunks: pd.DataFrame) -> pd.DataFrame:
+            links, band = [], int(chunks["band"].iloc[0])
+            nodes = [bytes(n) for n in chunks["node"]]
+            low = np.frombuffer(b"".join(chunks["low"]), np.uint8).reshape(len(nodes), -1)
+            chunk = chunks["chunk"].to_numpy()
+            within = (chunks["one"] == chunks["two"]).to_numpy()
+            names: dict[bytes, int] = {}
+            first = np.array([names.setdefault(bytes(r), len(names)) for r in chunks["root"]])
+            parent = list(range(len(names)))
+            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            def shingles(i: int) -> tuple[np.ndarray, np.ndarray]:
+                if i not in sets:
+                    sets[i] = shingle_sets([chunks["text"].iat[i]])[1:]
+                return sets[i]
+
+            for i in range(len(nodes)):
+                across = first[:i] != first[i]
+                if not within[i]:
+                    across &= chunk[:i] != chunk[i]
+                others = np.flatnonzero(across)
+                same = low[others] == low[i]
+                close = same.mean(axis=1) >= similarity - MARGIN
+                others, same = others[close], same[close]
+                # A pair that shares several buckets is compared in the first of them.
+                shared = same.reshape(len(others), bands, same.shape[1] // bands).all(axis=2)
+                others = others[shared.argmax(axis=1) == band]
+                for j in others.tolist():
+                    x, y = find(first[i]), find(first[j])
+                    if x != y and probability_jaccard(shingles(i), shingles(j)) >= similarity:
+                        parent[x] = y
+                        links.append((nodes[i], nodes[j]))
+            return pd.DataFrame(links, columns=["a", "b"])
+
+        sizes = rooms.groupBy("band", "key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+        placed = rooms.join(sizes, ["band", "key"]).join(self.nodes.select("node", "low"), "node").join(self.texts, "node")
+        placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        pair = [F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two")]
+        placed = placed.select("band", "key", *pair, "chunk", "node", "root", "low", "text")
+        self.unite(placed.groupBy("band", "key", "one", "two").applyInPandas(compare, "a binary, b binary"))
+
+    def unite(self, links: DataFrame) -> None:
+        links = pinned(links)
         if links.isEmpty():
             return
         between = self.root_of(self.root_of(links, "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         moved = components(between)
         if self.roots is None:
-            self.roots = checkpointed(few(moved))
+            self.roots = pinned(moved)
             return
         step = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
         old = self.roots.join(step, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
         fresh = moved.join(self.roots, "node", "left_anti")
-        self.roots = checkpointed(few(old.unionByName(fresh)))
+        self.roots = pinned(old.unionByName(fresh))
 
 
 def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -223,58 +295,36 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["node", "doc_id"]].assign(keys=band_keys(batch["text"].tolist(), bands, rows))
-
-    signed = docs.mapInPandas(sign, "node binary, doc_id bigint, keys array<bigint>")
-    nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
-    placed = nodes.select("node", F.explode("keys").alias("key"))
-    leaders = placed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    shared = checkpointed(placed.join(leaders, "key"))
-
-    wanted = shared.select("node").distinct().join(nodes.select("node", "text_id"), "node")
-    wanted = checkpointed(wanted)
+            keys, low = signed_texts(batch["text"].tolist(), bands, rows)
+            yield batch[["node", "doc_id"]].assign(keys=keys, low=low)
+
+    signed = docs.mapInPandas(sign, "node binary, doc_id bigint, keys array<bigint>, low binary")
+    first = [F.min("doc_id").alias("text_id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("low").alias("low")]
+    nodes = checkpointed(signed.groupBy("node").agg(*first))
+    placed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    sizes = placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = checkpointed(placed.join(sizes, ["band", "key"]))
+    # How often a node meets another one, over all its buckets.
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = shared.join(met, "node").groupBy("band", "key").agg(F.max(F.struct("met", "node"))["node"].alias("leader"))
+
+    wanted = met.select("node").join(nodes.select("node", "text_id"), "node")
     keyed = docs.withColumn("text_id", F.coalesce("doc_id", F.lit(-(1 << 62))))
     filter_ = wanted.select("node", F.coalesce("text_id", F.lit(-(1 << 62))).alias("text_id"))
-    if wanted.count() <= BROADCAST_NODES:
-        filter_ = F.broadcast(filter_)
     path = scratch_path(spark, "near-texts")
-    keyed.join(filter_, ["node", "text_id"]).select("node", "text").write.parquet(path)
-    texts = spark.read.parquet(path).dropDuplicates(["node"])
+    keyed.join(filter_, ["node", "text_id"]).select("node", "text").dropDuplicates(["node"]).write.parquet(path)
 
-    links = _Links(texts, similarity)
-    pairs = shared.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("n"))
-    pairs = checkpointed(few(pairs))
+    links = _Links(nodes, spark.read.parquet(path), similarity, bands)
+    led = shared.join(leaders, ["band", "key"]).where("node <> leader")
+    pairs = pinned(led.groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("n")))
     # The leader that a node shares most buckets with, then the others that are still in another component.
-    best = few(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     links.verify(best)
-    others = links.apart(few(pairs.join(best, ["a", "b"], "left_anti").select("a", "b")))
-    links.verify(others)
-    known = pairs.select("a", "b")
-
-    rooms = shared.select("key", "node", "leader")
-    for turn in range(LEADER_ROUNDS + 1):
-        mine = links.root_of(rooms.select("key", "node", "leader"), "node", "root")
-        mixed = few(mine.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
-        rooms = checkpointed(few(mine.join(mixed, "key")))
-        if rooms.isEmpty():
-            break
-        led = links.root_of(rooms.select("key", "leader").distinct(), "leader", "lead_root").select("key", "lead_root")
-        if turn < LEADER_ROUNDS:
-            # A new leader from outside the first leader's component.
-            outside = rooms.join(led, "key").where("root <> lead_root")
-            order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("root"))
-            fresh = outside.groupBy("key").agg(F.min(order).alias("m")).select("key", F.col("m.node").alias("b"), F.col("m.root").alias("rb"))
-            tried = rooms.join(fresh, "key").where("root <> rb").select(F.col("node").alias("a"), "b")
-        else:
-            one = rooms.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-            two = rooms.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-            tried = one.join(two, "key").where("ra < rb").select("a", "b")
-        tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = checkpointed(few(tried.join(done, ["a", "b"], "left_anti")))
-        if not tried.isEmpty():
-            links.verify(tried)
-            known = known.unionByName(tried)
+    links.verify(links.apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b")))
+    # A bucket of two is settled: one of them led it.
+    rooms = links.root_of(shared.where("n > 2").select("band", "key", "node"), "node", "root")
+    mixed = rooms.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    links.settle(rooms.join(mixed.select("band", "key"), ["band", "key"]))
 
     rooted = links.root_of(nodes.select("node", "text_id", "copies"), "node", "root")
     # The row that stays has the smallest id; of several texts with that id, the smallest node.
