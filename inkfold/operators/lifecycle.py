@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.operators.ordered import (
+    CHUNK,
     as_of,
     next_value,
-    run_start,
     running_sum,
+    with_chunk,
 )
 from inkfold.session import checkpointed
 
@@ -44,59 +45,85 @@ def _accepted_attempts(firing: DataFrame, cooldown_seconds: int) -> DataFrame:
     """Add ``accepted`` and ``last_accepted_us``: an attempt is accepted when the last accepted
     one of its (model, alertname) lies at least the cooldown back.
 
-    After a quiet gap of one cooldown the next attempt is always accepted, so bursts between such
-    gaps are independent and spread over tasks. Within a burst rows pass through in order, holding
-    one number of state."""
+    Accepted attempts are a chain: each leads to the first attempt a cooldown later. A burst without any
+    quiet gap may hold all attempts of a name, so the chain is not followed row by row. Attempts lie in
+    row-bounded blocks in time order; in a block every attempt knows the last one that a chain through it
+    accepts there (its exit). The exits are linked to the exits of the blocks they lead to, and those that
+    the first attempt leads to are found by doubling the links: as many rounds as the logarithm of the
+    number of blocks. Then every block is walked on its own, from the attempt at which the chain enters it."""
     keys = ["model", "alertname"]
-    timed = firing.withColumn("_us", F.unix_micros("received_at"))
     pause = cooldown_seconds * 1000000
-    bursts = run_start(
-        timed,
-        keys,
-        "received_at",
-        F.col("_us"),
-        lambda before, now: before.isNull() | (now - before >= pause),
-        "_burst",
-        ["alert_id"],
-    )
-    group = [*keys, "_burst"]
-    ordered = (
-        bursts.select(*group, "_us", "alert_id", "received_at")
-        .repartition(*group)
-        .sortWithinPartitions(*group, "_us", "alert_id")
-    )
+    timed = with_chunk(firing.withColumn("_us", F.unix_micros("received_at")), keys, "received_at", ["alert_id"])
+    if pause <= 0:
+        return timed.select(*keys, "alert_id", "received_at", F.lit(True).alias("accepted"), F.col("_us").alias("last_accepted_us"))
+    place = [*keys, CHUNK]
+    instants = timed.groupBy(*place, "_us").agg(F.count("*").alias("_n"))
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, None
-        for frame in frames:
-            times = frame["_us"].to_numpy()
-            accepted = np.zeros(len(frame), dtype=bool)
-            previous = np.zeros(len(frame), dtype=np.int64)
-            names = list(zip(*(frame[c].tolist() for c in group), strict=True))
-            borders = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
-            for start, end in zip(borders, [*borders[1:], len(names)], strict=True):
-                name = names[start]
-                if name != current:
-                    current, last = name, times[start] - pause
-                at = start
-                # From one accepted attempt straight to the next.
-                while at < end:
-                    after = at + int(np.searchsorted(times[at:end], last + pause))
-                    previous[at:after] = last
-                    if after < end:
-                        accepted[after], last = True, times[after]
-                        previous[after] = last
-                    at = after + 1
-            yield frame[["model", "alertname", "alert_id", "received_at"]].assign(
-                accepted=accepted, last_accepted_us=previous
-            )
+    def leave(block: pd.DataFrame) -> pd.DataFrame:
+        """The exit of each instant: where the next one lies beyond the block, itself, else that of the next one."""
+        block = block.sort_values("_us", kind="stable")
+        us = block["_us"].to_numpy()
+        after = np.searchsorted(us, us + pause)
+        exits = us.copy()
+        for i in range(len(us) - 1, -1, -1):
+            if after[i] < len(us):
+                exits[i] = exits[after[i]]
+        return block[place].assign(us=us, exit=exits)
+
+    kinds = f"model STRING, alertname STRING, {CHUNK} BIGINT, us BIGINT, exit BIGINT"
+    walked = checkpointed(instants.groupBy(*place).applyInPandas(leave, kinds))
+    # The first instant a cooldown or more after each exit: the newest one in reversed time. Of an instant on both sides of a
+    # cut, the first block has the attempt that is accepted.
+    exits = walked.where("us = exit").select(*keys, F.col("us").alias("at"), (-(F.col("us") + pause)).alias("back")).distinct()
+    marks = walked.select(
+        *keys, (-F.col("us")).alias("back"), F.col("us").alias("enters"), F.col("exit").alias("to"),
+        F.col(CHUNK).alias("_block"), (-F.col(CHUNK)).alias("_tie"),
+    )
+    links = as_of(exits, marks, keys, "back", ["enters", "to", "_block"], ["_tie"])
+    links = checkpointed(links.select(*keys, "at", "enters", "to", "_block"))
+    first = walked.groupBy(*keys).agg(F.min(F.struct("us", CHUNK, "exit")).alias("f"))
+    first = first.select(*keys, F.col("f.us").alias("enters"), F.col("f.exit").alias("at"), F.col(f"f.{CHUNK}").alias("_block"))
+
+    # After k rounds ``met`` holds the first 2 ** k exits of the chain, and ``jump`` leads 2 ** k links on.
+    met = checkpointed(first.select(*keys, "at"))
+    jump = links.where("to IS NOT NULL").select(*keys, "at", "to")
+    while True:
+        ahead = checkpointed(met.join(jump, [*keys, "at"]).select(*keys, F.col("to").alias("at")))
+        if ahead.isEmpty():
+            break
+        met = checkpointed(met.unionByName(ahead))
+        onward = jump.select(*keys, F.col("at").alias("to"), F.col("to").alias("_on"))
+        jump = checkpointed(jump.join(onward, [*keys, "to"]).select(*keys, "at", F.col("_on").alias("to")))
+
+    entered = met.join(links.where("enters IS NOT NULL"), [*keys, "at"]).select(*keys, "_block", "enters", F.col("to").alias("exit"))
+    entered = entered.unionByName(first.select(*keys, "_block", "enters", F.col("at").alias("exit")))
+    entries = entered.withColumnRenamed("_block", CHUNK)
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = walked.select(*place).distinct().join(entries, place, "left")
+    blocks = blocks.withColumn("carried", F.max("exit").over(earlier)).select(*place, "enters", "carried")
+
+    def walk(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["_us", "alert_id"], kind="stable")
+        us = block["_us"].to_numpy()
+        accepted, last = np.zeros(len(us), dtype=bool), np.zeros(len(us), dtype=np.int64)
+        enters, carried = block["enters"].iloc[0], block["carried"].iloc[0]
+        at = len(us) if pd.isna(enters) else int(np.searchsorted(us, int(enters)))
+        if at > 0:
+            last[:at] = int(carried)
+        while at < len(us):
+            accepted[at] = True
+            after = int(np.searchsorted(us, us[at] + pause))
+            last[at:after] = us[at]
+            at = after
+        return block[["model", "alertname", "alert_id", "received_at"]].assign(accepted=accepted, last_accepted_us=last)
 
-    fields = dict(bursts.dtypes)
+    fields = dict(timed.dtypes)
     schema = (
         f"model STRING, alertname STRING, alert_id {fields['alert_id']}, received_at TIMESTAMP, "
         "accepted BOOLEAN, last_accepted_us BIGINT"
     )
-    return ordered.mapInPandas(fold, schema)
+    rows = timed.select(*place, "_us", "alert_id", "received_at").join(blocks, place)
+    return rows.groupBy(*place).applyInPandas(walk, schema)
 
 
 def rollback_decisions(

@@ -19,39 +19,42 @@ from pyspark.sql import functions as F
 
 from inkfold.session import checkpointed
 
-_CHUNK = "_chunk"
+CHUNK = "_chunk"
+BLOCK_BITS = 16
 _CARRY = "_carry"
 
 
 def with_chunk(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
     """Add the block column. Frames that have it keep it through all functions here: a chain of
-    them then runs on one partitioning by (key, block). The number of blocks is the session's
-    number of shuffle partitions."""
-    if _CHUNK in df.columns:
+    them then runs on one partitioning by (key, block). A block is a run of at most 2 ** ``BLOCK_BITS``
+    rows of a range partition in order, so its size does not grow with the table."""
+    if CHUNK in df.columns:
         return df
-    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = F.col(ts).isNotNull()
     for key in keys:
         placed = placed & F.col(key).isNotNull()
-    spread = df.where(placed).repartitionByRange(blocks, *[F.col(c) for c in (*keys, ts, *tie)])
-    return checkpointed(spread.withColumn(_CHUNK, F.spark_partition_id().cast("bigint")))
+    order = [F.col(c) for c in (*keys, ts, *tie)]
+    spread = df.where(placed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The id of a row is its partition and its number there.
+    return checkpointed(spread.withColumn(CHUNK, F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
 
 
 def _extra(df: DataFrame) -> list[str]:
     """Helper columns to drop again: the block, unless the caller's frame had it."""
-    return [] if _CHUNK in df.columns else [_CHUNK]
+    return [] if CHUNK in df.columns else [CHUNK]
 
 
 def _before(keys: Sequence[str]):
     return (
         Window.partitionBy(*keys)
-        .orderBy(_CHUNK)
+        .orderBy(CHUNK)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
 
 
 def _inside(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
 
 def running_sum(
@@ -65,13 +68,13 @@ def running_sum(
     """Sum of ``value`` over all rows of the key up to and including this one."""
     chunked = with_chunk(df, keys, ts, tie).withColumn("_v", value)
     carry = (
-        chunked.groupBy(*keys, _CHUNK)
+        chunked.groupBy(*keys, CHUNK)
         .agg(F.sum("_v").alias("_s"))
-        .select(*keys, _CHUNK, F.coalesce(F.sum("_s").over(_before(keys)), F.lit(0)).alias(_CARRY))
+        .select(*keys, CHUNK, F.coalesce(F.sum("_s").over(_before(keys)), F.lit(0)).alias(_CARRY))
     )
     inside = _inside(keys, [ts, *tie]).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        chunked.join(carry, [*keys, _CHUNK])
+        chunked.join(carry, [*keys, CHUNK])
         .withColumn(out, F.col(_CARRY) + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
         .drop(*_extra(df), _CARRY, "_v")
     )
@@ -118,15 +121,15 @@ def _neighbour(df, keys, ts, value, out, tie, forward):
     edge = F.min_by(F.struct(value), order) if forward else F.max_by(F.struct(value), order)
     shift = F.lead if forward else F.lag
     carry = (
-        chunked.groupBy(*keys, _CHUNK)
+        chunked.groupBy(*keys, CHUNK)
         .agg(edge.alias("_edge"))
         .select(
-            *keys, _CHUNK, shift("_edge").over(Window.partitionBy(*keys).orderBy(_CHUNK)).alias(_CARRY)
+            *keys, CHUNK, shift("_edge").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias(_CARRY)
         )
     )
     near = shift(F.struct(value)).over(_inside(keys, [ts, *tie]))
     return (
-        chunked.join(carry, [*keys, _CHUNK])
+        chunked.join(carry, [*keys, CHUNK])
         .withColumn(out, F.coalesce(near, F.col(_CARRY))[value])
         .drop(*_extra(df), _CARRY)
     )
@@ -144,13 +147,13 @@ def carry_last(
     chunked = with_chunk(df, keys, ts, tie).withColumn("_v", value)
     order = F.when(F.col("_v").isNotNull(), F.struct(ts, *tie))
     carry = (
-        chunked.groupBy(*keys, _CHUNK)
+        chunked.groupBy(*keys, CHUNK)
         .agg(F.max_by("_v", order).alias("_last"))
-        .select(*keys, _CHUNK, F.last("_last", ignorenulls=True).over(_before(keys)).alias(_CARRY))
+        .select(*keys, CHUNK, F.last("_last", ignorenulls=True).over(_before(keys)).alias(_CARRY))
     )
     inside = _inside(keys, [ts, *tie]).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        chunked.join(carry, [*keys, _CHUNK])
+        chunked.join(carry, [*keys, CHUNK])
         .withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col(_CARRY)))
         .drop(*_extra(df), _CARRY, "_v")
     )
@@ -179,13 +182,13 @@ def run_start(
         .withColumn("_local", F.when(F.col("_inner") & starts(F.col("_pr"), F.col("_st")), F.col(ts)))
     )
     # The first and last rows are known from the ordered pass, so plain maxima pick their states.
-    summary = marked.groupBy(*keys, _CHUNK).agg(
+    summary = marked.groupBy(*keys, CHUNK).agg(
         F.max(F.when(~F.col("_inner"), F.col("_st"))).alias("_first"),
         F.max(F.when(F.col("_end_row"), F.col("_st"))).alias("_last"),
         F.min(ts).alias("_t0"),
         F.max("_local").alias("_run"),
     )
-    by_chunk = Window.partitionBy(*keys).orderBy(_CHUNK)
+    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
     opened = F.when(
         F.coalesce(starts(F.lag("_last").over(by_chunk), F.col("_first")), F.lit(False)),
         F.col("_t0"),
@@ -195,13 +198,13 @@ def run_start(
         .withColumn("_end", F.coalesce("_run", "_open"))
         .select(
             *keys,
-            _CHUNK,
+            CHUNK,
             F.coalesce("_open", F.last("_end", ignorenulls=True).over(_before(keys))).alias(_CARRY),
         )
     )
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        marked.join(carry, [*keys, _CHUNK])
+        marked.join(carry, [*keys, CHUNK])
         .withColumn(out, F.coalesce(F.last("_local", ignorenulls=True).over(upto), F.col(_CARRY)))
         .drop(*_extra(df), _CARRY, "_st", "_pr", "_inner", "_end_row", "_local")
     )
@@ -268,20 +271,20 @@ def trailing_sum(
     )
     group = [*keys, "_cell"]
     placed = with_chunk(instants, group, "_us")
-    forward = Window.partitionBy(*group).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    backward = Window.partitionBy(*group).orderBy(F.desc(_CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    forward = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy(*group).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        placed.groupBy(*group, _CHUNK)
+        placed.groupBy(*group, CHUNK)
         .agg(F.sum("_own").alias("_o"), F.sum("_late").alias("_l"))
         .select(
-            *group, _CHUNK, F.coalesce(F.sum("_o").over(forward), F.lit(0.0)).alias("_of"),
+            *group, CHUNK, F.coalesce(F.sum("_o").over(forward), F.lit(0.0)).alias("_of"),
             F.coalesce(F.sum("_l").over(backward), F.lit(0.0)).alias("_lf"),
         )
     )
-    inside = Window.partitionBy(*group, _CHUNK)
+    inside = Window.partitionBy(*group, CHUNK)
     upto = inside.orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
     after = inside.orderBy(F.desc("_us")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.join(carry, [*group, _CHUNK]).select(
+    sums = placed.join(carry, [*group, CHUNK]).select(
         *keys,
         F.timestamp_micros("_us").alias(ts),
         (

@@ -27,6 +27,8 @@ OVERFETCH = 3
 SCORE_DIGITS = 9  # scores are compared at 1e-9, so that ranking does not hinge on summation order
 QUERY_BYTES = 32 << 20  # of query vectors sent to the tasks at a time
 BLOCK_ROWS = 20_000
+# Cells of the approximate search: sign planes, and how many sides a probed cell may differ in.
+PLANES, FLIPS = 5, 3
 
 HIT_SCHEMA = T.StructType(
     [
@@ -250,8 +252,8 @@ def approx_nearest_chunks(
     queries: DataFrame,
     chunks: DataFrame,
     keep: int,
-    planes: int = 5,
-    flips: int = 3,
+    planes: int = PLANES,
+    flips: int = FLIPS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Approximate nearest chunks: a vector's cell is the sides of ``planes`` fixed planes it lies on. A query is

@@ -13,6 +13,7 @@ from inkfold.operators import corrections as C
 from inkfold.operators import documents as D
 from inkfold.operators import evaluation as E
 from inkfold.operators import feedback as B
+from inkfold.operators import graph as G
 from inkfold.operators import lifecycle as L
 from inkfold.operators import monitoring as M
 from inkfold.operators import search as S
@@ -30,6 +31,7 @@ from inkfold.session import scratch_path
 from inkfold.sources import readers as R
 from inkfold.sources import writers as W
 from inkfold.streaming import jobs as J
+from inkfold.streaming import sessions as SS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -195,22 +197,34 @@ def semantic_search(t: Tables) -> DataFrame:
     return found.select("query_id", F.array_join(shown, ",").alias("results"), "top_similarity_score", "fallback_to_keyword")
 
 
-PLANES_SQL = "[" + ", ".join("[" + ", ".join(f"{x:.0f}" for x in row) + "]" for row in S.sign_planes(64, 8)) + "]"
+def _cell_sql() -> str:
+    """The cell of ``vector`` under the planes that the operator takes by default."""
+    sides = []
+    for j, plane in enumerate(S.sign_planes(64, S.PLANES)):
+        axis = "[" + ", ".join(f"{x:.0f}" for x in plane) + "]::DOUBLE[]"
+        sides.append(f"CASE WHEN list_dot_product(vector, {axis}) >= 0 THEN {1 << j} ELSE 0 END")
+    return " + ".join(sides)
 
 
 @query(
     f"""
-WITH q AS (SELECT query_id, {'+'.join(f'CASE WHEN list_dot_product(vector, ({PLANES_SQL}::DOUBLE[][])[{j + 1}]) >= 0 THEN {1 << j} ELSE 0 END' for j in range(8))} AS cell FROM v_queries),
-c AS (SELECT point_key, {'+'.join(f'CASE WHEN list_dot_product(vector, ({PLANES_SQL}::DOUBLE[][])[{j + 1}]) >= 0 THEN {1 << j} ELSE 0 END' for j in range(8))} AS cell FROM v_vectors)
+WITH q AS (SELECT query_id, {_cell_sql()} AS cell FROM v_queries), c AS (SELECT point_key, {_cell_sql()} AS cell FROM v_vectors)
 SELECT query_id, point_key, round(score, 4) AS score,
        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index, point_key) AS rank
-FROM v_scores JOIN q USING (query_id) JOIN c USING (point_key) WHERE bit_count(xor(q.cell, c.cell)) <= 1 QUALIFY rank <= 15"""
+FROM v_scores JOIN q USING (query_id) JOIN c USING (point_key) WHERE bit_count(xor(q.cell, c.cell)) <= {S.FLIPS} QUALIFY rank <= 15"""
 )
 def approx_knn(t: Tables) -> DataFrame:
     hits = S.approx_nearest_chunks(t.queries, t.vectors, keep=15)
     return hits.select("query_id", "point_key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 4).alias("score"))
 
 
+# What a walk over a graph finds has no SQL; tests hold it against the exact search.
+@query()
+def approx_knn_graph(t: Tables) -> DataFrame:
+    hits = G.approx_graph_chunks(t.queries, t.vectors, keep=15)
+    return hits.select("query_id", "point_key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 4).alias("score"))
+
+
 @query("SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'user' AND length(text) >= 3")
 def valid_queries(t: Tables) -> DataFrame:
     asked = t.table("conversations").where(F.col("role") == "user").withColumnRenamed("text", "query_text")
@@ -1409,6 +1423,38 @@ def attribute_feedback_stream(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    ATTRIBUTION_SQL.replace("coalesce(q.query_id, s.query_id)", "coalesce(q.query_id, CASE WHEN f.ts - s.ts <= INTERVAL 30 MINUTE THEN s.query_id END)").replace(
+        "WHEN s.query_id IS NOT NULL THEN", "WHEN f.ts - s.ts <= INTERVAL 30 MINUTE THEN"
+    )
+)
+def attribute_sessions_stream(t: Tables) -> DataFrame:
+    """All queries and feedback in four micro-batches, each up to an hour out of order and reaching into the next, and a closing one. A
+    late row, of which there are none, would be a row without a match."""
+    path = scratch_path(t.spark, "sessions")
+    kind = F.col("event_type")
+    events = t.events.where(kind.isin("view", "click", "purchase", "error")).select(
+        "event_id", _session(), "ts", kind.alias("kind"), F.when(kind == "purchase", F.col("event_id") - 3).alias("query_id"),
+        (F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3600000000))).alias("at"),
+    )
+    low, high = events.agg(F.min("at"), F.max("at")).first()
+    part = F.floor((F.col("at") - F.lit(low)) * 4 / F.lit((high or 0) - (low or 0) + 1))
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    closing = last.select("ts", F.explode(F.array(F.lit("view"), F.lit("click"))).alias("kind"))
+    closing = closing.select(
+        F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("string").alias("session_id"), "ts", "kind", F.lit(None).cast("bigint").alias("query_id")
+    )
+    for rows in [*(events.where(part == k).drop("at") for k in range(4)), closing]:
+        rows.write.mode("append").parquet(f"{path}/feed")
+        feed = t.spark.readStream.schema(rows.schema).parquet(f"{path}/feed")
+        asked = feed.where("kind = 'view'").select(F.col("event_id").alias("query_id"), "session_id", "ts")
+        given = feed.where("kind <> 'view'").withColumnRenamed("event_id", "feedback_id")
+        SS.write_attribution(asked, given, f"{path}/matched", f"{path}/late", f"{path}/checkpoint", 1800, "1 hour", once=True).awaitTermination()
+    matched, late = (t.spark.read.parquet(f"{path}/{name}") for name in ("matched", "late"))
+    found = matched.select("feedback_id", "matched_query_id", "matched_by").unionByName(late.select("feedback_id"), allowMissingColumns=True)
+    return found.where("feedback_id IS NOT NULL")
+
+
 @query("SELECT CAST(document_id AS VARCHAR) AS document_id, chunk_index, id, md5(chunk_text) AS chunk FROM v_points")
 def index_documents(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "chunks")

@@ -9,14 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from inkfold.functions.text import py_strip
 from inkfold.operators.documents import latest_per_key, reprocess_guard
 from inkfold.operators.feedback import usage_kpis
 from inkfold.operators.search import chunk_text, encode_texts, with_point_ids
 from inkfold.sources.writers import append_version, write_correction_archive
+from inkfold.streaming.keyed import all_rows, next_timer, passed_us, rocksdb, with_state
 
 
 def _start(
@@ -157,66 +157,77 @@ def archive_stream(
     return _start(corrections, checkpoint, run, once, interval)
 
 
-def alert_changes(samples: DataFrame, hold_seconds: int, delay: str = "1 minute") -> DataFrame:
-    """State changes of an alert per series, and late samples. ``samples(series, ts, breached)``; rows
-    ``(series, ts, from_state, to_state, late)``, a late sample with null states.
+class AlertStates(StatefulProcessor):
+    """State per series: start of the breach, shown state, and samples that wait for the watermark."""
 
-    Samples wait in keyed state until the watermark (newest time seen, less ``delay``) has passed them and are then
-    taken in time order, in whatever order and batches they came; a timer does so for series that fall silent. Those
-    that come after the watermark has passed their time are late. A series at rest, inactive and with nothing
-    waiting, keeps no state."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, shown, waiting = state.get if state.exists else (-1, "inactive", b"")
-        passed = max(state.getCurrentWatermarkMs(), 0) * 1000
-        parts = [np.frombuffer(bytes(waiting), dtype=np.int64)]
-        if not state.hasTimedOut:
-            for f in frames:
-                us, on = f["us"].to_numpy(dtype=np.int64), f["breached"].to_numpy(dtype=bool)
-                late = (us <= passed) & (passed > 0)
-                if late.any():
-                    yield rows(key, us[late], None, None, True)
-                parts.append(us[~late] * 2 + on[~late])
-        packed = np.concatenate(parts)
-        packed = packed[np.argsort(packed >> 1, kind="stable")]
+    def __init__(self, hold_us: int):
+        self.hold_us = hold_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.shown = handle.getValueState("shown", "since BIGINT, state STRING")
+        # Time and breach of a sample in one number, which sorts by time and then lets the unbreached come first.
+        self.waiting = handle.getListState("waiting", "packed BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got, passed = all_rows(rows), passed_us(timerValues)
+        us = got["us"].to_numpy(dtype=np.int64)
+        late = (us <= passed) & (passed > 0)
+        if late.any():
+            yield self._rows(key, us[late], None, None, True)
+        us, on = us[~late], got["breached"].to_numpy(dtype=bool)[~late]
+        if len(us):
+            self.waiting.appendList([(int(p),) for p in us * 2 + on])
+            self.handle.registerTimer(next_timer(int(us.min())))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = passed_us(timerValues)
+        packed = np.sort(np.array([p for (p,) in self.waiting.get()], dtype=np.int64))
         ready = packed >> 1 <= passed
-        us, on, packed = packed[ready] >> 1, (packed[ready] & 1).astype(bool), packed[~ready]
+        us, on, rest = packed[ready] >> 1, (packed[ready] & 1).astype(bool), packed[~ready]
         if len(us):
+            since, shown = self.shown.get() if self.shown.exists() else (-1, "inactive")
             opens = on & ~np.concatenate([[since >= 0], on[:-1]])
             starts = np.maximum.accumulate(np.where(opens, us, since))
-            held = us - starts >= hold_seconds * 1000000
-            now = np.where(~on, "inactive", np.where(held, "firing", "pending"))
+            now = np.where(~on, "inactive", np.where(us - starts >= self.hold_us, "firing", "pending"))
             before = np.concatenate([[shown], now[:-1]])
             turned = np.flatnonzero(now != before)
-            since, shown = (int(starts[-1]) if on[-1] else -1), str(now[-1])
+            # A series at rest keeps no state.
+            if on[-1]:
+                self.shown.update((int(starts[-1]), str(now[-1])))
+            else:
+                self.shown.clear()
             if len(turned):
-                yield rows(key, us[turned], before[turned], now[turned], False)
-        if len(packed) == 0 and since < 0 and shown == "inactive":
-            if state.exists:
-                state.remove()
-            return
-        state.update((since, shown, packed.tobytes()))
-        if len(packed):
-            state.setTimeoutTimestamp(int(packed[0] >> 1) // 1000 + 1)
-
-    def rows(key: tuple, us: np.ndarray, before, now, late: bool) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"series": key[0], "ts": pd.to_datetime(us, unit="us"), "from_state": before, "to_state": now, "late": late}
-        )
+                yield self._rows(key, us[turned], before[turned], now[turned], False)
+            if len(rest):
+                self.waiting.put([(int(p),) for p in rest])
+            else:
+                self.waiting.clear()
+        if len(rest):
+            self.handle.registerTimer(next_timer(int(rest[0] >> 1)))
 
-    # Spark would drop late rows unseen, by the column marked with a watermark that reaches the operator. The marked one
-    # is therefore an empty column in place of ``ts``; the watermark itself is taken from ``ts`` before.
+    @staticmethod
+    def _rows(key, us: np.ndarray, before, now, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({"series": key[0], "us": us, "from_state": before, "to_state": now, "late": late})
+
+    def close(self) -> None:
+        pass
+
+
+def alert_changes(samples: DataFrame, hold_seconds: int, delay: str = "1 minute") -> DataFrame:
+    """State changes of an alert per series, and late samples. ``samples(series, ts, breached)``; rows
+    ``(series, ts, from_state, to_state, late)``, a late sample with null states.
+
+    Samples wait in keyed state until the watermark (newest time seen, less ``delay``) has passed them and are then
+    taken in time order, in whatever order and batches they came; a timer does so for series that fall silent. Of samples of one
+    instant the unbreached come first. Those that come after the watermark has passed their time are late. A series at rest,
+    with nothing waiting, keeps no state. Start the stream inside ``keyed.rocksdb``."""
     timed = samples.withWatermark("ts", delay).select(
-        "series", F.unix_micros("ts").alias("us"), F.coalesce("breached", F.lit(False)).alias("breached"),
-        F.lit(None).cast("timestamp").alias("never_late", metadata={"spark.watermarkDelayMs": 0}),
-    )
-    return timed.groupBy("series").applyInPandasWithState(
-        step,
-        "series STRING, ts TIMESTAMP, from_state STRING, to_state STRING, late BOOLEAN",
-        "since BIGINT, shown STRING, waiting BINARY",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+        "series", F.unix_micros("ts").alias("us"), F.coalesce("breached", F.lit(False)).alias("breached")
     )
+    schema = "series STRING, us BIGINT, from_state STRING, to_state STRING, late BOOLEAN"
+    changes = with_state(timed, ["series"], AlertStates(hold_seconds * 1000000), schema)
+    return changes.select("series", F.timestamp_micros("us").alias("ts"), "from_state", "to_state", "late")
 
 
 def alert_stream(samples: DataFrame, hold_seconds: int, delay: str = "1 minute") -> DataFrame:
@@ -245,4 +256,5 @@ def write_alerts(
             part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         batch.unpersist()
 
-    return _start(alert_changes(samples, hold_seconds, delay), checkpoint, run, once, interval)
+    with rocksdb(samples.sparkSession):
+        return _start(alert_changes(samples, hold_seconds, delay), checkpoint, run, once, interval)

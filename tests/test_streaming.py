@@ -10,6 +10,7 @@ from inkfold.schemas import CHUNK_POINTS, DOCUMENTS
 from inkfold.sources import readers as R
 from inkfold.sources import writers as W
 from inkfold.streaming import jobs as J
+from inkfold.streaming.keyed import rocksdb
 
 
 def iso(second):
@@ -135,7 +136,8 @@ def test_alert_stream_over_several_batches(spark, tmp_path):
     def run(name, part):
         put(folder, name, [{"series": s, "ts": iso(t), "breached": on} for t, on in part for s in ("a", "b")])
         stream = spark.readStream.schema("series STRING, ts TIMESTAMP, breached BOOLEAN").json(str(folder))
-        return drain(J.alert_stream(stream, 300), tmp_path / "out")
+        with rocksdb(spark):
+            return drain(J.alert_stream(stream, 300), tmp_path / "out")
 
     run("1.json", points[:7])
     run("2.json", points[7:19])
