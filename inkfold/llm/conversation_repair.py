@@ -178,12 +178,12 @@ def edits_of(turns: str, audit: str, entry: int = START) -> list[tuple[str, str,
     return out
 
 
-def find_faults(df: DataFrame, gone: Column | None = None) -> DataFrame:
-    """The rows of ``df`` (conv_id, turn, role, text) in their order: conv, conv_id, turn, role, text, gone, pos (from 0), n (turns of the
-    conversation), initial, fault (blank, duplicate, truncated, none).
+def _order() -> list:
+    return ["gone", F.col("turn").isNotNull(), "turn", "role", "mark", "row"]
 
-    Ordered by turn (null first), then role and digest of the text. Rows where ``gone`` holds are no turns; they only keep their
-    conversation in the reports. Null roles and texts are one space. Rows without a conv_id are one conversation."""
+
+def _spread(df: DataFrame, gone: Column | None) -> DataFrame:
+    """The rows of ``df`` in ranges of their order, pinned, with all that the faults need to know of a text."""
     spark = df.sparkSession
     gone = F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))
     rows = df.select(
@@ -193,14 +193,25 @@ def find_faults(df: DataFrame, gone: Column | None = None) -> DataFrame:
         *[F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")],
         gone.alias("gone"),
     )
-    rows = rows.withColumn("mark", F.md5("text")).withColumn("tie", F.monotonically_increasing_id())
-    order = ["gone", F.col("turn").isNotNull(), "turn", "role", "mark", "tie"]
+    rows = rows.withColumns(
+        {
+            "mark": F.md5("text"),
+            "shown": F.col("text").rlike(r"[^\x20\x09-\x0D]"),
+            "ended": F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"),
+            "row": F.monotonically_increasing_id(),
+        }
+    )
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
-    spread = rows.repartitionByRange(parts, "conv", *order)
-    spread = checkpointed(spread.withColumn("part", F.spark_partition_id().cast("bigint")))
+    spread = rows.repartitionByRange(parts, "conv", *_order())
+    return checkpointed(spread.withColumn("part", F.spark_partition_id().cast("bigint")))
+
+
+def _placed(spread: DataFrame) -> DataFrame:
+    """Place and fault of each row; texts stay behind."""
+    spread = spread.drop("text")
     counts = spread.where("NOT gone").groupBy("conv", "part").agg(F.count("*").alias("n"))
     first = rows_before(counts, ["conv"], "part").drop("n").join(counts.groupBy("conv").agg(F.sum("n").alias("n")), "conv")
-    inside = F.row_number().over(Window.partitionBy("conv", "part").orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy("conv", "part").orderBy(*_order()))
     placed = spread.withColumn("pos", (inside - 1).cast("bigint")).join(first, ["conv", "part"], "left")
     placed = placed.withColumn("pos", F.col("pos") + F.col("before")).withColumn("block", F.floor(F.col("pos") / BLOCK))
 
@@ -209,15 +220,31 @@ def find_faults(df: DataFrame, gone: Column | None = None) -> DataFrame:
     firsts = placed.where("NOT gone").groupBy(*same, "block").agg(F.min("pos").alias("first"))
     firsts = firsts.withColumn("first", F.min("first").over(Window.partitionBy(*same).orderBy("block")))
     placed = placed.join(firsts, [*same, "block"], "left")
-    shown = r"[^\x20\x09-\x0D]"
     fault = (
-        F.when(~F.col("text").rlike(shown), F.lit("blank"))
+        F.when(~F.col("shown"), F.lit("blank"))
         .when(F.col("pos") > F.col("first"), F.lit("duplicate"))
-        .when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), F.lit("truncated"))
+        .when(~F.col("ended"), F.lit("truncated"))
         .otherwise(F.lit("none"))
     )
-    columns = ["conv", "conv_id", "turn", "role", "text", "gone", "pos", "n", "block"]
-    return placed.select(*columns, F.substring("role", 1, 1).alias("initial"), fault.alias("fault"))
+    columns = ["conv", "conv_id", "turn", "role", "gone", "pos", "n", "block", "row"]
+    return checkpointed(placed.select(*columns, F.substring("role", 1, 1).alias("initial"), fault.alias("fault")))
+
+
+def find_faults(df: DataFrame, gone: Column | None = None) -> DataFrame:
+    """The rows of ``df`` (conv_id, turn, role, text) in their order: conv, conv_id, turn, role, gone, pos (from 0), n (turns of the
+    conversation), initial, fault (blank, duplicate, truncated, none).
+
+    Ordered by turn (null first), then role and digest of the text. Rows where ``gone`` holds are no turns; they only keep their
+    conversation in the reports. Null roles and texts are one space. Rows without a conv_id are one conversation."""
+    return _placed(_spread(df, gone))
+
+
+def _edited(df: DataFrame, gone: Column | None) -> DataFrame:
+    """The rows of ``find_faults`` with their edits and texts. Texts are moved once, by conversation and row."""
+    spread = _spread(df, gone)
+    rows = _placed(spread)
+    told = rows.join(plan_repairs(rows), ["conv", "pos"], "left")
+    return told.join(spread.select("conv", "row", "text"), ["conv", "row"])
 
 
 EDITS = "conv string, pos bigint, before string, letter string, put string, after string"
@@ -301,8 +328,7 @@ def _chained(blocks: DataFrame, rows_of, names: list[str]) -> DataFrame:
 def repaired_turns(df: DataFrame, gone: Column | None = None) -> DataFrame:
     """The repaired conversations: conv_id, pos and part (the order), role, text, edit (K, R or I). A reroled turn keeps its text, an
     inserted one has none."""
-    rows = find_faults(df, gone)
-    told = rows.where("NOT gone").join(plan_repairs(rows), ["conv", "pos"])
+    told = _edited(df, gone).where("NOT gone")
     names = F.create_map(*[F.lit(x) for pair in (("u", "user"), ("a", "assistant")) for x in pair])
 
     def inserted(letters: str) -> Column:
@@ -322,8 +348,7 @@ def repair_report(df: DataFrame, gone: Column | None = None) -> DataFrame:
     space, so such a text is blank; null turns come first and count in no gap; rows without a conv_id are one conversation with a null id.
     Repeated rows are turns of their own. An empty table gives an empty result. Other columns are ignored. The digest of a
     conversation has to be taken in its order, so its texts pass through one task, one by one."""
-    rows = find_faults(df, gone)
-    told = rows.join(plan_repairs(rows), ["conv", "pos"], "left")
+    told = _edited(df, gone)
     columns = ["conv", "conv_id", "gone", "turn", "role", "text", "initial", "fault", "before", "letter", "put", "after", "pos"]
     ordered = told.select(*columns).repartition("conv").sortWithinPartitions("conv", "gone", "pos")
     kinds = (
