@@ -6,13 +6,17 @@ distance. As both share the ordinary part, ordinary text saves next to nothing.
 windows that the toxic dictionary still helps are trained into the ordinary one, and the toxic one is trained anew on
 the windows of toxic documents that it helps. A word repeated within a window refers to itself and counts once.
 
-The dictionaries are trained on one part of a bounded sample of labelled documents; shares of windows above fixed
-savings become a probability by logistic regression on another part. Held-out labels are never read."""
+Toxic documents in which these find nothing train a second, larger pair: a window's length with a dictionary of such documents is
+compared with its length with one of ordinary ones. This finds what is only more frequent in toxic text.
+
+The dictionaries are trained on one part of a bounded sample of labelled documents, on all windows of each; shares of
+windows above fixed savings become a score by logistic regression on another part, and the scale is set so that the
+cut-off separates the classes of that part best. Held-out labels are never read."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -25,7 +29,11 @@ from inkfold.llm.common import keyed_texts, per_worker, table, whole_text
 
 WINDOW, STEP = 64, 48
 CUTS = (2, 3, 4, 5, 7)
+FAINT_CUTS = (1, 3)
+FEATURES = len(CUTS) + 2 + len(FAINT_CUTS) + 1
 THRESHOLD = 0.7
+# The cut-off: a toxic document found counts so much more than a clean one lost, of which there may be at most this share.
+FOUND_WEIGHT, MOST_LOST = 1.5, 0.08
 
 
 @dataclass(frozen=True)
@@ -33,13 +41,16 @@ class Training:
     """Bounds of the labelled sample and of the dictionaries."""
 
     documents: int = 1000  # per class and part
-    windows: int = 64  # per document, spread evenly
     rounds: int = 5
     toxic_bytes: int = 1500
     ordinary_bytes: int = 32000
     segment: int = 16
     match: int = 6
     level: int = 6
+    faint_toxic_bytes: int = 32000
+    faint_ordinary_bytes: int = 64000
+    faint_segment: int = 12
+    faint_match: int = 8
 
 
 @dataclass
@@ -47,9 +58,11 @@ class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
     level: int = 6
-    mean: list[float] = field(default_factory=lambda: [0.0] * (len(CUTS) + 2))
-    scale: list[float] = field(default_factory=lambda: [1.0] * (len(CUTS) + 2))
-    weights: list[float] = field(default_factory=lambda: [0.0] * (len(CUTS) + 2))
+    faint_ordinary: bytes = b""
+    faint_toxic: bytes = b""
+    mean: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
+    scale: list[float] = field(default_factory=lambda: [1.0] * FEATURES)
+    weights: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
     bias: float = -4.0
 
 
@@ -59,37 +72,50 @@ def windows_of(text: str) -> list[bytes]:
     return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - (WINDOW - STEP)), STEP)] if raw else []
 
 
+def _compressor(content: bytes, level: int, size: int):
+    params = zstandard.ZstdCompressionParameters.from_level(
+        level, source_size=WINDOW, dict_size=size, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0
+    )
+    if not content:
+        return zstandard.ZstdCompressor(compression_params=params).compress
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress
+
+
 class Savings:
-    """Bytes that the toxic dictionary saves on each window."""
+    """Bytes that the toxic dictionary saves on each window, and those that the second one saves against its ordinary one."""
 
     def __init__(self, model: Model):
         size = len(model.ordinary) + len(model.toxic)
-        params = zstandard.ZstdCompressionParameters.from_level(
-            model.level, source_size=WINDOW, dict_size=size, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0
-        )
-
-        def compressor(content: bytes):
-            if not content:
-                return zstandard.ZstdCompressor(compression_params=params).compress
-            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            return zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress
-
-        self.plain = compressor(model.ordinary)
-        self.both = compressor(model.toxic + model.ordinary)
+        self.plain = _compressor(model.ordinary, model.level, size)
+        self.both = _compressor(model.toxic + model.ordinary, model.level, size)
+        self.pair = None
+        if model.faint_toxic and model.faint_ordinary:
+            self.pair = [_compressor(c, model.level, len(c)) for c in (model.faint_ordinary, model.faint_toxic)]
 
     def __call__(self, windows: list[bytes]) -> np.ndarray:
         plain, both = self.plain, self.both
         return np.array([len(plain(w)) - len(both(w)) for w in windows], dtype=np.int64)
 
+    def faint(self, windows: list[bytes]) -> np.ndarray:
+        if self.pair is None:
+            return np.zeros(len(windows), dtype=np.int64)
+        ordinary, toxic = self.pair
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows], dtype=np.int64)
+
+    def features(self, windows: list[bytes]) -> list[float]:
+        return features(self(windows), self.faint(windows))
 
-def features(saved: np.ndarray) -> list[float]:
-    """Shares of the windows that save so many bytes, the largest saving, and how many save much."""
+
+def features(saved: np.ndarray, faint: np.ndarray) -> list[float]:
+    """Shares of the windows that save so many bytes, the largest saving, and how many save much; shares and mean of the second pair."""
     if not len(saved):
-        return [0.0] * (len(CUTS) + 2)
-    return [*(float((saved >= c).mean()) for c in CUTS), float(min(saved.max(), 12)), float(np.log1p((saved >= 4).sum()))]
+        return [0.0] * FEATURES
+    first = [*(float((saved >= c).mean()) for c in CUTS), float(min(saved.max(), 12)), float(np.log1p((saved >= 4).sum()))]
+    return first + [*(float((faint >= c).mean()) for c in FAINT_CUTS), float(np.clip(faint, -8, 8).mean())]
 
 
-def _trained(samples: list[bytes], size: int, t: Training) -> bytes:
+def _trained(samples: list[bytes], size: int, segment: int, match: int) -> bytes:
     """Content of a zstandard dictionary; where there is too little text to train one, the text itself."""
     total = sum(map(len, samples))
     if not total:
@@ -97,7 +123,7 @@ def _trained(samples: list[bytes], size: int, t: Training) -> bytes:
     if total > 2 * size:
         try:
             repeated = samples * max(1, -(-20 * size // total))
-            return zstandard.train_dictionary(size, repeated, k=t.segment, d=t.match).as_bytes()[-(size - 200) :]
+            return zstandard.train_dictionary(size, repeated, k=segment, d=match).as_bytes()[-(size - 200) :]
         except zstandard.ZstdError:
             pass
     return b" ".join(samples)[:size]
@@ -105,9 +131,10 @@ def _trained(samples: list[bytes], size: int, t: Training) -> bytes:
 
 def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], t: Training) -> list[Model]:
     """A model (not yet calibrated) after each round."""
-    now = Model(
-        _trained([b" ".join(w) for w in ordinary], t.ordinary_bytes, t), _trained([b" ".join(w) for w in toxic], t.toxic_bytes, t), t.level
-    )
+    def learn(samples: list[bytes], size: int) -> bytes:
+        return _trained(samples, size, t.segment, t.match)
+
+    now = Model(learn([b" ".join(w) for w in ordinary], t.ordinary_bytes), learn([b" ".join(w) for w in toxic], t.toxic_bytes), t.level)
     models = [now]
     for _ in range(t.rounds):
 
@@ -118,13 +145,22 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], t:
 
         against = helped(ordinary, now)
         size = min(t.ordinary_bytes, max(1024, sum(map(len, against)) // 8))
-        more = _trained(against, size, t) if against else b""
+        more = learn(against, size) if against else b""
         # Later content is nearer to the window and costs less to refer to; the oldest goes first.
         now = Model((more + now.ordinary)[-4 * t.ordinary_bytes :], now.toxic, t.level)
         wanted = helped(toxic, now)
         if len(wanted) >= 3:
-            now = Model(now.ordinary, _trained(wanted, t.toxic_bytes, t), t.level)
+            now = Model(now.ordinary, learn(wanted, t.toxic_bytes), t.level)
         models.append(now)
+    # The windows of toxic documents without any clear saving, against those of all ordinary ones.
+    saved = Savings(now)
+    unclear = [w for ws in toxic if not (saved(ws) >= 4).any() for w in ws]
+    if unclear:
+        faint = [
+            _trained(samples, size, t.faint_segment, t.faint_match)
+            for samples, size in (([w for ws in ordinary for w in ws], t.faint_ordinary_bytes), (unclear, t.faint_toxic_bytes))
+        ]
+        models = [replace(m, faint_ordinary=faint[0], faint_toxic=faint[1]) for m in models]
     return models
 
 
@@ -158,14 +194,30 @@ def calibrate(model: Model, rows: np.ndarray, labels: np.ndarray, sample_weights
         if not wrong.any():
             break
         used[np.argmin(np.where(wrong, w, np.inf))] = False
-    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+    z = x @ w
+    p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9)
     loss = -float((sample_weights * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / sample_weights.sum())
-    return Model(model.ordinary, model.toxic, model.level, mean.tolist(), scale.tolist(), w[:-1].tolist(), float(w[-1])), loss
+    shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(z, labels, sample_weights))
+    fitted = replace(model, mean=mean.tolist(), scale=scale.tolist(), weights=w[:-1].tolist(), bias=float(w[-1]) + shift)
+    return fitted, loss
+
+
+def best_cut(z: np.ndarray, labels: np.ndarray, sample_weights: np.ndarray) -> float:
+    """The cut between two neighbouring values of ``z`` that finds most and loses least (``FOUND_WEIGHT``, ``MOST_LOST``)."""
+    order = np.argsort(-z, kind="stable")
+    z, y, n = z[order], labels[order], sample_weights[order]
+    found, lost = np.cumsum(n * y) / (n * y).sum(), np.cumsum(n * (1 - y)) / (n * (1 - y)).sum()
+    gain = FOUND_WEIGHT * found - lost
+    # Equal values are on one side; a cut below all of them would call every document toxic.
+    gain[:-1][z[:-1] == z[1:]] = -np.inf
+    gain[(lost > MOST_LOST) | (np.arange(len(z)) == len(z) - 1)] = -np.inf
+    best = int(np.argmax(gain))
+    return float(z[0] + 1) if gain[best] == -np.inf else float((z[best] + z[best + 1]) / 2)
 
 
 def score_texts(model: Model, texts) -> np.ndarray:
     saved = Savings(model)
-    rows = np.array([features(saved(windows_of(t))) for t in texts], dtype=float).reshape(-1, len(CUTS) + 2)
+    rows = np.array([saved.features(windows_of(t)) for t in texts], dtype=float).reshape(-1, FEATURES)
     z = ((rows - model.mean) / model.scale) @ np.array(model.weights) + model.bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -176,8 +228,8 @@ def held_out():
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, t: Training = Training()) -> Model:
     """Fit on labelled documents that are not held out. Read are at most ``4 * t.documents`` whole texts, chosen by a
-    hash of the id (equal texts once); from each at most ``t.windows`` windows reach the driver for training, and all
-    windows count in calibration. A document with several labels is toxic if one says so; null labels are left out. If
+    hash of the id (equal texts once); half of them, with all their windows, reach the driver for training, the others are
+    measured by the tasks for calibration. A document with several labels is toxic if one says so; null labels are left out. If
     a class is missing, every score is low."""
     spark = documents.sparkSession
     known = (
@@ -198,30 +250,23 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, t: Training = Training
     # At most 4 * t.documents ids.
     sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).select("doc_id", "text", "toxic", "part")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                ws = windows_of(text)
-                out.append(ws if len(ws) <= t.windows else [ws[i * len(ws) // t.windows] for i in range(t.windows)])
-            yield batch[["doc_id", "toxic", "part"]].assign(windows=out)
-
-    cut_schema = "doc_id bigint, toxic int, part bigint, windows array<binary>"
-    got = sample.mapInPandas(cut, cut_schema).toPandas().sort_values("doc_id")
-    split = {(p, k): [list(map(bytes, w)) for w in got[(got.part == p) & (got.toxic == k)].windows] for p in (0, 2) for k in (0, 1)}
-    fit_part, test_part = (0, 2) if split[0, 1] and split[0, 0] else (2, 0)
-    if not split[fit_part, 1] or not split[fit_part, 0]:
+    for fit_part, test_part in ((0, 2), (2, 0)):
+        got = sample.where(F.col("part") == fit_part).toPandas().sort_values("doc_id")
+        toxic, ordinary = ([windows_of(text) for text in got[got.toxic == kind].text] for kind in (1, 0))
+        if toxic and ordinary:
+            break
+    else:
         return Model()
-    models = train_dictionaries(split[fit_part, 1], split[fit_part, 0], t)
-    if not split[test_part, 1] or not split[test_part, 0]:
+    models = train_dictionaries(toxic, ordinary, t)
+    if len({r["toxic"] for r in sample.where(F.col("part") == test_part).select("toxic").distinct().collect()}) < 2:
         test_part = fit_part
-    held = spark.sparkContext.broadcast({"models": models})
+    held = spark.sparkContext.broadcast({"models": [asdict(m) for m in models]})
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        savings = [Savings(m) for m in held.value["models"]]
+        savings = [Savings(Model(**m)) for m in held.value["models"]]
         for batch in batches:
             cuts = [windows_of(text) for text in batch["text"]]
-            yield batch[["doc_id", "toxic"]].assign(rows=[[features(s(ws)) for s in savings] for ws in cuts])
+            yield batch[["doc_id", "toxic"]].assign(rows=[[s.features(ws) for s in savings] for ws in cuts])
 
     measured = sample.where(F.col("part") == test_part).mapInPandas(measure, "doc_id bigint, toxic int, rows array<array<double>>")
     got = measured.toPandas().sort_values("doc_id")
@@ -237,13 +282,13 @@ def score_toxicity(documents: DataFrame, model: Model, threshold: float = THRESH
 
     Null and empty texts get the score of a text without any toxic window. Every window of a text counts. Only the
     text enters the score. A null id is not held out. Repeated rows are scored each; other columns are ignored."""
-    held = documents.sparkSession.sparkContext.broadcast({"model": model})
+    held = documents.sparkSession.sparkContext.broadcast({"model": asdict(model)})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value["model"]
+        m = Model(**held.value["model"])
         saved = per_worker(held, "saved", lambda: Savings(m))
         for batch in batches:
-            rows = np.array([features(saved(windows_of(x))) for x in batch["text"]], dtype=float).reshape(-1, len(CUTS) + 2)
+            rows = np.array([saved.features(windows_of(x)) for x in batch["text"]], dtype=float).reshape(-1, FEATURES)
             z = ((rows - m.mean) / m.scale) @ np.array(m.weights) + m.bias
             yield batch[["doc_id"]].assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
@@ -255,12 +300,12 @@ def score_toxicity(documents: DataFrame, model: Model, threshold: float = THRESH
 
 def drop_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``documents``, with all their columns, whose text scores below the threshold."""
-    held = documents.sparkSession.sparkContext.broadcast({"model": model})
+    held = documents.sparkSession.sparkContext.broadcast({"model": asdict(model)})
     text = documents.columns.index("text")
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = score_texts(held.value["model"], [t or "" for t in batch.column(text).to_pylist()])
+            scores = score_texts(Model(**held.value["model"]), [t or "" for t in batch.column(text).to_pylist()])
             yield batch.filter(pa.array(scores < threshold))
 
     return documents.mapInArrow(below, documents.schema)

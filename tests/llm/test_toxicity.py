@@ -1,7 +1,12 @@
+import math
 import random
 import zlib
 
-from inkfold.llm.toxicity import STEP, WINDOW, Model, drop_toxic, features, fit_toxicity, score_toxicity, windows_of
+import numpy as np
+import pytest
+import zstandard
+
+from inkfold.llm.toxicity import CUTS, FAINT_CUTS, FEATURES, MOST_LOST, STEP, WINDOW, Model, best_cut, drop_toxic, features, fit_toxicity, score_toxicity, windows_of
 
 SYLLABLES = ["an", "ber", "cor", "del", "en", "fi", "gar", "hu", "in", "jo", "ka", "lum", "mo", "ner", "os", "pli", "qua", "ri", "sto", "ven"]
 BAD = ["worthless", "pathetic", "disgusting", "stupid"]
@@ -29,7 +34,8 @@ def test_windows_cover_the_text():
         for k, w in enumerate(ws):
             covered |= set(range(k * STEP, k * STEP + len(w)))
         assert covered == set(range(n)) and all(len(w) <= WINDOW for w in ws)
-    assert len(features(__import__("numpy").array([]))) == len(Model().weights)
+    none = np.zeros(0, dtype=np.int64)
+    assert len(features(none, none)) == len(Model().weights) == FEATURES
 
 
 def test_held_out_accuracy_and_edges(spark):
@@ -70,3 +76,56 @@ def test_no_labels_at_all(spark):
     for labels in ([], [(1, 0)], [(1, 1)]):
         model = fit_toxicity(d, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
         assert score_toxicity(d, model).first().predicted == 0
+
+
+def plain_score(model, text):
+    """The score by a plain loop over the windows, from its description."""
+    raw = (text or "").lower().encode()
+
+    def size(content, window, whole):
+        how = zstandard.ZstdCompressionParameters.from_level(
+            model.level, source_size=64, dict_size=whole, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0
+        )
+        held = {"dict_data": zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if content else {}
+        return len(zstandard.ZstdCompressor(compression_params=how, **held).compress(window))
+
+    saved, faint, at = [], [], 0
+    while raw and (at == 0 or at + 16 < len(raw)):
+        window = raw[at : at + 64]
+        both = model.toxic + model.ordinary
+        saved.append(size(model.ordinary, window, len(both)) - size(both, window, len(both)))
+        pair = [size(c, window, len(c)) for c in (model.faint_ordinary, model.faint_toxic)] if model.faint_toxic else [0, 0]
+        faint.append(pair[0] - pair[1])
+        at += 48
+    x = [0.0] * FEATURES
+    if saved:
+        n = len(saved)
+        x = [sum(v >= c for v in saved) / n for c in CUTS] + [min(max(saved), 12), math.log1p(sum(v >= 4 for v in saved))]
+        x += [sum(v >= c for v in faint) / n for c in FAINT_CUTS] + [sum(max(-8, min(8, v)) for v in faint) / n]
+    z = model.bias + sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_scores_equal_a_plain_loop(spark):
+    docs, labels = corpus(300, 3)
+    # Toxic documents without any of the toxic words: more of some ordinary ones.
+    docs += [(1000 + i, " ".join(["quaner corlum"] * 3 + [docs[i][1][:200]] + ["quaner"] * 2), "en") for i in range(60)]
+    labels += [(1000 + i, 1) for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    model = fit_toxicity(d, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    texts = [*(t for _, t, _ in docs[::7]), None, "", "x", "a" * 5000, " ".join(t for _, t, _ in docs[:40])]
+    got = score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model)
+    scores = {r.doc_id: r.score for r in got.collect()}
+    assert model.faint_toxic and all(scores[i] == pytest.approx(plain_score(model, t), abs=1e-9) for i, t in enumerate(texts))
+
+
+def test_cut_off():
+    z = np.array([5.0, 4, 3, 3, 2, 1, 0, -1, -2, -3, -4, -5, -6, -7, -8, -9])
+    y = np.array([1.0, 1, 1, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+    one = np.ones(len(z))
+    # Equal values stay together: the third 3 takes a clean document along, more than may be lost of twelve is not.
+    assert best_cut(z, y, one) == 3.5 and 1 / 12 > MOST_LOST
+    many = np.where(y == 1, 1.0, 10.0)
+    many[3] = 1
+    assert best_cut(z, y, many) == 1.5
+    assert best_cut(z, 1 - y, one) > z[0]
