@@ -145,9 +145,8 @@ class WordBpe:
         return " ".join(map(self.text_of.__getitem__, ids))
 
 
-def encode_texts(df: DataFrame, tokenizer_file: str, keep_ids: bool = True) -> DataFrame:
-    """One row per row of ``df`` (doc_id, text): ``n_tokens``, ``ids`` (``keep_ids``), digests of the ids and of the
-    decoded text.
+def encode_texts(df: DataFrame, tokenizer_file: str) -> DataFrame:
+    """One row per row of ``df`` (doc_id, text): ``n_tokens``, digests of the ids and of the decoded text, ``ids``.
 
     Null and empty texts give no tokens (the digests of nothing). Texts of any length are encoded whole; repeated rows
     are encoded each. Other columns are ignored. The tokenizer file is read on the driver and broadcast: its size does
@@ -162,16 +161,14 @@ def encode_texts(df: DataFrame, tokenizer_file: str, keep_ids: bool = True) -> D
             out = []
             for text in batch["text"]:
                 ids = bpe.encode(text)
-                packed = np.asarray(ids, dtype="<u4").tobytes()
+                packed = np.asarray(ids, dtype="<u4")
                 decoded = bpe.decode(ids).encode("utf-8")
-                row = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                out.append((*row, ids) if keep_ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
-            got = pd.DataFrame(out, columns=names)
+                out.append((len(ids), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest(), packed.view("<i4")))
+            got = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             got.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield got
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>"
     return keyed_texts(df).mapInPandas(encode, schema)
 
 
@@ -197,4 +194,4 @@ def default_tokenizer() -> str:
 
 
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_texts(table(spark, folder, "documents"), default_tokenizer(), keep_ids=False)
+    return encode_texts(table(spark, folder, "documents"), default_tokenizer())

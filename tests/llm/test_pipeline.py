@@ -48,7 +48,10 @@ def test_stages(spark, sf):
 
     tok = Tokenizer.from_file(default_tokenizer())
     sizes = Counter((r.doc_id, len(tok.encode(r.text, add_special_tokens=False).ids)) for r in mixed.collect())
-    assert Counter((r.doc_id, r.n_tokens) for r in counted.collect()) == sizes
+    got = counted.collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == sizes
+    texts = {r.doc_id: r.text for r in mixed.collect()}
+    assert all(r.ids == tok.encode(texts[r.doc_id], add_special_tokens=False).ids for r in got)
     assert corpus_pipeline.run(spark, sf).count() == mixed.count()
 
 
@@ -63,6 +66,6 @@ def test_nulls_repeats_and_empty(spark, sf):
 
 
 def test_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in queries()) == 1
     assert "pipeline" in queries() and set(oracle_sql()) <= set(queries())
