@@ -1,8 +1,8 @@
 """Chat formatting with schema fingerprints.
 
-A record is a JSON text of unknown layout. Its nested field paths (lists as ``[]``), sorted and hashed, are its
-fingerprint; a declarative table maps fingerprints to the fields that hold the turns. So new layouts are new table
-entries, not new code. Canonical turns go through one template:
+A record is a JSON text of unknown layout. Those of its nested field paths (lists as ``[]``) that any layout knows, sorted and
+hashed, are its fingerprint; a declarative table maps fingerprints to the fields that hold the turns. So new layouts are new
+table entries, not new code, and further fields (an id, a name, metadata) do not hide a layout. Canonical turns go through one template:
 
     user       [INST] text [/INST]
     assistant  text</s>
@@ -34,11 +34,12 @@ _TURN = re.compile(
     re.DOTALL,
 )
 
-# Declarative layouts: required and optional field paths -> how turns are read. A step is (role, field) for one turn,
-# or (list field, role field, text field) for one turn per entry. ROLE_NAMES gives the canonical role.
+ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+# Declarative layouts: field paths -> how turns are read. A step is (role, field) for one turn, or (list field, role field, text
+# field) for one turn per entry. "roles" gives the canonical names of a layout that has names of its own; others keep theirs.
 LAYOUTS: dict[str, dict] = {
     "messages": {"paths": ["messages", "messages[]", "messages[].role", "messages[].content"], "turns": [("messages", "role", "content")]},
-    "share": {"paths": ["conversations", "conversations[]", "conversations[].from", "conversations[].value"], "turns": [("conversations", "from", "value")]},
+    "share": {"paths": ["conversations", "conversations[]", "conversations[].from", "conversations[].value"], "turns": [("conversations", "from", "value")], "roles": ROLE_NAMES},
     "prompt_completion": {"paths": ["prompt", "completion"], "turns": [("user", "prompt"), ("assistant", "completion")]},
     "prompt_response": {"paths": ["prompt", "response"], "turns": [("user", "prompt"), ("assistant", "response")]},
     "instruction": {"paths": ["instruction", "output"], "turns": [("user", "instruction"), ("assistant", "output")]},
@@ -47,7 +48,6 @@ LAYOUTS: dict[str, dict] = {
     "question_answer": {"paths": ["question", "answer"], "turns": [("user", "question"), ("assistant", "answer")]},
     "empty_messages": {"paths": ["messages"], "turns": [("messages", "role", "content")]},
 }
-ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def field_paths(value, prefix: str = "") -> set[str]:
@@ -72,16 +72,16 @@ def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8")).hexdigest()[:16]
 
 
-def mapping_table(layouts: dict[str, dict] = LAYOUTS) -> dict[str, tuple[str, list]]:
-    """Fingerprint -> (layout name, turn steps)."""
-    return {fingerprint(x["paths"]): (name, x["turns"]) for name, x in layouts.items()}
+def mapping_table(layouts: dict[str, dict] = LAYOUTS) -> dict[str, tuple[str, list, dict[str, str]]]:
+    """Fingerprint -> (layout name, turn steps, role names)."""
+    return {fingerprint(x["paths"]): (name, x["turns"], x.get("roles", {})) for name, x in layouts.items()}
 
 
 def _text(v) -> str:
     return "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-def canonical_turns(record: dict, steps: list) -> list[tuple[str, str]]:
+def canonical_turns(record: dict, steps: list, roles: dict[str, str]) -> list[tuple[str, str]]:
     turns = []
     for step in steps:
         if len(step) == 3:
@@ -90,7 +90,7 @@ def canonical_turns(record: dict, steps: list) -> list[tuple[str, str]]:
             turns.append((step[0], "\n".join(t for t in (_text(record.get(f)) for f in step[1]) if t)))
         else:
             turns.append((step[0], _text(record.get(step[1]))))
-    return [(ROLE_NAMES.get(role, role), text) for role, text in turns]
+    return [(roles.get(role, role), text) for role, text in turns]
 
 
 def escape(text: str) -> str:
@@ -136,9 +136,10 @@ def format_records(df: DataFrame, key: str = "conv_id", raw: str = "raw", layout
     """``key``, ``raw`` (JSON text) -> key, fingerprint, layout, formatted, loss_spans.
 
     A record whose fingerprint is not in the table, or that is no JSON object, keeps its row: layout and formatted are
-    null and its fingerprint (null if it is no JSON) tells which mapping is missing. Null fields are empty texts; other
+    null and the fingerprint of all its paths (null if it is no JSON) tells which mapping is missing. Null fields are empty texts; other
     values are kept as JSON. Repeated records are formatted each. Other columns are ignored."""
     mapping = mapping_table(layouts)
+    known = {path for x in layouts.values() for path in x["paths"]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,10 +152,13 @@ def format_records(df: DataFrame, key: str = "conv_id", raw: str = "raw", layout
                 except ValueError:
                     record = None
                 if isinstance(record, dict):
-                    mark = fingerprint(field_paths(record))
+                    paths = field_paths(record)
+                    mark = fingerprint(paths & known)
                     if mark in mapping:
-                        name, steps = mapping[mark]
-                        formatted, spans = format_turns(canonical_turns(record, steps))
+                        name, steps, roles = mapping[mark]
+                        formatted, spans = format_turns(canonical_turns(record, steps, roles))
+                    else:
+                        mark = fingerprint(paths)
                 rows.append((mark, name, formatted, [{"start": a, "end": b} for a, b in spans]))
             got = pd.DataFrame(rows, columns=["fingerprint", "layout", "formatted", "loss_spans"])
             got.insert(0, "key", batch["key"].to_numpy())
@@ -234,8 +238,8 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]', NULL), (-7, 1, 'assistant', '</s>[INST] ok [/INST]', NULL)
 ), e AS (
   SELECT *, regexp_replace(replace(text, '\', '\\'), '(<|\[)(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|ROLE\]|/ROLE\])', '\1\\\2', 'g') AS body FROM t
 ), c AS (
@@ -243,7 +247,7 @@ WITH t AS (
          coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
          sum(length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 WHEN 'system' THEN 15 ELSE 17 + length(role) END) AS formatted_chars,
          list(role ORDER BY turn, role, text) AS roles
-  FROM e GROUP BY conv_id
+  FROM e GROUP BY conv_id, alone
 ), l AS (
   SELECT *, CASE WHEN roles = ['user', 'assistant'] THEN 'prompt_response'
                  WHEN roles = ['system', 'user', 'assistant'] THEN 'system_instruction' ELSE 'messages' END AS layout FROM c)

@@ -1,5 +1,6 @@
 import json
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,6 +45,27 @@ def test_layouts(spark):
     assert out[8].layout is None and out[8].fingerprint and all(out[i].fingerprint is None for i in (9, 10, 11, 12))
 
 
+def test_further_fields_do_not_hide_a_layout(spark):
+    records = [
+        {"id": 7, "name": None, "meta": {"tags": ["x"]}, "prompt": "p", "completion": "c"},
+        {"id": 8, "messages": [{"role": "human", "content": "a", "name": "ann"}, {"role": "gpt", "content": "b"}]},
+        {"prompt": "p", "completion": "c", "question": "q", "answer": "a"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id bigint, raw string")
+    out = {r.conv_id: r for r in format_records(df).collect()}
+    assert out[0].layout == "prompt_completion" and read_back(out[0].formatted) == [("user", "p"), ("assistant", "c")]
+    # A message list keeps its role names; two layouts in one record are none.
+    assert read_back(out[1].formatted) == [("human", "a"), ("gpt", "b")] and out[2].layout is None
+
+
+def test_foreign_roles_and_null_conversations_equal_sql(spark, tmp_path):
+    data = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (2, 0, "user", "x"), (2, 1, "assistant", "y"), (None, 0, "user", "n"), (None, 1, "model", "m"), (3, None, None, None)]
+    spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert rows(op1_chat_format(spark, str(tmp_path)).toPandas()) == rows(con.execute(OP1_SQL).df())
+
+
 def test_nulls_ties_long_and_empty(spark):
     rows_ = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "x"), (None, 1, "user", "a"), (None, 1, "user", "b"), (2, 0, "assistant", "y" * 300000)]
     df = spark.createDataFrame(rows_, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "'k' AS raw", "1 AS alone")
