@@ -219,7 +219,7 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def secret_sql() -> str:
-    """The scan in DuckDB SQL: positions from split lengths, the interval join as a range frame."""
+    """The scan in DuckDB SQL: positions from split lengths, and the interval join as a join on the gap between two parts."""
 
     def plain(pattern: str) -> str:
         """Letters of ``(?i:...)`` in either ASCII case, as an SQL string."""
@@ -243,8 +243,8 @@ def secret_sql() -> str:
     strong = ", ".join(str(k) for k, name in enumerate(KINDS) if PARTS[name][1])
     members = {c: [k for k, name in enumerate(KINDS) if PARTS[name][0] == c] for c in CLASSES}
     flags = ", ".join(
-        f"coalesce(bool_or(kind IN ({', '.join(map(str, ks))})) OVER near, false) AS any_{c}, "
-        f"coalesce(bool_or(kind IN ({', '.join(map(str, ks))}) AND kind IN ({strong})) OVER near, false) AS strong_{c}"
+        f"bool_or(o.kind IN ({', '.join(map(str, ks))})) AS any_{c}, "
+        f"bool_or(o.kind IN ({', '.join(map(str, ks))}) AND o.kind IN ({strong})) AS strong_{c}"
         for c, ks in members.items()
     )
     linked = " OR ".join(
@@ -265,7 +265,8 @@ p AS (SELECT doc_id, kind, CAST(e - length(hit) AS BIGINT) AS s, CAST(e AS BIGIN
                       ELSE true END),
 q AS (SELECT * FROM (SELECT *, max(CASE WHEN kind IN ({strong}) THEN e END) OVER (PARTITION BY doc_id ORDER BY s, kind ROWS UNBOUNDED PRECEDING) AS covered FROM p)
       WHERE NOT (kind = 3 AND coalesce(covered, 0) > s)),
-r AS (SELECT *, {flags} FROM q WINDOW near AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
+r AS (SELECT q.doc_id, q.kind, q.s, q.e, {flags} FROM q JOIN q o ON o.doc_id = q.doc_id AND o.s <= q.e + {SCOPE} AND o.e >= q.s - {SCOPE}
+      GROUP BY q.doc_id, q.kind, q.s, q.e),
 k AS (SELECT doc_id, kind, s, e FROM r WHERE kind IN ({strong}) OR {linked})
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
        sha256(coalesce(string_agg({one}, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,

@@ -35,7 +35,7 @@ def all_spans(text: str) -> list[tuple[int, int, str, int]]:
             weak.append((m.start(), KINDS.index(kind), kind, m.end()))
     kept = list(base)
     for w in weak:
-        near = [p for p in base + weak if abs(p[0] - w[0]) <= 200]
+        near = [p for p in base + weak if p[0] <= w[3] + 200 and p[3] >= w[0] - 200]
         others = {"id", "secret", "endpoint"} - {CLASS[w[2]]}
         strong = any(p in base and CLASS[p[2]] in others for p in near)
         if strong or all(any(CLASS[p[2]] == c for p in near) for c in others):

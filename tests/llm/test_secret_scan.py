@@ -10,6 +10,9 @@ HARD = [
     "a" * 23 + " " + "f0" * 12 + "g" + "0" * 40, "x" * 5000 + "password=" + "q" * 4000 + " tail " * 900,
     "login: bob@x " + "aB3" * 9 + " https://h.example/x", "aB3" * 9 + " https://h.example/x nothing", "login: bob@x " + "aB3" * 9,
     "AKIA" + "B" * 16 + " then " + "aB3" * 9 + " and user_name=ann", "ſecret=abcdefgh Kelvin toKen=abcdefgh",
+    # Long parts, whose starts are far from what follows right behind them, and gaps of just 200 and 201.
+    "aB3" * 91 + " AKIA" + "D" * 16, "AKIA" + "D" * 16 + " " + "aB3" * 91, "https://h.example/" + "x" * 400 + " " + "aB3" * 100 + " login: bob@x",
+    "aB3" * 9 + " " * 200 + "AKIA" + "E" * 16, "aB3" * 9 + " " * 201 + "AKIA" + "E" * 16,
     "passwort=abcdefgh password= password=", "é🙂 token=abcdefgh 🙂 AKIA" + "C" * 17, "token=token=token=ab",
 ]
 
@@ -87,3 +90,10 @@ def test_long_parts_link_by_the_gap_on_both_sides(spark):
     assert got == dict(enumerate(want))
     shown = {r.doc_id: r.text for r in mask_secrets(df).collect()}
     assert shown[0] == "[SECRET] [SECRET]" and shown[len(texts) - 1] == "[SECRET] [SECRET] [SECRET]"
+
+
+def test_sql_on_the_hard_texts(spark, tmp_path):
+    frame(spark, HARD).select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(op8_secret_scan(spark, str(tmp_path)).toPandas()) == rows(con.execute(OP8_SQL).df())
