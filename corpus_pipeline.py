@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents in, token counts and digests of the mixed corpus out.
+"""The corpus pipeline: documents in, token ids of the mixed corpus out.
 
 Each stage works on the rows that the stage before it kept, written as Parquet in the shared folder and read again."""
 
@@ -39,9 +39,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of each copy."""
+    """Token ids of each copy, with their count and digests."""
     prepare(spark)
-    return encode_texts(docs, default_tokenizer(), keep_ids=False)
+    return encode_texts(docs, default_tokenizer())
 
 
 STAGES = [
