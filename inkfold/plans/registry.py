@@ -33,6 +33,9 @@ from inkfold.sources import writers as W
 from inkfold.streaming import jobs as J
 from inkfold.streaming import sessions as SS
 
+# State partitions of the keyed streams: each micro-batch opens every one of them.
+STATE_PARTITIONS = 8
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -1402,7 +1405,7 @@ def alert_stream(t: Tables) -> DataFrame:
     for rows in [*(samples.where(part == k).drop("at") for k in range(4)), closing]:
         rows.write.mode("append").parquet(f"{path}/feed")
         feed = t.spark.readStream.schema(rows.schema).parquet(f"{path}/feed")
-        J.write_alerts(feed, 300, f"{path}/changes", f"{path}/late", f"{path}/checkpoint", "1 hour", once=True).awaitTermination()
+        J.write_alerts(feed, 300, f"{path}/changes", f"{path}/late", f"{path}/checkpoint", "1 hour", once=True, partitions=STATE_PARTITIONS).awaitTermination()
     changes, late = (t.spark.read.parquet(f"{path}/{name}") for name in ("changes", "late"))
     return changes.drop("batch").unionByName(late.select("series", "ts"), allowMissingColumns=True)
 
@@ -1449,7 +1452,7 @@ def attribute_sessions_stream(t: Tables) -> DataFrame:
         feed = t.spark.readStream.schema(rows.schema).parquet(f"{path}/feed")
         asked = feed.where("kind = 'view'").select(F.col("event_id").alias("query_id"), "session_id", "ts")
         given = feed.where("kind <> 'view'").withColumnRenamed("event_id", "feedback_id")
-        SS.write_attribution(asked, given, f"{path}/matched", f"{path}/late", f"{path}/checkpoint", 1800, "1 hour", once=True).awaitTermination()
+        SS.write_attribution(asked, given, f"{path}/matched", f"{path}/late", f"{path}/checkpoint", 1800, "1 hour", once=True, partitions=STATE_PARTITIONS).awaitTermination()
     matched, late = (t.spark.read.parquet(f"{path}/{name}") for name in ("matched", "late"))
     found = matched.select("feedback_id", "matched_query_id", "matched_by").unionByName(late.select("feedback_id"), allowMissingColumns=True)
     return found.where("feedback_id IS NOT NULL")

@@ -244,6 +244,7 @@ def write_alerts(
     delay: str = "1 minute",
     once: bool = False,
     interval: str = "30 seconds",
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """State changes to one Parquet table, late samples per series and time with their count ``n`` to another, a
     folder per batch each; repeating a batch gives the same tables."""
@@ -256,5 +257,5 @@ def write_alerts(
             part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         batch.unpersist()
 
-    with rocksdb(samples.sparkSession):
+    with rocksdb(samples.sparkSession, partitions):
         return _start(alert_changes(samples, hold_seconds, delay), checkpoint, run, once, interval)

@@ -11,18 +11,23 @@ from pyspark.sql.streaming import StatefulProcessor
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 @contextmanager
-def rocksdb(spark: SparkSession):
-    """Streams started inside keep their state in RocksDB, which timers and list state need. The setting goes into a
-    stream's checkpoint; other streams of the session keep theirs."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def rocksdb(spark: SparkSession, partitions: int | None = None):
+    """Streams started inside keep their state in RocksDB, which timers and list state need, in ``partitions`` state partitions
+    (default: the session's shuffle partitions). Both go into a stream's checkpoint and hold for its life; other streams of the
+    session keep theirs."""
+    wanted = {PROVIDER: ROCKSDB} | ({} if partitions is None else {PARTITIONS: str(partitions)})
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def with_state(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:

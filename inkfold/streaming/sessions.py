@@ -135,6 +135,7 @@ def write_attribution(
     keep_seconds: int = 86400,
     once: bool = False,
     interval: str = "30 seconds",
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Matched feedback (feedback_id, ts, matched_query_id, matched_by) to one Parquet table, late feedback (feedback_id, ts) to another,
     a folder per micro-batch each; repeating a batch gives the same tables. A named query that exists comes before the session's newest."""
@@ -151,5 +152,5 @@ def write_attribution(
 
     stream = attribution_candidates(queries, feedback, max_age_seconds, delay, keep_seconds)
     trigger = {"availableNow": True} if once else {"processingTime": interval}
-    with rocksdb(stream.sparkSession):
+    with rocksdb(stream.sparkSession, partitions):
         return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
