@@ -42,29 +42,39 @@ def flag_low_confidence(regions: DataFrame, threshold: float = 0.5) -> DataFrame
 
 def score_regions(
     regions: DataFrame,
-    make_model: Callable[[], Callable[[bytes], tuple[str, Sequence[float]]]],
+    make_model: Callable[[], Callable[[list[bytes]], Sequence[tuple[str, Sequence[float]]]]],
     threshold: float = 0.5,
     model_version: str = "htr_v1",
+    batch: int = 8,
 ) -> DataFrame:
-    """Batch recognition of ``regions(region_id, image)``. ``make_model`` runs once per task; the
-    model maps image bytes to (text, token probabilities). A failing image gets an ``error`` and
-    does not fail the job."""
+    """Batch recognition of ``regions(region_id, image)``. ``make_model`` runs once per task; the model maps a list of
+    at most ``batch`` images to a (text, token probabilities) each. If a list fails, its images are tried one by one: a
+    failing image gets an ``error`` and fails neither the job nor its neighbours."""
     import math
 
     schema = "region_id STRING, htr_output STRING, htr_confidence DOUBLE, error STRING"
 
+    def row(region_id: str, found: tuple[str, Sequence[float]]) -> tuple:
+        text, probs = found
+        logs = [math.log(max(p, MIN_PROBABILITY)) for p in probs]
+        return (region_id, text, round(math.exp(sum(logs) / max(len(logs), 1)), 4), None)
+
+    def read(model, ids: list[str], images: list[bytes]) -> list[tuple]:
+        try:
+            found = list(model(images))
+            if len(found) != len(images):
+                raise ValueError(f"{len(found)} results for {len(images)} images")
+            return [row(*pair) for pair in zip(ids, found, strict=True)]
+        except Exception as error:
+            if len(images) == 1:
+                return [(ids[0], None, None, f"{type(error).__name__}: {error}")]
+            return [r for i in range(len(images)) for r in read(model, ids[i : i + 1], images[i : i + 1])]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for frame in frames:
-            rows = []
-            for region_id, image in zip(frame["region_id"], frame["image"], strict=True):
-                try:
-                    text, probs = model(bytes(image))
-                    logs = [math.log(max(p, MIN_PROBABILITY)) for p in probs]
-                    score = round(math.exp(sum(logs) / max(len(logs), 1)), 4)
-                    rows.append((region_id, text, score, None))
-                except Exception as error:
-                    rows.append((region_id, None, None, f"{type(error).__name__}: {error}"))
+            ids, images = frame["region_id"].tolist(), [bytes(x) for x in frame["image"]]
+            rows = [r for i in range(0, len(ids), batch) for r in read(model, ids[i : i + batch], images[i : i + batch])]
             yield pd.DataFrame(rows, columns=["region_id", "htr_output", "htr_confidence", "error"])
 
     scored = regions.select(F.col("region_id").cast("string").alias("region_id"), "image")

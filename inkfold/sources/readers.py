@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from inkfold.schemas import CORRECTION_ARCHIVE, EVENT_TOPICS, LINE_IMAGES, ML_TABLES, TRAINING_SNAPSHOT
+from inkfold.sources.topics import read_topic
 
 
 def _renamed(schema: StructType, rename: dict[str, str]) -> StructType:
@@ -127,10 +128,15 @@ def read_events(
     streaming: bool = False,
     rename: dict[str, str] | None = None,
     max_files_per_trigger: int = 1000,
+    log: str | None = None,
+    group: str | None = None,
 ) -> DataFrame:
-    """An event topic from JSON-lines files or Kafka, from the earliest offset, as batch or stream."""
-    if (path is None) == (kafka is None):
-        raise ValueError("give either a path or Kafka options")
+    """An event topic from JSON-lines files, Kafka or a segment log (``topics``), from the earliest offset or, for a stream of a
+    log, from where ``group`` committed; as batch or stream. Broken records keep a row with their ``raw`` text."""
+    if [path, kafka, log].count(None) != 2:
+        raise ValueError("give a path, Kafka options or a log")
+    if log is not None:
+        return parse_events(read_topic(spark, log, streaming=streaming, group=group), topic, rename)
     reader = spark.readStream if streaming else spark.read
     if kafka is not None:
         raw = (

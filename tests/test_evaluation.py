@@ -133,15 +133,16 @@ def test_gates(spark):
 
 def test_score_regions(spark):
     def model():
-        def run(image):
-            if image == b"bad":
+        def run(images):
+            assert 1 <= len(images) <= 3
+            if b"bad" in images:
                 raise ValueError("no image")
-            return image.decode(), [0.5, 0.5] if image != b"" else []
+            return [(image.decode(), [0.5, 0.5] if image != b"" else []) for image in images]
 
         return run
 
     df = spark.createDataFrame([("a", bytearray(b"hi")), ("b", bytearray(b"bad")), ("c", bytearray(b""))], "region_id STRING, image BINARY")
-    got = {r.region_id: (r.htr_output, r.htr_confidence, r.htr_flagged, r.error) for r in E.score_regions(df, model).collect()}
+    got = {r.region_id: (r.htr_output, r.htr_confidence, r.htr_flagged, r.error) for r in E.score_regions(df.coalesce(1), model, batch=3).collect()}
     assert got == {"a": ("hi", 0.5, False, None), "b": (None, None, None, "ValueError: no image"), "c": ("", 1.0, False, None)}
 
 
