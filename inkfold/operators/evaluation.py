@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,14 +84,74 @@ def score_regions(
     )
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance at a cost that follows the distance: where one text contains the
-    other, it is the length difference; else a narrow band is tried before wider ones and only
-    then the full table."""
-    banded = [F.nullif(F.levenshtein(a, b, limit), F.lit(-1)) for limit in (16, 256)]
-    return F.when(
+# Distances up to this are found in a band around the diagonal; farther pairs go through bit vectors.
+NEAR_EDITS = 16
+
+
+def bit_parallel_distance(a: str, b: str) -> int:
+    """Levenshtein distance by bit vectors: one column of the table is two whole numbers with a bit per character, and a
+    character of the longer text is a handful of operations on them. What both texts begin or end with is left out first."""
+    start = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        start += 1
+    a, b = a[start:], b[start:]
+    end = 0
+    for x, y in zip(reversed(a), reversed(b), strict=False):
+        if x != y:
+            break
+        end += 1
+    if end:
+        a, b = a[:-end], b[:-end]
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    places: dict[str, list[int]] = {}
+    for i, c in enumerate(a):
+        places.setdefault(c, []).append(i)
+    size = len(a) // 8 + 1
+    where = {}
+    for c, at in places.items():
+        bits = np.zeros(8 * size, dtype=np.uint8)
+        bits[at] = 1
+        where[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        equal = where.get(c, 0)
+        vertical = equal | down
+        level = (((equal & up) + up) ^ up) | equal
+        right, left = down | (full & ~(level | up)), up & level
+        if right & last:
+            distance += 1
+        elif left & last:
+            distance -= 1
+        right = ((right << 1) | 1) & full
+        left = (left << 1) & full
+        up = left | (full & ~(vertical | right))
+        down = right & vertical
+    return distance
+
+
+def _far_distance():
+    @F.pandas_udf("int")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else bit_parallel_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return distance
+
+
+def with_edit_distance(df: DataFrame, a: Column, b: Column, out: str) -> DataFrame:
+    """Add the Levenshtein distance of two texts: the length difference where one contains the other, else a narrow band, and only what
+    is farther apart goes to Python, in Arrow batches. A null text gives null."""
+    near = F.when(
         F.contains(a, b) | F.contains(b, a), F.abs(F.char_length(a) - F.char_length(b))
-    ).otherwise(F.coalesce(*banded, F.levenshtein(a, b)))
+    ).otherwise(F.nullif(F.levenshtein(a, b, NEAR_EDITS), F.lit(-1)))
+    known = df.withColumn("_near", near)
+    far = F.col("_near").isNull()
+    return known.withColumn(out, F.coalesce("_near", _far_distance()(F.when(far, a), F.when(far, b)))).drop("_near")
 
 
 def corpus_cer(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -99,11 +160,14 @@ def corpus_cer(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     from inkfold.functions.text import py_strip
 
     ref, hyp = F.coalesce("reference", F.lit("")), F.coalesce("hypothesis", F.lit(""))
-    counted = py_strip(ref) != ""
-    edits = F.sum(F.when(counted, edit_distance(ref, hyp)))
-    chars = F.sum(F.when(counted, F.char_length(ref)))
-    return pairs.groupBy(*keys).agg(
-        F.count_if(counted).alias("pairs"),
+    counted = py_strip(F.col("reference")) != ""
+    texts = pairs.select(*keys, F.coalesce(counted, F.lit(False)).alias("_counted"), ref.alias("_ref"), hyp.alias("_hyp"))
+    told = F.col("_counted")
+    measured = with_edit_distance(texts, F.when(told, F.col("_ref")), F.when(told, F.col("_hyp")), "_edits")
+    edits = F.sum("_edits")
+    chars = F.sum(F.when(told, F.char_length("_ref")))
+    return measured.groupBy(*keys).agg(
+        F.count_if(told).alias("pairs"),
         F.coalesce(edits, F.lit(0)).alias("edits"),
         F.coalesce(chars, F.lit(0)).alias("reference_chars"),
         F.coalesce(F.try_divide(edits, chars), F.lit(1.0)).alias("cer"),

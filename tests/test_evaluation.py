@@ -40,7 +40,7 @@ def test_edit_distance_is_exact(spark):
         pairs.append((a, "".join(b)))
     pairs += [("", "abc"), ("abc", ""), ("bc", "abcd"), ("kitten", "sitting")]
     df = spark.createDataFrame(pairs, "a STRING, b STRING")
-    got = df.select("a", "b", E.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    got = E.with_edit_distance(df.select("a", "b"), F.col("a"), F.col("b"), "d").collect()
     assert all(r.d == levenshtein(r.a, r.b) for r in got)
 
 
@@ -149,3 +149,19 @@ def test_score_regions(spark):
 def test_quality_by_source(spark):
     df = spark.createDataFrame([("r1", "x", 0.5, True), ("r2", "x", 0.7, False)], "region_id STRING, source STRING, htr_confidence DOUBLE, corrected BOOLEAN")
     assert tuple(E.quality_by_source(df).first()) == ("x", 2, 0.6, 0.5)
+
+
+def test_bit_parallel_distance():
+    rng = random.Random(8)
+    for _ in range(400):
+        a = "".join(rng.choice("abé🙂") for _ in range(rng.randint(0, 150)))
+        b = "".join(c for c in a if rng.random() > 0.1) if rng.random() < 0.5 else "".join(rng.choice("abé") for _ in range(rng.randint(0, 90)))
+        assert E.bit_parallel_distance(a, b) == levenshtein(a, b)
+
+
+def test_edit_distance_of_near_far_and_null_texts(spark):
+    long = "abcdefghij" * 400
+    data = [("abc", "abd"), ("", "x"), (None, "x"), ("same", "same"), ("in the middle", "middle"), (long, long[::-1]), (long, "x" + long[5:3000] + "yy"), ("é🙂" * 40, "🙂é" * 30)]
+    df = spark.createDataFrame(data, "a STRING, b STRING")
+    got = {(r.a, r.b): r.d for r in E.with_edit_distance(df, F.col("a"), F.col("b"), "d").collect()}
+    assert got == {(a, b): None if a is None else levenshtein(a, b) for a, b in data}
