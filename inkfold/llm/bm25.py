@@ -1,4 +1,4 @@
-"""Exact BM25 top-k over an inverted index in shards, with block-max WAND pruning.
+"""Exact BM25 top-k over an inverted index in shards, pruned by block maxima: a MaxScore split, without the pivots of WAND.
 
 ``build_index`` turns documents into one row per shard: term-major postings with block maxima, and the same postings by
 document. Corpus statistics (documents, mean length, document frequency of the query terms) are summed over all shards,
