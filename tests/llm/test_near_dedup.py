@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -24,9 +25,30 @@ def family(seed, n, words, edits):
     return out
 
 
+def plain_shingles(text):
+    """Five-word shingles with how often they occur; a shorter text is one shingle."""
+    words = re.findall(r"\w+", text.lower())
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def plain_likeness(a, b):
+    common = a.keys() & b.keys()
+    if not common:
+        return 0.0
+    if max(a.values()) == max(b.values()) == 1:
+        return len(common) / (len(a) + len(b) - len(common))
+    # max(a[k] / a[i], b[k] / b[i]) is the first where a[k] / b[k] is above a[i] / b[i], else the second.
+    rising = sorted(common, key=lambda k: a[k] / b[k])
+    only_a, only_b = (sum(v for k, v in x.items() if k not in common) for x in (a, b))
+    above, below, total = only_a + sum(a[k] for k in common), only_b, 0.0
+    for k in rising:
+        above, below = above - a[k], below + b[k]
+        total += 1 / (above / a[k] + below / b[k])
+    return total
+
+
 def brute_classes(texts, similarity=0.8):
-    doc, names, weights = shingle_sets(texts)
-    sets = [(names[doc == i], weights[doc == i]) for i in range(len(texts))]
+    sets = [plain_shingles(t or "") for t in texts]
     parent = list(range(len(texts)))
 
     def find(x):
@@ -38,13 +60,13 @@ def brute_classes(texts, similarity=0.8):
     for i, t in enumerate(texts):
         parent[find(i)] = find(first.setdefault(t, i))
     inverted, shared = defaultdict(list), Counter()
-    for i, (h, _) in enumerate(sets):
-        for x in h.tolist():
+    for i, s in enumerate(sets):
+        for x in s:
             inverted[x].append(i)
     for docs in inverted.values():
         shared.update((a, b) for k, b in enumerate(docs) for a in docs[:k])
     for a, b in shared:
-        if find(a) != find(b) and probability_jaccard(sets[a], sets[b]) >= similarity:
+        if find(a) != find(b) and plain_likeness(sets[a], sets[b]) >= similarity - 1e-12:
             parent[find(b)] = find(a)
     return [find(i) for i in range(len(texts))]
 
@@ -67,6 +89,7 @@ def test_probability_jaccard_and_its_estimate():
             if len(sets[i][0]) and len(sets[j][0]):
                 exact = probability_jaccard(sets[i], sets[j])
                 assert exact == pytest.approx(plain_jp(sets[i], sets[j]))
+                assert exact == pytest.approx(plain_likeness(plain_shingles(texts[i]), plain_shingles(texts[j])))
                 assert abs((signed[i] == signed[j]).mean() - exact) < 0.04
 
 
