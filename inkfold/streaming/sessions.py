@@ -1,10 +1,11 @@
 """Live attribution of feedback to queries, by query id and by session.
 
-Both inputs are one keyed stream. A query goes to the key of its id and to the keys of its session: a session is cut into
-slices of time, one key each, and a query is handed on to the slices in which feedback may still refer to it. So a session that
-holds a large share of all rows ('anonymous') is spread over as many keys as it has slices. Feedback waits at its keys until the
-watermark has passed it, when all queries before it have been seen, and then takes the newest: the result does not
-depend on the order in which rows arrive or on how they are cut into micro-batches. Timers do this, and remove queries that no
+Both inputs are one keyed stream. A key is a bucket of sessions (by hash) in a slice of time, or a bucket of query ids: their number
+follows from the buckets and the time that passes, not from the number of sessions and queries, and a key's rows are matched
+together. A query goes to the bucket of its id and to that of its session, where it is handed on to the slices in which feedback may still
+refer to it. So a session that holds a large share of all rows ('anonymous') is spread over as many keys as it has slices. Feedback
+waits at its keys until the watermark has passed it, when all queries before it have been seen, and then takes the newest: the result
+does not depend on the order in which rows arrive or on how they are cut into micro-batches. Timers do this, and remove queries that no
 feedback can refer to any more."""
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from inkfold.streaming.keyed import all_rows, next_timer, passed_us, rocksdb, with_state
+from inkfold.streaming.keyed import next_timer, packed, passed_us, rocksdb, unpacked, with_state
 
-ROW = "us BIGINT, id BIGINT"
+# ``who`` is the session or the id of the query; a query may go when the watermark is past ``until``.
+ASKED = pa.schema([("who", pa.string()), ("us", pa.int64()), ("id", pa.int64()), ("until", pa.int64())])
+WAITING = pa.schema([("who", pa.string()), ("us", pa.int64()), ("id", pa.int64())])
 SCHEMA = "feedback_id BIGINT, us BIGINT, matched_query_id BIGINT, matched_by STRING, late BOOLEAN"
-# Feedback without a session meets in so many keys a slice.
-SPREAD = 64
+# Buckets of sessions (and of feedback without one) per slice, buckets of query ids, and the length of a slice in ages.
+SESSION_BUCKETS, ID_BUCKETS, SLICE_AGES = 4, 16, 4
 
 
 class NewestQuery(StatefulProcessor):
@@ -33,62 +37,62 @@ class NewestQuery(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.asked = handle.getListState("asked", ROW)
-        self.waiting = handle.getListState("waiting", ROW)
-
-    def _timer(self, us: int) -> None:
-        self.handle.registerTimer(next_timer(us))
+        self.asked = handle.getListState("asked", "packed BINARY")
+        self.waiting = handle.getListState("waiting", "packed BINARY")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got, passed = all_rows(rows), passed_us(timerValues)
-        late = got["us"] <= passed
-        if passed and late.any():
-            lost = got[late & (got["kind"] != "q")]
-            if len(lost):
+        passed, first, last = passed_us(timerValues), None, None
+        for got in rows:
+            asked = got["kind"] == "q"
+            queries, feedback = got[asked], got[~asked]
+            late = feedback["us"] <= passed
+            if passed and late.any():
+                lost = feedback[late]
                 yield pd.DataFrame({"feedback_id": lost["id"], "us": lost["us"], "matched_query_id": None, "matched_by": None, "late": True})
-            # A late query can still serve feedback that has not been passed.
-            got = got[~late | (got["kind"] == "q")]
-        queries, feedback = got[got["kind"] == "q"], got[got["kind"] == "f"]
-        if len(queries):
-            self.asked.appendList(list(zip(queries["us"].tolist(), queries["id"].tolist(), strict=True)))
-            self._timer(max(int(queries["us"].max()) + self._kept(key), passed))
-        if len(feedback):
-            self.waiting.appendList(list(zip(feedback["us"].tolist(), feedback["id"].tolist(), strict=True)))
-            for us in feedback["us"].floordiv(1000).unique().tolist():
-                self._timer(us * 1000)
+                # A late query can still serve feedback that has not been passed.
+                feedback = feedback[~late]
+            if len(queries):
+                until = np.maximum(queries["us"] + self._kept(key), passed)
+                self.asked.appendValue((packed(queries.assign(until=until), ASKED),))
+                last = max(int(until.max()), -1 if last is None else last)
+            if len(feedback):
+                self.waiting.appendValue((packed(feedback, WAITING),))
+                first = int(feedback["us"].min()) if first is None else min(first, int(feedback["us"].min()))
+        for us in {first, last} - {None}:
+            self.handle.registerTimer(next_timer(us))
 
     def _kept(self, key) -> int:
-        return self.keep_us if key[0].startswith("i:") else self.age_us
+        return self.keep_us if key[0] == "i" else self.age_us
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = passed_us(timerValues)
-        asked = np.array(sorted(self.asked.get()), dtype=np.int64).reshape(-1, 2)
-        waiting = np.array(sorted(self.waiting.get()), dtype=np.int64).reshape(-1, 2)
-        ready, rest = waiting[waiting[:, 0] <= passed], waiting[waiting[:, 0] > passed]
+        asked = unpacked(self.asked.get(), ASKED)
+        waiting = unpacked(self.waiting.get(), WAITING)
+        ready, rest = waiting[waiting["us"] <= passed], waiting[waiting["us"] > passed]
         if len(ready):
-            if key[0].startswith("i:"):
-                found = np.full(len(ready), asked[-1, 1] if len(asked) else -1)
-                good = np.full(len(ready), len(asked) > 0)
-                by = "query_id"
+            if key[0] == "i":
+                good = ready["who"].isin(asked["who"])
+                found, by = ready["who"].where(good).astype("Int64"), "query_id"
             else:
                 # The newest query up to the feedback; of several at one time, the largest id.
-                at = np.searchsorted(asked[:, 0], ready[:, 0], side="right") - 1
-                found = asked[at, 1] if len(asked) else np.full(len(ready), -1)
-                good = (at >= 0) & (ready[:, 0] - (asked[at, 0] if len(asked) else 0) <= self.age_us)
-                by = "session"
-            ids = pd.Series(found).astype("Int64").mask(~good)
+                ready = ready.sort_values("us", kind="stable")
+                newest = asked.rename(columns={"id": "query_id"}).sort_values(["us", "query_id"])
+                found = pd.merge_asof(ready, newest, on="us", by="who", tolerance=self.age_us)["query_id"].set_axis(ready.index)
+                good, by = found.notna(), "session"
             yield pd.DataFrame({
-                "feedback_id": ready[:, 1], "us": ready[:, 0], "matched_query_id": ids, "matched_by": np.where(good, by, None), "late": False,
+                "feedback_id": ready["id"], "us": ready["us"], "matched_query_id": found, "matched_by": np.where(good, by, None), "late": False,
             })
-            self._put(self.waiting, rest)
-        kept = asked[asked[:, 0] + self._kept(key) >= passed]
+            self._put(self.waiting, rest, WAITING)
+            if len(rest):
+                self.handle.registerTimer(next_timer(int(rest["us"].min())))
+        kept = asked[asked["until"] >= passed]
         if len(kept) < len(asked):
-            self._put(self.asked, kept)
+            self._put(self.asked, kept, ASKED)
 
     @staticmethod
-    def _put(state, rows: np.ndarray) -> None:
+    def _put(state, rows: pd.DataFrame, schema: pa.Schema) -> None:
         if len(rows):
-            state.put([tuple(r) for r in rows.tolist()])
+            state.put([(packed(rows, schema),)])
         else:
             state.clear()
 
@@ -104,24 +108,32 @@ def attribution_candidates(
     queries are remembered for ``keep_seconds`` of event time."""
     age = max_age_seconds * 1000000
     us = F.unix_micros("ts")
-    slice_ = F.floor(us / age).cast("bigint")
 
-    def at(part, where):
-        return F.struct(part.alias("part"), where.alias("slice"))
+    def slice_(at):
+        return F.floor(at / (SLICE_AGES * age)).cast("bigint")
+
+    def at(part, who, buckets, where, by=None):
+        bucket = F.pmod(F.xxhash64(who if by is None else by), F.lit(buckets)).cast("int")
+        return F.struct(F.lit(part).alias("part"), bucket.alias("bucket"), where.alias("slice"), who.alias("who"))
+
+    def by_id():
+        who = F.col("query_id").cast("string")
+        return F.when(who.isNotNull(), at("i", who, ID_BUCKETS, F.lit(0).cast("bigint")))
 
-    session = F.concat(F.lit("s:"), "session_id")
+    session = F.col("session_id").cast("string")
+    now, next_ = (at("s", session, SESSION_BUCKETS, slice_(x)) for x in (us, us + age))
     asked = queries.withWatermark("ts", delay).select(
-        F.lit("q").alias("kind"), us.alias("us"), F.col("query_id").cast("bigint").alias("id"), "session_id",
-        F.array(at(session, slice_), at(session, slice_ + 1), at(F.concat(F.lit("i:"), F.col("query_id").cast("string")), F.lit(0).cast("bigint"))).alias("keys"),
+        F.lit("q").alias("kind"), us.alias("us"), F.col("query_id").cast("bigint").alias("id"),
+        F.array(F.when(session.isNotNull(), now), F.when(session.isNotNull() & (slice_(us) < slice_(us + age)), next_), by_id()).alias("keys"),
     )
-    nobody = F.concat(F.lit("n:"), F.pmod(F.xxhash64("feedback_id"), F.lit(SPREAD)).cast("string"))
+    nobody = at("n", F.lit(None).cast("string"), SESSION_BUCKETS, slice_(us), by="feedback_id")
     given = feedback.withWatermark("ts", delay).select(
-        F.lit("f").alias("kind"), us.alias("us"), F.col("feedback_id").cast("bigint").alias("id"), "session_id",
-        F.array(at(F.coalesce(session, nobody), slice_), at(F.concat(F.lit("i:"), F.col("query_id").cast("string")), F.lit(0).cast("bigint"))).alias("keys"),
+        F.lit("f").alias("kind"), us.alias("us"), F.col("feedback_id").cast("bigint").alias("id"),
+        F.array(F.when(session.isNotNull(), now).otherwise(nobody), by_id()).alias("keys"),
     )
     keyed = asked.unionByName(given).select("kind", "us", "id", F.explode("keys").alias("key"))
-    rows = keyed.where("key.part IS NOT NULL").select("key.part", "key.slice", "kind", "us", "id")
-    return with_state(rows, ["part", "slice"], NewestQuery(age, keep_seconds * 1000000), SCHEMA)
+    rows = keyed.where("key IS NOT NULL").select("key.part", "key.bucket", "key.slice", "key.who", "kind", "us", "id")
+    return with_state(rows, ["part", "bucket", "slice"], NewestQuery(age, keep_seconds * 1000000), SCHEMA)
 
 
 def write_attribution(

@@ -65,3 +65,14 @@ def test_late_feedback_is_counted_and_state_goes(spark, tmp_path):
     ]
     matched, late = run(spark, tmp_path, batches, max_age_seconds=1800, delay="1 minute")
     assert matched == {10: (1, "session"), 11: (2, "session"), 13: (None, None)} and late == [12]
+
+
+def test_keys_do_not_grow_with_sessions_and_queries(spark, tmp_path):
+    """800 sessions and as many queries named by id share the buckets of their slice; state is read and written by bucket."""
+    n = 800
+    spark.createDataFrame([(i, f"s{i}", at(i % 60)) for i in range(n)], QUERIES).write.parquet(f"{tmp_path}/q")
+    spark.createDataFrame([(n + i, f"s{i}", i, at(i % 60 + 5)) for i in range(n)], FEEDBACK).write.parquet(f"{tmp_path}/f")
+    asked, given = (spark.readStream.schema(x).parquet(f"{tmp_path}/{k}") for k, x in (("q", QUERIES), ("f", FEEDBACK)))
+    query = SS.write_attribution(asked, given, f"{tmp_path}/m", f"{tmp_path}/l", f"{tmp_path}/c", once=True, partitions=2)
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 200
