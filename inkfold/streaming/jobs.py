@@ -16,7 +16,7 @@ from inkfold.operators.documents import latest_per_key, reprocess_guard
 from inkfold.operators.feedback import usage_kpis
 from inkfold.operators.search import chunk_text, encode_texts, with_point_ids
 from inkfold.sources.writers import append_version, write_correction_archive
-from inkfold.streaming.keyed import all_rows, next_timer, passed_us, rocksdb, with_state
+from inkfold.streaming.keyed import next_timer, passed_us, rocksdb, with_state
 
 
 def _start(
@@ -160,52 +160,64 @@ def archive_stream(
 class AlertStates(StatefulProcessor):
     """State per series: start of the breach, shown state, and samples that wait for the watermark."""
 
+    STATES = np.array(["inactive", "pending", "firing"], dtype=object)
+    SLICE = 1 << 16
+
     def __init__(self, hold_us: int):
         self.hold_us = hold_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.shown = handle.getValueState("shown", "since BIGINT, state STRING")
-        # Time and breach of a sample in one number, which sorts by time and then lets the unbreached come first.
-        self.waiting = handle.getListState("waiting", "packed BIGINT")
+        # Time and breach of a sample in one number, which sorts by time and then lets the unbreached come first; an element of the
+        # list holds up to ``SLICE`` of them.
+        self.waiting = handle.getListState("waiting", "packed BINARY")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got, passed = all_rows(rows), passed_us(timerValues)
-        us = got["us"].to_numpy(dtype=np.int64)
-        late = (us <= passed) & (passed > 0)
-        if late.any():
-            yield self._rows(key, us[late], None, None, True)
-        us, on = us[~late], got["breached"].to_numpy(dtype=bool)[~late]
-        if len(us):
-            self.waiting.appendList([(int(p),) for p in us * 2 + on])
-            self.handle.registerTimer(next_timer(int(us.min())))
+        passed, first = passed_us(timerValues), None
+        for got in rows:
+            us = got["us"].to_numpy(dtype=np.int64)
+            late = (us <= passed) & (passed > 0)
+            if late.any():
+                yield self._rows(key, us[late], None, None, True)
+            us, on = us[~late], got["breached"].to_numpy(dtype=bool)[~late]
+            if len(us):
+                for element in self._elements(us * 2 + on):
+                    self.waiting.appendValue(element)
+                first = int(us.min()) if first is None else min(first, int(us.min()))
+        if first is not None:
+            self.handle.registerTimer(next_timer(first))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = passed_us(timerValues)
-        packed = np.sort(np.array([p for (p,) in self.waiting.get()], dtype=np.int64))
-        ready = packed >> 1 <= passed
-        us, on, rest = packed[ready] >> 1, (packed[ready] & 1).astype(bool), packed[~ready]
+        packed = np.sort(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, np.int64) for (p,) in self.waiting.get())]))
+        ready = int(np.searchsorted(packed, 2 * (passed + 1)))
+        us, on, rest = packed[:ready] >> 1, (packed[:ready] & 1).astype(bool), packed[ready:]
         if len(us):
             since, shown = self.shown.get() if self.shown.exists() else (-1, "inactive")
             opens = on & ~np.concatenate([[since >= 0], on[:-1]])
             starts = np.maximum.accumulate(np.where(opens, us, since))
-            now = np.where(~on, "inactive", np.where(us - starts >= self.hold_us, "firing", "pending"))
-            before = np.concatenate([[shown], now[:-1]])
+            now = np.where(on, 1 + (us - starts >= self.hold_us), 0).astype(np.int8)
+            before = np.concatenate([np.flatnonzero(self.STATES == shown), now[:-1]])
             turned = np.flatnonzero(now != before)
             # A series at rest keeps no state.
             if on[-1]:
-                self.shown.update((int(starts[-1]), str(now[-1])))
+                self.shown.update((int(starts[-1]), self.STATES[now[-1]]))
             else:
                 self.shown.clear()
-            if len(turned):
-                yield self._rows(key, us[turned], before[turned], now[turned], False)
+            for start in range(0, len(turned), self.SLICE):
+                part = turned[start : start + self.SLICE]
+                yield self._rows(key, us[part], self.STATES[before[part]], self.STATES[now[part]], False)
             if len(rest):
-                self.waiting.put([(int(p),) for p in rest])
+                self.waiting.put(self._elements(rest))
             else:
                 self.waiting.clear()
         if len(rest):
             self.handle.registerTimer(next_timer(int(rest[0] >> 1)))
 
+    def _elements(self, packed: np.ndarray) -> list[tuple[bytes]]:
+        return [(packed[i : i + self.SLICE].tobytes(),) for i in range(0, len(packed), self.SLICE)]
+
     @staticmethod
     def _rows(key, us: np.ndarray, before, now, late: bool) -> pd.DataFrame:
         return pd.DataFrame({"series": key[0], "us": us, "from_state": before, "to_state": now, "late": late})

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from inkfold.operators import documents as D
@@ -213,3 +215,62 @@ def test_alerts_of_an_unordered_feed(spark, tmp_path):
     ]
     late = spark.read.parquet(f"{tmp_path}/late").collect()
     assert {(r.series, (r.ts - start).seconds, r.n) for r in late} == {("a", 300, 2), ("b", 310, 1)}
+
+
+class ListOfOneKey:
+    """Stands for the state of one key; counts the elements that are sent to it."""
+
+    def __init__(self):
+        self.rows, self.sent, self.timers = [], 0, []
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return ListOfOneKey()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def appendList(self, rows):
+        self.sent += len(rows)
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = []
+        self.appendList(rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    def exists(self):
+        return False
+
+    def update(self, row):
+        pass
+
+
+def test_alert_samples_are_stored_in_slices():
+    """A series' samples are few elements of its list state, not one each; what has not been passed waits on."""
+    state = ListOfOneKey()
+    states = J.AlertStates(300_000_000)
+    states.init(state)
+    us = np.arange(100_000, dtype=np.int64) * 1_000_000 + 1_000_000
+    frames = [pd.DataFrame({"us": us[i : i + 10_000], "breached": us[i : i + 10_000] <= 500_000_000}) for i in range(0, 100_000, 10_000)][::-1]
+    state.mark = 0
+    assert not list(states.handleInputRows(("a",), iter(frames), state))
+    state.mark = 60_000_000
+    got = pd.concat(states.handleExpiredTimer(("a",), state, None))
+    assert [tuple(r) for r in got[["us", "from_state", "to_state"]].itertuples(index=False)] == [
+        (1_000_000, "inactive", "pending"), (301_000_000, "pending", "firing"), (501_000_000, "firing", "inactive"),
+    ]
+    assert state.sent <= 20 and sum(len(p) for (p,) in state.rows) == 40_000 * 8 and state.timers[-1] == 60_001_001
