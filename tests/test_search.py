@@ -132,3 +132,24 @@ def test_registered_approximate_search_recall(spark, sf, t):
     assert len(found & exact) / len(exact) >= 0.9
     others = {(q, p) for q, p in exact if q != p}
     assert len(found & others) / len(others) >= 0.9
+
+
+def test_exact_search_in_many_blocks(spark, monkeypatch):
+    """Several partitions of several blocks on both sides, copies across blocks; nothing is brought to the driver."""
+    rng = np.random.default_rng(5)
+    vectors = np.vstack([rng.normal(size=(150, 8)), np.ones((90, 8)), np.zeros((3, 8))]).astype(np.float32)
+    rows = [(i, i * 7 % 50, i * 7 // 50, v.tolist()) for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    queries = chunks.selectExpr("point_key AS query_id", "vector")
+    monkeypatch.setattr(S, "QUERY_BYTES", 1280)
+    monkeypatch.setattr(S, "PASSING", 4)
+    monkeypatch.setattr(type(queries), "toPandas", lambda *_: pytest.fail("a table came to the driver"))
+    lengths = np.linalg.norm(vectors.astype(float), axis=1)
+    unit = vectors / np.where(lengths == 0, 1, lengths)[:, None]
+    scores = np.round(unit @ unit.T, 9)
+    keys = np.array([r[:3] for r in rows])
+    want = set()
+    for q in range(len(rows)):
+        for rank, j in enumerate(np.lexsort((keys[:, 0], keys[:, 2], keys[:, 1], -scores[q]))[:6]):
+            want.add((q, rank + 1, j))
+    assert as_set(S.nearest_chunks(queries, chunks, 6, query_bytes=2048)) == want
