@@ -4,8 +4,8 @@ A topic is a folder of Parquet segments. A segment belongs to one partition and
 which, and the span of its record times, so that the listing of the folder is the offset index and the time index in one: a
 replay opens only the segments that meet its window, a stream only those behind its offsets. Segments are never changed.
 
-Reading starts from the earliest offset, or from the offsets that a consumer group has committed. Every range of offsets is
-read by tasks of its own, a segment each."""
+Reading starts from the earliest offset, or from the offsets that a consumer group has committed. Every segment is read by a
+task of its own; of more than ``ALONE`` segments, consecutive ones of a partition share a task up to ``TASK_ROWS`` records."""
 
 from __future__ import annotations
 
@@ -15,7 +15,6 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -33,6 +32,7 @@ ARROW = pa.schema([
 ])
 PARTITIONS = 8
 SEGMENT_ROWS = 50_000
+ALONE, TASK_ROWS = 256, 50_000
 _NAME = re.compile(r"p(\d+)-o(\d+)-n(\d+)-t(-?\d+)_(-?\d+)\.parquet\Z")
 
 
@@ -53,6 +53,29 @@ class Segment(InputPartition):
     until: int | None = None
 
 
+@dataclass(frozen=True)
+class Run(InputPartition):
+    """Segments that one task reads."""
+
+    segments: tuple[Segment, ...]
+
+
+def runs(found: list[Segment], task_rows: int = TASK_ROWS) -> list[Run]:
+    """What the tasks read: a segment each, or, of many, consecutive ones of a partition of up to ``task_rows`` records together."""
+    if len(found) <= ALONE:
+        return [Run((s,)) for s in found]
+    out: list[list[Segment]] = []
+    rows = 0
+    for s in found:
+        n = s.last - s.first
+        if not out or out[-1][-1].partition != s.partition or rows + n > task_rows:
+            out.append([])
+            rows = 0
+        out[-1].append(s)
+        rows += n
+    return [Run(tuple(run)) for run in out]
+
+
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
@@ -100,19 +123,23 @@ def append_topic(
         "partition", F.floor((F.col("nth") - 1) / segment_rows).alias("segment"), (begins + F.col("nth") - 1).alias("offset"), "ts", "key", "value"
     )
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("offset").reset_index(drop=True)
-        batch = pa.Table.from_pandas(rows.assign(ts=rows["ts"].dt.tz_localize("UTC")), schema=ARROW, preserve_index=False)
+    def write(rows: pa.Table) -> pa.Table:
+        batch = rows.sort_by("offset").select(ARROW.names).cast(ARROW)
         times = batch["ts"].cast(pa.int64())
-        name = f"p{rows.partition[0]}-o{rows.offset[0]}-n{len(rows)}-t{pc.min(times)}_{pc.max(times)}.parquet"
+        name = f"p{batch['partition'][0]}-o{batch['offset'][0]}-n{len(batch)}-t{pc.min(times)}_{pc.max(times)}.parquet"
         fs, root = _store(path)
         # A name appears with its whole content only.
         hidden = f"{root}/.{name}.{uuid.uuid4().hex}"
         pq.write_table(batch, hidden, filesystem=fs)
         fs.move(hidden, f"{root}/{name}")
-        return pd.DataFrame({"name": [name]})
+        return pa.table({"name": [name]})
+
+    cut.groupBy("partition", "segment").applyInArrow(write, "name STRING").write.format("noop").mode("overwrite").save()
+
 
-    cut.groupBy("partition", "segment").applyInPandas(write, "name STRING").write.format("noop").mode("overwrite").save()
+def _run_records(run: Run) -> Iterator[pa.RecordBatch]:
+    for s in run.segments:
+        yield from _records(s)
 
 
 def _records(s: Segment) -> Iterator[pa.RecordBatch]:
@@ -135,12 +162,12 @@ class TopicReader(DataSourceReader):
         self.path = options["path"]
         self.since, self.until = (int(options[k]) if k in options else None for k in ("since", "until"))
 
-    def partitions(self) -> list[Segment]:
-        return segments(self.path, self.since, self.until)
+    def partitions(self) -> list[Run]:
+        return runs(segments(self.path, self.since, self.until))
 
-    def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
         # Without any segment Spark asks for one partition that is none.
-        return _records(partition) if isinstance(partition, Segment) else iter(())
+        return _run_records(partition) if isinstance(partition, Run) else iter(())
 
 
 class TopicStreamReader(DataSourceStreamReader):
@@ -164,16 +191,16 @@ class TopicStreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {str(p): end for p, end in sorted(ends(self.path).items())}
 
-    def partitions(self, start: dict, end: dict) -> list[Segment]:
+    def partitions(self, start: dict, end: dict) -> list[Run]:
         out = []
         for s in segments(self.path):
             low, high = start.get(str(s.partition), 0), end.get(str(s.partition), 0)
             if s.first < high and s.last > low:
                 out.append(Segment(s.path, s.partition, s.first, s.last, s.oldest, s.newest, low, high))
-        return out
+        return runs(out)
 
-    def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
-        return _records(partition)
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        return _run_records(partition)
 
     def commit(self, end: dict) -> None:
         if self.group:

@@ -73,3 +73,14 @@ def test_read_events_from_a_topic(spark, tmp_path):
     writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True)
     writer.start(f"{tmp_path}/rows").awaitTermination()
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/rows").collect())) == sorted(map(str, batch.collect()))
+
+
+def test_many_small_segments_share_tasks(spark, tmp_path):
+    """Hundreds of segments of a few records are read by a few tasks, each record once and in order."""
+    path = str(tmp_path / "topic")
+    P.append_topic(records(spark, range(30)), path, partitions=2, segment_rows=3)
+    assert len(P.segments(path)) > 300
+    got = P.read_topic(spark, path)
+    assert got.rdd.getNumPartitions() <= 4
+    rows = got.collect()
+    assert len({(r.partition, r.offset) for r in rows}) == len(rows) == 1200
