@@ -42,7 +42,10 @@ class Training:
 
     documents: int = 1000  # per class and part
     rounds: int = 5
-    toxic_bytes: int = 1500
+    # The toxic dictionary has room for all forms of many words; of few documents a large one would hold ordinary text.
+    toxic_bytes: int = 8000
+    least_toxic_bytes: int = 1500
+    toxic_bytes_a_document: int = 20
     ordinary_bytes: int = 32000
     segment: int = 16
     match: int = 6
@@ -131,10 +134,12 @@ def _trained(samples: list[bytes], size: int, segment: int, match: int) -> bytes
 
 def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], t: Training) -> list[Model]:
     """A model (not yet calibrated) after each round."""
+    toxic_bytes = min(t.toxic_bytes, max(t.least_toxic_bytes, t.toxic_bytes_a_document * len(toxic)))
+
     def learn(samples: list[bytes], size: int) -> bytes:
         return _trained(samples, size, t.segment, t.match)
 
-    now = Model(learn([b" ".join(w) for w in ordinary], t.ordinary_bytes), learn([b" ".join(w) for w in toxic], t.toxic_bytes), t.level)
+    now = Model(learn([b" ".join(w) for w in ordinary], t.ordinary_bytes), learn([b" ".join(w) for w in toxic], toxic_bytes), t.level)
     models = [now]
     for _ in range(t.rounds):
 
@@ -150,7 +155,7 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], t:
         now = Model((more + now.ordinary)[-4 * t.ordinary_bytes :], now.toxic, t.level)
         wanted = helped(toxic, now)
         if len(wanted) >= 3:
-            now = Model(now.ordinary, learn(wanted, t.toxic_bytes), t.level)
+            now = Model(now.ordinary, learn(wanted, toxic_bytes), t.level)
         models.append(now)
     # The windows of toxic documents without any clear saving, against those of all ordinary ones.
     saved = Savings(now)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from inkfold.llm.toxicity import CUTS, FAINT_CUTS, FEATURES, MOST_LOST, STEP, WINDOW, Model, best_cut, drop_toxic, features, fit_toxicity, score_toxicity, windows_of
+from inkfold.llm.toxicity import CUTS, FAINT_CUTS, FEATURES, MOST_LOST, STEP, WINDOW, Model, Savings, Training, best_cut, calibrate, drop_toxic, features, fit_toxicity, score_texts, score_toxicity, train_dictionaries, windows_of
 
 SYLLABLES = ["an", "ber", "cor", "del", "en", "fi", "gar", "hu", "in", "jo", "ka", "lum", "mo", "ner", "os", "pli", "qua", "ri", "sto", "ven"]
 BAD = ["worthless", "pathetic", "disgusting", "stupid"]
@@ -129,3 +129,31 @@ def test_cut_off():
     many[3] = 1
     assert best_cut(z, y, many) == 1.5
     assert best_cut(z, 1 - y, one) > z[0]
+
+
+def many_forms(n, seed):
+    """Texts whose toxic words are stems with any of many endings: some 400 forms, each in few documents."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4)))
+    docs = []
+    for i in range(n):
+        words = [word() for _ in range(r.randint(100, 300))]
+        for _ in range(i % 2 * r.randint(1, 4)):
+            words.insert(r.randrange(len(words)), r.choice(["vyxaw", "sczyx", "twyvoj", "gxywob"]) + r.choice(SYLLABLES) + r.choice(["", *SYLLABLES]))
+        docs.append((" ".join(words), i % 2))
+    return docs
+
+
+def test_many_forms_of_toxic_words():
+    """The toxic dictionary has room for them: nearly all such documents are found, and few clean ones lost."""
+    fit, test, held = (many_forms(n, seed) for n, seed in ((800, 1), (400, 2), (400, 3)))
+    toxic, ordinary = ([windows_of(t) for t, y in fit if y == kind] for kind in (1, 0))
+    y = np.array([y for _, y in test], dtype=float)
+    fitted = []
+    for model in train_dictionaries(toxic, ordinary, Training()):
+        saved = Savings(model)
+        fitted.append(calibrate(model, np.array([saved.features(windows_of(t)) for t, _ in test]), y, np.ones(len(y))))
+    model = min(fitted, key=lambda x: x[1])[0]
+    called = score_texts(model, [t for t, _ in held]) >= 0.7
+    truth = np.array([y for _, y in held]) == 1
+    assert called[truth].mean() >= 0.9 and called[~truth].mean() <= 0.1
