@@ -4,14 +4,19 @@ For every prefix of a word there is exactly one token that its encoding ends wit
 place come from one automaton pass; among them the wanted one is the token whose predecessor (the last token of the
 prefix before it) stays separate from it under the merge rules. Back-pointers from the end of the word give the ids.
 The pair test walks down the right edge of one token's merge tree and the left edge of the other's, so it needs no
-merging of text. Cost: linear in the text times the longest token."""
+merging of text. Cost: linear in the text times the longest token.
+
+A worker remembers the ids of stretches between white space, packed as bytes, so that the text of a known stretch is
+neither cut into words nor encoded again."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -24,9 +29,15 @@ from inkfold.llm.common import keyed_texts, per_worker, table
 # Private mark in place of the end-of-word suffix; the byte alphabet stays below U+0200.
 WORD_END = "\ue000"
 NEVER = 1 << 60
-# Entries per worker process of the word and pair memories, which are emptied when full (speed only).
-WORD_MEMORY = 600_000
+# Entries per worker process of each of the two parts of the memory of stretches, and of the pair memory, which is emptied
+# when full; longer stretches are not kept (speed only).
+STRETCH_MEMORY = 500_000
+LONGEST_KEPT = 64
 PAIR_MEMORY = 500_000
+# Python takes these for white space, the tokenizer's pattern does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+# Letters and at most one mark behind them are a piece each; all other stretches are cut by the tokenizer's pattern.
+PLAIN_WORD = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
 
 
 def byte_alphabet() -> list[str]:
@@ -36,6 +47,25 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+class Memory(dict):
+    """What ``build`` makes of a key, kept for the keys of late: when ``room`` are held they become the older part, and the
+    older part before them is let go."""
+
+    def __init__(self, build: Callable[[str], bytes], room: int = STRETCH_MEMORY):
+        self.build, self.room, self.older = build, room, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.build(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.room:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizer description with byte-level alphabet and end-of-word suffix."""
 
@@ -68,7 +98,10 @@ class WordBpe:
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.words: dict[str, list[int]] = {}
+        self.stretches = Memory(self._stretch)
+        self.token_bytes = np.full(max(self.text_of, default=-1) + 1, None, dtype=object)
+        for number, token in self.text_of.items():
+            self.token_bytes[number] = token.encode("utf-8")
         self.pairs: dict[int, bool] = {}
 
     def stay_apart(self, left: int, right: int) -> bool:
@@ -87,7 +120,10 @@ class WordBpe:
 
     def encode_word(self, piece: str) -> list[int]:
         """Token ids of one piece: last token of every prefix, then back from the end."""
-        word = piece.encode("utf-8").decode("latin-1").translate(self.alphabet) + WORD_END
+        if piece.isascii() and piece.isalnum():
+            word = piece + WORD_END
+        else:
+            word = piece.encode("utf-8").decode("latin-1").translate(self.alphabet) + WORD_END
         tokens, starts = [-1] * len(word), [0] * len(word)
         pairs = self.pairs
         for end, (token, length) in self.automaton.iter(word):
@@ -114,35 +150,38 @@ class WordBpe:
         ids.reverse()
         return ids
 
-    def _plain(self, text: str, ids: list[int]) -> None:
+    def _stretch(self, stretch: str) -> bytes:
+        """Packed ids of a text without white space."""
+        plain = PLAIN_WORD.fullmatch(stretch)
+        pieces = [p for p in plain.groups() if p] if plain else self.pieces.findall(stretch)
+        if len(pieces) == 1 and pieces[0] == stretch:
+            ids = self.encode_word(stretch)
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.stretches.__getitem__, pieces))
+
+    def _plain(self, text: str) -> bytes:
         # Capital sigma is lowered without regard to its place in the word, as the tokenizer does.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        words = self.words
-        for piece in self.pieces.findall(text):
-            found = words.get(piece)
-            if found is None:
-                found = self.encode_word(piece)
-                if len(piece) <= 64:
-                    if len(words) >= WORD_MEMORY:
-                        words.clear()
-                    words[piece] = found
-            ids += found
+        # No piece holds white space or looks beyond its own text.
+        parts = self.pieces.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+        return b"".join(map(self.stretches.__getitem__, parts))
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """Token ids as little-endian unsigned 32-bit integers."""
         if self.special_split is None or not any(s in text for s in self.specials):
-            self._plain(text, ids)
-            return ids
-        for part in self.special_split.split(text):
-            if part in self.specials:
-                ids.append(self.specials[part])
-            else:
-                self._plain(part, ids)
-        return ids
+            return self._plain(text)
+        parts = self.special_split.split(text)
+        return b"".join(np.uint32(self.specials[p]).astype("<u4").tobytes() if p in self.specials else self._plain(p) for p in parts)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), dtype="<u4").tolist()
+
+    def decode_utf8(self, ids: np.ndarray) -> bytes:
+        """Token texts with a blank between them, in UTF-8: the description names no decoder."""
+        return b" ".join(self.token_bytes[ids].tolist())
 
     def decode(self, ids: list[int]) -> str:
-        """Token texts with a blank between them: the description names no decoder."""
-        return " ".join(map(self.text_of.__getitem__, ids))
+        return self.decode_utf8(np.asarray(ids, dtype=np.int64)).decode("utf-8")
 
 
 def encode_texts(df: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -160,10 +199,10 @@ def encode_texts(df: DataFrame, tokenizer_file: str) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch["text"]:
-                ids = bpe.encode(text)
-                packed = np.asarray(ids, dtype="<u4")
-                decoded = bpe.decode(ids).encode("utf-8")
-                out.append((len(ids), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest(), packed.view("<i4")))
+                packed = bpe.packed(text)
+                ids = np.frombuffer(packed, dtype="<i4")
+                decoded = bpe.decode_utf8(ids)
+                out.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids))
             got = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             got.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield got
