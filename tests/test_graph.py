@@ -12,12 +12,33 @@ CHUNKS = "point_key BIGINT, document_id BIGINT, chunk_index BIGINT, vector ARRAY
 
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_registered_recall(spark, folder):
-    """The registered query with its own settings finds 0.9 of the true 15 nearest, with and without the query's own vector."""
+    """The registered query with its own settings finds 0.9 of the true 15 nearest, with and without the query's own vector, of
+    every row whose id is divisible by 100, among all rows."""
     t = Tables(spark, folder)
-    exact = {(r.query_id, r.point_key) for r in S.nearest_chunks(t.queries, t.vectors, 15).collect()}
+    asked = t.queries.where("query_id % 100 = 0")
+    exact = {(r.query_id, r.point_key) for r in S.nearest_chunks(asked, t.vectors, 15).collect()}
     found = {(r.query_id, r.point_key) for r in registry.QUERIES["approx_knn_graph"](spark, folder).collect()}
     others = {(q, p) for q, p in exact if q != p}
     assert len(found & exact) / len(exact) >= 0.9 and len(found & others) / len(others) >= 0.9
+    assert {q for q, _ in found} == {r.query_id for r in asked.collect()}
+
+
+def test_registered_walks(spark, tmp_path, monkeypatch):
+    """Only the rows whose id is divisible by 100 walk the graph, once a shard; each gets its hits."""
+    rng = np.random.default_rng(8)
+    walks = spark.sparkContext.accumulator(0)
+    hits = G.Shard.hits
+
+    def counted(self, ids, *rest):
+        walks.add(len(ids))
+        return hits(self, ids, *rest)
+
+    monkeypatch.setattr(G.Shard, "hits", counted)
+    rows = [(i, i % 5, rng.normal(size=8).astype(np.float32).tolist()) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0,)], "doc_id bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["approx_knn_graph"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == set(range(0, 600, 100)) and len(got) == 6 * 15 and walks.value == 6
 
 
 def shard_of(matrix):
