@@ -23,6 +23,17 @@ def test_registered_recall(spark, folder):
     assert {q for q, _ in found} == {r.query_id for r in asked.collect()}
 
 
+def test_registered_recall_in_a_full_shard(spark, tmp_path):
+    """A nearly full shard of vectors without any clusters."""
+    matrix = np.random.default_rng(9).normal(size=(14_000, 96)).astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(len(matrix)), "embedding": list(matrix)}).to_parquet(f"{tmp_path}/embeddings.parquet")
+    pd.DataFrame({"doc_id": [0]}).to_parquet(f"{tmp_path}/documents.parquet")
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    exact = {(100 * i, int(j)) for i, js in enumerate(np.argsort(-(unit[::100] @ unit.T), axis=1)[:, :15]) for j in js}
+    found = {(r.query_id, r.point_key) for r in registry.QUERIES["approx_knn_graph"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(exact) and len(found & exact) / len(exact) >= 0.9
+
+
 def test_registered_walks(spark, tmp_path, monkeypatch):
     """Only the rows whose id is divisible by 100 walk the graph, once a shard; each gets its hits."""
     rng = np.random.default_rng(8)
