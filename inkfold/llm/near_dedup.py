@@ -130,7 +130,10 @@ def node_of(text: Column) -> Column:
 
 def pinned(df: DataFrame) -> DataFrame:
     """Checkpoint of a narrow table (keys and ids only) that passes through many short rounds, in as few partitions as
-    its rows need: each round writes a file per task and exchange, however little is in it."""
+    its rows need: each round writes a file per task and exchange, however little is in it.
+
+    Also what is used twice is pinned: the driver holds the hash tables of all broadcasts of a running plan, and a plan
+    repeats whatever is used twice in it."""
     kept = checkpointed(df)
     return kept.coalesce(max(2, -(-kept.count() // NARROW_ROWS)))
 
@@ -144,7 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = pinned(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = pinned(least.select("a", F.col("m").alias("b")).union(small).where("a <> b").distinct())
@@ -175,7 +178,7 @@ class _Links:
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose nodes are in different components."""
         both = self.root_of(self.root_of(pairs, "a", "_ra"), "b", "_rb")
-        return both.where("_ra <> _rb").drop("_ra", "_rb")
+        return pinned(both.where("_ra <> _rb").drop("_ra", "_rb"))
 
     def verify(self, pairs: DataFrame) -> None:
         """Compare pairs (a, b), by signature and then by text; unite the components of those that are alike."""
@@ -324,7 +327,7 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     # A bucket of two is settled: one of them led it.
     rooms = links.root_of(shared.where("n > 2").select("band", "key", "node"), "node", "root")
     mixed = rooms.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    links.settle(rooms.join(mixed.select("band", "key"), ["band", "key"]))
+    links.settle(pinned(rooms.join(pinned(mixed.select("band", "key")), ["band", "key"])))
 
     rooted = links.root_of(nodes.select("node", "text_id", "copies"), "node", "root")
     # The row that stays has the smallest id; of several texts with that id, the smallest node.

@@ -134,3 +134,21 @@ def test_whole_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     texts = [r.text for r in df.orderBy("doc_id").collect()]
     check(df, texts)
+
+
+def test_no_plan_repeats_the_links(spark, monkeypatch):
+    """The driver holds the broadcasts of a running plan; what is used twice is a table of its own, not part of the plan twice."""
+    from inkfold.llm import near_dedup
+
+    joins = []
+
+    def counted(df, keep=near_dedup.checkpointed):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return keep(df)
+
+    monkeypatch.setattr(near_dedup, "checkpointed", counted)
+    texts = [t for seed in range(3) for t in family(seed, 8, 60, 4)]
+    rows = near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    classes = brute_classes(texts)
+    assert [r.class_id for r in sorted(rows, key=lambda r: r.doc_id)] == [classes.index(c) for c in classes]
+    assert max(joins) <= 4
