@@ -52,6 +52,17 @@ def test_registered_walks(spark, tmp_path, monkeypatch):
     assert {r.query_id for r in got} == set(range(0, 600, 100)) and len(got) == 6 * 15 and walks.value == 6
 
 
+def test_registered_asks_for_every_row(spark, tmp_path):
+    """Each row of the table is a query, whatever its id, and gets its hits among all rows."""
+    matrix = np.random.default_rng(10).normal(size=(250, 8)).astype(np.float32)
+    ids = np.arange(250) * 7 + 1
+    pd.DataFrame({"vec_id": ids, "embedding": list(matrix)}).to_parquet(f"{tmp_path}/embeddings.parquet")
+    pd.DataFrame({"doc_id": [0]}).to_parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["approx_knn_graph"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == {r.point_key for r in got} == set(ids.tolist()) and len(got) == 250 * 15
+    assert {(r.query_id, r.point_key) for r in got if r["rank"] == 1} == {(i, i) for i in ids.tolist()}
+
+
 def shard_of(matrix):
     unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
     n = len(unit)
