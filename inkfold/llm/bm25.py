@@ -1,22 +1,26 @@
 """Exact BM25 top-k over an inverted index in shards, pruned by block maxima: a MaxScore split, without the pivots of WAND.
 
-``build_index`` turns documents into one row per shard: term-major postings with block maxima, and the same postings by
-document. Corpus statistics (documents, mean length, document frequency of the query terms) are summed over all shards,
-so every shard scores with the same numbers and the merged result equals one scan of everything.
+``build_index`` turns documents into one row per shard: term-major postings, and the same postings by document. Corpus
+statistics (documents, mean length, document frequency of the query terms) are summed over all shards, so every shard
+scores with the same numbers and the merged result equals one scan of everything. Inside a shard, documents that share
+their frequent words stand together, by length, so that the largest impacts in a block of documents bound it well.
 
-In a shard, the terms of a query are split at the k-th best score so far: those whose largest impacts together stay
-below it cannot lift a document into the result alone. Only the other terms' postings are read; what a document has
-from them plus the block maxima of the rest decides whether it is scored in full. The k-th best score carries over
-from shard to shard of a task."""
+A shard is searched by groups of queries. The postings of the less frequent terms of the queries are read and summed.
+The frequent terms are left out at first: a block's largest impacts plus the best sum in the block decide for each
+query whether the block can reach the k-th best score so far, and only then the frequent terms are added, as a product of
+matrices. That is done in single precision; what is not below the k-th score by more than its error is scored in full. The
+k-th best score carries over from shard to shard of a task."""
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,154 +30,316 @@ from inkfold.session import checkpointed, scratch_path
 K1, B = 1.2, 0.75
 K = 10
 SHARD_DOCS, SHARD_WORDS = 4096, 3_000_000
-BLOCK = 16
+BLOCK = 64
 # Queries searched per pass over the index; their terms are broadcast.
-QUERY_BLOCK = 4096
-# One shard in so many is searched first, for the score that the others have to reach.
-FIRST_SHARDS = 8
+QUERY_BLOCK = 8192
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = re.compile(WORD)
-_LOWER = {c: c + 32 for c in range(65, 91)}
+# Terms in at least this share of a shard's documents are frequent, the most frequent so many at most.
+FREQUENT, FREQUENT_TERMS = 1 / 20, 1024
+# A sum of so many positive numbers in single precision is wrong by less than this share.
+SLACK = 1e-4
+# Queries searched together, and the postings read at a time, of so many queries at most.
+GROUP, READ, READ_QUERIES = 256, 1 << 16, 16
+# Groups of alike documents in a shard, told by so many of its terms.
+ALIKE, ALIKE_TERMS = 8, 256
+# Texts are cut into words by so many bytes, and a table has the codes of the bytes at the first places of a word.
+CHUNK, PLACES = 1 << 18, 64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 well mixed bits for each number."""
+    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(maxsize=1)
+def _bytes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes of UTF-8 belong to words, the bytes with A-Z lower-cased, and the code of each byte at each place."""
+    byte = np.arange(256)
+    upper = (byte >= 65) & (byte <= 90)
+    word = (byte >= 128) | ((byte >= 48) & (byte <= 57)) | upper | ((byte >= 97) & (byte <= 122))
+    return word, np.where(upper, byte + 32, byte), _mixed(np.arange(PLACES * 256))
+
+
+def _cut_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    is_word, lower, codes = _bytes()
+    inside = is_word[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    # A text begins a word of its own, whatever the text before ends with.
+    first = at[:-1][at[:-1] < len(data)]
+    begin[first] = inside[first]
+    used = np.flatnonzero(inside)
+    starts = np.flatnonzero(begin[used])
+    sizes = np.diff(np.append(starts, len(used)))
+    code = (np.arange(len(used)) - np.repeat(starts, sizes)) * 256 + lower[data[used]]
+    value = codes[np.minimum(code, len(codes) - 1)]
+    far = np.flatnonzero(code >= len(codes))
+    value[far] = _mixed(code[far])
+    hashes = np.add.reduceat(value, starts) if len(starts) else np.zeros(0, np.uint64)
+    return hashes.view(np.int64), np.diff(np.searchsorted(used[starts], at))
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, in order, and how many words each text has. The hash of a
+    word is the sum of the codes of its bytes at their places."""
+    texts = pa.concat_arrays([texts.cast(pa.large_string())])
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    parts, i = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, side="right")) - 1)
+        parts.append(_cut_words(data[at[i] : at[j]], at[i : j + 1] - at[i]))
+        i = j
+    return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
 
 
 def terms_of(text: str) -> np.ndarray:
     """64-bit hashes of the words, A-Z lower-cased, in order."""
-    words = _WORD.findall(text.translate(_LOWER))
-    return pd.util.hash_array(np.array(words, dtype=object)).view(np.int64) if words else np.zeros(0, np.int64)
+    return words_of(pa.array([text], pa.large_string()))[0]
+
+
+def _ranges(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all entries of the given rows, and which row each belongs to."""
+    size = at[rows + 1] - at[rows]
+    end = np.cumsum(size)
+    return np.arange(size.sum()) + np.repeat(at[rows] - end + size, size), np.repeat(np.arange(len(rows)), size)
+
+
+def _pairs(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and scores of packed postings."""
+    return posts.view(np.int32)[::2], posts.view(np.float32)[1::2]
+
+
+def _alike(doc: np.ndarray, term: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """An order of the documents: by the nearest of ``ALIKE`` unlike documents as far as frequent terms go, then by length."""
+    n = len(lengths)
+    told = term < ALIKE_TERMS
+    has = np.zeros((n, ALIKE_TERMS), np.float32)
+    has[doc[told], term[told]] = 1
+    has /= np.maximum(np.sqrt(has.sum(axis=1, keepdims=True)), 1)
+    near = has @ has.mean(axis=0)
+    leader, group = int(np.argmax(near)) if n else 0, np.zeros(n, np.int64)
+    near = has @ has[leader] if n else near
+    for i in range(1, ALIKE):
+        # The next leader is the one with the most frequent terms among those that are far from all others.
+        far = np.where(near <= np.quantile(near, 0.05) + 1e-6, has.astype(bool).sum(axis=1), -1) if n else near
+        to = has @ has[int(np.argmax(far))] if n else near
+        group[to > near] = i
+        near = np.maximum(near, to)
+    return np.lexsort((lengths, group))
 
 
 class Shard:
-    """Postings of a shard by document (``by_doc``) and by term."""
+    """Postings of a shard by document (``doc_*``) and by term (``frequencies``, ``post_*``)."""
 
-    FIELDS = ("ids", "nulls", "lengths", "terms", "doc_at", "doc_term", "doc_tf")
+    # ``None`` is the smallest unsigned kind that holds the numbers.
+    KINDS = {
+        "ids": np.int64, "nulls": np.uint8, "lengths": np.int64, "terms": np.int64, "doc_at": np.int64, "doc_term": None,
+        "doc_tf": None, "frequencies": None, "post_doc": None, "post_tf": None,
+    }
 
-    def __init__(self, ids, nulls, lengths, terms, doc_at, doc_term, doc_tf):
-        self.ids, self.nulls, self.lengths, self.terms = ids, nulls, lengths, terms
-        self.doc_at, self.doc_term, self.doc_tf = doc_at, doc_term, doc_tf
+    def __init__(self, **fields: np.ndarray):
+        for name, kind in self.KINDS.items():
+            values = fields[name]
+            kind = kind or np.min_scalar_type(int(values.max(initial=0)))
+            setattr(self, name, values.astype(kind, copy=False))
+        self.term_at = np.concatenate([[0], np.cumsum(self.frequencies, dtype=np.int64)])
 
     @classmethod
-    def build(cls, ids: list[int | None], texts: list[str]) -> Shard:
-        per_doc = [terms_of(t) for t in texts]
-        lengths = np.array([len(t) for t in per_doc], dtype=np.int64)
-        flat = np.concatenate(per_doc) if per_doc else np.zeros(0, np.int64)
-        terms, number = np.unique(flat, return_inverse=True)
-        key = np.repeat(np.arange(len(texts), dtype=np.int64), lengths) * max(len(terms), 1) + number
-        pair, tf = np.unique(key, return_counts=True)
-        doc = pair // max(len(terms), 1)
-        doc_at = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int64)
-        nulls = np.array([i is None for i in ids], dtype=np.uint8)
-        numbers = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-        return cls(numbers, nulls, lengths, terms, doc_at, (pair % max(len(terms), 1)).astype(np.int32), tf.astype(np.int32))
+    def build(cls, ids: pa.Array, texts: pa.Array) -> Shard:
+        flat, lengths = words_of(texts)
+        number, terms = pd.factorize(flat)
+        n, m = len(lengths), max(len(terms), 1)
+        # The terms with the most words come first: what many queries ask for stands together.
+        order = np.argsort(-np.bincount(number, minlength=len(terms)), kind="stable")
+        place = np.empty(len(terms), np.int64)
+        place[order] = np.arange(len(terms))
+        pair, tf = np.unique(np.repeat(np.arange(n), lengths) * m + place[number], return_counts=True)
+        doc, term = pair // m, pair % m
+        moved = _alike(doc, term, lengths)
+        now = np.empty(n, np.int64)
+        now[moved] = np.arange(n)
+        by_doc, _ = _ranges(np.searchsorted(doc, np.arange(n + 1)), moved)
+        doc, term, tf = now[doc[by_doc]], term[by_doc], tf[by_doc]
+        by_term = np.argsort(term, kind="stable")
+        return cls(
+            ids=ids.fill_null(0).to_numpy(zero_copy_only=False)[moved], nulls=ids.is_null().to_numpy(zero_copy_only=False)[moved],
+            lengths=lengths[moved], terms=terms[order], doc_at=np.searchsorted(doc, np.arange(n + 1)), doc_term=term, doc_tf=tf,
+            frequencies=np.bincount(term, minlength=len(terms)), post_doc=doc[by_term], post_tf=tf[by_term],
+        )
 
     def pack(self) -> dict[str, bytes]:
-        return {f: getattr(self, f).tobytes() for f in self.FIELDS}
+        return {f: getattr(self, f).tobytes() for f in self.KINDS}
 
     @classmethod
-    def unpack(cls, row) -> Shard:
-        kinds = (np.int64, np.uint8, np.int64, np.int64, np.int64, np.int32, np.int32)
-        return cls(*[np.frombuffer(row[f], dtype=k) for f, k in zip(cls.FIELDS, kinds, strict=True)])
-
-    def frequencies(self) -> np.ndarray:
-        return np.bincount(self.doc_term, minlength=len(self.terms))
-
-    def prepare(self, mean_length: float) -> None:
-        """Impacts without idf, term-major postings and block maxima."""
-        doc = np.repeat(np.arange(len(self.ids)), np.diff(self.doc_at))
-        norm = K1 * (1 - B + B * self.lengths / max(mean_length, 1e-9))
-        self.impact = self.doc_tf * (K1 + 1) / (self.doc_tf + norm[doc])
-        order = np.argsort(self.doc_term, kind="stable")
-        self.post_doc, self.post_impact = doc[order], self.impact[order]
-        self.term_at = np.searchsorted(self.doc_term[order], np.arange(len(self.terms) + 1))
-        if len(order):
-            block = self.doc_term[order].astype(np.int64) * (len(self.ids) // BLOCK + 1) + self.post_doc // BLOCK
-            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            self.block_max = np.maximum.reduceat(self.post_impact, starts)
-            self.block_no = self.post_doc[starts] // BLOCK
-            self.block_at = np.searchsorted(starts, self.term_at)
-            self.largest = np.maximum.reduceat(self.post_impact, self.term_at[:-1])
-        self.weight = np.zeros(len(self.terms))
-
-    def _ranges(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of all entries of the given terms, and which term each belongs to."""
-        size = at[rows + 1] - at[rows]
-        which = np.repeat(np.arange(len(rows)), size)
-        return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[rows], size), which
-
-    def search(self, query_terms: np.ndarray, idf: np.ndarray, floor: float, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(document numbers, scores) of the ``k`` best documents of this shard as far as they score at least ``floor``,
-        and maybe of others. ``floor`` 0 is no floor."""
-        if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.searchsorted(self.terms, query_terms)
-        at[at == len(self.terms)] = 0
-        here = self.terms[at] == query_terms
-        rows, w = at[here], idf[here]
-        order = np.argsort(w * self.largest[rows])
-        rows, w = rows[order], w[order]
-        bound = np.cumsum(w * self.largest[rows])
+    def unpack(cls, batch: pa.RecordBatch, row: int) -> Shard:
+        data = {f: batch.column(f)[row].as_buffer() for f in cls.KINDS}
+        count = {"terms": data["terms"].size // 8, "postings": int(np.frombuffer(data["doc_at"], np.int64)[-1])}
+        kinds = {f: kind or cls._kind(data[f], count["terms" if f == "frequencies" else "postings"]) for f, kind in cls.KINDS.items()}
+        shard = cls.__new__(cls)
+        for f, kind in kinds.items():
+            setattr(shard, f, np.frombuffer(data[f], dtype=kind))
+        shard.term_at = np.concatenate([[0], np.cumsum(shard.frequencies, dtype=np.int64)])
+        return shard
+
+    @staticmethod
+    def _kind(data: pa.Buffer, count: int) -> str:
+        return f"u{data.size // max(count, 1) or 1}"
+
+    def prepare(self, vocabulary: np.ndarray, idf: np.ndarray, mean_length: float) -> None:
+        """Scores of the postings of the terms of ``vocabulary``, those of frequent terms as a matrix, and its block maxima."""
+        n, m = len(self.ids), len(self.terms)
+        at = np.searchsorted(vocabulary, self.terms)
+        at[at == len(vocabulary)] = 0
+        asked = np.flatnonzero(vocabulary[at] == self.terms) if len(vocabulary) else np.zeros(0, np.int64)
+        self.row = np.full(len(vocabulary), -1, np.int32)
+        self.row[at[asked]] = asked
+        self.idf = np.zeros(m)
+        self.idf[asked] = idf[at[asked]]
+        self.norm = K1 * (1 - B + B * self.lengths / max(mean_length, 1e-9))
+        size = np.diff(self.term_at)
+        # A posting's document and score are one number of 64 bits, so that one access reads both.
+        posts = np.empty((len(self.post_doc), 2), np.float32)
+        tf = self.post_tf.astype(np.float32)
+        gain = np.divide(tf, tf + self.norm.astype(np.float32)[self.post_doc], out=tf)
+        gain *= np.repeat((self.idf * (K1 + 1)).astype(np.float32), size)
+        posts[:, 1] = gain
+        posts.view(np.int32)[:, 0] = self.post_doc
+        self.posts = posts.view(np.int64).reshape(-1)
+        frequent = asked[size[asked] >= max(1, FREQUENT * n)]
+        frequent = frequent[np.argsort(-size[frequent], kind="stable")[:FREQUENT_TERMS]]
+        self.frequent = np.full(m, -1, np.int32)
+        self.frequent[frequent] = np.arange(len(frequent))
+        self.blocks = -(-n // BLOCK)
+        self.matrix = np.zeros((self.blocks, len(frequent), BLOCK), np.float32)
+        entry, which = _ranges(self.term_at, frequent)
+        doc, gain = _pairs(self.posts[entry])
+        self.matrix[doc // BLOCK, which, doc % BLOCK] = gain
+        self.largest = np.ascontiguousarray(self.matrix.max(axis=2, initial=0).T)
+
+    def _read(self, query: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
+        """Sums of the scores of the given terms, by query and block."""
+        width = self.blocks * BLOCK
+        out = np.zeros((count, width), np.float32)
+        first, size = self.term_at[rows], self.term_at[rows + 1] - self.term_at[rows]
+        end = np.cumsum(size)
+        i = 0
+        while i < len(rows):
+            # Few at a time, so that they stay in the processor's cache.
+            j = int(np.searchsorted(end, end[i] - size[i] + READ, side="right"))
+            j = max(i + 1, min(j, int(np.searchsorted(query, query[i] + READ_QUERIES))))
+            start, some = int(query[i]), int(query[j - 1] - query[i]) + 1
+            entry = np.repeat(first[i:j] - end[i:j] + size[i:j], size[i:j])
+            entry += np.arange(end[i] - size[i], end[j - 1])
+            cell = np.repeat((query[i:j] - start) * width, size[i:j])
+            doc, gain = _pairs(self.posts[entry])
+            cell += doc
+            out[start : start + some] += np.bincount(cell, weights=gain, minlength=some * width).reshape(some, width)
+            i = j
+        return out.reshape(count, self.blocks, BLOCK)
+
+    def search(self, words: np.ndarray, at: np.ndarray, floor: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, document numbers, scores) for the queries whose terms, as places in the vocabulary, are ``words[at[i]:at[i + 1]]``:
+        the ``k`` best documents of this shard as far as they score at least ``floor``, and maybe others. ``floor`` 0 is no floor."""
+        count = len(floor)
+        query = np.repeat(np.arange(count), np.diff(at))
+        rows = self.row[words[at[0] : at[-1]]]
+        query, rows = query[rows >= 0], rows[rows >= 0]
+        if not len(rows):
+            return
+        place = self.frequent[rows]
+        often = place >= 0
+        asked = np.zeros((count, len(self.largest)), np.float32)
+        asked[query[often], place[often]] = 1
+        sums = self._read(query[~often], rows[~often], count)
         # A little slack, so that rounding never drops a tie.
-        need = floor - 1e-5
-        rest = int(np.searchsorted(bound, need, side="left")) if floor > 0 else 0
-        if rest == len(rows):
-            return np.zeros(0, np.int64), np.zeros(0)
-        entry, which = self._ranges(self.term_at, rows[rest:])
-        doc, gain = self.post_doc[entry], self.post_impact[entry]
-        gain *= np.repeat(w[rest:], self.term_at[rows[rest:] + 1] - self.term_at[rows[rest:]])
-        upper = np.bincount(doc, weights=gain, minlength=len(self.ids))
-        if rest:
-            entry, which = self._ranges(self.block_at, rows[:rest])
-            blocks = np.bincount(self.block_no[entry], weights=self.block_max[entry] * w[:rest][which], minlength=len(self.ids) // BLOCK + 1)
-            docs = np.flatnonzero(upper > 0)
-            docs = docs[upper[docs] + blocks[docs // BLOCK] >= need]
-            left = self.term_at[rows[:rest] + 1] - self.term_at[rows[:rest]]
-            if (self.doc_at[docs + 1] - self.doc_at[docs]).sum() > left.sum():
-                # The candidates' own terms are more than the postings left out: read those after all.
-                entry, which = self._ranges(self.term_at, rows[:rest])
-                gain = self.post_impact[entry] * np.repeat(w[:rest], left)
-                upper += np.bincount(self.post_doc[entry], weights=gain, minlength=len(self.ids))
-                docs, rest = docs[upper[docs] >= need], 0
-        else:
-            docs = np.flatnonzero(upper > 0)
-        if not rest and len(docs) > k:
-            # All terms are summed up already; only what can be among the best is scored anew.
-            docs = docs[upper[docs] >= np.partition(upper[docs], -k)[-k] - 1e-5]
-        if not len(docs):
-            return docs, np.zeros(0)
-        self.weight[rows] = w
-        entry, which = self._ranges(self.doc_at, docs)
-        scores = np.bincount(which, weights=self.weight[self.doc_term[entry]] * self.impact[entry], minlength=len(docs))
-        self.weight[rows] = 0.0
-        return docs, np.round(scores, 6)
-
-
-INDEX_SCHEMA = "docs bigint, words bigint, " + ", ".join(f"{f} binary" for f in Shard.FIELDS)
+        need = np.maximum(floor * (1 - SLACK) - 1e-5, 0).astype(np.float32)
+        free, least = np.flatnonzero(floor <= 0), np.where(floor > 0, np.maximum(need, np.finfo(np.float32).tiny), np.inf).astype(np.float32)
+        reach = asked @ self.largest + sums.max(axis=2)
+        reach = (reach > 0) & (reach >= need[:, None])
+        found = []
+        for block in np.flatnonzero(reach.any(axis=0)):
+            some = np.flatnonzero(reach[:, block])
+            score = asked[some] @ self.matrix[block] + sums[some, block]
+            if len(free):
+                sums[some, block] = score
+            hit = np.flatnonzero(score >= least[some, None])
+            if len(hit):
+                found.append(np.stack([some[hit // BLOCK], block * BLOCK + hit % BLOCK]))
+        if len(free):
+            score = sums[free].reshape(len(free), -1)
+            if score.shape[1] > k:
+                # Only what can be among the best is scored anew.
+                need = np.partition(score, -k, axis=1)[:, -k] * (1 - 2 * SLACK) - 2e-5
+                hit = np.flatnonzero((score > 0) & (score >= need[:, None]))
+            else:
+                hit = np.flatnonzero(score > 0)
+            found.append(np.stack([free[hit // score.shape[1]], hit % score.shape[1]]))
+        if not found:
+            return
+        which, docs = np.concatenate(found, axis=1)
+        order = np.argsort(which, kind="stable")
+        which, docs = which[order], docs[order]
+        for part in np.split(np.arange(len(which)), np.flatnonzero(np.diff(which)) + 1):
+            if len(part):
+                n = int(which[part[0]])
+                own = rows[slice(*np.searchsorted(query, [n, n + 1]))]
+                yield n, docs[part], self._score(own, docs[part])
+
+    def _score(self, rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """The rounded scores of documents in double precision, from all terms of the query."""
+        rows = np.sort(rows).astype(self.doc_term.dtype)
+        scores = np.zeros(len(docs))
+        for i, d in enumerate(docs.tolist()):
+            terms, tf = (x[self.doc_at[d] : self.doc_at[d + 1]] for x in (self.doc_term, self.doc_tf))
+            # The shorter list is looked up in the longer one; both are sorted.
+            few, many = (rows, terms) if len(rows) < len(terms) else (terms, rows)
+            at = np.searchsorted(many, few)
+            at[at == len(many)] = 0
+            same = np.flatnonzero(many[at] == few)
+            tf = tf[at[same] if few is rows else same].astype(np.float64)
+            scores[i] = (self.idf[few[same]] * (tf * (K1 + 1) / (tf + self.norm[d]))).sum()
+        return np.round(scores, 6)
+
+
+INDEX_SCHEMA = "docs bigint, words bigint, " + ", ".join(f"{f} binary" for f in Shard.KINDS)
 
 
 def build_index(df: DataFrame) -> DataFrame:
     """One row per shard of at most ``SHARD_DOCS`` documents or about ``SHARD_WORDS`` words. No shuffle: a shard is a run
     of rows of a partition. Null texts are empty documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[int | None] = []
-        texts: list[str] = []
-        chars = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[pa.Array] = []
+        texts: list[pa.Array] = []
+        docs = size = 0
 
-        def packed() -> pd.DataFrame:
-            shard = Shard.build(ids, texts)
-            return pd.DataFrame([{"docs": len(ids), "words": int(shard.lengths.sum()), **shard.pack()}])
+        def packed() -> pa.RecordBatch:
+            shard = Shard.build(pa.concat_arrays(ids), pa.concat_arrays(texts))
+            row = {"docs": docs, "words": int(shard.lengths.sum()), **shard.pack()}
+            return pa.RecordBatch.from_pydict({f: pa.array([v], pa.int64() if f in ("docs", "words") else pa.binary()) for f, v in row.items()})
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                texts.append(text)
-                chars += len(text)
-                if len(ids) >= SHARD_DOCS or chars >= 6 * SHARD_WORDS:
+            keys, own = batch.column("doc_id"), batch.column("text").cast(pa.large_string())
+            until = np.cumsum(pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < len(own):
+                before = int(until[start - 1]) if start else 0
+                full = int(np.searchsorted(until, before + 6 * SHARD_WORDS - size)) + 1
+                end = min(len(own), start + SHARD_DOCS - docs, max(full, start + 1))
+                ids.append(keys.slice(start, end - start))
+                texts.append(own.slice(start, end - start))
+                docs, size, start = docs + end - start, size + int(until[end - 1]) - before, end
+                if docs >= SHARD_DOCS or size >= 6 * SHARD_WORDS:
                     yield packed()
-                    ids, texts, chars = [], [], 0
-        if ids:
+                    ids, texts, docs, size = [], [], 0, 0
+        if docs:
             yield packed()
 
-    return keyed_texts(df).mapInPandas(run, INDEX_SCHEMA)
+    return keyed_texts(df).mapInArrow(run, INDEX_SCHEMA)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -185,8 +351,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     term lists are broadcast, so memory does not grow with the number of queries; work does, as each query has to meet
     each shard."""
     spark = index.sparkSession
-    total = index.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    total = index.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
     count, mean = total[0], total[1] / max(total[0], 1)
+    # One shard in so many, the root of their number, is searched first, for the score that the others have to reach.
+    share = max(1, round(total[2] ** 0.5))
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
@@ -200,42 +368,47 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         wanted = part.mapInPandas(term_lists, "query_id bigint, terms array<bigint>").toPandas()
         wanted = wanted[wanted.terms.str.len() > 0]
         lists = [np.asarray(t, dtype=np.int64) for t in wanted.terms]
-        vocabulary = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
-        words = spark.sparkContext.broadcast({"vocabulary": vocabulary})
+        vocabulary, words = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_inverse=True)
+        known = spark.sparkContext.broadcast({"vocabulary": vocabulary})
 
-        def count_documents(batches: Iterator[pd.DataFrame], words=words) -> Iterator[pd.DataFrame]:
-            vocabulary = words.value["vocabulary"]
+        def count_documents(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            vocabulary = known.value["vocabulary"]
             df = np.zeros(len(vocabulary), dtype=np.int64)
             for batch in batches:
-                for row in batch.to_dict("records"):
-                    shard = Shard.unpack(row)
-                    at = np.searchsorted(vocabulary, shard.terms)
+                for i in range(len(batch)):
+                    terms = np.frombuffer(batch.column("terms")[i].as_buffer(), np.int64)
+                    size = batch.column("frequencies")[i].as_buffer()
+                    size = np.frombuffer(size, Shard._kind(size, len(terms)))
+                    at = np.searchsorted(vocabulary, terms)
                     at[at == len(vocabulary)] = 0
-                    same = vocabulary[at] == shard.terms if len(vocabulary) else np.zeros(len(at), bool)
-                    df[at[same]] += shard.frequencies()[same]
+                    same = vocabulary[at] == terms if len(vocabulary) else np.zeros(len(at), bool)
+                    df[at[same]] += size[same]
             seen = np.flatnonzero(df)
             for i in range(0, len(seen), 100_000):
-                yield pd.DataFrame({"term": vocabulary[seen[i : i + 100_000]], "df": df[seen[i : i + 100_000]]})
+                yield pa.RecordBatch.from_pydict({"term": vocabulary[seen[i : i + 100_000]], "df": df[seen[i : i + 100_000]]})
 
-        counted = index.mapInPandas(count_documents, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+        counted = index.select("terms", "frequencies").mapInArrow(count_documents, "term bigint, df bigint")
+        counted = counted.groupBy("term").agg(F.sum("df").alias("df")).toPandas()
         frequency = np.zeros(len(vocabulary))
         frequency[np.searchsorted(vocabulary, counted.term.to_numpy())] = counted.df.to_numpy()
         idf = np.log(1 + (count - frequency + 0.5) / (frequency + 0.5))
         ids = [None if pd.isna(q) else int(q) for q in wanted.query_id]
-        told = [(q, n, t, idf[np.searchsorted(vocabulary, t)]) for n, (q, t) in enumerate(zip(ids, lists, strict=True))]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in lists], dtype=np.int64)])
+        told = {"ids": ids, "words": words.astype(np.int32), "at": at, "vocabulary": vocabulary, "idf": idf}
         held = spark.sparkContext.broadcast({"queries": told})
 
-        def find(batches: Iterator[pd.DataFrame], held=held, floors=None) -> Iterator[pd.DataFrame]:
+        def find(batches: Iterator[pa.RecordBatch], held=held, floors=None) -> Iterator[pa.RecordBatch]:
             told = held.value["queries"]
-            least = floors.value["floors"] if floors is not None else np.zeros(len(told))
-            best: list[list[tuple[float, bool, int]]] = [[] for _ in told]
-            for batch in batches:
-                for row in batch.to_dict("records"):
-                    shard = Shard.unpack(row)
-                    shard.prepare(mean)
-                    for _, n, terms, idf in told:
-                        heap = best[n]
-                        docs, scores = shard.search(terms, idf, max(heap[0][0] if len(heap) == k else 0.0, least[n]), k)
+            ids, words, at = told["ids"], told["words"], told["at"]
+            least = floors.value["floors"].copy() if floors is not None else np.zeros(len(ids))
+            best: list[list[tuple[float, bool, int]]] = [[] for _ in ids]
+
+            def visit(shard: Shard) -> None:
+                shard.prepare(told["vocabulary"], told["idf"], mean)
+                for start in range(0, len(ids), GROUP):
+                    end = min(start + GROUP, len(ids))
+                    for n, docs, scores in shard.search(words, at[start : end + 1], least[start:end], k):
+                        heap = best[start + n]
                         if len(docs) > k:
                             # Best first; ties by null id, then id.
                             top = np.lexsort((shard.ids[docs], shard.nulls[docs], -scores))[:k]
@@ -246,21 +419,28 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                                 heapq.heappush(heap, entry)
                             elif entry > heap[0]:
                                 heapq.heapreplace(heap, entry)
-            rows = [(q, n, -i if known else None, s) for (q, n, _, _), heap in zip(told, best, strict=True) for s, known, i in heap]
+                        if len(heap) == k:
+                            least[start + n] = max(least[start + n], heap[0][0])
+
+            for batch in batches:
+                for i in range(len(batch)):
+                    visit(Shard.unpack(batch, i))
+            rows = [(ids[n], n, -i if known else None, s) for n, heap in enumerate(best) for s, known, i in heap]
             for i in range(0, len(rows), 100_000):
-                got = pd.DataFrame(rows[i : i + 100_000], columns=["query_id", "query", "doc_id", "score"])
-                yield got.astype({"query_id": "Int64", "doc_id": "Int64"})
+                columns = list(zip(*rows[i : i + 100_000], strict=True))
+                kinds = {"query_id": pa.int64(), "query": pa.int32(), "doc_id": pa.int64(), "score": pa.float64()}
+                yield pa.RecordBatch.from_pydict({f: pa.array(c, t) for (f, t), c in zip(kinds.items(), columns, strict=True)})
 
         # The k-th best score in some of the shards is a floor for all: the others start from it.
         schema = "query_id bigint, query int, doc_id bigint, score double"
-        some = F.pmod(F.xxhash64("ids"), F.lit(FIRST_SHARDS)) == 0
-        first = checkpointed(index.where(some).mapInPandas(find, schema))
+        some = F.pmod(F.xxhash64("ids"), F.lit(share)) == 0
+        first = checkpointed(index.where(some).mapInArrow(find, schema))
         at_k = Window.partitionBy("query").orderBy(F.desc("score"))
         kth = first.withColumn("n", F.row_number().over(at_k)).where(F.col("n") == k).select("query", "score").toPandas()
-        floors = np.zeros(len(told))
+        floors = np.zeros(len(ids))
         floors[kth["query"].to_numpy()] = kth["score"].to_numpy()
         shared = spark.sparkContext.broadcast({"floors": floors})
-        others = index.where(~some).mapInPandas(lambda it, find=find, shared=shared: find(it, floors=shared), schema)
+        others = index.where(~some).mapInArrow(lambda it, find=find, shared=shared: find(it, floors=shared), schema)
         local = first.unionByName(others)
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
         merged = local.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import inkfold.llm.bm25 as bm25
@@ -67,3 +69,41 @@ def test_nulls_ties_and_query_blocks(spark, monkeypatch):
 
 def test_query_equals_sql(spark, sf):
     assert rows(bm25.op2_topk_search(spark, sf).toPandas()) == rows(connect(sf).execute(bm25.OP2_SQL).df())
+
+
+def test_words_by_bytes():
+    """Words and their equality by the bytes of all texts at once are those of the pattern, text by text."""
+    texts = ["", "Aa aA-aa", "naïve Ünï", "x" * 300 + " " + "x" * 299 + "y " + "X" * 300, "end", "start", " a1 _1a\n", "😀é ß"] * 3
+    hashes, lengths = bm25.words_of(pa.array(texts).slice(1))
+    want = [w for t in texts[1:] for w in words(t)]
+    assert lengths.tolist() == [len(words(t)) for t in texts[1:]]
+    assert len(set(zip(hashes.tolist(), want, strict=True))) == len(set(hashes.tolist())) == len(set(want))
+
+
+@pytest.mark.parametrize("floored", [False, True])
+def test_frequent_terms_are_left_out(floored, monkeypatch):
+    """Two languages of skewed words: a group of queries takes one pass over the shard, which reads a small part of the postings of
+    their terms, blocks that cannot reach the floor are not scored, and the results are those of all pairs."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{'ab'[i % 2]}{w}" for w in (rng.zipf(1.3, 60 + i % 200) % 5000)) for i in range(2000)]
+    shard = bm25.Shard.build(pa.array(range(2000)), pa.array(texts))
+    lists = [np.unique(bm25.terms_of(t)) for t in texts[::20]]
+    vocabulary, places = np.unique(np.concatenate(lists), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in lists])])
+    tfs = [Counter(words(t)) for t in texts]
+    df, mean = Counter(t for tf in tfs for t in tf), sum(map(len, map(words, texts))) / 2000
+    idf = {t: math.log(1 + (2000 - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    code = {int(bm25.terms_of(t)[0]): t for t in df}
+    shard.prepare(vocabulary, np.array([idf[code[int(v)]] for v in vocabulary]), mean)
+    gains = [{t: idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * tf.total() / mean)) for t, n in tf.items()} for tf in tfs]
+    scores = [[sum(gains[d][t] for t in tfs[20 * q].keys() & gains[d].keys()) for d in range(2000)] for q in range(100)]
+    tenth = np.sort(scores, axis=1)[:, -10]
+    read = []
+    inner = bm25.Shard._read
+    monkeypatch.setattr(bm25.Shard, "_read", lambda self, query, rows, n: read.append(int(np.diff(self.term_at)[rows].sum())) or inner(self, query, rows, n))
+    got = {n: dict(zip(shard.ids[docs].tolist(), s.tolist(), strict=True)) for n, docs, s in shard.search(places, at, tenth * floored)}
+    asked = sum(df[t] for q in range(100) for t in tfs[20 * q])
+    assert len(read) == 1 and read[0] < 0.3 * asked
+    for q in range(100):
+        best = [d for d in range(2000) if scores[q][d] >= tenth[q] - 1e-7]
+        assert set(best) <= set(got[q]) and len(got[q]) < 20 and all(abs(got[q][d] - scores[q][d]) < 2e-6 for d in got[q])
